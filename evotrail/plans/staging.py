@@ -1,0 +1,32 @@
+"""Cutting lineage through the cluster's shared checkpoint folder."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+CHECKPOINT_DIR = "spark.checkpoint.dir"
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the folder the session names; make a private one only in local mode."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    named = context.getConf().get(CHECKPOINT_DIR)
+    if named is None:
+        if not context.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
+        named = tempfile.mkdtemp(prefix="evotrail-checkpoint-")
+    context.setCheckpointDir(named)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, computed once and stored outside the executors.
+
+    For rows that several later steps read. Storage is reliable, so losing an
+    executor does not recompute the source.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
