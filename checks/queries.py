@@ -84,7 +84,8 @@ def scan_audit_log(spark, sf_dir):
 
 
 def _range(spark, sf_dir, options: ReadOptions, ends: DataFrame | None = None) -> DataFrame:
-    chosen = log_ranges.select_range(dt.audit_log(spark, sf_dir), options, ends)
+    log = dt.audit_log(spark, sf_dir, to_parse=False)
+    chosen = log_ranges.select_range(log, options, ends)
     return chosen.select("partition", "offset", _as_text("timestamp").alias("log_time"))
 
 
@@ -94,7 +95,7 @@ def mode_backfill(spark, sf_dir):
 
 def mode_backfill_bounded(spark, sf_dir):
     """Backfill up to where the log ended at a past moment."""
-    log = dt.audit_log(spark, sf_dir)
+    log = dt.audit_log(spark, sf_dir, to_parse=False)
     ends = log_ranges.end_offsets(log_ranges.until_timestamp(log, RANGE_END))
     return _range(spark, sf_dir, ReadOptions(ReadMode.BACKFILL, stop_at_current=True), ends)
 
@@ -112,7 +113,7 @@ def mode_timestamp_range(spark, sf_dir):
 
 def registry_by_id(spark, sf_dir):
     """Every schema the log's registrations name, monitored environment or not."""
-    requests = _events(spark, sf_dir).filter(registry.needs_lookup())
+    requests = _events(spark, sf_dir).filter(registry.NEEDS_LOOKUP)
     return registry.by_id(requests, dt.registry_snapshot(spark, sf_dir)).select(
         "environment_id",
         "schema_id",
@@ -126,12 +127,11 @@ def registry_by_id(spark, sf_dir):
 
 
 def registry_first_version(spark, sf_dir):
-    first = registry.first_version(F.col("versions"))
-    return dt.registry_snapshot(spark, sf_dir).select(
+    return dt.registry_snapshot(spark, sf_dir).selectExpr(
         "environment_id",
         "schema_id",
-        first["subject"].alias("subject"),
-        first["version"].alias("version"),
+        f"{registry.FIRST_VERSION}.subject AS subject",
+        f"{registry.FIRST_VERSION}.version AS version",
     )
 
 
@@ -163,22 +163,21 @@ def registry_by_subject_version(spark, sf_dir):
 
 
 def parse_events(spark, sf_dir):
-    event = F.col("event")
-    return parse.parse_events(dt.audit_log(spark, sf_dir)).select(
-        event["id"].alias("event_id"),
-        event["specversion"].alias("specversion"),
-        event["type"].alias("type"),
-        event["time"].alias("event_time"),
-        event["subject"].alias("envelope_subject"),
-        ef.member(event, "data.methodName").alias("method_name"),
-        ef.member(event, "data.resourceName").alias("resource_name"),
-        ef.member(event, "data.request.accessType").alias("access_type"),
-        ef.member(event, "data.request.subject").alias("request_top_subject"),
-        ef.member(event, "data.request.data.subject").alias("request_data_subject"),
-        ef.member(event, "data.request.data.schemaType").alias("request_schema_type"),
-        ef.member(event, "data.request.compatibility").alias("compatibility"),
-        ef.member(event, "data.request.mode").alias("mode"),
-        ef.member(event, "data.result.status").alias("status"),
+    return parse.parse_events(dt.audit_log(spark, sf_dir)).selectExpr(
+        "event.id AS event_id",
+        "event.specversion AS specversion",
+        "event.type AS type",
+        "event.time AS event_time",
+        "event.subject AS envelope_subject",
+        "event.data.methodName AS method_name",
+        "event.data.resourceName AS resource_name",
+        "event.data.request.accessType AS access_type",
+        "event.data.request.subject AS request_top_subject",
+        "event.data.request.data.subject AS request_data_subject",
+        "event.data.request.data.schemaType AS request_schema_type",
+        "event.data.request.compatibility AS compatibility",
+        "event.data.request.mode AS mode",
+        "event.data.result.status AS status",
     )
 
 
@@ -189,11 +188,10 @@ def malformed_events(spark, sf_dir):
 
 
 def coerce_numeric_fields(spark, sf_dir):
-    event = F.col("event")
-    return parse.parse_events(dt.audit_log(spark, sf_dir)).select(
-        event["id"].alias("event_id"),
-        ef.int_of(ef.member(event, "data.request.version")).alias("request_version"),
-        ef.double_of(ef.member(event, "data.result.data.id")).cast("long").alias("result_id"),
+    return parse.parse_events(dt.audit_log(spark, sf_dir)).selectExpr(
+        "event.id AS event_id",
+        f"{ef.int_of('event.data.request.version')} AS request_version",
+        f"CAST({ef.double_of('event.data.result.data.id')} AS bigint) AS result_id",
     )
 
 
@@ -212,8 +210,8 @@ def extract_schema_id(spark, sf_dir):
 
 
 def event_type_mapping(spark, sf_dir):
-    return _events(spark, sf_dir).select(
-        "event_id", "method_name", ef.event_type(F.col("method_name")).alias("event_type")
+    return _events(spark, sf_dir).selectExpr(
+        "event_id", "method_name", f"{ef.event_type('method_name')} AS event_type"
     )
 
 
@@ -317,17 +315,12 @@ def enrich_outcomes(spark, sf_dir):
 
 
 def schema_type_default(spark, sf_dir):
-    info = F.col("registered")
-    found = F.coalesce(info["http_status"] == registry.FOUND, F.lit(False))
+    found = f"registered.http_status = {registry.FOUND}"
+    kind = ef.schema_type("registered.schema_type", found, "request_schema_type")
     return (
         _enriched(spark, sf_dir)
         .filter(F.col("method_name") == fv.REGISTER_SCHEMA)
-        .select(
-            "event_id",
-            ef.schema_type(info["schema_type"], found, F.col("request_schema_type")).alias(
-                "schema_type"
-            ),
-        )
+        .selectExpr("event_id", f"{kind} AS schema_type")
     )
 
 

@@ -1,140 +1,113 @@
-"""Values derived from one parsed audit event.
+"""SQL expressions over a parsed audit event in the struct column ``event``.
 
-Every function takes the event struct as a Column and returns a Column. Struct
-access is null-safe, so absent ``data``, ``request`` or ``result`` members
-simply give null.
+Struct access is null-safe, so absent ``data``, ``request`` or ``result``
+members simply give null. The expressions come in two steps: ``BASE_FIELDS``
+read the struct, ``COMBINED_FIELDS`` combine the results, so that nothing is
+worked out twice and the generated code stays small enough to be compiled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from evotrail import fixed_values as fv
 
-INT_MIN, INT_MAX = -(2**31), 2**31 - 1
 
-
-def member(event: Column, path: str) -> Column:
-    """The nested member at a dotted path."""
-    for name in path.split("."):
-        event = event.getField(name)
-    return event
-
-
-def _written(text: Column) -> Column:
-    """Number text, or null where the member is absent, blank or ``null``."""
-    bare = F.trim(text)
-    return F.when((bare != "") & (bare != "null"), bare)
-
-
-def int_of(text: Column) -> Column:
+def int_of(text: str) -> str:
     """An int from number text; fractions are cut off, unreadable text is null."""
-    return _written(text).try_cast("double").try_cast("int")
+    return f"try_cast(try_cast({text} AS double) AS int)"
 
 
-def double_of(text: Column) -> Column:
+def double_of(text: str) -> str:
     """A double from number text; unreadable text is null."""
-    return _written(text).try_cast("double")
+    return f"try_cast({text} AS double)"
 
 
-def is_bad_int(text: Column) -> Column:
-    return _written(text).isNotNull() & int_of(text).isNull()
+def is_bad_number(text: str, converted: str) -> str:
+    """Text that is neither a number nor one of the spellings of an absent one."""
+    return f"({text} IS NOT NULL AND {converted} IS NULL AND trim({text}) NOT IN ('', 'null'))"
 
 
-def is_bad_double(text: Column) -> Column:
-    return _written(text).isNotNull() & double_of(text).isNull()
-
-
-def saturating_int(number: Column) -> Column:
-    """A double cut to an int: out-of-range values stop at the int limits, NaN is 0.
-
-    The null guard comes first because ``least`` and ``greatest`` skip nulls.
-    """
-    limited = F.least(F.greatest(number, F.lit(float(INT_MIN))), F.lit(float(INT_MAX)))
-    return F.when(F.isnan(number), F.lit(0)).when(number.isNotNull(), limited.cast("int"))
-
-
-def schema_id(event: Column) -> Column:
-    """The id of a registered schema: ``result.data.id``, which the log writes as a double."""
-    return saturating_int(double_of(member(event, "data.result.data.id")))
-
-
-def request_subject(event: Column) -> Column:
-    """The subject the request names: in its inner data, else at its top level."""
-    return F.coalesce(
-        member(event, "data.request.data.subject"), member(event, "data.request.subject")
+def saturating_int(number: str) -> str:
+    """A double cut to an int: out-of-range values stop at the int limits, NaN is 0."""
+    return (
+        f"coalesce(try_cast({number} AS int), CASE WHEN isnan({number}) THEN 0"
+        f" WHEN {number} > 0 THEN 2147483647 WHEN {number} < 0 THEN -2147483648 END)"
     )
 
 
-def event_subject(event: Column) -> Column:
-    """The subject that filters and keys use: as requested, else the resource name."""
-    return F.coalesce(request_subject(event), member(event, "data.resourceName"))
-
-
-def notification_subject(event: Column) -> Column:
-    """The subject a notification shows.
+def _first_environment(text: str) -> str:
+    return f"get(regexp_extract_all({text}, '{fv.ENVIRONMENT_PATTERN}', 1), 0)"
+
+
+_REQUEST = "event.data.request"
+
+#: Columns read straight from the event.
+BASE_FIELDS = {
+    "event_id": "event.id",
+    "type": "event.type",
+    "event_time": "event.time",
+    "has_data": "event.data IS NOT NULL",
+    "has_request": f"{_REQUEST} IS NOT NULL",
+    "method_name": "event.data.methodName",
+    "resource_name": "event.data.resourceName",
+    "status": "event.data.result.status",
+    # The environment named in the resource name, else in the envelope's subject.
+    "environment_id": (
+        f"coalesce({_first_environment('event.data.resourceName')},"
+        f" {_first_environment('event.subject')})"
+    ),
+    # The subject the request names: in its inner data, else at its top level.
+    "request_subject": f"coalesce({_REQUEST}.data.subject, {_REQUEST}.subject)",
+    # The log writes the id of a registered schema as a double.
+    "result_id": double_of("event.data.result.data.id"),
+    "request_version": int_of(f"{_REQUEST}.version"),
+    "request_schema_type": f"{_REQUEST}.data.schemaType",
+    "compatibility": f"{_REQUEST}.compatibility",
+    "mode": f"{_REQUEST}.mode",
+}
+
+#: Columns that combine base columns. ``event_subject`` is what filters and keys
+#: use. A registration's notification shows the requested subject, which may be
+#: null, and falls back to the resource name only if there is no request at all;
+#: all other changes show the resource name even if the request has a subject.
+COMBINED_FIELDS = {
+    "event_subject": "coalesce(request_subject, resource_name)",
+    "notification_subject": (
+        f"CASE WHEN method_name = '{fv.REGISTER_SCHEMA}' AND has_request"
+        " THEN request_subject ELSE resource_name END"
+    ),
+    "schema_id": saturating_int("result_id"),
+}
+
+
+def dedup_key(scope: str = "subject") -> str:
+    """``subject:method:schema id``, with absent parts printed as ``null``.
 
-    A registration shows the requested subject, which may be null, and falls
-    back to the resource name only when there is no request at all. All other
-    changes show the resource name, even if the request names a subject.
+    The key holds no environment, version or time unless ``scope`` is
+    ``"environment"``: equal subjects and ids of two environments share a key,
+    and so do repeated deletions or updates of one subject.
     """
-    resource = member(event, "data.resourceName")
-    registers = member(event, "data.methodName") == fv.REGISTER_SCHEMA
-    has_request = member(event, "data.request").isNotNull()
-    return F.when(registers & has_request, request_subject(event)).otherwise(resource)
-
-
-def _first_environment(text: Column) -> Column:
-    return F.get(F.regexp_extract_all(text, F.lit(fv.ENVIRONMENT_PATTERN), F.lit(1)), F.lit(0))
-
-
-def environment_id(event: Column) -> Column:
-    """The environment named in the resource name, else in the envelope's subject."""
-    return F.coalesce(
-        _first_environment(member(event, "data.resourceName")),
-        _first_environment(member(event, "subject")),
+    key = (
+        "CASE WHEN has_data THEN concat(coalesce(event_subject, 'null'), ':',"
+        " coalesce(method_name, 'null'), ':', coalesce(CAST(schema_id AS string), 'null'))"
+        f" ELSE '{fv.UNKNOWN}:{fv.UNKNOWN}:null' END"
     )
+    if scope == "environment":
+        key = f"concat(coalesce(environment_id, 'null'), ':', {key})"
+    return key
 
 
-def event_type(method: Column) -> Column:
+def event_type(method: str) -> str:
     """The notification type for a method name; null for unknown methods."""
-    mapped = F.lit(None).cast("string")
-    for name, kind in reversed(fv.EVENT_TYPE_OF_METHOD.items()):
-        mapped = F.when(method == name, F.lit(kind)).otherwise(mapped)
-    return mapped
+    cases = " ".join(f"WHEN '{name}' THEN '{kind}'" for name, kind in fv.EVENT_TYPE_OF_METHOD.items())
+    return f"CASE {method} {cases} END"
 
 
-def schema_type(registered_type: Column, found: Column, requested_type: Column) -> Column:
+def schema_type(registered_type: str, found: str, requested_type: str) -> str:
     """The registry's type if the schema was found, else the requested one, else AVRO."""
-    default = F.lit(fv.DEFAULT_SCHEMA_TYPE)
-    return F.when(found, F.coalesce(registered_type, default)).otherwise(
-        F.coalesce(requested_type, default)
+    return (
+        f"coalesce(CASE WHEN {found} THEN {registered_type} ELSE {requested_type} END,"
+        f" '{fv.DEFAULT_SCHEMA_TYPE}')"
     )
 
 
-def dedup_key(event: Column, scope: str = "subject") -> Column:
-    """``subject:method:schema id``, with absent parts printed as ``null``.
-
-    The key holds no environment, version or time unless ``scope`` is
-    ``"environment"``: equal subjects and ids of two environments share a key,
-    and so do repeated deletions or updates of one subject.
-    """
-
-    def shown(part: Column) -> Column:
-        return F.coalesce(part.cast("string"), F.lit("null"))
-
-    colon = F.lit(":")
-    key = F.when(
-        member(event, "data").isNotNull(),
-        F.concat(
-            shown(event_subject(event)),
-            colon,
-            shown(member(event, "data.methodName")),
-            colon,
-            shown(schema_id(event)),
-        ),
-    ).otherwise(F.lit(f"{fv.UNKNOWN}:{fv.UNKNOWN}:null"))
-    if scope == "environment":
-        key = F.concat(shown(environment_id(event)), colon, key)
-    return key

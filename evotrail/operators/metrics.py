@@ -14,15 +14,6 @@ COUNTERS = (
 )
 
 
-def log_counters() -> list[Column]:
-    """Counts of readable and rejected records, for ``observe`` on ``with_event``."""
-    readable = F.col("reject_reason").isNull()
-    return [
-        F.count(F.when(readable, 1)).alias("events_consumed"),
-        F.count(F.when(~readable, 1)).alias("records_rejected"),
-    ]
-
-
 def run_counters(consumed: Column, sent: DataFrame, duplicates: DataFrame) -> DataFrame:
     """One row with the counters.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evotrail import fixed_values as fv
@@ -12,9 +12,33 @@ from evotrail.functions.render import message_key, notification_json
 from evotrail.operators.registry import FOUND
 from evotrail.schemas import POSITION
 
-
-def _only(kind: Column, wanted: str, payload: Column) -> Column:
-    return F.when(kind == wanted, payload)
+_REGISTERED = f"event_type = '{fv.SCHEMA_REGISTERED}'"
+_FOUND = f"registered.http_status = {FOUND}"
+
+# The published columns, each in terms of an enriched event. A payload is null
+# for all types but its own; a registration has one even if nothing was found.
+_COLUMNS = {
+    "event_type": "event_type",
+    "environment_id": "environment_id",
+    "subject": "notification_subject",
+    "schema_id": f"CASE WHEN {_REGISTERED} THEN schema_id END",
+    "version": f"""CASE WHEN {_REGISTERED} THEN registered.version
+      WHEN event_type = '{fv.SCHEMA_DELETED}' THEN request_version END""",
+    "schema_type": f"""CASE WHEN {_REGISTERED} THEN
+      {ef.schema_type("registered.schema_type", _FOUND, "request_schema_type")} END""",
+    "timestamp": "event_time",
+    "audit_log_event_id": "event_id",
+    "data_contract_registered": f"""CASE WHEN {_REGISTERED} THEN named_struct(
+      'schema', registered.schema, 'references', registered.references) END""",
+    "data_contract_deleted": f"""CASE WHEN event_type = '{fv.SCHEMA_DELETED}'
+      THEN named_struct('permanent', false) END""",
+    "subject_deleted": f"""CASE WHEN event_type = '{fv.SUBJECT_DELETED}'
+      THEN named_struct('permanent', false, 'versions_deleted', CAST(null AS int)) END""",
+    "compatibility_updated": f"""CASE WHEN event_type = '{fv.COMPATIBILITY_UPDATED}'
+      THEN named_struct('new_compatibility', compatibility) END""",
+    "mode_updated": f"""CASE WHEN event_type = '{fv.MODE_UPDATED}'
+      THEN named_struct('new_mode', mode) END""",
+}
 
 
 def to_notifications(enriched: DataFrame) -> DataFrame:
@@ -22,60 +46,13 @@ def to_notifications(enriched: DataFrame) -> DataFrame:
 
     Input is the result of ``registry.with_registered`` without failed lookups.
     The position columns are kept in front under ``log_*`` names, because a
-    notification has its own ``timestamp``: the event's time as text. The
-    payload of a type is null for all other types.
+    notification has its own ``timestamp``: the event's time as text.
     """
-    kind = F.col("event_type")
-    registers = kind == fv.SCHEMA_REGISTERED
-    found = F.col("registered.http_status") == FOUND
-    hit = F.coalesce(found, F.lit(False))
-    no_count = F.lit(None).cast("int")
-    typed = enriched.withColumn("event_type", ef.event_type(F.col("method_name"))).filter(
-        kind.isNotNull()
-    )
-    return typed.select(
-        *[F.col(name).alias(f"log_{name}") for name in POSITION],
+    typed = enriched.selectExpr("*", f"{ef.event_type('method_name')} AS event_type")
+    return typed.filter("event_type IS NOT NULL").selectExpr(
+        *[f"`{name}` AS log_{name}" for name in POSITION],
         "dedup_key",
-        kind,
-        F.col("environment_id"),
-        F.col("notification_subject").alias("subject"),
-        _only(kind, fv.SCHEMA_REGISTERED, F.col("schema_id")).alias("schema_id"),
-        F.when(registers & hit, F.col("registered.version"))
-        .when(kind == fv.SCHEMA_DELETED, F.col("request_version"))
-        .alias("version"),
-        _only(
-            kind,
-            fv.SCHEMA_REGISTERED,
-            ef.schema_type(
-                F.col("registered.schema_type"), hit, F.col("request_schema_type")
-            ),
-        ).alias("schema_type"),
-        F.col("event_time").alias("timestamp"),
-        F.col("event_id").alias("audit_log_event_id"),
-        _only(
-            kind,
-            fv.SCHEMA_REGISTERED,
-            F.struct(
-                F.col("registered.schema").alias("schema"),
-                F.col("registered.references").alias("references"),
-            ),
-        ).alias("data_contract_registered"),
-        _only(
-            kind, fv.SCHEMA_DELETED, F.struct(F.lit(False).alias("permanent"))
-        ).alias("data_contract_deleted"),
-        _only(
-            kind,
-            fv.SUBJECT_DELETED,
-            F.struct(F.lit(False).alias("permanent"), no_count.alias("versions_deleted")),
-        ).alias("subject_deleted"),
-        _only(
-            kind,
-            fv.COMPATIBILITY_UPDATED,
-            F.struct(F.col("compatibility").alias("new_compatibility")),
-        ).alias("compatibility_updated"),
-        _only(kind, fv.MODE_UPDATED, F.struct(F.col("mode").alias("new_mode"))).alias(
-            "mode_updated"
-        ),
+        *[f"{value} AS {name}" for name, value in _COLUMNS.items()],
     )
 
 

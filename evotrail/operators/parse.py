@@ -21,33 +21,46 @@ _JSON_OPTIONS = {
 }
 
 
+
+def _bad_numbers(event: str) -> str:
+    ints = [(f"{event}.{m}", ef.int_of(f"{event}.{m}")) for m in schemas.INT_MEMBERS]
+    doubles = [(f"{event}.{m}", ef.double_of(f"{event}.{m}")) for m in schemas.DOUBLE_MEMBERS]
+    return " OR ".join(ef.is_bad_number(text, number) for text, number in ints + doubles)
+
+
+# Why a record holds no event; null where it does.
+_REJECT_REASON = f"""CASE
+  WHEN value IS NULL OR value = '' THEN 'empty'
+  WHEN event IS NULL THEN 'no_content'
+  WHEN event.{schemas.CORRUPT} IS NOT NULL THEN 'malformed'
+  WHEN {_bad_numbers("event")} THEN 'bad_number' END"""
+
+# The same test for one parsed event.
+_READABLE = f"e IS NOT NULL AND e.{schemas.CORRUPT} IS NULL AND NOT ({_bad_numbers('e')})"
+
+_PARSED = (
+    f"from_json(value, '{schemas.EVENT_WITH_CORRUPT.simpleString()}', map("
+    + ", ".join(f"'{name}', '{value}'" for name, value in _JSON_OPTIONS.items())
+    + "))"
+)
+
+
 def with_event(log: DataFrame) -> DataFrame:
     """Add the parsed ``event`` and, for unreadable records, a ``reject_reason``.
 
     The parsed struct goes through a one-element ``explode``. Filters are then
     not pushed below the parse, where each predicate would parse the text anew.
     """
-    parsed = F.from_json("value", schemas.EVENT_WITH_CORRUPT, _JSON_OPTIONS)
-    event = F.col("event")
-    bad_number = reduce(
-        lambda a, b: a | b,
-        [ef.is_bad_int(ef.member(event, path)) for path in schemas.INT_MEMBERS]
-        + [ef.is_bad_double(ef.member(event, path)) for path in schemas.DOUBLE_MEMBERS],
-    )
-    reason = (
-        F.when(F.col("value").isNull() | (F.col("value") == ""), F.lit("empty"))
-        .when(event.isNull(), F.lit("no_content"))
-        .when(event[schemas.CORRUPT].isNotNull(), F.lit("malformed"))
-        .when(bad_number, F.lit("bad_number"))
-    )
-    return log.select("*", F.explode(F.array(parsed)).alias("event")).withColumn(
-        "reject_reason", reason
+    return log.selectExpr("*", f"explode(array({_PARSED})) AS event").selectExpr(
+        "*", f"{_REJECT_REASON} AS reject_reason"
     )
 
 
 def parse_events(log: DataFrame) -> DataFrame:
     """The readable records, one ``event`` struct each; the raw text is dropped."""
-    return with_event(log).filter("reject_reason IS NULL").drop("value", "reject_reason")
+    return log.selectExpr(
+        "*", f"explode(filter(array({_PARSED}), e -> {_READABLE})) AS event"
+    ).drop("value")
 
 
 def malformed_events(log: DataFrame) -> DataFrame:
@@ -70,29 +83,15 @@ def may_mention(value: Column, methods: Sequence[str]) -> Column:
 
 def derive_fields(events: DataFrame, options: FeedOptions) -> DataFrame:
     """Flatten ``event`` into the columns that the later operators use."""
-    event = F.col("event")
-    kept = [F.col(name) for name in events.columns if name != "event"]
-    request = "data.request"
-    return events.select(
-        *kept,
-        event["id"].alias("event_id"),
-        event["type"].alias("type"),
-        event["time"].alias("event_time"),
-        ef.member(event, "data").isNotNull().alias("has_data"),
-        ef.member(event, "data.methodName").alias("method_name"),
-        ef.member(event, "data.resourceName").alias("resource_name"),
-        ef.member(event, "data.result.status").alias("status"),
-        ef.environment_id(event).alias("environment_id"),
-        ef.request_subject(event).alias("request_subject"),
-        ef.event_subject(event).alias("event_subject"),
-        ef.notification_subject(event).alias("notification_subject"),
-        ef.schema_id(event).alias("schema_id"),
-        ef.int_of(ef.member(event, f"{request}.version")).alias("request_version"),
-        ef.member(event, f"{request}.data.schemaType").alias("request_schema_type"),
-        ef.member(event, f"{request}.compatibility").alias("compatibility"),
-        ef.member(event, f"{request}.mode").alias("mode"),
-        ef.dedup_key(event, options.key_scope).alias("dedup_key"),
+    kept = [name for name in events.columns if name != "event"]
+    base = events.selectExpr(
+        *[f"`{name}`" for name in kept],
+        *[f"{value} AS {name}" for name, value in ef.BASE_FIELDS.items()],
+    )
+    combined = base.selectExpr(
+        "*", *[f"{value} AS {name}" for name, value in ef.COMBINED_FIELDS.items()]
     )
+    return combined.selectExpr("*", f"{ef.dedup_key(options.key_scope)} AS dedup_key")
 
 
 def audit_events(log: DataFrame, options: FeedOptions) -> DataFrame:

@@ -11,7 +11,7 @@ splits the partitions of schema ids that very many events share.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evotrail import fixed_values as fv
@@ -25,58 +25,50 @@ FAILED = "error"
 NO_ID = "no_schema_id"
 
 
-def first_version(versions: Column) -> Column:
-    """The first (subject, version) pair of an id; null for an empty or absent list."""
-    return F.get(versions, F.lit(0))
+# The first (subject, version) pair of an id; null for an empty or absent list.
+FIRST_VERSION = "get(versions, 0)"
+
+
+def _if_found(value: str) -> str:
+    return f"CASE WHEN http_status = {FOUND} THEN {value} END"
+
+
+_DETAILS = {
+    "schema": _if_found("schema"),
+    "schema_type": _if_found(f"coalesce(schema_type, '{fv.DEFAULT_SCHEMA_TYPE}')"),
+    "references": _if_found("references"),
+}
 
 
 def schema_info(snapshot: DataFrame) -> DataFrame:
     """The answer to a lookup by id: text, type (AVRO by default), first subject and version."""
-    first = first_version(F.col("versions"))
-    found = F.col("http_status") == FOUND
-    return snapshot.select(
+    return snapshot.selectExpr(
         "environment_id",
         "schema_id",
         "http_status",
-        F.when(found, first["subject"]).alias("subject"),
-        F.when(found, first["version"]).alias("version"),
-        F.when(found, F.col("schema")).alias("schema"),
-        F.when(found, F.coalesce("schema_type", F.lit(fv.DEFAULT_SCHEMA_TYPE))).alias(
-            "schema_type"
-        ),
-        F.when(found, F.col("references")).alias("references"),
-    )
-
-
-def needs_lookup() -> Column:
-    """Only registrations with a schema id and an environment ask the registry."""
-    return (
-        (F.col("method_name") == fv.REGISTER_SCHEMA)
-        & F.col("schema_id").isNotNull()
-        & F.col("environment_id").isNotNull()
+        f"{_if_found(FIRST_VERSION + '.subject')} AS subject",
+        f"{_if_found(FIRST_VERSION + '.version')} AS version",
+        *[f"{value} AS {name}" for name, value in _DETAILS.items()],
     )
 
 
-def _lookup_id() -> Column:
-    """The join key of an event: its schema id, or a number no schema can have.
+# Only registrations with a schema id and an environment ask the registry.
+NEEDS_LOOKUP = (
+    f"method_name = '{fv.REGISTER_SCHEMA}' AND schema_id IS NOT NULL"
+    " AND environment_id IS NOT NULL"
+)
 
-    Events that ask nothing match nothing. Were their key null, a shuffle join
-    would send all of them to one task, so they get numbers below the int range
-    that differ from event to event.
-    """
-    spread = F.pmod(F.xxhash64(*POSITION), F.lit(1 << 20))
-    return F.when(needs_lookup(), F.col("schema_id").cast("long")).otherwise(
-        F.lit(-(1 << 33)) - spread
-    )
+# The join key of an event: its schema id, or a number no schema can have.
+# Events that ask nothing match nothing. Were their key null, a shuffle join
+# would send all of them to one task, so they get numbers below the int range
+# that differ from event to event.
+_LOOKUP_ID = f"""CASE WHEN {NEEDS_LOOKUP} THEN CAST(schema_id AS bigint)
+  ELSE -8589934592 - pmod(xxhash64({", ".join(f"`{p}`" for p in POSITION)}), 1048576) END"""
 
-
-def outcome(status: Column) -> Column:
-    """The result of a lookup from the status of the matched row, if any."""
-    return (
-        F.when(status == FOUND, HIT)
-        .when(status.isNull() | (status == NOT_FOUND), MISSING)
-        .otherwise(FAILED)
-    )
+# The result of a lookup from the status of the matched row, if any.
+OUTCOME = f"""CASE WHEN http_status = {FOUND} THEN '{HIT}'
+  WHEN http_status IS NULL OR http_status = {NOT_FOUND} THEN '{MISSING}'
+  ELSE '{FAILED}' END"""
 
 
 def drop_failed_lookups(events: DataFrame, snapshot: DataFrame) -> DataFrame:
@@ -89,7 +81,7 @@ def drop_failed_lookups(events: DataFrame, snapshot: DataFrame) -> DataFrame:
         "environment_id", F.col("schema_id").cast("long").alias("lookup_id")
     )
     return (
-        events.withColumn("lookup_id", _lookup_id())
+        events.selectExpr("*", f"{_LOOKUP_ID} AS lookup_id")
         .join(failed, ["environment_id", "lookup_id"], "left_anti")
         .drop("lookup_id")
     )
@@ -100,20 +92,17 @@ def with_registered(events: DataFrame, snapshot: DataFrame) -> DataFrame:
 
     ``lookup_outcome`` is null for events that are not registrations.
     """
-    info = schema_info(snapshot).select(
+    info = schema_info(snapshot).selectExpr(
         "environment_id",
-        F.col("schema_id").cast("long").alias("lookup_id"),
-        F.struct(
-            "http_status", "subject", "version", "schema", "schema_type", "references"
-        ).alias("registered"),
+        "CAST(schema_id AS bigint) AS lookup_id",
+        "struct(http_status, subject, version, schema, schema_type, references) AS registered",
     )
-    joined = events.withColumn("lookup_id", _lookup_id()).join(
+    joined = events.selectExpr("*", f"{_LOOKUP_ID} AS lookup_id").join(
         info, ["environment_id", "lookup_id"], "left"
     )
-    result = F.when(needs_lookup(), outcome(F.col("registered.http_status"))).when(
-        F.col("method_name") == fv.REGISTER_SCHEMA, F.lit(NO_ID)
-    )
-    return joined.withColumn("lookup_outcome", result).drop("lookup_id")
+    result = f"""CASE WHEN {NEEDS_LOOKUP} THEN {OUTCOME.replace("http_status", "registered.http_status")}
+      WHEN method_name = '{fv.REGISTER_SCHEMA}' THEN '{NO_ID}' END"""
+    return joined.selectExpr("*", f"{result} AS lookup_outcome").drop("lookup_id")
 
 
 def failed_lookups(enriched: DataFrame) -> DataFrame:
@@ -130,23 +119,18 @@ def by_id(requests: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Answer (environment_id, schema_id) requests, each distinct one once."""
     distinct = requests.select("environment_id", "schema_id").distinct()
     joined = distinct.join(schema_info(snapshot), ["environment_id", "schema_id"], "left")
-    return joined.withColumn("outcome", outcome(F.col("http_status"))).drop("http_status")
+    return joined.withColumn("outcome", F.expr(OUTCOME)).drop("http_status")
 
 
 def by_subject_version(requests: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Answer (environment_id, subject, version) requests, each distinct one once."""
     distinct = requests.select("environment_id", "subject", "version").distinct()
-    found = F.col("http_status") == FOUND
-    versions = snapshot.select(
+    versions = snapshot.selectExpr(
         "environment_id",
         "schema_id",
         "http_status",
-        F.when(found, F.col("schema")).alias("schema"),
-        F.when(found, F.coalesce("schema_type", F.lit(fv.DEFAULT_SCHEMA_TYPE))).alias(
-            "schema_type"
-        ),
-        F.when(found, F.col("references")).alias("references"),
-        F.inline(F.array_distinct("versions")),
+        *[f"{value} AS {name}" for name, value in _DETAILS.items()],
+        "inline(array_distinct(versions))",
     )
     joined = distinct.join(versions, ["environment_id", "subject", "version"], "left")
-    return joined.withColumn("outcome", outcome(F.col("http_status"))).drop("http_status")
+    return joined.withColumn("outcome", F.expr(OUTCOME)).drop("http_status")

@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from evotrail.operators import dedup, metrics, parse, registry, state as state_ops
+from evotrail.operators import dedup, metrics, parse, registry, relevance
+from evotrail.operators import state as state_ops
 from evotrail.options import FeedOptions
 from evotrail.plans.change_feed import notify, sent_events
 from evotrail.plans.staging import staged
@@ -45,10 +46,10 @@ def run_batch(
 ) -> BatchRun:
     """Process a stretch of the log after the runs that ``state`` remembers."""
     spark = log.sparkSession
-    seen = Observation("audit_log")
-    records = parse.with_event(log).observe(seen, *metrics.log_counters())
-    readable = records.filter("reject_reason IS NULL").drop("value", "reject_reason")
-    events = parse.derive_fields(readable, options)
+    records, readable = Observation("records"), Observation("readable")
+    one = F.count(F.lit(1))
+    events = parse.parse_events(log.observe(records, one.alias("records")))
+    events = parse.derive_fields(events.observe(readable, one.alias("events")), options)
 
     can_repeat = dedup.is_repeatable(options.allowed_methods)
     if state is None:
@@ -70,8 +71,8 @@ def run_batch(
     else:
         repeats = candidates.limit(0)
     return BatchRun(
-        events_consumed=seen.get["events_consumed"],
-        records_rejected=seen.get["records_rejected"],
+        events_consumed=readable.get["events"],
+        records_rejected=records.get["records"] - readable.get["events"],
         sent=sent,
         duplicates=repeats,
         notifications=notify(sent, snapshot),
@@ -84,8 +85,5 @@ def failed_lookups(
     events: DataFrame, snapshot: DataFrame, options: FeedOptions
 ) -> DataFrame:
     """Relevant registrations that the feed leaves out because their lookup failed."""
-    from evotrail.operators.relevance import relevant_events
-
-    return registry.failed_lookups(
-        registry.with_registered(relevant_events(events, options), snapshot)
-    )
+    relevant = relevance.relevant_events(events, options)
+    return registry.failed_lookups(registry.with_registered(relevant, snapshot))

@@ -9,138 +9,119 @@ they rise within each partition and have gaps, as in a compacted topic.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from evotrail import fixed_values as fv
+from evotrail.sources.files import spread_few_splits
 
 ORGANIZATION = "crn://cloud.example/organization=org1"
 OTHER_EVENT_TYPE = "example.other.server/request"
 MONITORED = ("env-0", "env-1")
 
-_METHOD_OF_KIND = {
-    "signup": fv.REGISTER_SCHEMA,
-    "view": fv.DELETE_SCHEMA,
-    "click": fv.DELETE_SUBJECT,
-    "purchase": fv.UPDATE_COMPATIBILITY,
-    "error": fv.UPDATE_MODE,
+# Facts of an event row that the JSON text uses several times.
+_FACTS = {
+    "n": "event_id",
+    "k": "CAST(get_json_object(props, '$.k') AS int)",
+    "kind": "event_type",
+    "partition": "CAST(user_id % 3 AS int)",
+    "place": f"concat('{ORGANIZATION}/environment=env-', user_id % 4)",
+    "prefix": "elt(CAST(user_id % 3 + 1 AS int), 'orders-', 'payments.', 'users-')",
 }
 
+_METHOD = f"""CASE kind
+  WHEN 'signup' THEN '{fv.REGISTER_SCHEMA}'
+  WHEN 'view' THEN '{fv.DELETE_SCHEMA}'
+  WHEN 'click' THEN '{fv.DELETE_SUBJECT}'
+  WHEN 'purchase' THEN '{fv.UPDATE_COMPATIBILITY}'
+  WHEN 'error' THEN '{fv.UPDATE_MODE}' END"""
+
+# Versions are written as numbers or as quoted numbers, like the log does.
+_REQUEST = """named_struct(
+  'accessType', 'MODIFICATION',
+  'subject', CASE WHEN n % 5 = 0 THEN named END,
+  'data', CASE WHEN n % 5 <> 0 THEN named_struct(
+    'subject', CASE WHEN n % 23 <> 0 THEN named END,
+    'schemaType', elt(k % 3 + 1, 'AVRO', 'JSON', null)) END,
+  'version', CASE WHEN n % 2 = 0 THEN k % 5 + 1 END,
+  'version', CASE WHEN n % 2 = 1 THEN CAST(k % 5 + 1 AS string) END,
+  'compatibility',
+    CASE WHEN kind = 'purchase' THEN elt(k % 4 + 1, 'BACKWARD', 'FORWARD', 'FULL', 'NONE') END,
+  'mode', CASE WHEN kind = 'error' THEN elt(k % 3 + 1, 'READWRITE', 'READONLY', 'IMPORT') END)"""
+
+_DATA = f"""named_struct(
+  'methodName', {_METHOD},
+  'resourceName', CASE WHEN n % 13 = 0 THEN concat('subject=', named)
+    ELSE concat(place, '/schema-registry=lsrc-1/subject=', named) END,
+  'request', CASE WHEN n % 19 <> 0 THEN {_REQUEST} END,
+  'result', CASE WHEN n % 29 <> 0 THEN named_struct(
+    'status', CASE n % 7 WHEN 0 THEN 'FAILURE' WHEN 1 THEN 'success' ELSE 'SUCCESS' END,
+    'data', CASE WHEN kind = 'signup' AND k % 20 <> 0
+      THEN named_struct('id', CAST(100000 + k AS double)) END) END)"""
+
+_RECORD = f"""to_json(named_struct(
+  'id', concat('evt-', n),
+  'specversion', '1.0',
+  'unknownField', 'extra',
+  'type', CASE WHEN n % 11 = 10 THEN '{OTHER_EVENT_TYPE}' ELSE '{fv.SCHEMA_EVENT_TYPE}' END,
+  'time', concat(replace(substring(CAST(ts AS string), 1, 19), ' ', 'T'), 'Z'),
+  'subject', CASE WHEN n % 13 = 0 AND n % 39 <> 0 THEN place END,
+  'data', CASE WHEN n % 101 <> 0 THEN {_DATA} END))"""
+
+_VALUE = f"CASE n % 97 WHEN 0 THEN 'not json' WHEN 1 THEN '' ELSE {_RECORD} END"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(number: Column, choices: list[str | None]) -> Column:
-    """choices[number % len(choices)]; None stands for null."""
-    picked = F.lit(choices[-1]).cast("string")
-    for i in range(len(choices) - 2, -1, -1):
-        picked = F.when(number % len(choices) == i, F.lit(choices[i])).otherwise(picked)
-    return picked
-
-
-def _event_json() -> Column:
-    n = F.col("event_id")
-    k = F.get_json_object("props", "$.k").cast("int")
-    kind = F.col("event_type")
-    environment = F.concat(F.lit("env-"), F.col("user_id") % 4)
-    prefix = _pick(F.col("user_id"), ["orders-", "payments.", "users-"])
-    subject = F.concat(prefix, k, F.lit("-value"))
-    in_environment = F.concat(F.lit(f"{ORGANIZATION}/environment="), environment)
-    method = F.lit(None).cast("string")
-    for name, value in _METHOD_OF_KIND.items():
-        method = F.when(kind == name, F.lit(value)).otherwise(method)
-
-    # The log writes versions as numbers or as quoted numbers.
-    version = (k % 5 + 1).cast("string")
-    quote = F.when(n % 2 == 1, F.lit('"')).otherwise(F.lit(""))
-    request = F.struct(
-        F.lit("MODIFICATION").alias("accessType"),
-        F.when(n % 5 == 0, subject).alias("subject"),
-        F.when(
-            n % 5 != 0,
-            F.struct(
-                F.when(n % 23 != 0, subject).alias("subject"),
-                _pick(k, ["AVRO", "JSON", None]).alias("schemaType"),
-            ),
-        ).alias("data"),
-        F.parse_json(F.concat(quote, version, quote)).alias("version"),
-        F.when(kind == "purchase", _pick(k, ["BACKWARD", "FORWARD", "FULL", "NONE"])).alias(
-            "compatibility"
-        ),
-        F.when(kind == "error", _pick(k, ["READWRITE", "READONLY", "IMPORT"])).alias("mode"),
-    )
-    status = F.when(n % 7 == 0, "FAILURE").when(n % 7 == 1, "success").otherwise("SUCCESS")
-    schema_id = F.when((kind == "signup") & (k % 20 != 0), F.lit(100000.0) + k)
-    result = F.struct(
-        status.alias("status"),
-        F.when(schema_id.isNotNull(), F.struct(schema_id.alias("id"))).alias("data"),
-    )
-    data = F.struct(
-        method.alias("methodName"),
-        F.when(n % 13 == 0, F.concat(F.lit("subject="), subject))
-        .otherwise(F.concat(in_environment, F.lit("/schema-registry=lsrc-1/subject="), subject))
-        .alias("resourceName"),
-        F.when(n % 19 != 0, request).alias("request"),
-        F.when(n % 29 != 0, result).alias("result"),
-    )
-    seconds = F.substring(F.col("ts").cast("string"), 1, 19)
-    return F.to_json(
-        F.struct(
-            F.concat(F.lit("evt-"), n).alias("id"),
-            F.lit("1.0").alias("specversion"),
-            F.lit("extra").alias("unknownField"),
-            F.when(n % 11 == 10, OTHER_EVENT_TYPE)
-            .otherwise(fv.SCHEMA_EVENT_TYPE)
-            .alias("type"),
-            F.concat(F.replace(seconds, F.lit(" "), F.lit("T")), F.lit("Z")).alias("time"),
-            F.when((n % 13 == 0) & (n % 39 != 0), in_environment).alias("subject"),
-            F.when(n % 101 != 0, data).alias("data"),
-        )
-    )
-
+def audit_log(spark: SparkSession, sf_dir: str, to_parse: bool = True) -> DataFrame:
+    """The log: partition, offset, timestamp and JSON text of every event row.
 
-def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log: partition, offset, timestamp and JSON text of every event row."""
-    n = F.col("event_id")
-    text = F.when(n % 97 == 0, "not json").when(n % 97 == 1, "").otherwise(_event_json())
+    ``to_parse`` spreads a log of very few splits over the cores.
+    """
+    events = table(spark, sf_dir, "events")
+    if to_parse:
+        events = spread_few_splits(events, "event_id")
+    facts = events.selectExpr(
+        "ts", *[f"{value} AS {name}" for name, value in _FACTS.items()]
+    )
+    named = facts.selectExpr("*", "concat(prefix, k, '-value') AS named")
     # The one-element explode keeps filters on the text from rendering it twice.
-    return table(spark, sf_dir, "events").select(
-        (F.col("user_id") % 3).cast("int").alias("partition"),
-        n.alias("offset"),
-        F.col("ts").alias("timestamp"),
-        F.explode(F.array(text)).alias("value"),
+    return named.selectExpr(
+        "partition",
+        "n AS offset",
+        "ts AS timestamp",
+        f"explode(array({_VALUE})) AS value",
     )
 
 
-def _version(prefix: Column, key: Column, version: Column) -> Column:
-    subject = F.concat(prefix, key, F.lit("-value"))
-    return F.named_struct(F.lit("subject"), subject, F.lit("version"), version)
+# An id's versions: under its own prefix, and under a second subject.
+_VERSIONS = """array(
+  named_struct('subject',
+    concat(elt(CAST(p_partkey % 3 + 1 AS int), 'orders-', 'payments.', 'users-'),
+      p_partkey, '-value'),
+    'version', p_size),
+  named_struct('subject', concat('orders-', p_partkey, '-value'),
+    'version', CAST(p_partkey % 5 + 1 AS int)))"""
 
 
 def registry_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registry's answers: a fifth of the ids missing, a tenth failing."""
-    key = F.col("p_partkey")
-    versions = F.array(
-        _version(_pick(key, ["orders-", "payments.", "users-"]), key, F.col("p_size")),
-        _version(F.lit("orders-"), key, (key % 5 + 1).cast("int")),
-    )
-    references = F.concat(
-        F.lit('[{"name":"base","subject":"orders-'), key, F.lit('-value","version":1}]')
-    )
+    environments = ", ".join(f"'{e}'" for e in MONITORED)
     return (
         table(spark, sf_dir, "part")
-        .filter((key < 100) & (key % 5 != 4))
-        .select(
-            F.explode(F.array(*map(F.lit, MONITORED))).alias("environment_id"),
-            (key + 100000).cast("int").alias("schema_id"),
-            F.when(key % 10 == 3, 500).otherwise(200).alias("http_status"),
-            F.col("p_name").alias("schema"),
-            _pick(key, [None, "AVRO", "JSON", "PROTOBUF"]).alias("schema_type"),
-            F.when(key % 6 == 1, references).alias("references"),
-            F.when(key % 7 != 0, versions)
-            .otherwise(F.slice(versions, 1, 0))
-            .alias("versions"),
+        .filter("p_partkey < 100 AND p_partkey % 5 <> 4")
+        .selectExpr(
+            f"explode(array({environments})) AS environment_id",
+            "CAST(100000 + p_partkey AS int) AS schema_id",
+            "CASE WHEN p_partkey % 10 = 3 THEN 500 ELSE 200 END AS http_status",
+            "p_name AS schema",
+            "elt(CAST(p_partkey % 4 + 1 AS int), null, 'AVRO', 'JSON', 'PROTOBUF')"
+            " AS schema_type",
+            """CASE WHEN p_partkey % 6 = 1 THEN concat(
+              '[{"name":"base","subject":"orders-', p_partkey, '-value","version":1}]')
+              END AS references""",
+            f"CASE WHEN p_partkey % 7 <> 0 THEN {_VERSIONS} END AS versions",
         )
     )
 
