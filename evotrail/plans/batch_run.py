@@ -1,8 +1,8 @@
-"""A bounded run over a stored log, with everything the run reports.
+"""A bounded run over a stretch of the log, with everything the run reports.
 
 The raw log is read and parsed once. The records that can matter, a narrow and
-filtered part of it, are stored, and notifications, duplicates, state and
-counters are computed from there.
+filtered part of it, are stored, and so are the events to be sent; duplicates,
+notifications, state and counters are computed from there.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from evotrail.schemas import POSITION
 
 @dataclass(frozen=True)
 class BatchRun:
-    """The lazy results of a run; ``events_consumed`` is already counted."""
+    """The results of a run; tables are lazy and read from stored rows."""
 
     events_consumed: int
     records_rejected: int
@@ -30,12 +30,26 @@ class BatchRun:
     duplicates: DataFrame
     notifications: DataFrame
     failed_lookups: DataFrame
-    state: DataFrame
 
     def counters(self) -> DataFrame:
-        return metrics.run_counters(
-            F.lit(self.events_consumed), self.sent, self.duplicates
-        )
+        return metrics.run_counters(F.lit(self.events_consumed), self.sent, self.duplicates)
+
+    def new_state(self) -> DataFrame:
+        """The keys this run marked, to be added to the state."""
+        return state_ops.state_rows(self.sent)
+
+
+def _candidates(
+    events: DataFrame, options: FeedOptions, state: DataFrame | None
+) -> DataFrame:
+    """Events that can be sent or be duplicates; ``known`` marks keys of the state."""
+    repeatable = dedup.is_repeatable(options.allowed_methods)
+    if state is None:
+        return events.filter(repeatable).withColumn("known", F.lit(False))
+    keys = state.select("dedup_key", F.lit(True).alias("known"))
+    marked = events.join(keys, "dedup_key", "left")
+    marked = marked.withColumn("known", F.coalesce("known", F.lit(False)))
+    return marked.filter(repeatable | F.col("known"))
 
 
 def run_batch(
@@ -44,46 +58,28 @@ def run_batch(
     options: FeedOptions,
     state: DataFrame | None = None,
 ) -> BatchRun:
-    """Process a stretch of the log after the runs that ``state`` remembers."""
-    spark = log.sparkSession
+    """Process a stretch of the log after the runs that ``state`` remembers.
+
+    ``state`` must hold each key once.
+    """
     records, readable = Observation("records"), Observation("readable")
     one = F.count(F.lit(1))
-    events = parse.parse_events(log.observe(records, one.alias("records")))
-    events = parse.derive_fields(events.observe(readable, one.alias("events")), options)
-
-    can_repeat = dedup.is_repeatable(options.allowed_methods)
-    if state is None:
-        state = spark.createDataFrame([], events.select("dedup_key", *POSITION).schema)
-        candidates = events.filter(can_repeat).withColumn("known", F.lit(False))
-    else:
-        # One join marks known keys for both uses: not to be sent, and skipped.
-        keys = state.select("dedup_key", F.lit(True).alias("known"))
-        marked = events.join(keys, "dedup_key", "left")
-        marked = marked.withColumn("known", F.coalesce("known", F.lit(False)))
-        candidates = marked.filter(can_repeat | F.col("known"))
-    candidates = staged(candidates)
+    events = parse.parse_events(log.observe(records, one.alias("n")))
+    events = parse.derive_fields(events.observe(readable, one.alias("n")), options)
 
+    candidates = staged(_candidates(events, options, state))
     fresh = candidates.filter(~F.col("known")) if options.deduplicate else candidates
-    sent = sent_events(fresh, snapshot, options)
+    sent = staged(sent_events(fresh, snapshot, options))
     if options.deduplicate:
-        repeats = dedup.later_than_first(fresh, sent)
-        repeats = repeats.unionByName(candidates.filter("known"))
+        repeats = dedup.later_than_first(fresh, sent).unionByName(candidates.filter("known"))
     else:
         repeats = candidates.limit(0)
+    relevant = relevance.relevant_events(fresh, options)
     return BatchRun(
-        events_consumed=readable.get["events"],
-        records_rejected=records.get["records"] - readable.get["events"],
+        events_consumed=readable.get["n"],
+        records_rejected=records.get["n"] - readable.get["n"],
         sent=sent,
-        duplicates=repeats,
+        duplicates=repeats.select("event_id", "dedup_key", *POSITION),
         notifications=notify(sent, snapshot),
-        failed_lookups=failed_lookups(fresh, snapshot, options),
-        state=state.unionByName(state_ops.state_rows(sent)),
+        failed_lookups=registry.failed_lookups(registry.with_registered(relevant, snapshot)),
     )
-
-
-def failed_lookups(
-    events: DataFrame, snapshot: DataFrame, options: FeedOptions
-) -> DataFrame:
-    """Relevant registrations that the feed leaves out because their lookup failed."""
-    relevant = relevance.relevant_events(events, options)
-    return registry.failed_lookups(registry.with_registered(relevant, snapshot))

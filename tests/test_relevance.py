@@ -1,0 +1,132 @@
+from __future__ import annotations
+
+import pytest
+
+from evotrail import FeedOptions
+from evotrail import fixed_values as fv
+from evotrail.functions.globs import check_globs, matches_any, subject_regexes
+from evotrail.operators import parse, relevance
+from pyspark.sql import functions as F
+from tests.events import ALL_CHANGES, OPTIONS, PLACE, event, log_of
+
+ORDERS = FeedOptions(environments=("env-test123",), subject_filters=("orders-*",))
+ANY_STATUS = FeedOptions(environments=("env-test123",), only_successful=False)
+elsewhere = PLACE.replace("env-test123", "env-other")
+
+CASES = [
+    ("valid", event(), OPTIONS, "relevant"),
+    ("wrong type", event(type="other.server/request"), OPTIONS, "event_type"),
+    ("no type", event(type=None), OPTIONS, "event_type"),
+    ("no data", event(data=None), OPTIONS, "no_data"),
+    ("wrong method", event("schema-registry.GetSchema"), OPTIONS, "method"),
+    ("no method", event(data__methodName=None), OPTIONS, "method"),
+    ("config method", event(fv.UPDATE_MODE), OPTIONS, "method"),
+    ("config method wanted", event(fv.UPDATE_MODE), ALL_CHANGES, "relevant"),
+    ("no environment", event(data__resourceName="x"), OPTIONS, "no_environment"),
+    ("unmonitored", event(data__resourceName=elsewhere), OPTIONS, "unmonitored_environment"),
+    ("failed", event(status="FAILURE"), OPTIONS, "not_successful"),
+    ("failed, any status", event(status="FAILURE"), ANY_STATUS, "relevant"),
+    ("no result, any status", event(data__result=None), ANY_STATUS, "relevant"),
+    ("no result", event(data__result=None), OPTIONS, "not_successful"),
+    ("no status", event(data__result__status=None), OPTIONS, "not_successful"),
+    ("lower case", event(status="success"), OPTIONS, "relevant"),
+    ("mixed case", event(status="Success"), OPTIONS, "relevant"),
+    ("padded", event(status="SUCCESS "), OPTIONS, "not_successful"),
+    ("sharp s", event(status="succeß"), OPTIONS, "not_successful"),
+    ("glob hit", event(subject="orders-value"), ORDERS, "relevant"),
+    ("glob miss", event(subject="payments-value"), ORDERS, "subject"),
+    (
+        "no subject",
+        event(data__request=None, data__resourceName=None) | {"subject": PLACE},
+        ORDERS,
+        "subject",
+    ),
+]
+
+
+@pytest.mark.parametrize("options", {id(c[2]): c[2] for c in CASES}.values())
+def test_relevance_and_reasons(spark, options):
+    cases = [c for c in CASES if c[2] is options]
+    events = parse.audit_events(log_of(spark, [c[1] for c in cases]), options)
+    reasons = events.select("offset", relevance.skip_reason(options).alias("r"))
+    found = {cases[r.offset][0]: r.r for r in reasons.collect()}
+    assert found == {c[0]: c[3] for c in cases}
+    kept = {r.offset for r in relevance.relevant_events(events, options).collect()}
+    flagged = {r.offset for r in events.filter(relevance.is_relevant(options)).collect()}
+    assert kept == flagged == {i for i, c in enumerate(cases) if c[3] == "relevant"}
+
+
+GLOBS = [
+    ("orders-*", "orders-value", True),
+    ("orders-*", "my-orders-value", False),
+    ("orders-*", "orders-", True),
+    ("*-value", "orders-value", True),
+    ("*-value", "orders-value2", False),
+    ("*", "", True),
+    ("a.b*", "axb", False),
+    ("a.b*", "a.bc", True),
+    ("orders-value", "orders-value", True),
+    ("orders-value", "orders-value2", False),
+    ("orders.value", "ordersXvalue", False),
+    ("[ab]-*", "a-x", True),
+    ("[ab]-*", "c-x", False),
+    ("(a|b)*", "bcd", True),
+    ("a|b*", "a", True),
+    ("a|b*", "xa", False),
+    ("orders-*", "orders-\nvalue", False),
+    ("orders-*", None, False),
+]
+
+
+@pytest.mark.parametrize("glob, subject, expected", GLOBS)
+def test_one_filter(spark, glob, subject, expected):
+    row = spark.createDataFrame([(subject,)], "s string").select(
+        F.coalesce(matches_any(F.col("s"), [glob]), F.lit(False))
+    )
+    assert row.first()[0] is expected
+
+
+def test_plain_globs_share_one_regex(spark):
+    assert len(subject_regexes(["a-*", "b.*", "exact"])) == 1
+    assert len(subject_regexes(["a-*", "b.*", "(x)*"])) == 2
+    filters = ["orders-*", "(p|q)-*", "exact"]
+    names = ["orders-1", "p-2", "q-", "exact", "exact2", "r-1", None]
+    rows = spark.createDataFrame([(n,) for n in names], "s string")
+    hits = [r.s for r in rows.filter(matches_any(F.col("s"), filters)).collect()]
+    assert hits == ["orders-1", "p-2", "q-", "exact"]
+
+
+def test_broken_patterns_are_reported_early(spark):
+    check_globs(spark, ["orders-*", "[ab]*", "exact["])
+    with pytest.raises(ValueError, match=r"\(oops"):
+        check_globs(spark, ["orders-*", "(oops*"])
+
+
+def test_unmonitored_registrations_and_environment_join(spark):
+    log = log_of(
+        spark,
+        [
+            event(),
+            event(data__resourceName=elsewhere, data__result__data={"id": 7.0}, status="FAILURE"),
+            event(fv.DELETE_SUBJECT, data__resourceName=elsewhere),
+            event(data__resourceName="none"),
+        ],
+    )
+    events = parse.audit_events(log, OPTIONS)
+    table = spark.createDataFrame([("env-test123",)], "environment_id string")
+    (row,) = relevance.unmonitored_registrations(events, table, OPTIONS).collect()
+    assert (row.environment_id, row.status, row.schema_id) == ("env-other", "FAILURE", 7)
+    assert [r.offset for r in relevance.in_environments(events, table).collect()] == [0]
+
+
+def test_options_are_checked():
+    with pytest.raises(ValueError, match="environment"):
+        FeedOptions(environments=())
+    with pytest.raises(ValueError, match="collection"):
+        FeedOptions(environments="env-1")
+    with pytest.raises(ValueError, match="key_scope"):
+        FeedOptions(environments=("e",), key_scope="both")
+    assert OPTIONS.allowed_methods == fv.SCHEMA_METHODS
+    assert ALL_CHANGES.allowed_methods == fv.SCHEMA_METHODS + fv.CONFIG_METHODS
+    custom = FeedOptions(environments=("e",), methods=[fv.UPDATE_MODE], include_config_changes=True)
+    assert custom.allowed_methods == (fv.UPDATE_MODE, fv.UPDATE_COMPATIBILITY)
