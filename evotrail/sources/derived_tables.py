@@ -77,7 +77,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def audit_log(spark: SparkSession, sf_dir: str, to_parse: bool = True) -> DataFrame:
     """The log: partition, offset, timestamp and JSON text of every event row.
 
-    ``to_parse`` spreads a log of very few splits over the cores.
+    With ``to_parse``, a log of very few splits is spread over the cores, and a
+    one-element explode keeps filters on the text from rendering it twice.
+    Without it, the text is a plain column that is not rendered if not used.
     """
     events = table(spark, sf_dir, "events")
     if to_parse:
@@ -86,12 +88,9 @@ def audit_log(spark: SparkSession, sf_dir: str, to_parse: bool = True) -> DataFr
         "ts", *[f"{value} AS {name}" for name, value in _FACTS.items()]
     )
     named = facts.selectExpr("*", "concat(prefix, k, '-value') AS named")
-    # The one-element explode keeps filters on the text from rendering it twice.
+    value = f"explode(array({_VALUE}))" if to_parse else _VALUE
     return named.selectExpr(
-        "partition",
-        "n AS offset",
-        "ts AS timestamp",
-        f"explode(array({_VALUE})) AS value",
+        "partition", "n AS offset", "ts AS timestamp", f"{value} AS value"
     )
 
 

@@ -25,8 +25,9 @@ def stateful_feed(
 ) -> DataFrame:
     """Notifications of a streaming log as a streaming table.
 
-    ``remember`` bounds the state: a key counts as seen for that long after its
-    event's log time (e.g. ``"7 days"``); None remembers keys for ever. With
+    ``remember`` bounds the state: a key counts as seen for at least that long
+    after its event's log time (e.g. ``"7 days"``), until the watermark of later
+    batches has passed it; None remembers keys for ever. With
     ``salts`` above 1 a key is first deduplicated in that many parts, so that a
     key with very many events is spread over several tasks.
     """
@@ -38,7 +39,8 @@ def stateful_feed(
             sendable = sendable.withWatermark("timestamp", remember)
         if salts > 1:
             part = F.pmod(F.xxhash64("partition", "offset"), F.lit(salts))
-            sendable = _distinct(sendable.withColumn("_part", part), ["dedup_key", "_part"], remember)
+            sendable = sendable.withColumn("_part", part)
+            sendable = _distinct(sendable, ["dedup_key", "_part"], remember)
         sendable = _distinct(sendable, ["dedup_key"], remember)
     return notify(sendable.drop("_part"), snapshot)
 
