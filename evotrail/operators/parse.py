@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evotrail import schemas
 from evotrail.functions import event_fields as ef
@@ -38,11 +39,12 @@ _REJECT_REASON = f"""CASE
 # The same test for one parsed event.
 _READABLE = f"e IS NOT NULL AND e.{schemas.CORRUPT} IS NULL AND NOT ({_bad_numbers('e')})"
 
-_PARSED = (
-    f"from_json(value, '{schemas.EVENT_WITH_CORRUPT.simpleString()}', map("
-    + ", ".join(f"'{name}', '{value}'" for name, value in _JSON_OPTIONS.items())
-    + "))"
-)
+
+
+def _parsed(schema: T.StructType) -> str:
+    fields = T.StructType([*schema.fields, T.StructField(schemas.CORRUPT, T.StringType())])
+    options = ", ".join(f"'{name}', '{value}'" for name, value in _JSON_OPTIONS.items())
+    return f"from_json(value, '{fields.simpleString()}', map({options}))"
 
 
 def with_event(log: DataFrame) -> DataFrame:
@@ -51,15 +53,16 @@ def with_event(log: DataFrame) -> DataFrame:
     The parsed struct goes through a one-element ``explode``. Filters are then
     not pushed below the parse, where each predicate would parse the text anew.
     """
-    return log.selectExpr("*", f"explode(array({_PARSED})) AS event").selectExpr(
+    parsed = _parsed(schemas.FEED_EVENT)
+    return log.selectExpr("*", f"explode(array({parsed})) AS event").selectExpr(
         "*", f"{_REJECT_REASON} AS reject_reason"
     )
 
 
-def parse_events(log: DataFrame) -> DataFrame:
+def parse_events(log: DataFrame, schema: T.StructType = schemas.EVENT) -> DataFrame:
     """The readable records, one ``event`` struct each; the raw text is dropped."""
     return log.selectExpr(
-        "*", f"explode(filter(array({_PARSED}), e -> {_READABLE})) AS event"
+        "*", f"explode(filter(array({_parsed(schema)}), e -> {_READABLE})) AS event"
     ).drop("value")
 
 
@@ -96,7 +99,7 @@ def derive_fields(events: DataFrame, options: FeedOptions) -> DataFrame:
 
 def audit_events(log: DataFrame, options: FeedOptions) -> DataFrame:
     """Readable records of the log as flat event columns."""
-    return derive_fields(parse_events(log), options)
+    return derive_fields(parse_events(log, schemas.FEED_EVENT), options)
 
 
 def change_candidates(log: DataFrame, options: FeedOptions) -> DataFrame:

@@ -17,7 +17,7 @@ from evotrail.operators import state as state_ops
 from evotrail.options import FeedOptions
 from evotrail.plans.change_feed import notify, sent_events
 from evotrail.plans.staging import staged
-from evotrail.schemas import POSITION
+from evotrail.schemas import FEED_EVENT, POSITION
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,7 @@ def run_batch(
     """
     records, readable = Observation("records"), Observation("readable")
     one = F.count(F.lit(1))
-    events = parse.parse_events(log.observe(records, one.alias("n")))
+    events = parse.parse_events(log.observe(records, one.alias("n")), FEED_EVENT)
     events = parse.derive_fields(events.observe(readable, one.alias("n")), options)
 
     candidates = staged(_candidates(events, options, state))

@@ -49,11 +49,21 @@ def change_feed(
     state: DataFrame | None = None,
 ) -> DataFrame:
     """Deduplicated notifications of a log, with their log positions and keys."""
+    if not options.deduplicate:
+        return all_notifications(log, snapshot, options)
     events = parse.change_candidates(log, options)
     return notify(sent_events(events, snapshot, options, state), snapshot)
 
 
 def all_notifications(log: DataFrame, snapshot: DataFrame, options: FeedOptions) -> DataFrame:
-    """One notification per sendable event, duplicates included."""
-    events = parse.change_candidates(log, options)
-    return notify(sendable_events(events, snapshot, options), snapshot)
+    """One notification per sendable event, duplicates included.
+
+    Every event is enriched here, so the one join with the snapshot also tells
+    which lookups failed.
+    """
+    relevant = relevance.relevant_events(parse.change_candidates(log, options), options)
+    enriched = registry.with_registered(relevant, snapshot)
+    failed = F.col("lookup_outcome") == registry.FAILED
+    return notifications.to_notifications(
+        enriched.filter(~F.coalesce(failed, F.lit(False)))
+    )

@@ -7,6 +7,7 @@ import pytest
 from evotrail import FeedOptions
 from evotrail import fixed_values as fv
 from evotrail.operators import parse
+from evotrail.schemas import EVENT, FEED_EVENT
 from tests.events import OPTIONS, PLACE, event, log_of
 
 
@@ -47,6 +48,9 @@ BAD = {
     '{"id": "x"': "malformed",
     "{'id': 'x'}": "malformed",
     '{"data": "text"}': "malformed",
+    '{"data": {"authenticationInfo": "text"}}': "malformed",
+    '{"data": {"response": 7}}': "malformed",
+    '{"specversion": {"a": tru}}': "malformed",
     '{"data": {"result": {"data": {"id": NaN}}}}': "malformed",
     '{"data": {"request": {"version": "three"}}}': "bad_number",
     '{"data": {"request": {"version": 3000000000}}}': "bad_number",
@@ -60,7 +64,8 @@ def test_unreadable_records_are_kept_apart(spark):
     log = log_of(spark, [*BAD, event()])
     reasons = {r.value: r.reject_reason for r in parse.malformed_events(log).collect()}
     assert reasons == BAD
-    assert [r.offset for r in parse.parse_events(log).collect()] == [len(BAD)]
+    for schema in (EVENT, FEED_EVENT):
+        assert [r.offset for r in parse.parse_events(log, schema).collect()] == [len(BAD)]
 
 
 def test_an_empty_object_is_an_event(spark):
