@@ -44,4 +44,5 @@ def prune_state(
     final merge, and that merge sees no more than the limit.
     """
     keep = kept_after_pruning(state.count(), max_keys, share)
-    return state.orderBy(*[F.desc(name) for name in POSITION]).limit(keep)
+    newest_first = [F.desc_nulls_last(name) for name in POSITION]
+    return state.orderBy(*newest_first).limit(keep)

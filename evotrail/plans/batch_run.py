@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from evotrail import fixed_values as fv
 from evotrail.operators import dedup, metrics, parse, registry, relevance
 from evotrail.operators import state as state_ops
 from evotrail.options import FeedOptions
@@ -39,47 +40,47 @@ class BatchRun:
         return state_ops.state_rows(self.sent)
 
 
-def _candidates(
-    events: DataFrame, options: FeedOptions, state: DataFrame | None
-) -> DataFrame:
-    """Events that can be sent or be duplicates; ``known`` marks keys of the state."""
-    repeatable = dedup.is_repeatable(options.allowed_methods)
-    if state is None:
-        return events.filter(repeatable).withColumn("known", F.lit(False))
-    keys = state.select("dedup_key", F.lit(True).alias("known"))
-    marked = events.join(keys, "dedup_key", "left")
-    marked = marked.withColumn("known", F.coalesce("known", F.lit(False)))
-    return marked.filter(repeatable | F.col("known"))
-
-
 def run_batch(
     log: DataFrame,
     snapshot: DataFrame,
     options: FeedOptions,
     state: DataFrame | None = None,
+    hot_floor: int = dedup.HOT_FLOOR,
 ) -> BatchRun:
     """Process a stretch of the log after the runs that ``state`` remembers.
 
-    ``state`` must hold each key once.
+    ``state`` must hold each key once. Keys with more rows than ``hot_floor``
+    are split where events meet the marks of their keys.
     """
-    records, readable = Observation("records"), Observation("readable")
-    one = F.count(F.lit(1))
-    events = parse.parse_events(log.observe(records, one.alias("n")), FEED_EVENT)
-    events = parse.derive_fields(events.observe(readable, one.alias("n")), options)
-
-    candidates = staged(_candidates(events, options, state))
-    fresh = candidates.filter(~F.col("known")) if options.deduplicate else candidates
-    sent = staged(sent_events(fresh, snapshot, options))
+    counted = {name: Observation(name) for name in ("records", "events", "candidates")}
+    one = F.count(F.lit(1)).alias("n")
+    events = parse.parse_events(log.observe(counted["records"], one), FEED_EVENT)
+    events = parse.derive_fields(events.observe(counted["events"], one), options)
+    # Only keys of these methods are ever sent, in this run or an earlier one.
+    repeatable = events.filter(dedup.is_repeatable(tuple(fv.EVENT_TYPE_OF_METHOD)))
+    candidates = staged(repeatable.observe(counted["candidates"], one))
+    total = counted["candidates"].get["n"]
+
+    sent = staged(sent_events(candidates, snapshot, options, state))
+    relevant = relevance.relevant_events(candidates, options)
+    enriched = registry.with_registered(relevant, snapshot)
+    failed = enriched.filter(F.col("lookup_outcome") == registry.FAILED)
     if options.deduplicate:
-        repeats = dedup.later_than_first(fresh, sent).unionByName(candidates.filter("known"))
+        counts = dedup.key_counts(candidates)
+        known = None if state is None else counts.join(state, "dedup_key", "left_semi")
+        marks = dedup.marks(sent, known).withColumn("_marked", F.lit(True))
+        repeats = dedup.join_by_key(candidates, marks, counts, total, floor=hot_floor)
+        repeats = repeats.filter(dedup.IS_AFTER_MARK)
+        # A duplicate is skipped before its schema is looked up.
+        failed = dedup.join_by_key(failed, marks, counts, total, "left", hot_floor)
+        failed = failed.filter(f"_marked IS NULL OR NOT ({dedup.IS_AFTER_MARK})")
     else:
         repeats = candidates.limit(0)
-    relevant = relevance.relevant_events(fresh, options)
     return BatchRun(
-        events_consumed=readable.get["n"],
-        records_rejected=records.get["n"] - readable.get["n"],
+        events_consumed=counted["events"].get["n"],
+        records_rejected=counted["records"].get["n"] - counted["events"].get["n"],
         sent=sent,
         duplicates=repeats.select("event_id", "dedup_key", *POSITION),
         notifications=notify(sent, snapshot),
-        failed_lookups=registry.failed_lookups(registry.with_registered(relevant, snapshot)),
+        failed_lookups=registry.failed_lookups(failed),
     )

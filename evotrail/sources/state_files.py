@@ -8,6 +8,7 @@ first time and replaces what it had written.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +41,36 @@ def add(rows: DataFrame, path: str, batch_id: int) -> None:
     stored.write.mode("overwrite").parquet(f"{path}/added/batch_id={batch_id}")
 
 
+def keys_from_json(spark: SparkSession, path: str) -> DataFrame:
+    """Keys of a file that holds one JSON array of strings.
+
+    A missing or unreadable file gives no keys. Such a file is read as a whole;
+    the format is meant for states of at most some 100,000 keys.
+    """
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        text = spark.createDataFrame([], "value string")
+    keys = text.selectExpr("explode(from_json(value, 'array<string>')) AS dedup_key")
+    return keys.filter("dedup_key IS NOT NULL").distinct()
+
+
+def seed(keys: DataFrame, path: str) -> None:
+    """Let a new state folder start from keys that were sent before its first batch.
+
+    They count as older than any key of the log.
+    """
+    first = keys.selectExpr(
+        "dedup_key",
+        "CAST(null AS timestamp) AS timestamp",
+        "CAST(null AS int) AS partition",
+        "CAST(null AS bigint) AS offset",
+    )
+    first.write.mode("overwrite").parquet(f"{path}/base/batch_id=-1")
+
+
 def compact(spark: SparkSession, path: str, batch_id: int, max_keys: int) -> None:
     """Write the whole state after a batch as a new base, oldest keys pruned."""
     whole = staged(load(spark, path, batch_id + 1))

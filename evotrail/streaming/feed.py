@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from evotrail.functions.globs import check_globs
-from evotrail.options import FeedOptions
+from evotrail.operators import parse
 from evotrail.operators.metrics import COUNTERS
+from evotrail.options import FeedOptions
 from evotrail.plans.batch_run import run_batch
 from evotrail.sources import sinks, state_files
 
@@ -49,6 +50,10 @@ class FeedFolders:
     def failed_lookups(self) -> str:
         return f"{self.root}/failed_lookups"
 
+    @property
+    def rejected(self) -> str:
+        return f"{self.root}/rejected"
+
 
 def process_batch(
     records: DataFrame,
@@ -62,6 +67,9 @@ def process_batch(
 ) -> None:
     """Run one batch and write what it yields: output first, then state, then counters.
 
+    Side tables keep what the feed leaves out: registrations whose lookup
+    failed, and unreadable records, which are parsed again only if there are any.
+
     ``publish`` sends notifications on, e.g. to a topic; it may see a batch
     again after a crash. A dry run writes no output but still marks its keys.
     """
@@ -74,6 +82,9 @@ def process_batch(
             publish(sinks.in_key_order(run.notifications))
     failed = f"{folders.failed_lookups}/batch_id={batch_id}"
     run.failed_lookups.write.mode("overwrite").parquet(failed)
+    if run.records_rejected:
+        rejected = parse.malformed_events(records)
+        rejected.write.mode("overwrite").parquet(f"{folders.rejected}/batch_id={batch_id}")
     if options.deduplicate:
         state_files.add(run.new_state(), folders.state, batch_id)
         if batch_id % compact_every == compact_every - 1:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import json
 from datetime import datetime, timedelta, timezone
 
@@ -77,3 +79,11 @@ def schema(schema_id, environment="env-test123", status=200, **fields):
 
 def snapshot_of(spark, *rows):
     return spark.createDataFrame(list(rows), REGISTRY)
+
+
+def plan_text(df, mode="extended"):
+    """What ``explain`` prints."""
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        df.explain(mode)
+    return text.getvalue()

@@ -57,9 +57,9 @@ def relevant(e, environments, methods):
 def run(records, environments, methods, statuses, known=()):
     """Process (position, text) pairs; ``statuses`` maps (environment, id) to an answer.
 
-    Returns consumed, ids of sent events, ids of duplicates, and the state.
+    Returns consumed, ids of sent events, of duplicates and of failed lookups, and the state.
     """
-    state, sent, duplicates, consumed = set(known), [], [], 0
+    state, sent, duplicates, failed, consumed = set(known), [], [], [], 0
     for _, text in sorted(records):
         try:
             e = json.loads(text)
@@ -74,7 +74,8 @@ def run(records, environments, methods, statuses, known=()):
             continue
         if get(e, "data", "methodName") == fv.REGISTER_SCHEMA and schema_id_of(e) is not None:
             if statuses.get((environment_of(e), schema_id_of(e)), 404) not in (200, 404):
+                failed.append(e["id"])
                 continue
         sent.append(e["id"])
         state.add(key)
-    return consumed, sent, duplicates, state
+    return consumed, sent, duplicates, failed, state

@@ -5,6 +5,7 @@ import json
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from evotrail import FeedOptions
 from evotrail import fixed_values as fv
@@ -14,7 +15,7 @@ from evotrail.plans import change_feed as feed
 from evotrail.plans.batch_run import run_batch
 from evotrail.schemas import ENVELOPE, STATE
 from tests import model
-from tests.events import ALL_CHANGES, event, log_of, record, schema, snapshot_of
+from tests.events import ALL_CHANGES, event, log_of, plan_text, record, schema, snapshot_of
 
 PLACES = [
     "crn://x/environment=env-test123/subject=a",
@@ -77,7 +78,7 @@ def test_two_runs_match_the_loop(spark, first, second):
     answers = snapshot(spark)
     log, plain = build(spark, first)
     run = run_batch(log, answers, TWO)
-    consumed, sent, repeated, state = model.run(
+    consumed, sent, repeated, failed, state = model.run(
         plain, TWO.environments, TWO.allowed_methods, STATUSES
     )
     assert run.events_consumed == consumed
@@ -85,12 +86,13 @@ def test_two_runs_match_the_loop(spark, first, second):
     assert sorted(r.event_id for r in run.sent.collect()) == sorted(sent)
     assert sorted(r.event_id for r in run.duplicates.collect()) == sorted(repeated)
     assert sorted(r.audit_log_event_id for r in run.notifications.collect()) == sorted(sent)
+    assert sorted(r.event_id for r in run.failed_lookups.collect()) == sorted(failed)
 
     stored = spark.createDataFrame(run.new_state().collect(), STATE)
     assert {r.dedup_key for r in stored.collect()} == state
     log, plain = build(spark, second)
-    run = run_batch(log, answers, TWO, stored)
-    consumed, sent, repeated, after = model.run(
+    run = run_batch(log, answers, TWO, stored, hot_floor=5)
+    consumed, sent, repeated, failed, after = model.run(
         plain, TWO.environments, TWO.allowed_methods, STATUSES, state
     )
     counters = run.counters().first()
@@ -98,6 +100,7 @@ def test_two_runs_match_the_loop(spark, first, second):
     assert counters.notifications_produced == counters.events_processed == len(sent)
     assert counters.duplicates_skipped == len(repeated)
     assert sorted(r.event_id for r in run.duplicates.collect()) == sorted(repeated)
+    assert sorted(r.event_id for r in run.failed_lookups.collect()) == sorted(failed)
     lazily = feed.change_feed(log, answers, TWO, stored)
     assert sorted(r.audit_log_event_id for r in lazily.collect()) == sorted(sent)
     whole = state_ops.add_to_state(stored, run.new_state())
@@ -148,9 +151,29 @@ def test_one_key_with_most_rows(spark):
     """A hot key, a hot schema id and many events that look nothing up."""
     hot = event(subject="hot", data__result__data={"id": 1.0})
     values = [hot if i % 3 else event(fv.DELETE_SUBJECT, subject=f"s{i}") for i in range(3000)]
-    run = run_batch(log_of(spark, values), snapshot(spark), ALL_CHANGES)
-    assert run.sent.count() == 1001
-    assert run.duplicates.count() == 1999
+    for floor in (dedup.HOT_FLOOR, 100):
+        run = run_batch(log_of(spark, values), snapshot(spark), ALL_CHANGES, hot_floor=floor)
+        assert run.sent.count() == 1001
+        assert run.duplicates.count() == 1999
+
+
+def test_hot_keys_are_cut_into_parts(spark):
+    """Ten keys, one with half of the rows: its parts meet its one mark."""
+    rows = [record("", i) for i in range(1000)]
+    events = spark.createDataFrame(rows, ENVELOPE).selectExpr(
+        "CASE WHEN offset < 500 THEN 'hot' ELSE concat('k', offset % 9) END AS dedup_key", "*"
+    )
+    per_key = events.select("dedup_key").distinct().filter("dedup_key <> 'k8'")
+    per_key = per_key.withColumn("extra", F.length("dedup_key"))
+    counts = dedup.key_counts(events)
+    for how in ("inner", "left"):
+        plain = events.join(per_key, "dedup_key", how)
+        split = dedup.join_by_key(events, per_key, counts, 1000, how, floor=100)
+        assert split.columns == plain.columns
+        assert sorted(split.collect()) == sorted(plain.collect())
+        assert "_parts" in plan_text(split)
+    whole = dedup.join_by_key(events, per_key, counts, 1000, floor=1000)
+    assert "_parts" not in plan_text(whole)
 
 
 def fifo(keys, limit, share):

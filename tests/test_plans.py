@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import io
 import re
 
 import pytest
@@ -14,16 +12,13 @@ from evotrail.plans import change_feed as feed
 from evotrail.schemas import ENVELOPE
 from evotrail.sources import files
 from evotrail.sources.derived_tables import audit_log, registry_snapshot
-from tests.events import ALL_CHANGES, event, record, schema, snapshot_of
+from tests.events import ALL_CHANGES, event, plan_text, record, schema, snapshot_of
 
 SF = "/root/testdata/sf0.001"
 
 
 def plan(df, mode="formatted"):
-    text = io.StringIO()
-    with contextlib.redirect_stdout(text):
-        df.explain(mode)
-    return text.getvalue()
+    return plan_text(df, mode)
 
 
 @pytest.fixture(scope="module")

@@ -85,6 +85,8 @@ def test_stream_equals_batch_over_restarts(spark, place):
     kinds = spark.read.parquet(folders.notifications).select("event_type").distinct().count()
     assert kinds == 3
     assert spark.read.parquet(folders.failed_lookups).count() > 0
+    rejected = spark.read.parquet(folders.rejected)
+    assert sorted(r.offset for r in rejected.collect()) == list(range(12, 90, 13))
 
 
 def test_a_batch_run_again_changes_nothing(spark, place):
@@ -165,6 +167,40 @@ def test_missing_state_is_empty_and_nested_folders_are_made(spark, tmp_path):
     assert [r.dedup_key for r in state_files.load(spark, path, 1).collect()] == ["k"]
 
 
+@pytest.mark.parametrize(
+    "text, keys",
+    [
+        ('["a:m:1", "b:m:null", "a:m:1"]', ["a:m:1", "b:m:null"]),
+        ("[]", []),
+        ("not json", []),
+        ('{"a": 1}', []),
+        (None, []),
+    ],
+)
+def test_keys_of_a_json_file(spark, tmp_path, text, keys):
+    path = tmp_path / "state.json"
+    if text is not None:
+        path.write_text(text)
+    found = state_files.keys_from_json(spark, str(path))
+    assert sorted(r.dedup_key for r in found.collect()) == keys
+
+
+def test_a_seeded_state_marks_its_keys_and_is_pruned_first(spark, place):
+    _, folders = place
+    records = spark.createDataFrame(rows(0, 50), ENVELOPE)
+    known = feed.change_feed(records, snapshot(spark), ALL_CHANGES).orderBy("log_offset")
+    keys = [r.dedup_key for r in known.limit(3).collect()]
+    state_files.seed(spark.createDataFrame([(k,) for k in keys], "dedup_key string"), folders.state)
+    total = known.count()
+    options = FeedOptions(
+        environments=("env-test123",), include_config_changes=True, max_state_keys=total - 1
+    )
+    process_batch(records, 0, snapshot(spark), options, folders, compact_every=1)
+    assert len(sent_ids(spark, folders)) == total - 3
+    kept = {r.dedup_key for r in state_files.load(spark, folders.state, 1).collect()}
+    assert kept and not kept & set(keys)
+
+
 def stateful_ids(spark, log_path, out, **more):
     stream = files.stream_log(spark, log_path, max_files_per_trigger=1)
     result = stateful_feed(stream, snapshot(spark), ALL_CHANGES, **more)
