@@ -64,11 +64,12 @@ def process_batch(
     publish: Callable[[DataFrame], None] | None = None,
     dry_run: bool = False,
     compact_every: int = 50,
-) -> None:
+) -> dict[str, int]:
     """Run one batch and write what it yields: output first, then state, then counters.
 
     Side tables keep what the feed leaves out: registrations whose lookup
     failed, and unreadable records, which are parsed again only if there are any.
+    Returns the counters.
 
     ``publish`` sends notifications on, e.g. to a topic; it may see a batch
     again after a crash. A dry run writes no output but still marks its keys.
@@ -92,7 +93,9 @@ def process_batch(
     counters = run.counters().withColumn(
         "records_rejected", F.lit(run.records_rejected).cast("long")
     )
-    counters.write.mode("overwrite").parquet(f"{folders.counters}/batch_id={batch_id}")
+    path = f"{folders.counters}/batch_id={batch_id}"
+    counters.write.mode("overwrite").parquet(path)
+    return spark.read.schema(counters.schema).parquet(path).first().asDict()
 
 
 def start_feed(
@@ -104,18 +107,20 @@ def start_feed(
     publish: Callable[[DataFrame], None] | None = None,
     dry_run: bool = False,
     compact_every: int = 50,
+    batch_done: Callable[[Mapping[str, int]], None] | None = None,
 ) -> StreamingQuery:
     """Start the feed on a streaming log.
 
     ``read_snapshot`` is called for every batch, so that schemas registered
     since the start are found. ``trigger`` holds the arguments of Spark's
     trigger: ``{"availableNow": True}`` stops at the current end of the log,
-    ``{"processingTime": "1 second"}`` keeps running.
+    ``{"processingTime": "1 second"}`` keeps running. ``batch_done`` gets the
+    counters of every finished batch.
     """
     check_globs(log.sparkSession, options.subject_filters)
 
     def handle(records: DataFrame, batch_id: int) -> None:
-        process_batch(
+        counters = process_batch(
             records,
             batch_id,
             read_snapshot(),
@@ -125,6 +130,8 @@ def start_feed(
             dry_run,
             compact_every,
         )
+        if batch_done is not None:
+            batch_done(counters)
 
     return (
         log.writeStream.foreachBatch(handle)

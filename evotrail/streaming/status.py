@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import logging
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql.streaming import StreamingQueryListener
 
+from evotrail.operators.metrics import COUNTERS
+
 logger = logging.getLogger(__name__)
 
 
-class StatusListener(StreamingQueryListener):
-    """Reports input rows so far, at most once per interval and at the end.
+class StatusLog(StreamingQueryListener):
+    """Reports a feed's counters so far, at most once per interval and at its end.
 
-    Add it with ``spark.streams.addListener``. The counters of a feed are in its
-    counters folder; this listener needs no access to it.
+    Pass ``batch_done`` to ``start_feed`` and add the object itself with
+    ``spark.streams.addListener`` to hear of the query's start and end.
     """
 
     def __init__(
@@ -28,26 +30,24 @@ class StatusListener(StreamingQueryListener):
         self._interval = interval_seconds
         self._clock = clock
         self._reported_at = clock()
-        self._rows: dict[str, int] = {}
-        self._batches: dict[str, int] = {}
-
-    def onQueryStarted(self, event) -> None:
-        self._report(f"feed {event.runId} started")
+        self.totals = dict.fromkeys(COUNTERS, 0)
 
-    def onQueryProgress(self, event) -> None:
-        progress = event.progress
-        run = str(progress.runId)
-        self._rows[run] = self._rows.get(run, 0) + progress.numInputRows
-        self._batches[run] = progress.batchId
+    def batch_done(self, counters: Mapping[str, int]) -> None:
+        for name in COUNTERS:
+            self.totals[name] += counters[name]
         now = self._clock()
         if now - self._reported_at >= self._interval:
             self._reported_at = now
-            self._report(self._line(run))
+            self._report(self._line("status"))
+
+    def onQueryStarted(self, event) -> None:
+        self._report("feed started")
+
+    def onQueryProgress(self, event) -> None:
+        """Row counts of Spark's progress count a batch once per scan; not used."""
 
     def onQueryTerminated(self, event) -> None:
-        run = str(event.runId)
-        ending = f"failed: {event.exception}" if event.exception else "stopped"
-        self._report(f"{self._line(run)}, {ending}")
+        self._report(self._line("feed failed" if event.exception else "feed stopped"))
 
-    def _line(self, run: str) -> str:
-        return f"feed {run}: batch {self._batches.get(run, '-')}, {self._rows.get(run, 0)} records"
+    def _line(self, head: str) -> str:
+        return f"{head}: " + ", ".join(f"{k} {v}" for k, v in self.totals.items())

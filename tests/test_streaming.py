@@ -12,7 +12,7 @@ from evotrail.schemas import ENVELOPE, STATE
 from evotrail.sources import files, state_files
 from evotrail.streaming.feed import FeedFolders, process_batch, start_feed, total_counters
 from evotrail.streaming.stateful import stateful_feed
-from evotrail.streaming.status import StatusListener
+from evotrail.streaming.status import StatusLog
 from tests.events import ALL_CHANGES, event, record, schema, snapshot_of
 
 NOW = {"availableNow": True}
@@ -247,20 +247,34 @@ def test_a_forgotten_key_is_sent_again(spark, tmp_path, place):
     assert sent == [1, 1, 1, 2]
 
 
-def test_status_lines_are_limited(spark, place):
+def test_status_lines(spark, place):
     log_path, folders = place
     append(spark, log_path, 0, 10)
     append(spark, log_path, 10, 20)
     lines = []
-    listener = StatusListener(lines.append, interval_seconds=0.0)
-    spark.streams.addListener(listener)
+    status = StatusLog(lines.append, interval_seconds=0.0)
+    spark.streams.addListener(status)
     try:
-        run_to_end(spark, log_path, folders)
+        run_to_end(spark, log_path, folders, batch_done=status.batch_done)
         for _ in range(100):
             if any("stopped" in line for line in lines):
                 break
             time.sleep(0.1)
     finally:
-        spark.streams.removeListener(listener)
-    assert "started" in lines[0]
-    assert lines[-1].endswith("20 records, stopped")
+        spark.streams.removeListener(status)
+    totals = total_counters(spark, folders).first().asDict()
+    assert status.totals.items() <= totals.items()
+    assert lines[0] == "feed started" and sum(line.startswith("status") for line in lines) == 2
+    assert lines[-1].startswith("feed stopped: events_consumed 19, ")
+
+
+def test_status_lines_are_limited_in_time():
+    lines, now = [], [0.0]
+    status = StatusLog(lines.append, interval_seconds=60.0, clock=lambda: now[0])
+    for seconds in (10.0, 59.0, 61.0, 70.0, 125.0):
+        now[0] = seconds
+        status.batch_done(dict.fromkeys(status.totals, 1))
+    assert [line.split(",")[0] for line in lines] == [
+        "status: events_consumed 3",
+        "status: events_consumed 5",
+    ]
