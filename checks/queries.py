@@ -26,7 +26,7 @@ from evotrail.operators import (
 )
 from evotrail.plans import change_feed as feed
 from evotrail.plans.batch_run import run_batch
-from evotrail.plans.staging import staged
+from evotrail.staging import staged
 from evotrail.sources import derived_tables as dt
 
 SCHEMA_CHANGES = FeedOptions(environments=dt.MONITORED)
@@ -436,8 +436,7 @@ def _whole_state(spark, sf_dir) -> DataFrame:
 
 def state_pruned(spark, sf_dir):
     """What an oldest-first limit keeps; the limit is the operator itself."""
-    stored = staged(_whole_state(spark, sf_dir))
-    return state_ops.prune_state(stored, PRUNE_LIMIT).select(
+    return state_ops.prune_state(_whole_state(spark, sf_dir), PRUNE_LIMIT).select(
         "dedup_key", _as_text("timestamp").alias("first_seen")
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evotrail import fixed_values as fv
 from evotrail.operators.dedup import drop_known
 from evotrail.schemas import POSITION
+from evotrail.staging import staged
 
 
 def state_rows(sent: DataFrame) -> DataFrame:
@@ -39,10 +40,22 @@ def prune_state(
 ) -> DataFrame:
     """The newest keys that fit the limit, oldest ones dropped.
 
-    Counts the state first, so pass one that is stored. The result holds at
-    most ``max_keys`` rows; each task keeps its own newest rows before the
-    final merge, and that merge sees no more than the limit.
+    The rows are range-partitioned from new to old and stored. Row counts per
+    partition then tell which partitions are kept as a whole and how many rows
+    of the next one, so no task sorts more than its own range.
     """
-    keep = kept_after_pruning(state.count(), max_keys, share)
     newest_first = [F.desc_nulls_last(name) for name in POSITION]
-    return state.orderBy(*newest_first).limit(keep)
+    ranges = staged(
+        state.repartitionByRange(*newest_first).withColumn("_range", F.spark_partition_id())
+    )
+    sizes = ranges.groupBy("_range").count().orderBy("_range").collect()
+    keep = kept_after_pruning(sum(rows for _, rows in sizes), max_keys, share)
+    whole, rest = [], None
+    for number, rows in sizes:
+        if rows > keep:
+            rest = ranges.filter(F.col("_range") == number).orderBy(*newest_first).limit(keep)
+            break
+        whole.append(number)
+        keep -= rows
+    kept = ranges.filter(F.col("_range").isin(whole))
+    return (kept if rest is None else kept.unionByName(rest)).drop("_range")

@@ -17,7 +17,7 @@ from evotrail.operators import dedup, metrics, parse, registry, relevance
 from evotrail.operators import state as state_ops
 from evotrail.options import FeedOptions
 from evotrail.plans.change_feed import notify, sent_events
-from evotrail.plans.staging import staged
+from evotrail.staging import staged
 from evotrail.schemas import FEED_EVENT, POSITION
 
 

@@ -1,9 +1,11 @@
 """The deduplication state in a folder that survives restarts.
 
-Each batch adds its new keys under its id, and every few batches the state is
-compacted and pruned into a new base. A batch reads only what earlier batches
-wrote, so a batch that is run again after a crash sees the same state as the
-first time and replaces what it had written.
+Batches are grouped into eras of a fixed length. Each batch adds its new keys to
+its era under its id, and the last batch of an era writes the whole state,
+compacted and pruned, as the base of the next one. A batch reads the base of its
+era and what earlier batches of the era added, so it lists few files however
+long the feed has run, and a batch that runs again after a crash sees the same
+state as the first time. Eras before the current one may be deleted.
 """
 
 from __future__ import annotations
@@ -15,30 +17,44 @@ from pyspark.sql import types as T
 
 from evotrail import schemas
 from evotrail.operators.state import prune_state
-from evotrail.plans.staging import staged
 from evotrail.sources.files import read_or_empty
 
 _WITH_BATCH = T.StructType([*schemas.STATE.fields, T.StructField("batch_id", T.LongType())])
 
 
-def load(spark: SparkSession, path: str, before_batch: int) -> DataFrame:
+def _added(spark: SparkSession, path: str, era: int, before_batch: int) -> DataFrame:
+    rows = read_or_empty(spark, f"{path}/added/era={era}", _WITH_BATCH)
+    return rows.filter(F.col("batch_id") < before_batch).drop("batch_id")
+
+
+def load(spark: SparkSession, path: str, batch_id: int, era_length: int) -> DataFrame:
     """The state as the batches before this one left it."""
-    bases = read_or_empty(spark, f"{path}/base", _WITH_BATCH)
-    bases = bases.filter(F.col("batch_id") < before_batch)
-    latest = bases.agg(F.max("batch_id")).first()[0]
-    added = read_or_empty(spark, f"{path}/added", _WITH_BATCH)
-    added = added.filter(F.col("batch_id") < before_batch)
-    if latest is None:
-        return added.drop("batch_id")
-    base = bases.filter(F.col("batch_id") == latest)
-    return base.unionByName(added.filter(F.col("batch_id") > latest)).drop("batch_id")
-
-
-def add(rows: DataFrame, path: str, batch_id: int) -> None:
+    era = batch_id // era_length
+    base = read_or_empty(spark, f"{path}/base/era={era}", schemas.STATE)
+    if era > 0 and not base.inputFiles():
+        raise ValueError(f"{path} has no base for era {era}; was its era length changed?")
+    return base.unionByName(_added(spark, path, era, batch_id))
+
+
+def add(rows: DataFrame, path: str, batch_id: int, era_length: int) -> None:
     """Store the keys a batch marked."""
     timestamp = F.col("timestamp").cast("timestamp").alias("timestamp")
     stored = rows.select("dedup_key", timestamp, "partition", "offset")
-    stored.write.mode("overwrite").parquet(f"{path}/added/batch_id={batch_id}")
+    era = batch_id // era_length
+    stored.write.mode("overwrite").parquet(f"{path}/added/era={era}/batch_id={batch_id}")
+
+
+def end_era(
+    spark: SparkSession, path: str, batch_id: int, era_length: int, max_keys: int
+) -> None:
+    """After the last batch of an era, write the base of the next; else do nothing."""
+    era, place = divmod(batch_id, era_length)
+    if place != era_length - 1:
+        return
+    base = read_or_empty(spark, f"{path}/base/era={era}", schemas.STATE)
+    whole = base.unionByName(_added(spark, path, era, batch_id + 1))
+    pruned = prune_state(whole, max_keys)
+    pruned.write.mode("overwrite").parquet(f"{path}/base/era={era + 1}")
 
 
 def keys_from_json(spark: SparkSession, path: str) -> DataFrame:
@@ -68,11 +84,4 @@ def seed(keys: DataFrame, path: str) -> None:
         "CAST(null AS int) AS partition",
         "CAST(null AS bigint) AS offset",
     )
-    first.write.mode("overwrite").parquet(f"{path}/base/batch_id=-1")
-
-
-def compact(spark: SparkSession, path: str, batch_id: int, max_keys: int) -> None:
-    """Write the whole state after a batch as a new base, oldest keys pruned."""
-    whole = staged(load(spark, path, batch_id + 1))
-    pruned = prune_state(whole, max_keys)
-    pruned.write.mode("overwrite").parquet(f"{path}/base/batch_id={batch_id}")
+    first.write.mode("overwrite").parquet(f"{path}/base/era=0")

@@ -24,6 +24,10 @@ from evotrail.plans.batch_run import run_batch
 from evotrail.sources import sinks, state_files
 
 
+#: Batches between two compactions of the state; must not change for a folder.
+ERA_LENGTH = 50
+
+
 @dataclass(frozen=True)
 class FeedFolders:
     """Where a feed keeps its files; all belong to one checkpoint."""
@@ -63,7 +67,7 @@ def process_batch(
     folders: FeedFolders,
     publish: Callable[[DataFrame], None] | None = None,
     dry_run: bool = False,
-    compact_every: int = 50,
+    era_length: int = ERA_LENGTH,
 ) -> dict[str, int]:
     """Run one batch and write what it yields: output first, then state, then counters.
 
@@ -75,7 +79,9 @@ def process_batch(
     again after a crash. A dry run writes no output but still marks its keys.
     """
     spark = records.sparkSession
-    state = state_files.load(spark, folders.state, batch_id) if options.deduplicate else None
+    state = None
+    if options.deduplicate:
+        state = state_files.load(spark, folders.state, batch_id, era_length)
     run = run_batch(records, snapshot, options, state)
     if not dry_run:
         sinks.write_batch(run.notifications, folders.notifications, batch_id)
@@ -87,9 +93,8 @@ def process_batch(
         rejected = parse.malformed_events(records)
         rejected.write.mode("overwrite").parquet(f"{folders.rejected}/batch_id={batch_id}")
     if options.deduplicate:
-        state_files.add(run.new_state(), folders.state, batch_id)
-        if batch_id % compact_every == compact_every - 1:
-            state_files.compact(spark, folders.state, batch_id, options.max_state_keys)
+        state_files.add(run.new_state(), folders.state, batch_id, era_length)
+        state_files.end_era(spark, folders.state, batch_id, era_length, options.max_state_keys)
     counters = run.counters().withColumn(
         "records_rejected", F.lit(run.records_rejected).cast("long")
     )
@@ -106,7 +111,7 @@ def start_feed(
     trigger: Mapping[str, object],
     publish: Callable[[DataFrame], None] | None = None,
     dry_run: bool = False,
-    compact_every: int = 50,
+    era_length: int = ERA_LENGTH,
     batch_done: Callable[[Mapping[str, int]], None] | None = None,
 ) -> StreamingQuery:
     """Start the feed on a streaming log.
@@ -128,7 +133,7 @@ def start_feed(
             folders,
             publish,
             dry_run,
-            compact_every,
+            era_length,
         )
         if batch_done is not None:
             batch_done(counters)

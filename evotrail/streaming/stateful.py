@@ -25,6 +25,9 @@ def stateful_feed(
 ) -> DataFrame:
     """Notifications of a streaming log as a streaming table.
 
+    The snapshot's file list is the one at the start of the query; restart it to
+    see later files. (``streaming.feed`` reads the snapshot anew for every batch.)
+
     ``remember`` bounds the state: a key counts as seen for at least that long
     after its event's log time (e.g. ``"7 days"``), until the watermark of later
     batches has passed it; None remembers keys for ever. With

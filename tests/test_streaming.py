@@ -68,14 +68,14 @@ def test_stream_equals_batch_over_restarts(spark, place):
     log_path, folders = place
     for start, stop in ((0, 20), (20, 40), (40, 41)):
         append(spark, log_path, start, stop)
-    run_to_end(spark, log_path, folders, compact_every=2)
+    run_to_end(spark, log_path, folders, era_length=2)
     assert sent_ids(spark, folders) == expected_ids(spark, 41)
 
-    run_to_end(spark, log_path, folders, compact_every=2)
+    run_to_end(spark, log_path, folders, era_length=2)
     assert sent_ids(spark, folders) == expected_ids(spark, 41)
 
     append(spark, log_path, 41, 90)
-    run_to_end(spark, log_path, folders, compact_every=2)
+    run_to_end(spark, log_path, folders, era_length=2)
     assert sent_ids(spark, folders) == expected_ids(spark, 90)
     totals = total_counters(spark, folders).first()
     broken = sum(1 for i in range(90) if value(i) == "broken")
@@ -93,9 +93,9 @@ def test_a_batch_run_again_changes_nothing(spark, place):
     _, folders = place
     batches = [spark.createDataFrame(rows(a, b), ENVELOPE) for a, b in ((0, 25), (25, 50))]
     for batch_id, records in enumerate(batches):
-        process_batch(records, batch_id, snapshot(spark), ALL_CHANGES, folders, compact_every=1)
+        process_batch(records, batch_id, snapshot(spark), ALL_CHANGES, folders, era_length=1)
     before = sent_ids(spark, folders), total_counters(spark, folders).first()
-    process_batch(batches[1], 1, snapshot(spark), ALL_CHANGES, folders, compact_every=1)
+    process_batch(batches[1], 1, snapshot(spark), ALL_CHANGES, folders, era_length=1)
     assert (sent_ids(spark, folders), total_counters(spark, folders).first()) == before
     assert before[0] == expected_ids(spark, 50)
 
@@ -109,13 +109,13 @@ def test_a_failed_send_fails_the_batch_and_marks_nothing(spark, place):
 
     with pytest.raises(OSError):
         process_batch(records, 0, snapshot(spark), ALL_CHANGES, folders, publish=broken)
-    assert state_files.load(spark, folders.state, 1).count() == 0
+    assert state_files.load(spark, folders.state, 1, 50).count() == 0
     seen = []
     process_batch(
         records, 0, snapshot(spark), ALL_CHANGES, folders, publish=lambda n: seen.extend(n.collect())
     )
     assert sorted(n.audit_log_event_id for n in seen) == expected_ids(spark, 25)
-    assert state_files.load(spark, folders.state, 1).count() == len(seen)
+    assert state_files.load(spark, folders.state, 1, 50).count() == len(seen)
 
 
 def test_published_rows_keep_the_order_of_a_key(spark, place):
@@ -151,8 +151,8 @@ def test_state_is_pruned_oldest_first(spark, place):
         environments=("env-test123",), include_config_changes=True, max_state_keys=5
     )
     records = spark.createDataFrame(rows(0, 50), ENVELOPE)
-    process_batch(records, 0, snapshot(spark), options, folders, compact_every=1)
-    state = state_files.load(spark, folders.state, 1)
+    process_batch(records, 0, snapshot(spark), options, folders, era_length=1)
+    state = state_files.load(spark, folders.state, 1, 1)
     sent = spark.read.parquet(folders.notifications).orderBy(F.desc("log_offset"))
     newest = [r.dedup_key for r in sent.collect()]
     kept = {r.dedup_key for r in state.collect()}
@@ -161,10 +161,15 @@ def test_state_is_pruned_oldest_first(spark, place):
 
 def test_missing_state_is_empty_and_nested_folders_are_made(spark, tmp_path):
     path = str(tmp_path / "a" / "b" / "state")
-    assert state_files.load(spark, path, 0).count() == 0
-    state_files.add(spark.createDataFrame([("k", None, 0, 1)], STATE), path, 0)
-    assert state_files.load(spark, path, 0).count() == 0
-    assert [r.dedup_key for r in state_files.load(spark, path, 1).collect()] == ["k"]
+    assert state_files.load(spark, path, 0, 2).count() == 0
+    state_files.add(spark.createDataFrame([("k", None, 0, 1)], STATE), path, 0, 2)
+    assert state_files.load(spark, path, 0, 2).count() == 0
+    assert [r.dedup_key for r in state_files.load(spark, path, 1, 2).collect()] == ["k"]
+    state_files.end_era(spark, path, 0, 2, 10)
+    with pytest.raises(ValueError, match="era length"):
+        state_files.load(spark, path, 2, 2)
+    state_files.end_era(spark, path, 1, 2, 10)
+    assert [r.dedup_key for r in state_files.load(spark, path, 2, 2).collect()] == ["k"]
 
 
 @pytest.mark.parametrize(
@@ -195,9 +200,9 @@ def test_a_seeded_state_marks_its_keys_and_is_pruned_first(spark, place):
     options = FeedOptions(
         environments=("env-test123",), include_config_changes=True, max_state_keys=total - 1
     )
-    process_batch(records, 0, snapshot(spark), options, folders, compact_every=1)
+    process_batch(records, 0, snapshot(spark), options, folders, era_length=1)
     assert len(sent_ids(spark, folders)) == total - 3
-    kept = {r.dedup_key for r in state_files.load(spark, folders.state, 1).collect()}
+    kept = {r.dedup_key for r in state_files.load(spark, folders.state, 1, 1).collect()}
     assert kept and not kept & set(keys)
 
 
