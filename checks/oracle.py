@@ -74,18 +74,24 @@ audit AS (
   FROM subjects)"""
 
 _REGISTRY = """
-registry AS (
+answers AS (
   SELECT environment_id, CAST(100000 + p_partkey AS INTEGER) AS schema_id,
-    p_partkey % 10 <> 3 AS found, p_partkey, p_size, p_name AS schema_text,
-    CASE p_partkey % 4 WHEN 2 THEN 'JSON' WHEN 3 THEN 'PROTOBUF' ELSE 'AVRO' END AS schema_type,
-    CASE WHEN p_partkey % 6 = 1 THEN '[{"name":"base","subject":"orders-' || p_partkey
-      || '-value","version":1}]' END AS schema_references,
-    CASE WHEN p_partkey % 7 <> 0 THEN
+    p_partkey % 5 <> 4 AS exists_there, p_partkey % 10 <> 3 AS answered, p_partkey, p_size, p_name
+  FROM part, (VALUES ('env-0'), ('env-1')) AS monitored(environment_id)),
+registry AS (
+  SELECT environment_id, schema_id, exists_there, p_partkey, p_size,
+    CASE WHEN exists_there THEN answered END AS found,
+    CASE WHEN exists_there THEN p_name END AS schema_text,
+    CASE WHEN exists_there THEN
+      CASE p_partkey % 4 WHEN 2 THEN 'JSON' WHEN 3 THEN 'PROTOBUF' ELSE 'AVRO' END
+      END AS schema_type,
+    CASE WHEN exists_there AND p_partkey % 6 = 1 THEN '[{"name":"base","subject":"orders-'
+      || p_partkey || '-value","version":1}]' END AS schema_references,
+    CASE WHEN exists_there AND p_partkey % 7 <> 0 THEN
       CASE p_partkey % 3 WHEN 0 THEN 'orders-' WHEN 1 THEN 'payments.' ELSE 'users-' END
       || p_partkey || '-value' END AS first_subject,
-    CASE WHEN p_partkey % 7 <> 0 THEN p_size END AS first_version
-  FROM part, (VALUES ('env-0'), ('env-1')) AS monitored(environment_id)
-  WHERE p_partkey < 100 AND p_partkey % 5 <> 4)"""
+    CASE WHEN exists_there AND p_partkey % 7 <> 0 THEN p_size END AS first_version
+  FROM answers)"""
 
 _ALL_KINDS = "kind IN ('signup', 'view', 'click', 'purchase', 'error')"
 _SCHEMA_KINDS = "kind IN ('signup', 'view', 'click')"
@@ -200,11 +206,11 @@ requests AS (
     AND request_version IS NOT NULL),
 named_versions AS (
   SELECT environment_id, first_subject AS subject, p_size AS version, found, schema_id,
-    schema_text, schema_type FROM registry WHERE p_partkey % 7 <> 0
+    schema_text, schema_type FROM registry WHERE exists_there AND p_partkey % 7 <> 0
   UNION
   SELECT environment_id, 'orders-' || p_partkey || '-value',
     CAST(p_partkey % 5 + 1 AS INTEGER), found, schema_id, schema_text, schema_type
-  FROM registry WHERE p_partkey % 7 <> 0)"""
+  FROM registry WHERE exists_there AND p_partkey % 7 <> 0)"""
 
 _JSON_OF = {
     "signup": """',"data_contract_registered":{' || substr(
