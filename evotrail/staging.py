@@ -14,7 +14,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
-    named = context.getConf().get(CHECKPOINT_DIR)
+    named = spark.conf.get(CHECKPOINT_DIR, None)
     if named is None:
         if not context.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")

@@ -12,6 +12,7 @@ from evotrail.plans import change_feed as feed
 from evotrail.schemas import ENVELOPE
 from evotrail.sources import files
 from evotrail.sources.derived_tables import audit_log, registry_snapshot
+from evotrail.staging import staged
 from tests.events import ALL_CHANGES, event, plan_text, record, schema, snapshot_of
 
 SF = "/root/testdata/sf0.001"
@@ -101,3 +102,11 @@ def test_spreading_only_helps_small_logs(spark):
     assert files.spread_few_splits(few, "id").rdd.getNumPartitions() == 8
     many = spark.range(0, 100, 1, 9)
     assert files.spread_few_splits(many, "id") is many
+
+
+def test_rows_are_stored_in_the_folder_the_session_names(spark):
+    rows = staged(spark.range(10).selectExpr("id * 2 AS twice"))
+    assert sorted(r.twice for r in rows.collect()) == list(range(0, 20, 2))
+    named = spark.conf.get("spark.checkpoint.dir")
+    assert named in spark.sparkContext.getCheckpointDir()
+    assert "Range" not in plan(rows, "simple")
