@@ -16,7 +16,6 @@ from evotrail import fixed_values as fv
 from evotrail.functions import event_fields as ef
 from evotrail.functions.globs import matches_any
 from evotrail.operators import (
-    dedup,
     log_ranges,
     notifications as notes,
     parse,

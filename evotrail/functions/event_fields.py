@@ -99,7 +99,8 @@ def dedup_key(scope: str = "subject") -> str:
 
 def event_type(method: str) -> str:
     """The notification type for a method name; null for unknown methods."""
-    cases = " ".join(f"WHEN '{name}' THEN '{kind}'" for name, kind in fv.EVENT_TYPE_OF_METHOD.items())
+    types = fv.EVENT_TYPE_OF_METHOD.items()
+    cases = " ".join(f"WHEN '{name}' THEN '{kind}'" for name, kind in types)
     return f"CASE {method} {cases} END"
 
 

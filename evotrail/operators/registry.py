@@ -100,7 +100,8 @@ def with_registered(events: DataFrame, snapshot: DataFrame) -> DataFrame:
     joined = events.selectExpr("*", f"{_LOOKUP_ID} AS lookup_id").join(
         info, ["environment_id", "lookup_id"], "left"
     )
-    result = f"""CASE WHEN {NEEDS_LOOKUP} THEN {OUTCOME.replace("http_status", "registered.http_status")}
+    asked = OUTCOME.replace("http_status", "registered.http_status")
+    result = f"""CASE WHEN {NEEDS_LOOKUP} THEN {asked}
       WHEN method_name = '{fv.REGISTER_SCHEMA}' THEN '{NO_ID}' END"""
     return joined.selectExpr("*", f"{result} AS lookup_outcome").drop("lookup_id")
 

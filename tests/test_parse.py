@@ -141,7 +141,10 @@ def test_dedup_keys(spark):
     cases = [
         (keyed, "orders-value:schema-registry.RegisterSchema:100001"),
         (event(subject="orders-value"), "orders-value:schema-registry.RegisterSchema:null"),
-        (event(data__request=None, data__resourceName=None, data__methodName=None), "null:null:null"),
+        (
+            event(data__request=None, data__resourceName=None, data__methodName=None),
+            "null:null:null",
+        ),
         (event(data=None), "unknown:unknown:null"),
     ]
     rows = audit(spark, *[c[0] for c in cases])

@@ -33,7 +33,8 @@ def rows(start, stop):
 
 
 def append(spark, path, start, stop):
-    spark.createDataFrame(rows(start, stop), ENVELOPE).coalesce(1).write.mode("append").parquet(path)
+    one_file = spark.createDataFrame(rows(start, stop), ENVELOPE).coalesce(1)
+    one_file.write.mode("append").parquet(path)
 
 
 @pytest.fixture()
@@ -112,7 +113,12 @@ def test_a_failed_send_fails_the_batch_and_marks_nothing(spark, place):
     assert state_files.load(spark, folders.state, 1, 50).count() == 0
     seen = []
     process_batch(
-        records, 0, snapshot(spark), ALL_CHANGES, folders, publish=lambda n: seen.extend(n.collect())
+        records,
+        0,
+        snapshot(spark),
+        ALL_CHANGES,
+        folders,
+        publish=lambda sent: seen.extend(sent.collect()),
     )
     assert sorted(n.audit_log_event_id for n in seen) == expected_ids(spark, 25)
     assert state_files.load(spark, folders.state, 1, 50).count() == len(seen)
