@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,7 +17,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     named = spark.conf.get(CHECKPOINT_DIR, None)
     if named is None:
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local["):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
         named = tempfile.mkdtemp(prefix="evotrail-checkpoint-")
     context.setCheckpointDir(named)
@@ -25,8 +26,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def staged(df: DataFrame) -> DataFrame:
     """The rows of ``df``, computed once and stored outside the executors.
 
-    For rows that several later steps read. Storage is reliable, so losing an
-    executor does not recompute the source.
+    For rows that several later steps read whole. Storage is reliable, so losing an
+    executor does not recompute the source; the files go once nothing refers to them.
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def staged_table(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, written once as Parquet in the shared folder and read again.
+
+    For wide rows that later steps read in part: they read only the columns they
+    name, compressed. The table goes when the application ends.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    context = spark.sparkContext
+    folder = f"{context.getCheckpointDir()}/staged-{uuid4().hex}"
+    df.write.parquet(folder)
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)

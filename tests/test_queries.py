@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as contract
 from checks.compare import compare, duckdb_views
+from checks.oracle import ORACLE
+from checks.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,12 +18,14 @@ def connection():
 
 
 def test_every_query_has_its_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, connection, name):
-    query, sql = contract.queries()[name], contract.oracle_sql()[name]
+    query, sql = QUERIES[name], ORACLE[name]
     assert compare(spark, connection, name, query, sql, SF) is None
 
 
