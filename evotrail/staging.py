@@ -47,3 +47,11 @@ def staged_table(df: DataFrame) -> DataFrame:
     path = context._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps now.
+
+    It follows the driver's garbage collection, which in a long job may come late.
+    """
+    spark.sparkContext._jvm.System.gc()
