@@ -32,34 +32,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evotrail.llm.batches import arrow_schema
-from evotrail.llm.token_counts import TokenCounter
+from evotrail.llm.token_counts import cuts_at_spaces, merger, read_ranks
 
 #: Tokens of a block that is packed at once.
 BLOCK_TOKENS = 1 << 21
+#: Distinct words a worker keeps; more are merged again when they return.
+KNOWN_WORDS = 250_000
 
 
-class TokenIds(TokenCounter):
-    """Encodes texts with a worker's table of bounded size: cut piece to its ids."""
+class WordIds(dict):
+    """The ids of a word with a space before it, merged when first asked for."""
+
+    def __init__(self, merge):
+        super().__init__()
+        self.merge = merge
+
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        ids = self[word] = self.merge(" " + word)
+        return ids
 
-    def __init__(self, path: str):
-        super().__init__(path, frozenset())
-        self.special = None
-        self.encoder.encode_special_tokens = True
 
-    def merged(self, pieces: list[str]) -> dict[str, list[int]]:
-        coded = self.encoder.encode_batch_fast(pieces, add_special_tokens=False)
-        return {piece: code.ids for piece, code in zip(pieces, coded)}
+class TokenIds:
+    """Encodes texts with one vocabulary file; one lives in each worker."""
+
+    def __init__(self, path: str):
+        self.merge, _ = merger(path)
+        self.words = WordIds(self.merge)
 
     def ids(self, text: str, kind) -> np.ndarray:
-        pieces = self.cut_plain(text)
-        known = self.pieces
-        fresh = {piece for piece in pieces if piece not in known}
-        if fresh:
-            if len(known) + len(fresh) > 200_000:
-                known.clear()
-                fresh = set(pieces)
-            known.update(self.merged(list(fresh)))
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, pieces)), kind)
+        if not cuts_at_spaces(text):
+            return np.array(self.merge(text), kind)
+        first, *others = text.split(" ")
+        found = chain(self.merge(first), *map(self.words.__getitem__, others))
+        return np.fromiter(found, kind)
 
 
 class RoomTree:
@@ -137,13 +144,13 @@ def pack_documents(
         " cu_seqlens array<int>, ids binary, position_ids binary"
     )
     kinds = arrow_schema(documents.sparkSession, schema)
+    most = max(max(read_ranks(path)[0].values()), fill_id, end_id or 0, length)
+    number = np.dtype("<u2" if most < 1 << 16 else "<u4")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _ENCODERS:
             _ENCODERS[path] = TokenIds(path)
         encoder = _ENCODERS[path]
-        most = max(encoder.encoder.get_vocab_size(), fill_id + 1, (end_id or 0) + 1, length)
-        number = np.dtype("<u2") if most <= 1 << 16 else np.dtype("<u4")
         pack, held, tokens = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for name, data in zip(batch.column(0), batch.column(1)):
@@ -151,15 +158,15 @@ def pack_documents(
                 if end_id is not None:
                     ids = np.append(ids, number.type(end_id))
                 if held and tokens + len(ids) > BLOCK_TOKENS:
-                    yield packed(held, pack, number)
+                    yield packed(held, pack)
                     pack, held, tokens = pack + tokens, [], 0
                 if len(ids):
                     held.append((name.as_py(), ids))
                     tokens += len(ids)
         if held:
-            yield packed(held, pack, number)
+            yield packed(held, pack)
 
-    def packed(held: list[tuple], pack: int, number: np.dtype) -> pa.RecordBatch:
+    def packed(held: list[tuple], pack: int) -> pa.RecordBatch:
         segments = [
             (name, at, ids[at : at + length])
             for name, ids in held
