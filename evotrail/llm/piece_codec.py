@@ -47,6 +47,8 @@ UNKNOWN = " ⁇ "
 KNOWN_UNITS = 300_000
 #: Pairs of pieces whose test a worker remembers.
 KNOWN_PAIRS = 1_000_000
+# Marks in place of a piece: the beginning of the text, and no piece.
+START, NONE = -1, -2
 #: Positions between two looks for a common boundary.
 LOOK_EVERY = 256
 
@@ -125,7 +127,29 @@ class Codec:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.known: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        ids, self.width = vocabulary.ids, len(vocabulary.decoded)
+        #: Beginnings of pieces, with the piece's id or -1 where more must follow.
+        self.nodes: dict[str, int] = {}
+        for piece in ids:
+            for end in range(1, len(piece)):
+                self.nodes.setdefault(piece[:end], -1)
+            self.nodes[piece] = ids[piece]
+        self.sizes, self.ranks, self.left_half, self.right_half = (
+            [0] * self.width for _ in range(4)
+        )
+        for piece, number in ids.items():
+            self.sizes[number], self.ranks[number] = len(piece), vocabulary.ranks[piece]
+            if piece in vocabulary.halves:
+                left, right = vocabulary.halves[piece]
+                self.left_half[number], self.right_half[number] = ids[left], ids[right]
+        #: The rank of every merge of two pieces, by both ids.
+        self.merges: dict[int, int] = {}
+        for piece, rank in vocabulary.ranks.items():
+            for cut in range(1, len(piece)):
+                if (left := ids.get(piece[:cut])) is not None:
+                    if (right := ids.get(piece[cut:])) is not None:
+                        self.merges[left * self.width + right] = rank
 
     @cached_property
     def units(self):
@@ -140,94 +164,97 @@ class Codec:
             parts = self.units(SPACE + text.replace(" ", SPACE))
         else:
             parts = [SPACE + part for part in text.split(" ")]
-        known = self.known
+        known, found = self.known, []
         for part in parts:
-            if part not in known:
+            numbers = known.get(part)
+            if numbers is None:
                 if len(known) >= KNOWN_UNITS:
                     known.clear()
-                    return self.encode_apart(parts)
-                known[part] = tuple(self.search(part))
-        return list(chain.from_iterable(map(known.__getitem__, parts)))
+                numbers = known[part] = tuple(self.search(part))
+            found.append(numbers)
+        return list(chain.from_iterable(found))
 
-    def encode_apart(self, parts: list[str]) -> list[int]:
-        """Encode without the table, for the text during which it was emptied."""
-        return [number for part in parts for number in self.search(part)]
-
-    def follows(self, left: str, right: str) -> bool:
+    def follows(self, left: int, right: int) -> bool:
         """True if merging the characters of both pieces gives the two pieces again.
 
         Undo the later of the merges beside the boundary, again and again: if the
         pieces on both sides would have merged across it earlier, they don't follow.
         """
-        ranks, halves = self.vocabulary.ranks, self.vocabulary.halves
-        bound = len(ranks) + 1
+        ranks, merges, width = self.ranks, self.merges, self.width
+        bound = len(self.vocabulary.ranks) + 1
         while True:
-            across = ranks.get(left + right, 0)
-            if across and across < bound:
+            if merges.get(left * width + right, bound) < bound:
                 return False
             rank_left, rank_right = ranks[left], ranks[right]
-            if not rank_left and not rank_right:
-                return True
             if rank_left > rank_right:
-                bound, left = rank_left, halves[left][1]
-            else:  # of equal merges the left one comes first, and it may be across
-                bound, right = rank_right + 1, halves[right][0]
+                bound, left = rank_left, self.right_half[left]
+            elif rank_right:  # of equal merges the left one comes first, maybe across
+                bound, right = rank_right + 1, self.left_half[right]
+            else:
+                return True
 
     def search(self, text: str) -> list[int]:
         """The ids of ``text``, committed as soon as no path can change them."""
-        ids, pairs, longest = self.vocabulary.ids, self.pairs, self.vocabulary.longest
+        nodes, pairs, width = self.nodes.get, self.pairs, self.width
+        longest, end = self.vocabulary.longest, len(text)
         done: list[int] = []
         start = 0  # all before it is committed
-        last: list[str | None] = [None]  # last piece up to start + index
-        for end in range(1, len(text) + 1):
-            found = None
-            for size in range(min(longest, end - start), 0, -1):
-                piece = text[end - size : end]
-                if piece not in ids:
-                    continue
-                before = last[end - size - start]
-                if before is None or before not in ids:
-                    # The beginning, a committed boundary or a character without a piece.
-                    found = piece
-                    break
-                pair = (before, piece)
-                holds = pairs.get(pair)
-                if holds is None:
-                    if len(pairs) >= KNOWN_PAIRS:
-                        pairs.clear()
-                    holds = pairs[pair] = self.follows(before, piece)
-                if holds:
-                    found = piece
+        # Last piece of the path up to start + index; START, or NONE if no piece ends it.
+        last = [START] + [NONE] * min(end, longest)
+        for place in range(end):
+            here = last[place - start]
+            for stop in range(place + 1, min(place + longest, end) + 1):
+                piece = nodes(text[place:stop])
+                if piece is None:
                     break
-            last.append(found if found is not None else text[end - 1])
-            if end - start >= LOOK_EVERY + longest:
-                boundary = self.common_boundary(last)
+                if piece < 0 or last[stop - start] != NONE:
+                    continue
+                if here >= 0:
+                    pair = here * width + piece
+                    holds = pairs.get(pair)
+                    if holds is None:
+                        if len(pairs) >= KNOWN_PAIRS:
+                            pairs.clear()
+                        holds = pairs[pair] = self.follows(here, piece)
+                    if not holds:
+                        continue
+                last[stop - start] = piece
+            if end > len(last) - 1 + start:
+                last.append(NONE)
+            if place - start > LOOK_EVERY + longest:
+                boundary = self.common_boundary(last, place + 1 - start)
                 if boundary:
-                    done += self.committed(last, boundary)
+                    done += self.committed(last, boundary, text, start)
                     start += boundary
                     last = last[boundary:]
-        return done + self.committed(last, len(last) - 1)
+        return done + self.committed(last, end - start, text, start)
 
-    def common_boundary(self, last: list[str | None]) -> int:
-        """The last boundary that the paths from all positions of the window share."""
-        open_ends = set(range(max(len(last) - self.vocabulary.longest, 0), len(last)))
+    def common_boundary(self, last: list[int], until: int) -> int:
+        """The last boundary that the paths to all positions still open share."""
+        open_ends = set(range(until, len(last))) | {until}
+        open_ends |= set(range(max(until - self.vocabulary.longest, 0), until))
+        sizes = self.sizes
         while len(open_ends) > 1:
             latest = max(open_ends)
             open_ends.remove(latest)
-            open_ends.add(latest - len(last[latest]) if last[latest] else 0)
-        return open_ends.pop()
-
-    def committed(self, last: list[str | None], end: int) -> list[int]:
-        """Ids of the path that ends at ``end``."""
-        ids, byte_ids, found = self.vocabulary.ids, self.vocabulary.byte_ids, []
+            piece = last[latest]
+            if latest > until and piece == NONE:
+                continue  # not reached yet; its path will come from an open position
+            open_ends.add(latest - (sizes[piece] if piece >= 0 else 1))
+        return max(open_ends.pop(), 0)
+
+    def committed(self, last: list[int], end: int, text: str, start: int) -> list[int]:
+        """Ids of the path that ends at ``end``; a character without a piece as bytes."""
+        sizes, byte_ids, found = self.sizes, self.vocabulary.byte_ids, []
         while end > 0:
             piece = last[end]
-            number = ids.get(piece)
-            if number is None:
-                found.extend(byte_ids[byte] for byte in reversed(piece.encode()))
+            if piece >= 0:
+                found.append(piece)
+                end -= sizes[piece]
             else:
-                found.append(number)
-            end -= len(piece)
+                end -= 1
+                code = text[start + end].encode(errors="replace")
+                found.extend(byte_ids[byte] for byte in reversed(code))
         found.reverse()
         return found
 

@@ -1,19 +1,19 @@
 """Exact token counts for byte-level BPE vocabularies, without building token lists.
 
 Whole-token shortcut: before the job, every vocabulary string is encoded alone; the
-strings that come out as one token are proven whole tokens, and any pre-token equal
-to one of them counts 1 with no merges. Only other pre-tokens are merged, once per
-distinct one in a worker's table of bounded size.
+strings that come out as one token are proven whole tokens, and a word equal to one of
+them counts 1 with no merges. Only other words are merged, once per distinct one in a
+worker's table of bounded size.
 
 Text is first cut at single spaces that touch no other white space: the vocabulary's
 pattern attaches such a space to the word after it, so every cut piece splits the
 same alone as within its text. Texts where a space touches other white space are
-split by the pattern as a whole.
+merged as a whole.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; the string of an
 added special token inside a text counts 1, as the library does by default; texts
 are counted whole, of any length; equal rows give equal rows; an empty table gives
-no rows.
+no rows; columns other than key and text are not looked at.
 """
 
 from __future__ import annotations
@@ -28,10 +28,8 @@ from pyspark.sql import functions as F
 
 from evotrail.llm.batches import map_batches
 
-#: Distinct pieces whose counts a worker keeps; more are counted again when they return.
-KNOWN_PIECES = 400_000
-#: Pre-tokens handed to the merges at a time.
-MERGE_BATCH = 20_000
+#: Distinct words a worker keeps; more are merged again when they return.
+KNOWN_WORDS = 400_000
 
 # The split pattern and the byte alphabet of byte-level BPE files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -61,11 +59,9 @@ def proven_whole_tokens(path: str) -> frozenset[str]:
     """
     alphabet = byte_alphabet()
     encoder = load(path)
-    special = {token.content for token in encoder.get_added_tokens_decoder().values()}
+    encoder.encode_special_tokens = True
     texts = []
     for written in encoder.get_vocab(with_added_tokens=False):
-        if written in special:
-            continue
         try:
             texts.append(bytes(alphabet[char] for char in written).decode())
         except (KeyError, UnicodeDecodeError):
@@ -74,73 +70,84 @@ def proven_whole_tokens(path: str) -> frozenset[str]:
     return frozenset(text for text, coded in zip(texts, found) if len(coded.ids) == 1)
 
 
-def special_strings(path: str) -> list[str]:
+def read_ranks(path: str) -> tuple[dict[bytes, int], list[str]]:
+    """(ranks of the byte strings, strings of special tokens) of a vocabulary file.
+
+    The ids of the merged strings must rise in the order of the merges, so that they
+    rank them.
+    """
     with open(path, encoding="utf-8") as file:
-        return [token["content"] for token in json.load(file).get("added_tokens", [])]
+        parts = json.load(file)
+    alphabet, vocabulary = byte_alphabet(), parts["model"]["vocab"]
+    special = [token["content"] for token in parts.get("added_tokens", [])]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in parts["model"]["merges"]]
+    made = [vocabulary[left + right] for left, right in merges]
+    if made != sorted(made):
+        raise ValueError(f"{path}: the ids don't rank the merges")
+    ranks = {
+        bytes(alphabet[char] for char in written): number
+        for written, number in vocabulary.items()
+        if written not in special
+    }
+    return ranks, special
+
+
+def merger(path: str):
+    """(function from text to ids, strings of special tokens) for a vocabulary file."""
+    import tiktoken
+
+    ranks, special = read_ranks(path)
+    encoding = tiktoken.Encoding(
+        path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}
+    )
+    return encoding.encode_ordinary, special
+
+
+#: A space beside other white space. Python's white space holds all of the pattern's.
+UNEVEN = re.compile(r" \s|\s ").search
+
+
+def cuts_at_spaces(text: str) -> bool:
+    """True if every piece between the text's spaces splits alone as it does in the text."""
+    return not (text[:1] == " " or text[-1:] == " " or UNEVEN(text))
+
+
+class WordCounts(dict):
+    """The number of tokens of a word with a space before it, merged when first asked for."""
+
+    def __init__(self, merge, whole: frozenset[str]):
+        super().__init__()
+        self.merge = merge
+        self.whole = {text[1:]: 1 for text in whole if text[:1] == " " and len(text) > 1}
+        self.update(self.whole)
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+            self.update(self.whole)
+        count = self[word] = len(self.merge(" " + word))
+        return count
 
 
 class TokenCounter:
     """Counts tokens of texts for one vocabulary file; one lives in each worker."""
 
     def __init__(self, path: str, whole: frozenset[str]):
-        import regex
-
-        self.whole = whole
-        self.encoder = load(path)
-        self.split = regex.compile(PATTERN).findall
-        special = special_strings(path)
+        self.merge, special = merger(path)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        # Python's white space has four more control characters than the pattern's.
-        self.uneven = re.compile(r" [\s]|[\s] ").search
-        self.pieces: dict[str, int] = {}
-
-    def counts(self, texts: list[str]) -> list[int]:
-        """Tokens of each text."""
-        cut = [self.cut(text) for text in texts]
-        known = self.pieces
-        fresh = {piece for pieces, _ in cut for piece in pieces if piece not in known}
-        if len(known) + len(fresh) > KNOWN_PIECES:
-            known.clear()
-            fresh = {piece for pieces, _ in cut for piece in pieces}
-        known.update(self.merged(list(fresh)))
-        return [sum(map(known.__getitem__, pieces)) + extra for pieces, extra in cut]
-
-    def cut(self, text: str) -> tuple[list[str], int]:
-        """Pieces that split alone as they do in the text, and the special tokens found."""
-        if self.special is None or self.special.search(text) is None:
-            return self.cut_plain(text), 0
-        parts = self.special.split(text)
-        return [piece for part in parts for piece in self.cut_plain(part)], len(parts) - 1
-
-    def cut_plain(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if self.uneven(text) or text[0] == " " or text[-1] == " ":
-            return self.split(text)
+        self.words = WordCounts(self.merge, whole)
+
+    def count(self, text: str) -> int:
+        if self.special is not None and self.special.search(text):
+            parts = self.special.split(text)
+            return sum(map(self.count_plain, parts)) + len(parts) - 1
+        return self.count_plain(text)
+
+    def count_plain(self, text: str) -> int:
+        if not cuts_at_spaces(text):
+            return len(self.merge(text))
         first, *others = text.split(" ")
-        return [first, *[" " + piece for piece in others]]
-
-    def merged(self, pieces: list[str]) -> dict[str, int]:
-        """Tokens of each distinct piece: whole tokens count 1, the rest is merged."""
-        whole, found, rest = self.whole, {}, {}
-        for piece in pieces:
-            if piece in whole:
-                found[piece] = 1
-                continue
-            parts = self.split(piece)
-            left = [part for part in parts if part not in whole]
-            found[piece] = len(parts) - len(left)
-            if left:
-                rest[piece] = left
-        distinct = list({part for parts in rest.values() for part in parts})
-        tokens: dict[str, int] = {}
-        for start in range(0, len(distinct), MERGE_BATCH):
-            some = distinct[start : start + MERGE_BATCH]
-            coded = self.encoder.encode_batch_fast(some, add_special_tokens=False)
-            tokens.update(zip(some, map(len, coded)))
-        for piece, parts in rest.items():
-            found[piece] += sum(map(tokens.__getitem__, parts))
-        return found
+        return len(self.merge(first)) + sum(map(self.words.__getitem__, others))
 
 
 _COUNTERS: dict[str, TokenCounter] = {}
@@ -165,17 +172,18 @@ def count_tokens(
     kind = documents.schema[key].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> dict[str, list]:
-        texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-        counts = counter(path, lambda: whole.value).counts(texts)
+        count = counter(path, lambda: whole.value).count
+        counts = [count(text.as_py() or "") for text in batch.column(1)]
         return {
             key: batch.column(0),
-            "n_bytes": [len(t.encode()) for t in texts],
+            "n_bytes": batch.column(2),
             "n_tokens": counts,
             "over_limit": [n > limit for n in counts],
         }
 
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
     return map_batches(
-        documents.select(F.col(key), F.col(text).alias("text_")),
+        documents.select(F.col(key), F.col(text).alias("text_"), size.alias("size_")),
         work,
         f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean",
     )
