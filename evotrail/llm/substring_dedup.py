@@ -203,7 +203,8 @@ def window_rows(listed: DataFrame, window: int) -> DataFrame:
 
 def repeated_runs(texts: DataFrame, window: int, anchor: int) -> DataFrame:
     """First level: (who, runs_) with the runs of each text whose anchor occurs again."""
-    repeated = (
+    # Stored, so that both sides of the join are moved and hot anchors can be split.
+    repeated = staged_table(
         anchor_rows(texts, window, anchor)
         .groupBy("anchor")
         .agg(F.count(F.lit(1)).alias("times"))
@@ -220,30 +221,36 @@ def repeated_runs(texts: DataFrame, window: int, anchor: int) -> DataFrame:
 
 def repeated_intervals(found: DataFrame, window: int) -> DataFrame:
     """Second level: (who, start, stop) of the words that repeated windows cover."""
+    # One occurrence stands for each context; both its columns come from one row.
     contexts = staged_table(
         found.groupBy("anchor", "context").agg(
-            F.count(F.lit(1)).alias("times"), F.first("windows").alias("windows")
+            F.count(F.lit(1)).alias("times"),
+            F.first("who").alias("who"),
+            F.first("first").alias("first"),
         )
     )
     several = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    again = (
-        contexts.join(several, "anchor")
-        .select("anchor", "times", F.explode("windows").alias("code"))
-        .groupBy("anchor", "code")
+    unlike = contexts.join(several, "anchor").select("anchor", "times", "who", "first")
+    windows = staged_table(
+        found.select("who", "first", "windows")
+        .join(unlike, ["who", "first"])
+        .select("who", "first", "anchor", "times", F.posexplode("windows").alias("place", "code"))
+    )
+    again = staged_table(
+        windows.groupBy("anchor", "code")
         .agg(F.sum("times").alias("times"))
         .where("times > 1")
         .select("anchor", "code")
     )
+    repeated = staged_table(contexts.where("times > 1").select("anchor", "context"))
     whole = (
         found.select("who", "first", "n", "anchor", "context")
-        .join(contexts.where("times > 1").select("anchor", "context"), ["anchor", "context"])
+        .join(repeated, ["anchor", "context"])
         .select("who", F.col("first").alias("start"), (F.col("first") + F.col("n") - 1).alias("at"))
     )
     # A context that occurs once has one row, which its windows lead back to.
     single = (
-        found.join(contexts.where("times = 1").select("anchor", "context"), ["anchor", "context"])
-        .join(several, "anchor")
-        .select("who", "first", "anchor", F.posexplode("windows").alias("place", "code"))
+        windows.where("times = 1")
         .join(again, ["anchor", "code"])
         .select("who", (F.col("first") + F.col("place")).alias("start"))
         .withColumn("at", F.col("start"))
