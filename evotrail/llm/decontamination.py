@@ -177,4 +177,6 @@ def without_overlaps(
     name to be removed by and stay."""
     found = overlaps(documents, key, text, benchmark, item, item_text)
     leaks = found.select(F.col(key).alias("leak_")).where("leak_ is not null").distinct()
-    return documents.join(leaks, documents[key] == F.col("leak_"), "left_anti")
+    return documents.alias("d").join(
+        leaks.alias("l"), F.col(f"d.{key}") == F.col("l.leak_"), "left_anti"
+    )
