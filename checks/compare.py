@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 from collections import Counter
 
@@ -69,6 +70,7 @@ def main(arguments: list[str]) -> int:
         spark__sql__shuffle__partitions="8",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="evotrail-compare-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
     connection = duckdb_views(sf_dir)

@@ -12,17 +12,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evotrail import fixed_values as fv
-from evotrail.sources.files import spread_few_splits
+from evotrail.sources.files import exists
 
 ORGANIZATION = "crn://cloud.example/organization=org1"
 OTHER_EVENT_TYPE = "example.other.server/request"
 MONITORED = ("env-0", "env-1")
+READ_METHOD, FOREIGN_METHOD = "schema-registry.GetSubjects", "kafka.CreateTopics"
 
 # Facts of an event row that the JSON text uses several times.
 _FACTS = {
     "n": "event_id",
     "k": "CAST(get_json_object(props, '$.k') AS int)",
-    "kind": "event_type",
+    # Two methods no option allows: another one of the registry, and a foreign one.
+    "kind": """CASE event_id % 31 WHEN 3 THEN 'read' WHEN 7 THEN 'foreign'
+      ELSE event_type END""",
     "partition": "CAST(user_id % 3 AS int)",
     "place": f"concat('{ORGANIZATION}/environment=env-', user_id % 4)",
     "prefix": "elt(CAST(user_id % 3 + 1 AS int), 'orders-', 'payments.', 'users-')",
@@ -33,7 +36,16 @@ _METHOD = f"""CASE kind
   WHEN 'view' THEN '{fv.DELETE_SCHEMA}'
   WHEN 'click' THEN '{fv.DELETE_SUBJECT}'
   WHEN 'purchase' THEN '{fv.UPDATE_COMPATIBILITY}'
-  WHEN 'error' THEN '{fv.UPDATE_MODE}' END"""
+  WHEN 'error' THEN '{fv.UPDATE_MODE}'
+  WHEN 'read' THEN '{READ_METHOD}'
+  WHEN 'foreign' THEN '{FOREIGN_METHOD}' END"""
+
+# A registered id is written as a whole or fractional double, beyond the int range, or
+# quoted.
+_RESULT_DATA = """named_struct(
+  'id', CASE WHEN n % 43 = 6 THEN null WHEN n % 41 = 5 THEN 1e12D
+    WHEN n % 17 = 4 THEN 100000.75D + k ELSE CAST(100000 + k AS double) END,
+  'id', CASE WHEN n % 43 = 6 THEN concat(100000 + k, '.5') END)"""
 
 # Versions are written as numbers or as quoted numbers, like the log does.
 _REQUEST = """named_struct(
@@ -54,9 +66,9 @@ _DATA = f"""named_struct(
     ELSE concat(place, '/schema-registry=lsrc-1/subject=', named) END,
   'request', CASE WHEN n % 19 <> 0 THEN {_REQUEST} END,
   'result', CASE WHEN n % 29 <> 0 THEN named_struct(
-    'status', CASE n % 7 WHEN 0 THEN 'FAILURE' WHEN 1 THEN 'success' ELSE 'SUCCESS' END,
-    'data', CASE WHEN kind = 'signup' AND k % 20 <> 0
-      THEN named_struct('id', CAST(100000 + k AS double)) END) END)"""
+    'status', CASE n % 7 WHEN 0 THEN 'FAILURE' WHEN 1 THEN 'success' WHEN 2 THEN 'sUcCess'
+      WHEN 3 THEN 'SUCCESS ' ELSE 'SUCCESS' END,
+    'data', CASE WHEN kind = 'signup' AND k % 20 <> 0 THEN {_RESULT_DATA} END) END)"""
 
 _RECORD = f"""to_json(named_struct(
   'id', concat('evt-', n),
@@ -67,7 +79,22 @@ _RECORD = f"""to_json(named_struct(
   'subject', CASE WHEN n % 13 = 0 AND n % 39 <> 0 THEN place END,
   'data', CASE WHEN n % 101 <> 0 THEN {_DATA} END))"""
 
-_VALUE = f"CASE n % 97 WHEN 0 THEN 'not json' WHEN 1 THEN '' ELSE {_RECORD} END"
+#: Unreadable records by event id modulo 97: text and reason.
+UNREADABLE = {
+    0: ("not json", "malformed"),
+    1: ("", "empty"),
+    2: ('{"id":"x","data":{"resourceName":{"a":1}}}', "wrong_type"),
+    3: ('{"id":["x"]}', "wrong_type"),
+    4: ('{"data":{"request":{"version":"3.7"}}}', "bad_number"),
+    5: ('{"data":{"request":{"version":"2d"}}}', "bad_number"),
+    6: ('{"data":{"request":{"version":true}}}', "bad_number"),
+}
+_UNREADABLE = " ".join(f"WHEN {n} THEN '{text}'" for n, (text, _) in UNREADABLE.items())
+
+# Some records spell a letter of a method name as an escape.
+_ESCAPED = f"""CASE WHEN n % 53 = 9
+  THEN replace({_RECORD}, '"schema-registry.Reg', '"schema-registry.\\\\u0052eg') ELSE {_RECORD} END"""
+_VALUE = f"CASE n % 97 {_UNREADABLE} ELSE {_ESCAPED} END"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,13 +104,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def audit_log(spark: SparkSession, sf_dir: str, to_parse: bool = True) -> DataFrame:
     """The log: partition, offset, timestamp and JSON text of every event row.
 
-    With ``to_parse``, a log of very few splits is spread over the cores, and a
-    one-element explode keeps filters on the text from rendering it twice.
-    Without it, the text is a plain column that is not rendered if not used.
+    A folder that holds the log already rendered (``write_fixtures``) gives that. Else,
+    with ``to_parse``, a one-element explode keeps filters on the text from rendering it
+    twice; without it, the text is a plain column that is not rendered if not used.
     """
+    if exists(spark, f"{sf_dir}/audit_log.parquet"):
+        return table(spark, sf_dir, "audit_log")
     events = table(spark, sf_dir, "events")
-    if to_parse:
-        events = spread_few_splits(events, "event_id")
     facts = events.selectExpr(
         "ts", *[f"{value} AS {name}" for name, value in _FACTS.items()]
     )
@@ -123,5 +150,11 @@ def registry_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def write_fixtures(spark: SparkSession, sf_dir: str, folder: str, files: int) -> None:
+    """Render the log of the tables once, into ``files`` files of another folder."""
+    log = audit_log(spark, sf_dir)
+    log.repartition(files, "offset").write.mode("overwrite").parquet(f"{folder}/audit_log.parquet")
+
+
 def monitored_environments(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(e,) for e in MONITORED], "environment_id string")

@@ -8,26 +8,42 @@ and ``part``, so it shares no logic with the Spark side.
 from __future__ import annotations
 
 from evotrail import fixed_values as fv
-from evotrail.sources.derived_tables import ORGANIZATION, OTHER_EVENT_TYPE
+from checks.derived_tables import (
+    FOREIGN_METHOD,
+    ORGANIZATION,
+    OTHER_EVENT_TYPE,
+    READ_METHOD,
+    UNREADABLE,
+)
 
 RANGE_START, RANGE_END = "TIMESTAMP '2024-01-10 00:00:00'", "TIMESTAMP '2024-01-20 00:00:00'"
 SPLIT = "TIMESTAMP '2024-01-15 00:00:00'"
 PRUNE_LIMIT, PRUNED_AT_ONCE = 500, 100
 
-_METHOD = f"""CASE event_type WHEN 'signup' THEN '{fv.REGISTER_SCHEMA}'
+_KIND = "CASE event_id % 31 WHEN 3 THEN 'read' WHEN 7 THEN 'foreign' ELSE event_type END"
+_METHOD = f"""CASE {_KIND} WHEN 'read' THEN '{READ_METHOD}' WHEN 'foreign' THEN '{FOREIGN_METHOD}'
+ WHEN 'signup' THEN '{fv.REGISTER_SCHEMA}'
  WHEN 'view' THEN '{fv.DELETE_SCHEMA}' WHEN 'click' THEN '{fv.DELETE_SUBJECT}'
  WHEN 'purchase' THEN '{fv.UPDATE_COMPATIBILITY}' WHEN 'error' THEN '{fv.UPDATE_MODE}' END"""
 
+_BAD = ", ".join(map(str, UNREADABLE))
+
+
+def _by_bad(place: int) -> str:
+    return " ".join(f"WHEN {n} THEN '{pair[place]}'" for n, pair in UNREADABLE.items())
+
+
 # One row per log record, with what its JSON says.
 _RECORDS = f"""
 source AS (
-  SELECT event_id AS n, ts, event_type AS kind,
+  SELECT event_id AS n, ts, {_KIND} AS kind,
     CAST(user_id % 3 AS INTEGER) AS "partition", event_id AS "offset",
     CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
     {_METHOD} AS method, 'env-' || (user_id % 4) AS env,
     CASE user_id % 3 WHEN 0 THEN 'orders-' WHEN 1 THEN 'payments.' ELSE 'users-' END
       || CAST(json_extract_string(props, '$.k') AS INTEGER) || '-value' AS named,
-    CASE event_id % 7 WHEN 0 THEN 'FAILURE' WHEN 1 THEN 'success' ELSE 'SUCCESS' END AS outcome
+    CASE event_id % 7 WHEN 0 THEN 'FAILURE' WHEN 1 THEN 'success' WHEN 2 THEN 'sUcCess'
+      WHEN 3 THEN 'SUCCESS ' ELSE 'SUCCESS' END AS outcome
   FROM events),
 facts AS (
   SELECT *,
@@ -56,10 +72,14 @@ parsed AS (
     CASE WHEN has_request AND kind = 'error' THEN
       CASE k % 3 WHEN 0 THEN 'READWRITE' WHEN 1 THEN 'READONLY' ELSE 'IMPORT' END END AS mode,
     CASE WHEN has_result THEN outcome END AS status,
-    CASE WHEN has_result AND kind = 'signup' AND k % 20 <> 0 THEN 100000 + k END AS schema_id,
+    CASE WHEN has_result AND kind = 'signup' AND k % 20 <> 0 THEN
+      CASE WHEN n % 43 <> 6 AND n % 41 = 5 THEN 2147483647 ELSE 100000 + k END END AS schema_id,
+    CASE WHEN has_result AND kind = 'signup' AND k % 20 <> 0 THEN
+      CASE WHEN n % 43 <> 6 AND n % 41 = 5 THEN 1000000000000 ELSE 100000 + k END END
+      AS written_id,
     CASE WHEN has_data AND n % 13 <> 0 THEN env
       WHEN n % 13 = 0 AND n % 39 <> 0 THEN env END AS environment_id
-  FROM facts WHERE n % 97 NOT IN (0, 1)),
+  FROM facts WHERE n % 97 NOT IN ({_BAD})),
 subjects AS (
   SELECT *, coalesce(request_data_subject, request_top_subject) AS request_subject,
     coalesce(request_data_subject, request_top_subject, resource_name) AS event_subject
@@ -97,6 +117,7 @@ _ALL_KINDS = "kind IN ('signup', 'view', 'click', 'purchase', 'error')"
 _SCHEMA_KINDS = "kind IN ('signup', 'view', 'click')"
 _SUBJECTS = (
     "(event_subject LIKE 'orders-%' OR event_subject LIKE 'payments.1%'"
+    " OR regexp_full_match(event_subject, 'users-[0-4].*-value')"
     " OR event_subject = 'users-7-value')"
 )
 
@@ -176,10 +197,12 @@ _REQUEST_JSON = f"""',"request":{{"accessType":"MODIFICATION"'
   )} || '}}'"""
 _RESULT_JSON = """',"result":{"status":"' || outcome || '"'
   || CASE WHEN kind = 'signup' AND k % 20 <> 0
-     THEN ',"data":{"id":' || (100000 + k) || '.0}' ELSE '' END || '}'"""
+     THEN ',"data":{"id":' || CASE WHEN n % 43 = 6 THEN '"' || (100000 + k) || '.5"'
+       WHEN n % 41 = 5 THEN '1.0E12' WHEN n % 17 = 4 THEN (100000 + k) || '.75'
+       ELSE (100000 + k) || '.0' END || '}' ELSE '' END || '}'"""
 _SCAN = f"""WITH {_RECORDS}
 SELECT "partition", "offset", CAST(ts AS VARCHAR) AS log_time,
-  CASE n % 97 WHEN 0 THEN 'not json' WHEN 1 THEN '' ELSE
+  CASE n % 97 {_by_bad(0)} ELSE replace(
   '{{"id":"evt-' || n || '","specversion":"1.0","unknownField":"extra"'
   || ',"type":"' || CASE WHEN n % 11 = 10 THEN '{OTHER_EVENT_TYPE}'
       ELSE '{fv.SCHEMA_EVENT_TYPE}' END || '"'
@@ -190,7 +213,9 @@ SELECT "partition", "offset", CAST(ts AS VARCHAR) AS log_time,
          ELSE place || '/schema-registry=lsrc-1/subject=' || named END || '"'
       || CASE WHEN has_request THEN {_REQUEST_JSON} ELSE '' END
       || CASE WHEN has_result THEN {_RESULT_JSON} ELSE '' END || '}}' ELSE '' END
-  || '}}' END AS value
+  || '}}', '"schema-registry.Reg',
+    CASE WHEN n % 53 = 9 THEN '"schema-registry.\\u0052eg' ELSE '"schema-registry.Reg' END)
+  END AS value
 FROM facts"""
 
 _POSITIONS = 'SELECT "partition", "offset", CAST(ts AS VARCHAR) AS log_time FROM source'
@@ -322,11 +347,11 @@ ORACLE: dict[str, str] = {
         request_data_subject, request_schema_type, compatibility, mode, status FROM audit"""
     ),
     "malformed_events": f"""WITH {_RECORDS}
-      SELECT "partition", "offset", CASE n % 97 WHEN 0 THEN 'not json' ELSE '' END AS value,
-        CASE n % 97 WHEN 0 THEN 'malformed' ELSE 'empty' END AS reject_reason
-      FROM source WHERE n % 97 IN (0, 1)""",
+      SELECT "partition", "offset", CASE n % 97 {_by_bad(0)} END AS value,
+        CASE n % 97 {_by_bad(1)} END AS reject_reason
+      FROM source WHERE n % 97 IN ({_BAD})""",
     "coerce_numeric_fields": _audit(
-        "SELECT event_id, request_version, CAST(schema_id AS BIGINT) AS result_id FROM audit"
+        "SELECT event_id, request_version, CAST(written_id AS BIGINT) AS result_id FROM audit"
     ),
     "resolve_subject": _audit(
         "SELECT event_id, request_subject, event_subject, notification_subject FROM audit"
@@ -341,7 +366,9 @@ ORACLE: dict[str, str] = {
     "dedup_key": _audit("SELECT event_id, dedup_key FROM audit"),
     "filter_event_type": _audit("SELECT event_id FROM audit WHERE n % 11 <> 10 AND has_data"),
     "filter_methods": _audit(f"SELECT event_id FROM audit WHERE has_data AND {_SCHEMA_KINDS}"),
-    "filter_methods_with_config": _audit("SELECT event_id FROM audit WHERE has_data"),
+    "filter_methods_with_config": _audit(
+        f"SELECT event_id FROM audit WHERE has_data AND {_ALL_KINDS}"
+    ),
     "filter_environment": _audit(
         """SELECT event_id, environment_id FROM audit
         WHERE environment_id IN ('env-0', 'env-1')"""
@@ -350,7 +377,8 @@ ORACLE: dict[str, str] = {
     "filter_subject": _audit(f"SELECT event_id, event_subject FROM audit WHERE {_SUBJECTS}"),
     "filter_subject_glob": _audit(
         """SELECT event_id, event_subject FROM audit
-        WHERE event_subject LIKE 'orders-%' OR event_subject LIKE 'payments.1%'"""
+        WHERE event_subject LIKE 'orders-%' OR event_subject LIKE 'payments.1%'
+          OR regexp_full_match(event_subject, 'users-[0-4].*-value')"""
     ),
     "filter_subject_exact": _audit(
         "SELECT event_id, event_subject FROM audit WHERE event_subject = 'users-7-value'"
@@ -359,6 +387,7 @@ ORACLE: dict[str, str] = {
       SELECT event_id, method_name, environment_id, event_subject FROM relevant""",
     "skip_reasons": _audit(
         f"""SELECT CASE WHEN n % 11 = 10 THEN 'event_type' WHEN NOT has_data THEN 'no_data'
+          WHEN NOT {_ALL_KINDS} THEN 'method'
           WHEN environment_id IS NULL THEN 'no_environment'
           WHEN environment_id NOT IN ('env-0', 'env-1') THEN 'unmonitored_environment'
           WHEN status IS NULL OR upper(status) <> 'SUCCESS' THEN 'not_successful'

@@ -26,11 +26,11 @@ from evotrail.operators import (
 from evotrail.plans import change_feed as feed
 from evotrail.plans.batch_run import run_batch
 from evotrail.staging import staged
-from evotrail.sources import derived_tables as dt
+from checks import derived_tables as dt
 
 SCHEMA_CHANGES = FeedOptions(environments=dt.MONITORED)
 ALL_CHANGES = FeedOptions(environments=dt.MONITORED, include_config_changes=True)
-GLOBS = ("orders-*", "payments.1*")
+GLOBS = ("orders-*", "payments.1*", "users-[0-4]*-value")
 EXACT = ("users-7-value",)
 RANGE_START, RANGE_END = "2024-01-10T00:00:00Z", "2024-01-20T00:00:00Z"
 SPLIT = "2024-01-15T00:00:00Z"
@@ -479,7 +479,9 @@ def run_metrics_with_state(spark, sf_dir):
 
 def failed_lookups(spark, sf_dir):
     """Relevant registrations left out because the registry did not answer."""
-    return registry.failed_lookups(_enriched(spark, sf_dir))
+    relevant = relevance.relevant_events(_candidates(spark, sf_dir), ALL_CHANGES)
+    snapshot = dt.registry_snapshot(spark, sf_dir)
+    return registry.failed_lookups(registry.with_failed_status(relevant, snapshot))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -22,8 +22,7 @@ MODE_UPDATED = "MODE_UPDATED"
 DEFAULT_SCHEMA_TYPE = "AVRO"
 UNKNOWN = "unknown"
 
-# Limits of the remembered deduplication keys.
-MAX_STATE_KEYS = 100_000
+# The share of the limit that leaves when a limited state is full.
 PRUNE_SHARE = 0.2
 
 SCHEMA_METHODS = (REGISTER_SCHEMA, DELETE_SCHEMA, DELETE_SUBJECT)

@@ -85,15 +85,19 @@ def dedup_key(scope: str = "subject") -> str:
 
     The key holds no environment, version or time unless ``scope`` is
     ``"environment"``: equal subjects and ids of two environments share a key,
-    and so do repeated deletions or updates of one subject.
+    and so do repeated deletions or updates of one subject. The scope ``"event"``
+    adds the event id, which tells repeated changes apart.
     """
     key = (
         "CASE WHEN has_data THEN concat(coalesce(event_subject, 'null'), ':',"
         " coalesce(method_name, 'null'), ':', coalesce(CAST(schema_id AS string), 'null'))"
         f" ELSE '{fv.UNKNOWN}:{fv.UNKNOWN}:null' END"
     )
-    if scope == "environment":
+    if scope in ("environment", "event"):
         key = f"concat(coalesce(environment_id, 'null'), ':', {key})"
+    if scope == "event":
+        # In front, so that the key still ends in ``:method:id``.
+        key = f"concat(coalesce(event_id, 'null'), ':', {key})"
     return key
 
 

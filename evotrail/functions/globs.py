@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,10 +53,11 @@ def matches_any(subject: Column, filters: Sequence[str]) -> Column:
 
 
 def check_globs(spark: SparkSession, filters: Sequence[str]) -> None:
-    """Raise now, on the driver, if a pattern is not a valid regex."""
+    """Raise now, on the driver and without a job, if a pattern is not a valid regex."""
+    pattern = spark.sparkContext._jvm.java.util.regex.Pattern
     for glob in filters:
         if "*" in glob:
             try:
-                spark.range(1).select(F.lit("").rlike(_whole(glob_regex(glob)))).first()
-            except Exception as error:
+                pattern.compile(_whole(glob_regex(glob)))
+            except Py4JError as error:
                 raise ValueError(f"subject filter {glob!r} is not a valid pattern") from error

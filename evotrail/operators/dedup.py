@@ -52,61 +52,28 @@ def is_repeatable(methods: Sequence[str]) -> Column:
     return method.isin(*methods)
 
 
-#: At most this many keys can hold more than one in this many of all rows.
-HOT_KEYS = 10_000
-#: A key with fewer rows than this is never worth splitting.
-HOT_FLOOR = 1_000_000
-
-
-def key_counts(events: DataFrame) -> DataFrame:
-    """Rows per key; each task sends one partial count per key it holds."""
-    return events.groupBy("dedup_key").agg(F.count("*").alias("_rows"))
-
-
-def join_by_key(
-    events: DataFrame,
-    per_key: DataFrame,
-    counts: DataFrame,
-    total: int,
-    how: str = "inner",
-    floor: int = HOT_FLOOR,
-) -> DataFrame:
-    """Join events with a table of one row per ``dedup_key``, hot keys in parts.
-
-    A key with more than ``limit`` rows is cut into parts of about that many,
-    and its row in ``per_key`` is repeated for each part. Only the list of hot
-    keys is broadcast: not more than ``HOT_KEYS`` keys can exceed ``limit``, as
-    it is at least ``total / HOT_KEYS``. ``total`` is the number of events.
+def known_keys(events: DataFrame, state: DataFrame) -> DataFrame:
+    """The keys of the events that the state holds, each once.
+
+    Each task sends a key once, however often it occurs; the state stays in place if
+    it is bucketed by key.
     """
-    limit = max(total // HOT_KEYS, floor)
-    if total <= limit:
-        return events.join(per_key, "dedup_key", how)
-    hot = F.broadcast(
-        counts.filter(F.col("_rows") > limit).selectExpr(
-            "dedup_key", f"CAST(ceil(_rows / {limit}) AS int) AS _parts"
-        )
-    )
-    position = ", ".join(f"`{name}`" for name in POSITION)
-    split = events.join(hot, "dedup_key", "left").selectExpr(
-        "*", f"coalesce(CAST(pmod(xxhash64({position}), _parts) AS int), 0) AS _part"
-    )
-    repeated = per_key.join(hot, "dedup_key", "left").selectExpr(
-        "*", "explode(sequence(0, coalesce(_parts, 1) - 1)) AS _part"
-    )
-    joined = split.drop("_parts").join(repeated.drop("_parts"), ["dedup_key", "_part"], how)
-    return joined.drop("_part")
+    return events.select("dedup_key").distinct().join(state, "dedup_key", "left_semi")
 
 
-def marks(sent: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def marks(sent: DataFrame, known: Sequence[DataFrame] = ()) -> DataFrame:
     """Per marked key, the position ``_first`` from which it is marked.
 
     Keys that an earlier run sent are marked from the start: ``_first`` is null.
+    Events meet these marks in a join on the key, one row per key on this side, whose
+    partitions adaptive execution splits where a key is hot.
     """
-    now = sent.select("dedup_key", F.struct(*POSITION).alias("_first"))
-    if known is None:
-        return now
-    position = now.schema["_first"].dataType
-    return now.unionByName(known.select("dedup_key", F.lit(None).cast(position).alias("_first")))
+    marked = sent.select("dedup_key", F.struct(*POSITION).alias("_first"))
+    position = marked.schema["_first"].dataType
+    for keys in known:
+        earlier = keys.select("dedup_key", F.lit(None).cast(position).alias("_first"))
+        marked = marked.unionByName(earlier)
+    return marked
 
 
 #: Whether an event joined with its key's mark came after the mark.

@@ -74,13 +74,16 @@ def select_range(log: DataFrame, options: ReadOptions, ends: DataFrame | None =
     """The stretch of a stored log that the read options name.
 
     STREAM and RESUME have no meaning for a stored table, since both start at a
-    position that only a running query's checkpoint knows.
+    position that only a running query's checkpoint knows. ``stop_at_current`` needs
+    ``ends``, taken by ``end_offsets`` when the run starts.
     """
     if options.mode in (ReadMode.STREAM, ReadMode.RESUME):
         raise ValueError(f"{options.mode.name} needs a streaming query and its checkpoint")
     if options.mode is ReadMode.TIMESTAMP:
         log = from_timestamp(log, options.start_timestamp)
-    if options.stop_at_current and ends is not None:
+    if options.stop_at_current:
+        if ends is None:
+            raise ValueError("stop_at_current needs the end offsets of the log")
         log = until_offsets(log, ends)
     if options.end_timestamp:
         log = until_timestamp(log, options.end_timestamp)

@@ -29,16 +29,51 @@ def _bad_numbers(event: str) -> str:
     return " OR ".join(ef.is_bad_number(text, number) for text, number in ints + doubles)
 
 
+def _type_fault() -> str:
+    """Why the JSON types of a record's members are wrong; null where they are right.
+
+    ``from_json`` reads any value as text. Text members must not hold an object or an
+    array, and a quoted int must be a whole number. Few records can be wrong, and the
+    raw text tells which: only those are parsed again, with their types.
+    """
+    names = "|".join(sorted({path.rpartition(".")[2] for path in schemas.TEXT_MEMBERS}))
+    ints = "|".join(sorted({path.rpartition(".")[2] for path in schemas.INT_MEMBERS}))
+    suspect = (
+        f"(value RLIKE '\"({names})\"\\\\s*:\\\\s*[\\\\[{{]'"
+        f" OR value RLIKE '\"({ints})\"\\\\s*:\\\\s*\"(?=[^\"]*[.a-zA-Z])[-+ .0-9eE]*[dDfF]? *\"'"
+        " OR contains(value, '\\\\u'))"
+    )
+
+    def kind(path: str) -> str:
+        return f"schema_of_variant(try_variant_get(v, '$.{path}', 'variant'))"
+
+    nested = " OR ".join(f"{kind(p)} RLIKE '^(OBJECT|ARRAY)'" for p in schemas.TEXT_MEMBERS)
+    quoted = " OR ".join(
+        f"({kind(p)} = 'STRING' AND trim(try_variant_get(v, '$.{p}', 'string'))"
+        " NOT RLIKE '^([+-]?[0-9]+|null|)$')"
+        for p in schemas.INT_MEMBERS
+    )
+    found = f"CASE WHEN {nested} THEN 'wrong_type' WHEN {quoted} THEN 'bad_number' END"
+    return (
+        f"CASE WHEN {suspect} THEN get(transform(array(try_parse_json(value)), v -> {found}), 0) END"
+    )
+
+
+_TYPE_FAULT = _type_fault()
+
 # Why a record holds no event; null where it does.
 _REJECT_REASON = f"""CASE
   WHEN value IS NULL OR value = '' THEN 'empty'
   WHEN event IS NULL THEN 'no_content'
   WHEN event.{schemas.CORRUPT} IS NOT NULL THEN 'malformed'
-  WHEN {_bad_numbers("event")} THEN 'bad_number' END"""
+  WHEN {_bad_numbers("event")} THEN 'bad_number'
+  ELSE {_TYPE_FAULT} END"""
 
 # The same test for one parsed event.
-_READABLE = f"e IS NOT NULL AND e.{schemas.CORRUPT} IS NULL AND NOT ({_bad_numbers('e')})"
-
+_READABLE = (
+    f"e IS NOT NULL AND e.{schemas.CORRUPT} IS NULL AND NOT ({_bad_numbers('e')})"
+    f" AND ({_TYPE_FAULT}) IS NULL"
+)
 
 
 def _parsed(schema: T.StructType) -> str:

@@ -71,18 +71,33 @@ OUTCOME = f"""CASE WHEN http_status = {FOUND} THEN '{HIT}'
   ELSE '{FAILED}' END"""
 
 
+def _failing(snapshot: DataFrame) -> DataFrame:
+    """The snapshot's failed rows, two narrow columns and the status."""
+    return snapshot.filter(~F.col("http_status").isin(FOUND, NOT_FOUND)).select(
+        "environment_id",
+        F.col("schema_id").cast("long").alias("lookup_id"),
+        F.col("http_status").alias("failed_status"),
+    )
+
+
 def drop_failed_lookups(events: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Without the registrations whose schema could not be fetched.
 
     Reads two narrow columns of the failed rows only, so the other side of this
     join stays small even for a large snapshot.
     """
-    failed = snapshot.filter(~F.col("http_status").isin(FOUND, NOT_FOUND)).select(
-        "environment_id", F.col("schema_id").cast("long").alias("lookup_id")
+    return (
+        events.selectExpr("*", f"{_LOOKUP_ID} AS lookup_id")
+        .join(_failing(snapshot), ["environment_id", "lookup_id"], "left_anti")
+        .drop("lookup_id")
     )
+
+
+def with_failed_status(events: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """Add ``failed_status``: the status of a failed lookup, null for all other events."""
     return (
         events.selectExpr("*", f"{_LOOKUP_ID} AS lookup_id")
-        .join(failed, ["environment_id", "lookup_id"], "left_anti")
+        .join(_failing(snapshot), ["environment_id", "lookup_id"], "left")
         .drop("lookup_id")
     )
 
@@ -106,13 +121,30 @@ def with_registered(events: DataFrame, snapshot: DataFrame) -> DataFrame:
     return joined.selectExpr("*", f"{result} AS lookup_outcome").drop("lookup_id")
 
 
-def failed_lookups(enriched: DataFrame) -> DataFrame:
-    """Registrations left out of the feed because the registry did not answer."""
-    return enriched.filter(F.col("lookup_outcome") == FAILED).select(
-        "event_id",
-        "environment_id",
-        "schema_id",
-        F.col("registered.http_status").alias("http_status"),
+def with_registered_apart(events: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """Like ``with_registered``, for stored or shuffled events that may be read twice.
+
+    Only the events that look something up meet the snapshot; the others pass by.
+    """
+    asks = F.coalesce(F.expr(NEEDS_LOOKUP), F.lit(False))
+    asking = with_registered(events.filter(asks), snapshot)
+    none = F.lit(None).cast(asking.schema["registered"].dataType)
+    outcome = F.when(F.col("method_name") == fv.REGISTER_SCHEMA, F.lit(NO_ID))
+    passing = events.filter(~asks).select(
+        *[c for c in asking.columns if c not in ("registered", "lookup_outcome")],
+        none.alias("registered"),
+        outcome.alias("lookup_outcome"),
+    )
+    return asking.unionByName(passing)
+
+
+def failed_lookups(events: DataFrame) -> DataFrame:
+    """Registrations left out of the feed because the registry did not answer.
+
+    Input holds ``failed_status`` (``with_failed_status``).
+    """
+    return events.filter("failed_status IS NOT NULL").select(
+        "event_id", "environment_id", "schema_id", F.col("failed_status").alias("http_status")
     )
 
 

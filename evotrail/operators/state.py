@@ -35,6 +35,17 @@ def kept_after_pruning(keys: int, max_keys: int, share: float = fv.PRUNE_SHARE)
     return max_keys - dropped + 1 + (keys - max_keys - 1) % dropped
 
 
+def drop_old(state: DataFrame, ttl_days: int) -> DataFrame:
+    """Without the keys first seen more than ``ttl_days`` before the newest one.
+
+    Keys without a time came from outside the log and stay.
+    """
+    newest = state.agg(F.max("timestamp").alias("_newest"))
+    age = F.expr(f"_newest - INTERVAL {int(ttl_days)} DAYS")
+    kept = F.col("timestamp").isNull() | (F.col("timestamp") >= age)
+    return state.join(F.broadcast(newest)).filter(kept).drop("_newest")
+
+
 def prune_state(
     state: DataFrame, max_keys: int, share: float = fv.PRUNE_SHARE
 ) -> DataFrame:
@@ -44,7 +55,8 @@ def prune_state(
     partition then tell which partitions are kept as a whole and how many rows
     of the next one, so no task sorts more than its own range.
     """
-    newest_first = [F.desc_nulls_last(name) for name in POSITION]
+    # Keys without a position are told apart by a hash, so that they fill many ranges.
+    newest_first = [*[F.desc_nulls_last(name) for name in POSITION], F.xxhash64("dedup_key")]
     ranges = staged(
         state.repartitionByRange(*newest_first).withColumn("_range", F.spark_partition_id())
     )

@@ -32,7 +32,10 @@ class FeedOptions:
     schema methods, plus the two configuration methods when
     ``include_config_changes`` is set. ``key_scope="environment"`` puts the
     environment in front of the deduplication key, so that equal subjects and
-    ids of two environments no longer collide.
+    ids of two environments no longer collide; ``"event"`` also adds the
+    event id, so that repeated changes of a subject are all sent and only copies of
+    an event are removed. ``max_state_keys`` and ``state_ttl_days`` forget old keys,
+    which may then be sent again; by default no key is forgotten.
     """
 
     environments: tuple[str, ...]
@@ -42,7 +45,8 @@ class FeedOptions:
     subject_filters: tuple[str, ...] = ()
     deduplicate: bool = True
     key_scope: str = "subject"
-    max_state_keys: int = fv.MAX_STATE_KEYS
+    max_state_keys: int | None = None
+    state_ttl_days: int | None = None
 
     def __post_init__(self):
         object.__setattr__(self, "environments", _as_tuple("environments", self.environments))
@@ -58,10 +62,12 @@ class FeedOptions:
             problems.append("environment ids must be non-empty and hold no '/'")
         if self.methods is not None and not self.methods:
             problems.append("methods must not be empty")
-        if self.key_scope not in ("subject", "environment"):
-            problems.append("key_scope must be 'subject' or 'environment'")
-        if self.max_state_keys < 1:
+        if self.key_scope not in ("subject", "environment", "event"):
+            problems.append("key_scope must be 'subject', 'environment' or 'event'")
+        if self.max_state_keys is not None and self.max_state_keys < 1:
             problems.append("max_state_keys must be positive")
+        if self.state_ttl_days is not None and self.state_ttl_days < 1:
+            problems.append("state_ttl_days must be positive")
         if problems:
             raise ValueError("; ".join(problems))
 

@@ -1,24 +1,28 @@
 """A bounded run over a stretch of the log, with everything the run reports.
 
 The raw log is read and parsed once. The records that can matter, a narrow and
-filtered part of it, are stored, and so are the events to be sent; duplicates,
-notifications, state and counters are computed from there.
+filtered part of it, are stored as Parquet, and so are the events to be sent and the
+marks of their keys; duplicates, notifications, state and counters are computed from
+there, each reading only its columns.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from evotrail import fixed_values as fv
+from evotrail.functions.globs import check_globs
 from evotrail.operators import dedup, metrics, parse, registry, relevance
 from evotrail.operators import state as state_ops
 from evotrail.options import FeedOptions
-from evotrail.plans.change_feed import notify, sent_events
-from evotrail.staging import staged
-from evotrail.schemas import FEED_EVENT, POSITION
+from evotrail.plans.change_feed import notify
+from evotrail.schemas import POSITION
+from evotrail.staging import staged_table
 
 
 @dataclass(frozen=True)
@@ -31,6 +35,7 @@ class BatchRun:
     duplicates: DataFrame
     notifications: DataFrame
     failed_lookups: DataFrame
+    rejected: DataFrame
 
     def counters(self) -> DataFrame:
         return metrics.run_counters(F.lit(self.events_consumed), self.sent, self.duplicates)
@@ -40,41 +45,74 @@ class BatchRun:
         return state_ops.state_rows(self.sent)
 
 
+#: The columns of a candidate that later steps read.
+_CANDIDATE = (
+    *POSITION,
+    "event_id",
+    "type",
+    "event_time",
+    "has_data",
+    "method_name",
+    "status",
+    "environment_id",
+    "event_subject",
+    "notification_subject",
+    "request_version",
+    "request_schema_type",
+    "compatibility",
+    "mode",
+    "schema_id",
+    "dedup_key",
+)
+
+
 def run_batch(
     log: DataFrame,
     snapshot: DataFrame,
     options: FeedOptions,
-    state: DataFrame | None = None,
-    hot_floor: int = dedup.HOT_FLOOR,
+    state: DataFrame | Sequence[DataFrame] | None = None,
 ) -> BatchRun:
     """Process a stretch of the log after the runs that ``state`` remembers.
 
-    ``state`` must hold each key once. Keys with more rows than ``hot_floor``
-    are split where events meet the marks of their keys.
+    ``state`` must hold each key once; it may come in several tables. The log is read and parsed once: candidates
+    and unreadable records are stored by one pass, in one table.
     """
-    counted = {name: Observation(name) for name in ("records", "events", "candidates")}
+    check_globs(log.sparkSession, options.subject_filters)
+    counted = {name: Observation(name) for name in ("records", "events")}
     one = F.count(F.lit(1)).alias("n")
-    events = parse.parse_events(log.observe(counted["records"], one), FEED_EVENT)
-    events = parse.derive_fields(events.observe(counted["events"], one), options)
+    parsed = parse.with_event(log.observe(counted["records"], one))
+    read = F.count(F.when(F.col("reject_reason").isNull(), 1)).alias("n")
+    fields = parse.derive_fields(parsed.observe(counted["events"], read), options)
     # Only keys of these methods are ever sent, in this run or an earlier one.
-    repeatable = events.filter(dedup.is_repeatable(tuple(fv.EVENT_TYPE_OF_METHOD)))
-    candidates = staged(repeatable.observe(counted["candidates"], one))
-    total = counted["candidates"].get["n"]
+    repeatable = dedup.is_repeatable(tuple(fv.EVENT_TYPE_OF_METHOD))
+    envelope = [name for name in log.columns if name not in (*POSITION, "value")]
+    rejected = F.col("reject_reason").isNotNull()
+    stored = staged_table(
+        fields.where(rejected | repeatable).select(
+            *_CANDIDATE,
+            "reject_reason",
+            *[F.when(rejected, F.col(name)).alias(name) for name in (*envelope, "value")],
+        )
+    )
+    rejects = stored.where(rejected).select(*log.columns, "reject_reason")
+    candidates = stored.where(~rejected).select(*_CANDIDATE)
 
-    sent = staged(sent_events(candidates, snapshot, options, state))
     relevant = relevance.relevant_events(candidates, options)
-    enriched = registry.with_registered(relevant, snapshot)
-    failed = enriched.filter(F.col("lookup_outcome") == registry.FAILED)
+    known_method = F.col("method_name").isin(*fv.EVENT_TYPE_OF_METHOD)
+    judged = registry.with_failed_status(relevant.where(known_method), snapshot)
+    sendable = judged.where("failed_status IS NULL").drop("failed_status")
+    failed = judged.where("failed_status IS NOT NULL")
     if options.deduplicate:
-        counts = dedup.key_counts(candidates)
-        known = None if state is None else counts.join(state, "dedup_key", "left_semi")
-        marks = dedup.marks(sent, known).withColumn("_marked", F.lit(True))
-        repeats = dedup.join_by_key(candidates, marks, counts, total, floor=hot_floor)
-        repeats = repeats.filter(dedup.IS_AFTER_MARK)
+        tables = [state] if isinstance(state, DataFrame) else list(state or ())
+        sent = staged_table(reduce(dedup.drop_known, tables, dedup.first_per_key(sendable)))
+        marks = dedup.marks(sent, [dedup.known_keys(candidates, table) for table in tables])
+        marks = staged_table(marks.withColumn("_marked", F.lit(True)))
+        repeats = candidates.join(marks, "dedup_key").filter(dedup.IS_AFTER_MARK)
         # A duplicate is skipped before its schema is looked up.
-        failed = dedup.join_by_key(failed, marks, counts, total, "left", hot_floor)
+        failed = failed.join(marks, "dedup_key", "left")
         failed = failed.filter(f"_marked IS NULL OR NOT ({dedup.IS_AFTER_MARK})")
     else:
+        sent = staged_table(sendable)
         repeats = candidates.limit(0)
     return BatchRun(
         events_consumed=counted["events"].get["n"],
@@ -83,4 +121,5 @@ def run_batch(
         duplicates=repeats.select("event_id", "dedup_key", *POSITION),
         notifications=notify(sent, snapshot),
         failed_lookups=registry.failed_lookups(failed),
+        rejected=rejects,
     )

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evotrail import fixed_values as fv
+from evotrail.functions.globs import check_globs
 from evotrail.operators import dedup, notifications, parse, registry, relevance
 from evotrail.options import FeedOptions
+from evotrail.staging import staged_table
 
 
 def sendable_events(events: DataFrame, snapshot: DataFrame, options: FeedOptions) -> DataFrame:
@@ -38,8 +40,13 @@ def sent_events(
 
 
 def notify(sent: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Notifications for events that are to be sent."""
-    return notifications.to_notifications(registry.with_registered(sent, snapshot))
+    """Notifications for events that are to be sent.
+
+    A streaming table is read once, so all its events pass the join; else only the
+    events that look something up do.
+    """
+    look_up = registry.with_registered if sent.isStreaming else registry.with_registered_apart
+    return notifications.to_notifications(look_up(sent, snapshot))
 
 
 def change_feed(
@@ -49,6 +56,7 @@ def change_feed(
     state: DataFrame | None = None,
 ) -> DataFrame:
     """Deduplicated notifications of a log, with their log positions and keys."""
+    check_globs(log.sparkSession, options.subject_filters)
     if not options.deduplicate:
         return all_notifications(log, snapshot, options)
     events = parse.change_candidates(log, options)
@@ -58,11 +66,15 @@ def change_feed(
 def all_notifications(log: DataFrame, snapshot: DataFrame, options: FeedOptions) -> DataFrame:
     """One notification per sendable event, duplicates included.
 
-    Every event is enriched here, so the one join with the snapshot also tells
-    which lookups failed.
+    The relevant events are stored, so that the log is parsed once and only the events
+    that look something up are moved to the snapshot. That join also tells which
+    lookups failed.
     """
-    relevant = relevance.relevant_events(parse.change_candidates(log, options), options)
-    enriched = registry.with_registered(relevant, snapshot)
+    check_globs(log.sparkSession, options.subject_filters)
+    events = staged_table(
+        relevance.relevant_events(parse.change_candidates(log, options), options)
+    )
+    enriched = registry.with_registered_apart(events, snapshot)
     failed = F.col("lookup_outcome") == registry.FAILED
     return notifications.to_notifications(
         enriched.filter(~F.coalesce(failed, F.lit(False)))

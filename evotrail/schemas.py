@@ -33,6 +33,7 @@ ENVELOPE = T.StructType(
     ]
 )
 
+# Member names as the audit log writes them.
 #: One audit event. Number members are read as text and converted afterwards,
 #: because the log writes some of them as quoted strings.
 EVENT = _struct(
@@ -66,9 +67,10 @@ EVENT = _struct(
     ),
 )
 
-#: The part of an event that the feed uses. The members left out are texts, which
-#: any JSON value can fill, so exactly the same records are readable as with
-#: ``EVENT``; the parser skips their values, among them whole schema texts.
+#: The part of an event that the feed uses. The members left out are texts, whose
+#: JSON types ``operators.parse`` checks on the raw record, so exactly the same records
+#: are readable as with ``EVENT``; the parser skips their values, among them whole
+#: schema texts.
 FEED_EVENT = _struct(
     id=_string,
     type=_string,
@@ -99,6 +101,29 @@ INT_MEMBERS = (
 )
 DOUBLE_MEMBERS = ("data.result.data.id",)
 
+#: Members of ``EVENT`` that must not hold an object or an array.
+TEXT_MEMBERS = (
+    "id",
+    "specversion",
+    "type",
+    "source",
+    "subject",
+    "time",
+    "data.serviceName",
+    "data.methodName",
+    "data.resourceName",
+    "data.request.accessType",
+    "data.request.data.subject",
+    "data.request.data.schema",
+    "data.request.data.schemaType",
+    "data.request.subject",
+    "data.request.compatibility",
+    "data.request.mode",
+    "data.result.status",
+    "data.result.message",
+)
+
+# Names and order of the published record's fields.
 #: One notification; the field order is that of the published record.
 NOTIFICATION = T.StructType(
     [
@@ -155,7 +180,11 @@ _AVRO_NAMES = {
 }
 
 
-def notification_avro_schema(namespace: str, name: str = "SchemaChangeNotification") -> str:
+# Fixed value: the published record's name.
+RECORD_NAME = "SchemaChangeNotification"
+
+
+def notification_avro_schema(namespace: str, name: str = RECORD_NAME) -> str:
     """Avro schema of ``NOTIFICATION``, for ``to_avro``.
 
     Payload records are named after their field in camel case, ``event_type``

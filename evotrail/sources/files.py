@@ -2,26 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from evotrail import schemas
 
 
-def spread_few_splits(df: DataFrame, *keys: str) -> DataFrame:
-    """Give every core work when the files hold fewer splits than there are cores.
-
-    Parsing JSON costs far more than moving it, so a log in a few files that
-    cannot be split further is shuffled once by its keys. With at least as many
-    splits as cores, as in any large log, this does nothing.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
 def read_log(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
     """A stored log with the envelope columns."""
     return spark.read.schema(schemas.ENVELOPE).format(file_format).load(path)
@@ -45,11 +31,14 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.REGISTRY).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(context._jsc.hadoopConfiguration()).exists(folder)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A table that may not have been written yet: a missing one is empty."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], schema)
-        raise
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)

@@ -17,10 +17,6 @@ from evotrail.options import ReadMode, ReadOptions, parse_instant
 SINK_OPTIONS = {
     "kafka.acks": "all",
     "kafka.enable.idempotence": "true",
-    "kafka.retries": "3",
-    "kafka.retry.backoff.ms": "1000",
-    "kafka.batch.size": "16384",
-    "kafka.linger.ms": "10",
     "kafka.compression.type": "snappy",
 }
 

@@ -11,16 +11,17 @@ _IN_LOG_ORDER = ("log_timestamp", "log_partition", "log_offset")
 
 
 def in_key_order(notifications: DataFrame) -> DataFrame:
-    """All notifications of a message key in one partition, in log order.
+    """All notifications of a subject in one partition, in log order.
 
-    Order per key needs one sender per key, so a key cannot be split here. What
-    arrives are deduplicated changes of one micro-batch, whose size the source
-    limits; a backfill to files does not need this.
+    Order per key needs one sender per key, so the notifications of a subject stay
+    together. Those without a subject share a message key but have no order to keep,
+    and are spread.
     """
     key = message_key(F.col("subject"))
+    spread = F.when(F.col("subject").isNull(), F.xxhash64(*_IN_LOG_ORDER))
     return (
         notifications.withColumn("_key", key)
-        .repartition("_key")
+        .repartition("_key", spread)
         .sortWithinPartitions("_key", *_IN_LOG_ORDER)
         .drop("_key")
     )

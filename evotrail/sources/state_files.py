@@ -1,39 +1,86 @@
 """The deduplication state in a folder that survives restarts.
 
 Batches are grouped into eras of a fixed length. Each batch adds its new keys to
-its era under its id, and the last batch of an era writes the whole state,
-compacted and pruned, as the base of the next one. A batch reads the base of its
-era and what earlier batches of the era added, so it lists few files however
-long the feed has run, and a batch that runs again after a crash sees the same
-state as the first time. Eras before the current one may be deleted.
+its era under its id, and the last batch of an era writes the whole state as the base
+of the next one, in buckets by key. A batch meets the base bucket by bucket, without
+moving it, and what earlier batches of its era added, which is small. A batch that runs
+again after a crash sees the same state as the first time. Eras before the current one
+may be deleted.
+
+No key is forgotten unless the options say so; keys that are leave when an era ends.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evotrail import schemas
-from evotrail.operators.state import prune_state
-from evotrail.sources.files import read_or_empty
+from evotrail.operators.state import drop_old, prune_state
+from evotrail.sources.files import exists, read_or_empty
+
+#: Buckets of a base; at least as many as shuffle partitions, so that Spark moves the
+#: batch to the state and not the state to the batch. Must not change for a folder.
+BUCKETS = 256
 
 _WITH_BATCH = T.StructType([*schemas.STATE.fields, T.StructField("batch_id", T.LongType())])
 
 
+def _base_path(path: str, era: int, buckets: int) -> str:
+    return f"{path}/base/buckets={buckets}/era={era}"
+
+
+def _table_name(path: str, era: int, buckets: int) -> str:
+    code = hashlib.md5(_base_path(path, era, buckets).encode()).hexdigest()
+    return f"evotrail_state_{code}"
+
+
+def _base(spark: SparkSession, path: str, era: int, buckets: int) -> DataFrame:
+    """The base of an era as a bucketed table; the session's catalog only names it."""
+    folder = _base_path(path, era, buckets)
+    if not exists(spark, folder):
+        if era > 0:
+            raise ValueError(f"{path} has no base for era {era}; was its era length changed?")
+        return spark.createDataFrame([], schemas.STATE)
+    name = _table_name(path, era, buckets)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schemas.STATE)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet"
+        f" CLUSTERED BY (dedup_key) SORTED BY (dedup_key) INTO {buckets} BUCKETS"
+        f" LOCATION '{folder}'"
+    )
+    return spark.table(name)
+
+
+def _write_base(state: DataFrame, path: str, era: int, buckets: int) -> None:
+    (
+        state.repartition(buckets, "dedup_key")
+        .write.mode("overwrite")
+        .bucketBy(buckets, "dedup_key")
+        .sortBy("dedup_key")
+        .option("path", _base_path(path, era, buckets))
+        .saveAsTable(_table_name(path, era, buckets))
+    )
+
+
 def _added(spark: SparkSession, path: str, era: int, before_batch: int) -> DataFrame:
     rows = read_or_empty(spark, f"{path}/added/era={era}", _WITH_BATCH)
     return rows.filter(F.col("batch_id") < before_batch).drop("batch_id")
 
 
-def load(spark: SparkSession, path: str, batch_id: int, era_length: int) -> DataFrame:
-    """The state as the batches before this one left it."""
+def load(
+    spark: SparkSession, path: str, batch_id: int, era_length: int, buckets: int = BUCKETS
+) -> tuple[DataFrame, DataFrame]:
+    """The state as the batches before this one left it: the base, and what was added.
+
+    No key is in both.
+    """
     era = batch_id // era_length
-    base = read_or_empty(spark, f"{path}/base/era={era}", schemas.STATE)
-    if era > 0 and not base.inputFiles():
-        raise ValueError(f"{path} has no base for era {era}; was its era length changed?")
-    return base.unionByName(_added(spark, path, era, batch_id))
+    return _base(spark, path, era, buckets), _added(spark, path, era, batch_id)
 
 
 def add(rows: DataFrame, path: str, batch_id: int, era_length: int) -> None:
@@ -45,23 +92,39 @@ def add(rows: DataFrame, path: str, batch_id: int, era_length: int) -> None:
 
 
 def end_era(
-    spark: SparkSession, path: str, batch_id: int, era_length: int, max_keys: int
+    spark: SparkSession,
+    path: str,
+    batch_id: int,
+    era_length: int,
+    max_keys: int | None = None,
+    ttl_days: int | None = None,
+    buckets: int = BUCKETS,
 ) -> None:
     """After the last batch of an era, write the base of the next; else do nothing."""
     era, place = divmod(batch_id, era_length)
     if place != era_length - 1:
         return
-    base = read_or_empty(spark, f"{path}/base/era={era}", schemas.STATE)
-    whole = base.unionByName(_added(spark, path, era, batch_id + 1))
-    pruned = prune_state(whole, max_keys)
-    pruned.write.mode("overwrite").parquet(f"{path}/base/era={era + 1}")
+    whole = _base(spark, path, era, buckets).unionByName(_added(spark, path, era, batch_id + 1))
+    if ttl_days is not None:
+        whole = drop_old(whole, ttl_days)
+    if max_keys is not None:
+        whole = prune_state(whole, max_keys)
+    _write_base(whole, path, era + 1, buckets)
+
+
+def keys_from_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Keys of files that hold one JSON string per line; of any size."""
+    keys = spark.read.text(path).selectExpr(
+        "get(from_json(concat('[', value, ']'), 'array<string>'), 0) AS dedup_key"
+    )
+    return keys.filter("dedup_key IS NOT NULL").distinct()
 
 
 def keys_from_json(spark: SparkSession, path: str) -> DataFrame:
     """Keys of a file that holds one JSON array of strings.
 
-    A missing or unreadable file gives no keys. Such a file is read as a whole;
-    the format is meant for states of at most some 100,000 keys.
+    A missing or unreadable file gives no keys. One array can only be read as a whole,
+    by one task: large states come as ``keys_from_lines``.
     """
     try:
         text = spark.read.text(path, wholetext=True)
@@ -73,7 +136,7 @@ def keys_from_json(spark: SparkSession, path: str) -> DataFrame:
     return keys.filter("dedup_key IS NOT NULL").distinct()
 
 
-def seed(keys: DataFrame, path: str) -> None:
+def seed(keys: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Let a new state folder start from keys that were sent before its first batch.
 
     They count as older than any key of the log.
@@ -84,4 +147,4 @@ def seed(keys: DataFrame, path: str) -> None:
         "CAST(null AS int) AS partition",
         "CAST(null AS bigint) AS offset",
     )
-    first.write.mode("overwrite").parquet(f"{path}/base/era=0")
+    _write_base(first, path, 0, buckets)

@@ -1,8 +1,11 @@
 """The change feed as a running query with exact first-wins deduplication.
 
 Each micro-batch is a bounded run (``plans.batch_run``) against the state that
-earlier batches left. Within a batch the first event by log position wins, so
-the result does not depend on how the log is cut into batches. Output, state
+earlier batches left. The first event of a key wins: by arrival between batches, by
+log position (time, partition, offset) within one. A source hands out each log
+partition in its order, so cuts cannot change the winner among the events of one
+partition; among partitions an event with an earlier time loses if a later batch
+brings it. Output, state
 and counters are written under the batch id: a batch that runs again after a
 crash replaces what it wrote, and a failed write fails the batch.
 """
@@ -17,7 +20,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from evotrail.functions.globs import check_globs
-from evotrail.operators import parse
 from evotrail.operators.metrics import COUNTERS
 from evotrail.options import FeedOptions
 from evotrail.plans.batch_run import run_batch
@@ -68,11 +70,12 @@ def process_batch(
     publish: Callable[[DataFrame], None] | None = None,
     dry_run: bool = False,
     era_length: int = ERA_LENGTH,
+    buckets: int = state_files.BUCKETS,
 ) -> dict[str, int]:
     """Run one batch and write what it yields: output first, then state, then counters.
 
     Side tables keep what the feed leaves out: registrations whose lookup
-    failed, and unreadable records, which are parsed again only if there are any.
+    failed, and unreadable records, from the same pass over the batch.
     Returns the counters.
 
     ``publish`` sends notifications on, e.g. to a topic; it may see a batch
@@ -81,7 +84,7 @@ def process_batch(
     spark = records.sparkSession
     state = None
     if options.deduplicate:
-        state = state_files.load(spark, folders.state, batch_id, era_length)
+        state = state_files.load(spark, folders.state, batch_id, era_length, buckets)
     run = run_batch(records, snapshot, options, state)
     if not dry_run:
         sinks.write_batch(run.notifications, folders.notifications, batch_id)
@@ -90,11 +93,18 @@ def process_batch(
     failed = f"{folders.failed_lookups}/batch_id={batch_id}"
     run.failed_lookups.write.mode("overwrite").parquet(failed)
     if run.records_rejected:
-        rejected = parse.malformed_events(records)
-        rejected.write.mode("overwrite").parquet(f"{folders.rejected}/batch_id={batch_id}")
+        run.rejected.write.mode("overwrite").parquet(f"{folders.rejected}/batch_id={batch_id}")
     if options.deduplicate:
         state_files.add(run.new_state(), folders.state, batch_id, era_length)
-        state_files.end_era(spark, folders.state, batch_id, era_length, options.max_state_keys)
+        state_files.end_era(
+            spark,
+            folders.state,
+            batch_id,
+            era_length,
+            options.max_state_keys,
+            options.state_ttl_days,
+            buckets,
+        )
     counters = run.counters().withColumn(
         "records_rejected", F.lit(run.records_rejected).cast("long")
     )
@@ -113,6 +123,7 @@ def start_feed(
     dry_run: bool = False,
     era_length: int = ERA_LENGTH,
     batch_done: Callable[[Mapping[str, int]], None] | None = None,
+    buckets: int = state_files.BUCKETS,
 ) -> StreamingQuery:
     """Start the feed on a streaming log.
 
@@ -134,6 +145,7 @@ def start_feed(
             publish,
             dry_run,
             era_length,
+            buckets,
         )
         if batch_done is not None:
             batch_done(counters)

@@ -21,7 +21,7 @@ def stateful_feed(
     snapshot: DataFrame,
     options: FeedOptions,
     remember: str | None = None,
-    salts: int = 1,
+    salts: int = 32,
 ) -> DataFrame:
     """Notifications of a streaming log as a streaming table.
 
@@ -30,9 +30,9 @@ def stateful_feed(
 
     ``remember`` bounds the state: a key counts as seen for at least that long
     after its event's log time (e.g. ``"7 days"``), until the watermark of later
-    batches has passed it; None remembers keys for ever. With
-    ``salts`` above 1 a key is first deduplicated in that many parts, so that a
-    key with very many events is spread over several tasks.
+    batches has passed it; None remembers keys for ever. A key is first deduplicated
+    in ``salts`` parts, so that a key with very many events is spread over several
+    tasks; 1 leaves that step out.
     """
     events = parse.change_candidates(log, options)
     events = events.withColumn("timestamp", F.col("timestamp").cast("timestamp"))

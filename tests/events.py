@@ -11,25 +11,25 @@ from evotrail import FeedOptions
 from evotrail import fixed_values as fv
 from evotrail.schemas import ENVELOPE, REGISTRY
 
-PLACE = "crn://cloud.example/organization=org1/environment=env-test123/schema-registry=lsrc-xyz"
-OPTIONS = FeedOptions(environments=("env-test123",))
-ALL_CHANGES = FeedOptions(environments=("env-test123",), include_config_changes=True)
+PLACE = "crn://cloud.example/organization=acme/environment=env-blue/schema-registry=lsrc-9"
+OPTIONS = FeedOptions(environments=("env-blue",))
+ALL_CHANGES = FeedOptions(environments=("env-blue",), include_config_changes=True)
 START = datetime(2024, 1, 15, 10, 30, tzinfo=timezone.utc)
 
 
-def event(method=fv.REGISTER_SCHEMA, status="SUCCESS", subject="test-subject", **changes) -> dict:
+def event(method=fv.REGISTER_SCHEMA, status="SUCCESS", subject="billing-total", **changes) -> dict:
     """An event of a monitored environment; keyword names are dotted paths with ``__``.
 
     A path set to None is left out.
     """
     result = {
-        "id": "test-event-id",
+        "id": "change-1",
         "type": fv.SCHEMA_EVENT_TYPE,
         "time": "2024-01-15T10:30:00Z",
         "data": {
-            "serviceName": "SchemaRegistry",
+            "serviceName": "registry",
             "methodName": method,
-            "resourceName": f"{PLACE}/subject/test-subject",
+            "resourceName": f"{PLACE}/subject/billing-total",
             "request": {"data": {"subject": subject}},
             "result": {"status": status},
         },
@@ -58,7 +58,7 @@ def log_of(spark, values):
     return spark.createDataFrame([record(v, i) for i, v in enumerate(values)], ENVELOPE)
 
 
-def schema(schema_id, environment="env-test123", status=200, **fields):
+def schema(schema_id, environment="env-blue", status=200, **fields):
     row = {
         "schema": '{"type":"string"}',
         "schema_type": "AVRO",

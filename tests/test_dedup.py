@@ -13,19 +13,20 @@ from evotrail.operators import dedup, parse
 from evotrail.operators import state as state_ops
 from evotrail.plans import change_feed as feed
 from evotrail.plans.batch_run import run_batch
+from evotrail.staging import staged_table
 from evotrail.schemas import ENVELOPE, STATE
 from tests import model
 from tests.events import ALL_CHANGES, event, log_of, plan_text, record, schema, snapshot_of
 
 PLACES = [
-    "crn://x/environment=env-test123/subject=a",
+    "crn://x/environment=env-blue/subject=a",
     "crn://x/environment=env-2/subject=a",
     "crn://x/environment=env-other/subject=a",
     "plain",
     None,
 ]
-TWO = FeedOptions(environments=("env-test123", "env-2"), include_config_changes=True)
-STATUSES = {("env-test123", 1): 200, ("env-test123", 2): 500, ("env-2", 1): 500, ("env-2", 3): 200}
+TWO = FeedOptions(environments=("env-blue", "env-2"), include_config_changes=True)
+STATUSES = {("env-blue", 1): 200, ("env-blue", 2): 500, ("env-2", 1): 500, ("env-2", 3): 200}
 
 METHODS = [*fv.EVENT_TYPE_OF_METHOD, "kafka.CreateTopics", "x:schema-registry.DeleteSubject", None]
 small_events = st.builds(
@@ -91,7 +92,7 @@ def test_two_runs_match_the_loop(spark, first, second):
     stored = spark.createDataFrame(run.new_state().collect(), STATE)
     assert {r.dedup_key for r in stored.collect()} == state
     log, plain = build(spark, second)
-    run = run_batch(log, answers, TWO, stored, hot_floor=5)
+    run = run_batch(log, answers, TWO, [stored.where('dedup_key < "m"'), stored.where('dedup_key >= "m"')])
     consumed, sent, repeated, failed, after = model.run(
         plain, TWO.environments, TWO.allowed_methods, STATUSES, state
     )
@@ -138,9 +139,9 @@ def test_environments_share_keys_unless_scoped(spark):
 
 def test_without_deduplication_everything_is_sent(spark):
     log = log_of(spark, [event(fv.DELETE_SUBJECT)] * 3)
-    options = FeedOptions(environments=("env-test123",), deduplicate=False)
+    options = FeedOptions(environments=("env-blue",), deduplicate=False)
     known = spark.createDataFrame(
-        [("test-subject:schema-registry.DeleteSubject:null", None, 0, 0)], STATE
+        [("billing-total:schema-registry.DeleteSubject:null", None, 0, 0)], STATE
     )
     run = run_batch(log, snapshot(spark), options, known)
     assert (run.notifications.count(), run.duplicates.count()) == (3, 0)
@@ -151,29 +152,102 @@ def test_one_key_with_most_rows(spark):
     """A hot key, a hot schema id and many events that look nothing up."""
     hot = event(subject="hot", data__result__data={"id": 1.0})
     values = [hot if i % 3 else event(fv.DELETE_SUBJECT, subject=f"s{i}") for i in range(3000)]
-    for floor in (dedup.HOT_FLOOR, 100):
-        run = run_batch(log_of(spark, values), snapshot(spark), ALL_CHANGES, hot_floor=floor)
-        assert run.sent.count() == 1001
-        assert run.duplicates.count() == 1999
+    run = run_batch(log_of(spark, values), snapshot(spark), ALL_CHANGES)
+    assert run.sent.count() == 1001
+    assert run.duplicates.count() == 1999
 
 
-def test_hot_keys_are_cut_into_parts(spark):
-    """Ten keys, one with half of the rows: its parts meet its one mark."""
-    rows = [record("", i) for i in range(1000)]
-    events = spark.createDataFrame(rows, ENVELOPE).selectExpr(
-        "CASE WHEN offset < 500 THEN 'hot' ELSE concat('k', offset % 9) END AS dedup_key", "*"
+def test_a_hot_key_is_split_where_events_meet_marks(spark):
+    """One key with most rows: adaptive execution cuts its partition."""
+    events = spark.range(400_000).selectExpr(
+        "CASE WHEN id % 4 > 0 THEN 'hot' ELSE concat('k', id % 1000) END AS dedup_key",
+        "timestamp_seconds(id) AS timestamp",
+        "CAST(id % 3 AS int) AS partition",
+        "id AS offset",
     )
-    per_key = events.select("dedup_key").distinct().filter("dedup_key <> 'k8'")
-    per_key = per_key.withColumn("extra", F.length("dedup_key"))
-    counts = dedup.key_counts(events)
-    for how in ("inner", "left"):
-        plain = events.join(per_key, "dedup_key", how)
-        split = dedup.join_by_key(events, per_key, counts, 1000, how, floor=100)
-        assert split.columns == plain.columns
-        assert sorted(split.collect()) == sorted(plain.collect())
-        assert "_parts" in plan_text(split)
-    whole = dedup.join_by_key(events, per_key, counts, 1000, floor=1000)
-    assert "_parts" not in plan_text(whole)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        marks = dedup.marks(dedup.first_per_key(events)).withColumn("_marked", F.lit(True))
+        marks = staged_table(marks)
+        repeats = events.join(marks, "dedup_key").filter(dedup.IS_AFTER_MARK)
+        keys = events.select("dedup_key").distinct().count()
+        assert len(repeats.collect()) == 400_000 - keys
+        assert "skew=true" in repeats._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+
+
+def test_event_scope_sends_every_change_once(spark):
+    one, other = (event(fv.DELETE_SUBJECT) | {"id": name} for name in ("e1", "e2"))
+    log = log_of(spark, [one, other, one])
+    scoped = FeedOptions(environments=("env-blue",), key_scope="event")
+    run = run_batch(log, snapshot(spark), scoped)
+    assert sorted(r.event_id for r in run.sent.collect()) == ["e1", "e2"]
+    assert [r.offset for r in run.duplicates.collect()] == [2]
+
+
+def test_equal_times_are_ordered_by_partition_and_offset(spark):
+    same = event(fv.DELETE_SUBJECT)
+    places = [(1, 5), (0, 9), (2, 0), (0, 4)]
+    rows = [record(same | {"id": f"{p}-{o}"}, o, p, seconds=7) for p, o in places]
+    run = run_batch(spark.createDataFrame(rows, ENVELOPE), snapshot(spark), ALL_CHANGES)
+    assert [r.event_id for r in run.sent.collect()] == ["0-4"]
+    assert sorted(r.event_id for r in run.duplicates.collect()) == ["0-9", "1-5", "2-0"]
+
+
+def test_the_log_is_read_and_parsed_once(spark, tmp_path):
+    """Rejects, candidates and counts come from one pass over the source."""
+    values = [event(fv.DELETE_SUBJECT, subject=f"s{i}") for i in range(20)] + ["broken", ""]
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(value):
+        reads.add(1)
+        return value
+
+    log = log_of(spark, values).withColumn("value", counted("value"))
+    run = run_batch(log, snapshot(spark), ALL_CHANGES)
+    assert run.rejected.count() == run.records_rejected == 2
+    assert (run.notifications.count(), run.duplicates.count()) == (20, 0)
+    assert run.failed_lookups.count() == 0
+    assert reads.value == len(values)
+
+
+def test_run_plans(spark):
+    """Later steps read only their columns of stored tables, and no snapshot for rejects."""
+    values = [event(subject=f"s{i}", data__result__data={"id": 1.0}) for i in range(20)]
+    run = run_batch(log_of(spark, values), snapshot(spark), ALL_CHANGES)
+    for table in (run.duplicates, run.failed_lookups, run.notifications):
+        text = plan_text(table, "formatted")
+        assert "Scan parquet" in text and "from_json" not in text
+    text = plan_text(run.duplicates, "formatted")
+    assert "Scan ExistingRDD" not in text
+    assert "event_time" not in text and "compatibility" not in text
+    # The only snapshot rows that judge a lookup are the failing ones.
+    text = plan_text(run.failed_lookups, "formatted")
+    assert "NOT http_status" in text and "http_status#" in text
+
+
+def test_only_registrations_meet_the_snapshot(spark):
+    values = [event(fv.DELETE_SUBJECT), event(data__result__data={"id": 1.0})]
+    notified = feed.all_notifications(log_of(spark, values), snapshot(spark), ALL_CHANGES)
+    assert notified.count() == 2
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tree = notified._jdf.queryExecution().toString()
+        optimized = tree.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+        join = optimized[optimized.index("Join LeftOuter") :]
+        assert "RegisterSchema" in join.split("Relation")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def fifo(keys, limit, share):

@@ -42,8 +42,8 @@ def test_registration(spark, snapshot):
     (n,) = notified(spark, snapshot, registered(100001), options=OPTIONS)
     assert n["event_type"] == fv.SCHEMA_REGISTERED
     assert (n["schema_id"], n["version"], n["schema_type"]) == (100001, 3, "AVRO")
-    assert (n["subject"], n["environment_id"]) == ("orders-value", "env-test123")
-    assert (n["timestamp"], n["audit_log_event_id"]) == ("2024-01-15T10:30:00Z", "test-event-id")
+    assert (n["subject"], n["environment_id"]) == ("orders-value", "env-blue")
+    assert (n["timestamp"], n["audit_log_event_id"]) == ("2024-01-15T10:30:00Z", "change-1")
     assert n["data_contract_registered"] == {"schema": '{"type":"string"}', "references": None}
     others = ("data_contract_deleted", "subject_deleted", "compatibility_updated", "mode_updated")
     assert all(n[name] is None for name in others)
@@ -71,14 +71,14 @@ def test_every_lookup_outcome(spark, snapshot):
 
 def test_failed_lookups_are_reported(spark, snapshot):
     events = parse.audit_events(log_of(spark, [registered(100003), registered(100001)]), OPTIONS)
-    enriched = registry.with_registered(events, snapshot)
-    (row,) = registry.failed_lookups(enriched).collect()
+    judged = registry.with_failed_status(events, snapshot)
+    (row,) = registry.failed_lookups(judged).collect()
     assert (row.schema_id, row.http_status) == (100003, 500)
     assert feed.sendable_events(events, snapshot, OPTIONS).count() == 1
 
 
 def test_other_changes(spark, snapshot):
-    resource = f"{PLACE}/subject/test-subject"
+    resource = f"{PLACE}/subject/billing-total"
     rows = notified(
         spark,
         snapshot,
@@ -109,7 +109,7 @@ def test_other_changes(spark, snapshot):
 
 def test_irrelevant_and_unknown_methods_give_nothing(spark, snapshot):
     assert notified(spark, snapshot, event("kafka.CreateTopics")) == []
-    odd = FeedOptions(environments=("env-test123",), methods=("schema-registry.Other",))
+    odd = FeedOptions(environments=("env-blue",), methods=("schema-registry.Other",))
     assert notified(spark, snapshot, event("schema-registry.Other"), options=odd) == []
 
 
@@ -182,7 +182,7 @@ def test_avro_schema_follows_the_published_record():
 
 def test_lookups_by_id_and_by_subject_version(spark, snapshot):
     asked = spark.createDataFrame(
-        [("env-test123", i) for i in (100001, 100001, 100002, 100003, 100004, 9)]
+        [("env-blue", i) for i in (100001, 100001, 100002, 100003, 100004, 9)]
         + [("env-none", 100001)],
         "environment_id string, schema_id int",
     )
@@ -191,16 +191,16 @@ def test_lookups_by_id_and_by_subject_version(spark, snapshot):
         for r in registry.by_id(asked, snapshot).collect()
     }
     assert rows == {
-        ("env-test123", 100001): ("hit", "AVRO", "orders-value", 3),
-        ("env-test123", 100002): ("hit", "AVRO", None, None),
-        ("env-test123", 100003): ("error", None, None, None),
-        ("env-test123", 100004): ("not_found", None, None, None),
-        ("env-test123", 9): ("not_found", None, None, None),
+        ("env-blue", 100001): ("hit", "AVRO", "orders-value", 3),
+        ("env-blue", 100002): ("hit", "AVRO", None, None),
+        ("env-blue", 100003): ("error", None, None, None),
+        ("env-blue", 100004): ("not_found", None, None, None),
+        ("env-blue", 9): ("not_found", None, None, None),
         ("env-none", 100001): ("not_found", None, None, None),
     }
     asked = spark.createDataFrame(
         [("second", 1), ("second", 2), ("first", 9)], "subject string, version int"
-    ).selectExpr("'env-test123' AS environment_id", "*")
+    ).selectExpr("'env-blue' AS environment_id", "*")
     found = registry.by_subject_version(asked, snapshot).collect()
     assert {(r.subject, r.version): r.schema_id for r in found} == {
         ("second", 1): 100007,

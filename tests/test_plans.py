@@ -11,7 +11,7 @@ from evotrail.operators import log_ranges, parse
 from evotrail.plans import change_feed as feed
 from evotrail.schemas import ENVELOPE
 from evotrail.sources import files
-from evotrail.sources.derived_tables import audit_log, registry_snapshot
+from checks.derived_tables import audit_log, registry_snapshot
 from evotrail.staging import staged
 from tests.events import ALL_CHANGES, event, plan_text, record, schema, snapshot_of
 
@@ -98,13 +98,6 @@ def test_generated_code_stays_small_enough_to_be_compiled(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-def test_spreading_only_helps_small_logs(spark):
-    few = spark.range(100).coalesce(1)
-    assert files.spread_few_splits(few, "id").rdd.getNumPartitions() == 8
-    many = spark.range(0, 100, 1, 9)
-    assert files.spread_few_splits(many, "id") is many
-
-
 def test_rows_are_stored_in_the_folder_the_session_names(spark):
     rows = staged(spark.range(10).selectExpr("id * 2 AS twice"))
     assert sorted(r.twice for r in rows.collect()) == list(range(0, 20, 2))

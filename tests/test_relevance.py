@@ -9,9 +9,9 @@ from evotrail.operators import parse, relevance
 from pyspark.sql import functions as F
 from tests.events import ALL_CHANGES, OPTIONS, PLACE, event, log_of
 
-ORDERS = FeedOptions(environments=("env-test123",), subject_filters=("orders-*",))
-ANY_STATUS = FeedOptions(environments=("env-test123",), only_successful=False)
-elsewhere = PLACE.replace("env-test123", "env-other")
+ORDERS = FeedOptions(environments=("env-blue",), subject_filters=("orders-*",))
+ANY_STATUS = FeedOptions(environments=("env-blue",), only_successful=False)
+elsewhere = PLACE.replace("env-blue", "env-other")
 
 CASES = [
     ("valid", event(), OPTIONS, "relevant"),
@@ -113,7 +113,7 @@ def test_unmonitored_registrations_and_environment_join(spark):
         ],
     )
     events = parse.audit_events(log, OPTIONS)
-    table = spark.createDataFrame([("env-test123",)], "environment_id string")
+    table = spark.createDataFrame([("env-blue",)], "environment_id string")
     (row,) = relevance.unmonitored_registrations(events, table, OPTIONS).collect()
     assert (row.environment_id, row.status, row.schema_id) == ("env-other", "FAILURE", 7)
     assert [r.offset for r in relevance.in_environments(events, table).collect()] == [0]

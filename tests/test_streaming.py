@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from evotrail import FeedOptions
 from evotrail import fixed_values as fv
+from evotrail.operators import dedup
 from evotrail.plans import change_feed as feed
 from evotrail.schemas import ENVELOPE, STATE
-from evotrail.sources import files, state_files
+from evotrail.sources import files, sinks, state_files
 from evotrail.streaming.feed import FeedFolders, process_batch, start_feed, total_counters
 from evotrail.streaming.stateful import stateful_feed
 from evotrail.streaming.status import StatusLog
-from tests.events import ALL_CHANGES, event, record, schema, snapshot_of
+from tests.events import ALL_CHANGES, event, plan_text, record, schema, snapshot_of
 
 NOW = {"availableNow": True}
 
@@ -42,13 +43,18 @@ def place(tmp_path):
     return str(tmp_path / "log"), FeedFolders(str(tmp_path / "feed"))
 
 
+def loaded(spark, path, batch_id, era_length):
+    base, added = state_files.load(spark, path, batch_id, era_length, 8)
+    return base.unionByName(added)
+
+
 def snapshot(spark):
     return snapshot_of(spark, schema(0), schema(1, status=500), schema(2, status=404))
 
 
 def run_to_end(spark, log_path, folders, options=ALL_CHANGES, **more):
     stream = files.stream_log(spark, log_path, max_files_per_trigger=1)
-    query = start_feed(stream, lambda: snapshot(spark), options, folders, NOW, **more)
+    query = start_feed(stream, lambda: snapshot(spark), options, folders, NOW, buckets=8, **more)
     query.awaitTermination(120)
     assert query.exception() is None
     return query
@@ -94,9 +100,9 @@ def test_a_batch_run_again_changes_nothing(spark, place):
     _, folders = place
     batches = [spark.createDataFrame(rows(a, b), ENVELOPE) for a, b in ((0, 25), (25, 50))]
     for batch_id, records in enumerate(batches):
-        process_batch(records, batch_id, snapshot(spark), ALL_CHANGES, folders, era_length=1)
+        process_batch(records, batch_id, snapshot(spark), ALL_CHANGES, folders, buckets=8, era_length=1)
     before = sent_ids(spark, folders), total_counters(spark, folders).first()
-    process_batch(batches[1], 1, snapshot(spark), ALL_CHANGES, folders, era_length=1)
+    process_batch(batches[1], 1, snapshot(spark), ALL_CHANGES, folders, buckets=8, era_length=1)
     assert (sent_ids(spark, folders), total_counters(spark, folders).first()) == before
     assert before[0] == expected_ids(spark, 50)
 
@@ -109,8 +115,8 @@ def test_a_failed_send_fails_the_batch_and_marks_nothing(spark, place):
         raise OSError("no broker")
 
     with pytest.raises(OSError):
-        process_batch(records, 0, snapshot(spark), ALL_CHANGES, folders, publish=broken)
-    assert state_files.load(spark, folders.state, 1, 50).count() == 0
+        process_batch(records, 0, snapshot(spark), ALL_CHANGES, folders, buckets=8, publish=broken)
+    assert loaded(spark, folders.state, 1, 50).count() == 0
     seen = []
     process_batch(
         records,
@@ -118,15 +124,16 @@ def test_a_failed_send_fails_the_batch_and_marks_nothing(spark, place):
         snapshot(spark),
         ALL_CHANGES,
         folders,
+        buckets=8,
         publish=lambda sent: seen.extend(sent.collect()),
     )
     assert sorted(n.audit_log_event_id for n in seen) == expected_ids(spark, 25)
-    assert state_files.load(spark, folders.state, 1, 50).count() == len(seen)
+    assert loaded(spark, folders.state, 1, 50).count() == len(seen)
 
 
 def test_published_rows_keep_the_order_of_a_key(spark, place):
     _, folders = place
-    options = FeedOptions(environments=("env-test123",), deduplicate=False)
+    options = FeedOptions(environments=("env-blue",), deduplicate=False)
     records = spark.createDataFrame(rows(0, 60)[::-1], ENVELOPE)
     parts = []
 
@@ -134,7 +141,7 @@ def test_published_rows_keep_the_order_of_a_key(spark, place):
         numbered = notifications.withColumn("part", F.spark_partition_id())
         parts.extend(numbered.collect())
 
-    process_batch(records, 0, snapshot(spark), options, folders, publish=collect)
+    process_batch(records, 0, snapshot(spark), options, folders, buckets=8, publish=collect)
     for subject in {n.subject for n in parts}:
         mine = [n for n in parts if n.subject == subject]
         assert len({n.part for n in mine}) == 1
@@ -154,11 +161,11 @@ def test_dry_run_marks_but_does_not_write(spark, place):
 def test_state_is_pruned_oldest_first(spark, place):
     _, folders = place
     options = FeedOptions(
-        environments=("env-test123",), include_config_changes=True, max_state_keys=5
+        environments=("env-blue",), include_config_changes=True, max_state_keys=5
     )
     records = spark.createDataFrame(rows(0, 50), ENVELOPE)
-    process_batch(records, 0, snapshot(spark), options, folders, era_length=1)
-    state = state_files.load(spark, folders.state, 1, 1)
+    process_batch(records, 0, snapshot(spark), options, folders, buckets=8, era_length=1)
+    state = loaded(spark, folders.state, 1, 1)
     sent = spark.read.parquet(folders.notifications).orderBy(F.desc("log_offset"))
     newest = [r.dedup_key for r in sent.collect()]
     kept = {r.dedup_key for r in state.collect()}
@@ -167,15 +174,115 @@ def test_state_is_pruned_oldest_first(spark, place):
 
 def test_missing_state_is_empty_and_nested_folders_are_made(spark, tmp_path):
     path = str(tmp_path / "a" / "b" / "state")
-    assert state_files.load(spark, path, 0, 2).count() == 0
+    assert loaded(spark, path, 0, 2).count() == 0
     state_files.add(spark.createDataFrame([("k", None, 0, 1)], STATE), path, 0, 2)
-    assert state_files.load(spark, path, 0, 2).count() == 0
-    assert [r.dedup_key for r in state_files.load(spark, path, 1, 2).collect()] == ["k"]
-    state_files.end_era(spark, path, 0, 2, 10)
+    assert loaded(spark, path, 0, 2).count() == 0
+    assert [r.dedup_key for r in loaded(spark, path, 1, 2).collect()] == ["k"]
+    state_files.end_era(spark, path, 0, 2, buckets=8)
     with pytest.raises(ValueError, match="era length"):
-        state_files.load(spark, path, 2, 2)
-    state_files.end_era(spark, path, 1, 2, 10)
-    assert [r.dedup_key for r in state_files.load(spark, path, 2, 2).collect()] == ["k"]
+        loaded(spark, path, 2, 2)
+    state_files.end_era(spark, path, 1, 2, buckets=8)
+    assert [r.dedup_key for r in loaded(spark, path, 2, 2).collect()] == ["k"]
+
+
+def test_no_key_is_forgotten_by_default(spark, place):
+    """More keys than any limit a state once had, sent again after an era."""
+    _, folders = place
+    keys = spark.range(120_000).selectExpr("concat('s', id, ':m:null') AS dedup_key")
+    state_files.seed(keys, folders.state, buckets=8)
+    batch = [record(event(fv.DELETE_SUBJECT, subject=f"s{i}"), i) for i in range(8)]
+    records = spark.createDataFrame(batch, ENVELOPE)
+    for batch_id in range(3):
+        counters = process_batch(
+            records, batch_id, snapshot(spark), ALL_CHANGES, folders, era_length=1, buckets=8
+        )
+        assert counters["notifications_produced"] == (8 if batch_id == 0 else 0)
+    assert loaded(spark, folders.state, 3, 1).count() == 120_008
+
+
+def test_the_state_is_not_moved(spark, place):
+    """A batch is moved to the buckets of the state; the state has no exchange."""
+    _, folders = place
+    keys = spark.range(1000).selectExpr("concat('s', id, ':m:null') AS dedup_key")
+    state_files.seed(keys, folders.state, buckets=8)
+    base, _ = state_files.load(spark, folders.state, 0, 50, 8)
+    events = spark.createDataFrame(rows(0, 30), ENVELOPE).selectExpr("value AS dedup_key", "*")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for joined in (
+            dedup.drop_known(dedup.first_per_key(events), base),
+            dedup.known_keys(events, base),
+        ):
+            tree = plan_text(joined, "simple")
+            assert state_side(tree).count("Exchange") == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def state_side(tree: str) -> str:
+    """The lines of a plan between the join's second child and the scan of the state."""
+    lines = tree.splitlines()
+    scan = next(i for i, line in enumerate(lines) if "FileScan" in line and "Bucketed: true" in line)
+    depth = lines[scan].index("FileScan")
+    found = []
+    for line in reversed(lines[:scan]):
+        start = len(line) - len(line.lstrip(" :+-"))
+        if "Join" in line and start < depth:
+            break
+        if start < depth:
+            found.append(line)
+            depth = start
+    return "\n".join(found)
+
+
+def test_old_keys_are_forgotten_only_on_request(spark, tmp_path):
+    path = str(tmp_path / "state")
+    old, new = (record("", 0, seconds=s)[5] for s in (0, 3 * 86_400))
+    added = [("old", old, 0, 1), ("new", new, 0, 2), ("seeded", None, None, None)]
+    state_files.add(spark.createDataFrame(added, STATE), path, 0, 1)
+    for ttl, kept in ((None, {"old", "new", "seeded"}), (2, {"new", "seeded"})):
+        state_files.end_era(spark, path, 0, 1, ttl_days=ttl, buckets=8)
+        assert {r.dedup_key for r in loaded(spark, path, 1, 1).collect()} == kept
+
+
+def test_an_earlier_time_in_a_later_batch_loses(spark, place):
+    """Two log partitions: arrival decides between batches, position within one."""
+    _, folders = place
+    same = event(fv.DELETE_SUBJECT)
+    late, early = (
+        [record(same | {"id": name}, 0, partition, seconds=seconds)]
+        for name, partition, seconds in (("late", 0, 9), ("early", 1, 5))
+    )
+    for batch_id, batch in enumerate((late, early)):
+        records = spark.createDataFrame(batch, ENVELOPE)
+        process_batch(records, batch_id, snapshot(spark), ALL_CHANGES, folders, buckets=8)
+    assert sent_ids(spark, folders) == ["late"]
+    whole = feed.change_feed(
+        spark.createDataFrame(late + early, ENVELOPE), snapshot(spark), ALL_CHANGES
+    )
+    assert [r.audit_log_event_id for r in whole.collect()] == ["early"]
+
+
+def test_rows_without_a_subject_are_spread(spark):
+    sent = spark.range(4000).selectExpr(
+        "CASE WHEN id % 4 = 0 THEN 'one' END AS subject",
+        "timestamp_seconds(id) AS log_timestamp",
+        "CAST(0 AS int) AS log_partition",
+        "id AS log_offset",
+    )
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = sinks.in_key_order(sent).groupBy(F.spark_partition_id(), "subject").count()
+        largest = {r.subject: r["count"] for r in sizes.orderBy("count").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert largest["one"] == 1000 and largest[None] < 1000
+
+
+def test_keys_of_lines(spark, tmp_path):
+    (tmp_path / "keys").write_text('"a:m:1"\n"b, \\"c\\":m:null"\n"a:m:1"\nbroken\n')
+    found = state_files.keys_from_lines(spark, str(tmp_path / "keys"))
+    assert sorted(r.dedup_key for r in found.collect()) == ["a:m:1", 'b, "c":m:null']
 
 
 @pytest.mark.parametrize(
@@ -201,14 +308,15 @@ def test_a_seeded_state_marks_its_keys_and_is_pruned_first(spark, place):
     records = spark.createDataFrame(rows(0, 50), ENVELOPE)
     known = feed.change_feed(records, snapshot(spark), ALL_CHANGES).orderBy("log_offset")
     keys = [r.dedup_key for r in known.limit(3).collect()]
-    state_files.seed(spark.createDataFrame([(k,) for k in keys], "dedup_key string"), folders.state)
+    seeds = spark.createDataFrame([(k,) for k in keys], "dedup_key string")
+    state_files.seed(seeds, folders.state, buckets=8)
     total = known.count()
     options = FeedOptions(
-        environments=("env-test123",), include_config_changes=True, max_state_keys=total - 1
+        environments=("env-blue",), include_config_changes=True, max_state_keys=total - 1
     )
-    process_batch(records, 0, snapshot(spark), options, folders, era_length=1)
+    process_batch(records, 0, snapshot(spark), options, folders, buckets=8, era_length=1)
     assert len(sent_ids(spark, folders)) == total - 3
-    kept = {r.dedup_key for r in state_files.load(spark, folders.state, 1, 1).collect()}
+    kept = {r.dedup_key for r in loaded(spark, folders.state, 1, 1).collect()}
     assert kept and not kept & set(keys)
 
 
