@@ -92,8 +92,8 @@ UNREADABLE = {
 _UNREADABLE = " ".join(f"WHEN {n} THEN '{text}'" for n, (text, _) in UNREADABLE.items())
 
 # Some records spell a letter of a method name as an escape.
-_ESCAPED = f"""CASE WHEN n % 53 = 9
-  THEN replace({_RECORD}, '"schema-registry.Reg', '"schema-registry.\\\\u0052eg') ELSE {_RECORD} END"""
+_ESCAPED = f"""replace({_RECORD}, '"schema-registry.Reg', CASE WHEN n % 53 = 9
+  THEN '"schema-registry.\\\\u0052eg' ELSE '"schema-registry.Reg' END)"""
 _VALUE = f"CASE n % 97 {_UNREADABLE} ELSE {_ESCAPED} END"
 
 

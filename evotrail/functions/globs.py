@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from py4j.protocol import Py4JError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,5 +59,5 @@ def check_globs(spark: SparkSession, filters: Sequence[str]) -> None:
         if "*" in glob:
             try:
                 pattern.compile(_whole(glob_regex(glob)))
-            except Py4JError as error:
+            except IllegalArgumentException as error:
                 raise ValueError(f"subject filter {glob!r} is not a valid pattern") from error
