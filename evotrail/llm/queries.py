@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from evotrail.llm.batches import table
 from evotrail.llm.decontamination import overlaps
+from evotrail.llm.oracle import ORACLE
 from evotrail.llm.packing import pack_documents
 from evotrail.llm.piece_codec import encode_texts
 from evotrail.llm.quality import score_quality
@@ -18,6 +19,8 @@ from evotrail.llm.token_counts import count_tokens
 from evotrail.llm.toxicity import score_toxicity
 from evotrail.llm.vector_join import link_vectors
 
+__all__ = ["ORACLE", "QUERIES"]
+
 SHARDS = 40
 TOKEN_LIMIT = 512
 PACK_LENGTH = 2_048
@@ -92,5 +95,3 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_sharding": op10_sharding,
 }
-
-ORACLE: dict[str, str] = {}
