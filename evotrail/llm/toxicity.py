@@ -1,9 +1,9 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
 
 Terms are the words of a text and the word beginnings of five letters (for inflected
-forms). From a bounded sample of labelled rows the terms that best tell the classes
-apart are kept (chi-square over the sample); their document frequencies are counted
-over all documents. Examples and documents are TF-IDF vectors over these terms.
+forms). From a bounded sample of labelled rows, equal texts once, the terms that best
+tell the classes apart are kept (chi-square over the sample); their document frequencies
+are counted over all documents. Examples and documents are TF-IDF vectors over these terms.
 
 The examples form a block-max inverted index: postings by term, cut into blocks of
 consecutive examples, with the largest weight of each term in each block. For a
@@ -42,13 +42,14 @@ from evotrail.llm.batches import arrow_schema, learns_from, map_batches
 from evotrail.staging import staged_table
 
 SAMPLE_ROWS = 3_000
-MAX_TERMS = 2_000
+MAX_TERMS = 100
 NEAREST = 15
 BLOCK = 128
 #: Letters of a word that stand for its inflected forms.
 STEM = 5
-#: A term must be in so many examples to be kept.
-LEAST_EXAMPLES = 4
+#: A term must be in so many examples, and in this share of those of label 1, to be kept:
+#: what only a few texts hold says little about others.
+LEAST_EXAMPLES, LEAST_SHARE = 4, 0.005
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -65,10 +66,14 @@ def term_counts(text: str) -> Counter:
 
 def kept_counts(text: str, numbers: dict[str, int]) -> dict[int, int]:
     """The counts of the kept terms only, by term number."""
-    get, found = numbers.get, {}
-    for word, n in Counter(WORDS.findall(text.lower())).items():
-        for term in (word, word[:STEM] + "*") if len(word) > STEM else (word,):
-            if (number := get(term)) is not None:
+    found: dict[int, int] = {}
+    words = Counter(WORDS.findall(text.lower()))
+    for word in words.keys() & numbers.keys():
+        found[numbers[word]] = words[word]
+    # Most texts hold no kept beginning, which one look at all of them tells.
+    if {word[:STEM] + "*" for word in words} & numbers.keys():
+        for word, n in words.items():
+            if len(word) > STEM and (number := numbers.get(word[:STEM] + "*")) is not None:
                 found[number] = found.get(number, 0) + n
     return found
 
@@ -231,6 +236,11 @@ def labelled_terms(
     texts = documents.select(F.col(key).alias("key_"), F.col(text).alias("text_"))
     sample = texts.join(F.broadcast(parts[0].union(parts[1])), "key_")
     kind = documents.schema[key].dataType.simpleString()
+    # Copies of a text are one example: the one with the smallest key.
+    first = sample.groupBy("label_", F.xxhash64("text_").alias("code")).agg(
+        F.min_by(F.struct("key_", "text_"), "key_").alias("one")
+    )
+    sample = first.where("one IS NOT NULL").select("one.*", "label_")
 
     def work(batch: pa.RecordBatch) -> dict[str, list]:
         found = [term_counts(text.as_py() or "") for text in batch.column(2)]
@@ -256,13 +266,15 @@ def telling_terms(sample: DataFrame, ones: int, zeros: int, most: int) -> list[s
         sample.select("label_", F.explode("terms").alias("term"))
         .groupBy("term")
         .agg(F.sum("label_").alias("a"), F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= LEAST_EXAMPLES)
+        .where(F.col("n") >= max(LEAST_EXAMPLES, LEAST_SHARE * ones))
     )
-    total = ones + zeros
+    total = float(ones + zeros)
     gap = F.col("a") * F.lit(float(zeros)) - (F.col("n") - F.col("a")) * F.lit(float(ones))
-    # a term in every example tells nothing; the 1 keeps the division defined
-    strength = gap * gap / (F.col("n") * (F.lit(float(total)) - F.col("n") + 1))
-    rows = seen.orderBy(strength.desc(), "term").limit(most).select("term").collect()
+    spread = F.col("n") * (F.lit(total) - F.col("n")) * F.lit(max(float(ones * zeros), 1.0))
+    # A term in every example tells nothing.
+    strength = F.when(F.col("n") < total, F.lit(total) * gap * gap / spread).otherwise(0.0)
+    told = seen.select("term", strength.alias("strength")).orderBy(F.desc("strength"), "term")
+    rows = told.limit(most).select("term").collect()
     return [row[0] for row in rows]
 
 
