@@ -44,11 +44,13 @@ SPACE = "▁"
 UNKNOWN = " ⁇ "
 
 #: Distinct units whose ids a worker keeps; more are searched again when they return.
-KNOWN_UNITS = 300_000
+KNOWN_UNITS = 600_000
 #: Pairs of pieces whose test a worker remembers.
 KNOWN_PAIRS = 1_000_000
 # Marks in place of a piece: the beginning of the text, and no piece.
 START, NONE = -1, -2
+#: Characters of a beginning that is searched once, and beginnings a worker remembers.
+HEAD, KNOWN_HEADS = 6, 200_000
 #: Positions between two looks for a common boundary.
 LOOK_EVERY = 256
 
@@ -128,13 +130,14 @@ class Codec:
         self.vocabulary = vocabulary
         self.known: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
+        self.heads: dict[str, list[int]] = {}
         ids, self.width = vocabulary.ids, len(vocabulary.decoded)
-        #: Beginnings of pieces, with the piece's id or -1 where more must follow.
-        self.nodes: dict[str, int] = {}
+        #: Ends of pieces, with the piece's id or -1 where more must come before.
+        self.tails: dict[str, int] = {}
         for piece in ids:
-            for end in range(1, len(piece)):
-                self.nodes.setdefault(piece[:end], -1)
-            self.nodes[piece] = ids[piece]
+            for first in range(1, len(piece)):
+                self.tails.setdefault(piece[first:], -1)
+            self.tails[piece] = ids[piece]
         self.sizes, self.ranks, self.left_half, self.right_half = (
             [0] * self.width for _ in range(4)
         )
@@ -195,53 +198,69 @@ class Codec:
 
     def search(self, text: str) -> list[int]:
         """The ids of ``text``, committed as soon as no path can change them."""
-        nodes, pairs, width = self.nodes.get, self.pairs, self.width
-        longest, end = self.vocabulary.longest, len(text)
-        done: list[int] = []
-        start = 0  # all before it is committed
-        # Last piece of the path up to start + index; START, or NONE if no piece ends it.
-        last = [START] + [NONE] * min(end, longest)
-        for place in range(end):
-            here = last[place - start]
-            for stop in range(place + 1, min(place + longest, end) + 1):
-                piece = nodes(text[place:stop])
+        size, done, start = len(text), [], 0  # all before start is committed
+        # Last piece of the path up to start + index; START, or NONE for a character
+        # without a piece. Many words begin alike: beginnings are searched once.
+        if size > HEAD:
+            head = text[:HEAD]
+            if head not in self.heads:
+                if len(self.heads) >= KNOWN_HEADS:
+                    self.heads.clear()
+                self.heads[head] = self.extended(head, [START], 0, HEAD)
+            last = self.heads[head].copy()
+        else:
+            last = self.extended(text, [START], 0, size)
+        while start + len(last) <= size:
+            last = self.extended(text, last, start, min(start + len(last) + LOOK_EVERY, size))
+            if start + len(last) > size:
+                break
+            boundary = self.common_boundary(last)
+            done += self.committed(last, boundary, text, start)
+            start += boundary
+            last = last[boundary:]
+        return done + self.committed(last, size - start, text, start)
+
+    def extended(self, text: str, last: list[int], start: int, until: int) -> list[int]:
+        """``last`` continued up to the position ``until``: the one step of the search.
+
+        Exactly one piece ends the segmentation of every beginning of a text, so the
+        first that may stand beside the path before it is the one.
+        """
+        tails, pairs, width = self.tails.get, self.pairs, self.width
+        longest = self.vocabulary.longest
+        for end in range(start + len(last), until + 1):
+            found = NONE
+            for first in range(end - 1, max(end - longest, start) - 1, -1):
+                piece = tails(text[first:end])
                 if piece is None:
                     break
-                if piece < 0 or last[stop - start] != NONE:
+                if piece < 0:
                     continue
-                if here >= 0:
-                    pair = here * width + piece
+                before = last[first - start]
+                if before >= 0:
+                    pair = before * width + piece
                     holds = pairs.get(pair)
                     if holds is None:
                         if len(pairs) >= KNOWN_PAIRS:
                             pairs.clear()
-                        holds = pairs[pair] = self.follows(here, piece)
+                        holds = pairs[pair] = self.follows(before, piece)
                     if not holds:
                         continue
-                last[stop - start] = piece
-            if end > len(last) - 1 + start:
-                last.append(NONE)
-            if place - start > LOOK_EVERY + longest:
-                boundary = self.common_boundary(last, place + 1 - start)
-                if boundary:
-                    done += self.committed(last, boundary, text, start)
-                    start += boundary
-                    last = last[boundary:]
-        return done + self.committed(last, end - start, text, start)
-
-    def common_boundary(self, last: list[int], until: int) -> int:
-        """The last boundary that the paths to all positions still open share."""
-        open_ends = set(range(until, len(last))) | {until}
-        open_ends |= set(range(max(until - self.vocabulary.longest, 0), until))
+                found = piece
+                break
+            last.append(found)
+        return last
+
+    def common_boundary(self, last: list[int]) -> int:
+        """The last boundary that the paths to all positions of the window share."""
         sizes = self.sizes
+        open_ends = set(range(max(len(last) - self.vocabulary.longest, 0), len(last)))
         while len(open_ends) > 1:
             latest = max(open_ends)
             open_ends.remove(latest)
             piece = last[latest]
-            if latest > until and piece == NONE:
-                continue  # not reached yet; its path will come from an open position
-            open_ends.add(latest - (sizes[piece] if piece >= 0 else 1))
-        return max(open_ends.pop(), 0)
+            open_ends.add(max(latest - (sizes[piece] if piece >= 0 else 1), 0))
+        return open_ends.pop()
 
     def committed(self, last: list[int], end: int, text: str, start: int) -> list[int]:
         """Ids of the path that ends at ``end``; a character without a piece as bytes."""

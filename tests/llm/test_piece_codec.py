@@ -54,7 +54,7 @@ def test_text_without_cuts_is_committed_in_a_bounded_window(library, vocabulary,
     codec, windows = Codec(vocabulary), []
     found = codec.common_boundary
     monkeypatch.setattr(
-        codec, "common_boundary", lambda last, until: windows.append(len(last)) or found(last, until)
+        codec, "common_boundary", lambda last: windows.append(len(last)) or found(last)
     )
     text = "".join(random.Random(4).choices("abcdehinrt._=", k=30_000))
     assert codec.search("▁" + text) == library.encode(text)
