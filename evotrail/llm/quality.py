@@ -125,8 +125,8 @@ def grow(rows: np.ndarray, labels: np.ndarray) -> Trees:
     """Boosted trees for 0/1 ``labels``; a split needs ``LEAF_ROWS`` rows on both sides."""
     nodes = 2 ** (DEPTH + 1) - 1
     positive = labels.mean() if len(labels) else 0.5
-    if not 0 < positive < 1:
-        margin = float(np.log((positive + 1e-9) / (1 - positive + 1e-9))) if len(labels) else 0.0
+    if not len(labels) or not 0 < positive < 1:
+        margin = float(np.log((positive + 1e-9) / (1 - positive + 1e-9)))
         return Trees(*np.zeros((3, 0, nodes)), base=margin)
     base = float(np.log(positive / (1 - positive)))
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in rows.T]

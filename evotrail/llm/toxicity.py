@@ -153,15 +153,15 @@ def vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def rising(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray):
     """(limits, chances) of the best rising step function (pool adjacent violators)."""
+    steps, place = np.unique(votes, return_inverse=True)
+    ones = np.bincount(place, weights * labels, len(steps))
+    totals = np.bincount(place, weights, len(steps))
     pools: list[list[float]] = []  # vote, weight of label 1, weight
-    for at in np.argsort(votes, kind="stable").tolist():
-        pools.append([votes[at], weights[at] * labels[at], weights[at]])
-        while len(pools) > 1 and (
-            pools[-2][0] == pools[-1][0]
-            or pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]
-        ):
-            limit, ones, total = pools.pop()
-            pools[-1][1] += ones
+    for step in zip(steps.tolist(), ones.tolist(), totals.tolist()):
+        pools.append(list(step))
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            _, more, total = pools.pop()
+            pools[-1][1] += more
             pools[-1][2] += total
     table = np.array(pools).reshape(-1, 3)
     return table[:, 0], table[:, 1] / table[:, 2]
