@@ -19,6 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_HELD: list = [None, None]
+
+
+def held(name, make: Callable[[], object]):
+    """What an operator keeps in a worker between batches, made when first asked for.
+
+    Spark uses workers again: what another operator left is dropped first, so a worker
+    holds the tables of one operator only.
+    """
+    if _HELD[0] != name:
+        _HELD[:] = [None, None]
+        _HELD[:] = [name, make()]
+    return _HELD[1]
+
+
 def map_batches(
     rows: DataFrame, work: Callable[[pa.RecordBatch], dict[str, list]], schema: str
 ) -> DataFrame:

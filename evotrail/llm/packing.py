@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evotrail.llm.batches import arrow_schema
+from evotrail.llm.batches import arrow_schema, held
 from evotrail.llm.token_counts import cuts_at_spaces, merger, read_ranks
 
 #: Tokens of a block that is packed at once.
@@ -120,9 +120,6 @@ def best_fit(sizes: list[int], length: int) -> list[list[int]]:
     return rows
 
 
-_ENCODERS: dict[str, TokenIds] = {}
-
-
 def pack_documents(
     documents: DataFrame,
     key: str,
@@ -148,9 +145,7 @@ def pack_documents(
     number = np.dtype("<u2" if most < 1 << 16 else "<u4")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = TokenIds(path)
-        encoder = _ENCODERS[path]
+        encoder = held(("ids", path), lambda: TokenIds(path))
         pack, held, tokens = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for name, data in zip(batch.column(0), batch.column(1)):

@@ -37,16 +37,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evotrail.llm.batches import map_batches
+from evotrail.llm.batches import held, map_batches
 
 # Fixed values of the format: the mark for a space and the text of an unknown id.
 SPACE = "▁"
 UNKNOWN = " ⁇ "
 
 #: Distinct units whose ids a worker keeps; more are searched again when they return.
-KNOWN_UNITS = 600_000
+KNOWN_UNITS = 400_000
 #: Pairs of pieces whose test a worker remembers.
-KNOWN_PAIRS = 1_000_000
+KNOWN_PAIRS = 500_000
 # Marks in place of a piece: the beginning of the text, and no piece.
 START, NONE = -1, -2
 #: Characters of a beginning that is searched once, and beginnings a worker remembers.
@@ -283,16 +283,6 @@ class Codec:
         return text[1:] if text[:1] == " " else text
 
 
-_CODECS: dict[str, Codec] = {}
-
-
-def codec(path: str, vocabulary) -> Codec:
-    """The worker's own codec, made at its first batch."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(vocabulary())
-    return _CODECS[path]
-
-
 def encode_texts(documents: DataFrame, key: str, text: str, path: str) -> DataFrame:
     """One row per document: key, ids, n_ids, round_trip.
 
@@ -303,7 +293,7 @@ def encode_texts(documents: DataFrame, key: str, text: str, path: str) -> DataFr
     kind = documents.schema[key].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> dict[str, list]:
-        own = codec(path, lambda: vocabulary.value)
+        own = held(("codec", path), lambda: Codec(vocabulary.value))
         values, ends, same = [], [0], []
         for text in batch.column(1):
             text = text.as_py() or ""
@@ -328,7 +318,7 @@ def decode_ids(encoded: DataFrame, key: str, ids: str, path: str) -> DataFrame:
     kind = encoded.schema[key].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> dict[str, list]:
-        own = codec(path, lambda: vocabulary.value)
+        own = held(("codec", path), lambda: Codec(vocabulary.value))
         lists = (numbers.as_py() for numbers in batch.column(1))
         return {
             key: batch.column(0),

@@ -35,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evotrail.llm.batches import arrow_schema
+from evotrail.llm.batches import arrow_schema, held
 from evotrail.staging import release, staged_table
 
 #: Distinct words whose hash a worker keeps.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 200_000
 #: Anchors handed to Spark at a time.
-ROWS_AT_ONCE = 200_000
+ROWS_AT_ONCE = 100_000
 # Odd multipliers of the two rolling hashes (any odd 64-bit numbers do).
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -58,12 +58,10 @@ class WordHashes(dict):
         return code
 
 
-_HASHES = WordHashes()
-
-
 def word_codes(data: bytes) -> np.ndarray:
     words = data.split()  # bytes: ASCII white space only
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    hashes = held("word hashes", WordHashes)
+    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
 
 
 def mixed(codes: np.ndarray) -> np.ndarray:

@@ -20,13 +20,12 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evotrail.llm.batches import map_batches
+from evotrail.llm.batches import held, map_batches
 
 #: Distinct words a worker keeps; more are merged again when they return.
 KNOWN_WORDS = 400_000
@@ -150,16 +149,6 @@ class TokenCounter:
         return len(self.merge(first)) + sum(map(self.words.__getitem__, others))
 
 
-_COUNTERS: dict[str, TokenCounter] = {}
-
-
-def counter(path: str, whole: Callable[[], frozenset[str]]) -> TokenCounter:
-    """The worker's own counter, made at its first batch."""
-    if path not in _COUNTERS:
-        _COUNTERS[path] = TokenCounter(path, whole())
-    return _COUNTERS[path]
-
-
 def count_tokens(
     documents: DataFrame, key: str, text: str, path: str, limit: int
 ) -> DataFrame:
@@ -172,7 +161,7 @@ def count_tokens(
     kind = documents.schema[key].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> dict[str, list]:
-        count = counter(path, lambda: whole.value).count
+        count = held(("counter", path), lambda: TokenCounter(path, whole.value)).count
         counts = [count(text.as_py() or "") for text in batch.column(1)]
         return {
             key: batch.column(0),
