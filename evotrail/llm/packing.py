@@ -146,25 +146,25 @@ def pack_documents(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = held(("ids", path), lambda: TokenIds(path))
-        pack, held, tokens = TaskContext.get().partitionId() << 32, [], 0
+        pack, waiting, tokens = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for name, data in zip(batch.column(0), batch.column(1)):
                 ids = encoder.ids(data.as_py() or "", number)
                 if end_id is not None:
                     ids = np.append(ids, number.type(end_id))
-                if held and tokens + len(ids) > BLOCK_TOKENS:
-                    yield packed(held, pack)
-                    pack, held, tokens = pack + tokens, [], 0
+                if waiting and tokens + len(ids) > BLOCK_TOKENS:
+                    yield packed(waiting, pack)
+                    pack, waiting, tokens = pack + tokens, [], 0
                 if len(ids):
-                    held.append((name.as_py(), ids))
+                    waiting.append((name.as_py(), ids))
                     tokens += len(ids)
-        if held:
-            yield packed(held, pack)
+        if waiting:
+            yield packed(waiting, pack)
 
-    def packed(held: list[tuple], pack: int) -> pa.RecordBatch:
+    def packed(waiting: list[tuple], pack: int) -> pa.RecordBatch:
         segments = [
             (name, at, ids[at : at + length])
-            for name, ids in held
+            for name, ids in waiting
             for at in range(0, len(ids), length)
         ]
         rows = best_fit([len(s[2]) for s in segments], length)

@@ -135,25 +135,25 @@ def anchor_rows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
     kinds = arrow_schema(texts.sparkSession, schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        rows, size = [], 0
         for batch in batches:
             for who, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 codes = word_codes(data.as_py() or b"")
                 for start, part in parts_of(codes, window):
                     first, last, chosen = runs(part, window, anchor)
-                    held.append((np.full(len(first), who), first + start, last - first + 1, chosen))
+                    rows.append((np.full(len(first), who), first + start, last - first + 1, chosen))
                     size += len(first)
                 if size >= ROWS_AT_ONCE:
-                    yield flat(held, kinds)
-                    held, size = [], 0
-        if held:
-            yield flat(held, kinds)
+                    yield flat(rows, kinds)
+                    rows, size = [], 0
+        if rows:
+            yield flat(rows, kinds)
 
     return texts.mapInArrow(work, schema)
 
 
-def flat(held: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
-    columns = [np.concatenate(parts) for parts in zip(*held)]
+def flat(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
+    columns = [np.concatenate(parts) for parts in zip(*rows)]
     found = [
         pa.array(c.view(np.int64) if c.dtype == np.uint64 else c).cast(f.type)
         for c, f in zip(columns, kinds)
