@@ -17,7 +17,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     named = spark.conf.get(CHECKPOINT_DIR, None)
     if named is None:
-        if not context.master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
         named = tempfile.mkdtemp(prefix="evotrail-checkpoint-")
     context.setCheckpointDir(named)
