@@ -10,11 +10,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evotrail.llm import decontamination, piece_codec, simhash, substring_dedup, toxicity
+from evotrail.llm import decontamination, near_copies, piece_codec, substring_dedup, toxicity
 from evotrail.llm.batches import table
 
 TOXIC_FROM = 0.5
-#: Words of a shingle and differing bits of 64 up to which documents are near copies.
+#: Words of a shingle, and differing bits of 64 at which operator 4 proposes near copies.
 SHINGLE, RADIUS = 5, 2
 WINDOW = 35
 PIECE_BPE = "piece_bpe_32k.model"
@@ -32,12 +32,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near copies, once."""
-    groups = simhash.near_duplicates(docs, "doc_id", "text", SHINGLE, RADIUS)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_")).distinct()
-    named = docs.alias("d").join(
-        kept.alias("k"), F.col("d.doc_id") == F.col("k.kept_"), "left_semi"
+    named = docs.withColumn("node_", near_copies.text_code("text"))
+    ids = named.groupBy("node_").agg(F.min("doc_id").alias("least")).alias("t")
+    roots = near_copies.copy_groups(docs, "text", SHINGLE, RADIUS).alias("r")
+    kept = (
+        ids.join(roots, F.col("t.node_") == F.col("r.node"), "left")
+        .where("least is not null")
+        .groupBy(F.coalesce("root", "node_").alias("group"))
+        .agg(F.min(F.struct("least", "node_")).alias("kept"))
+        .select(F.col("kept.least").alias("doc_id"), F.col("kept.node_").alias("node_"))
     )
-    return named.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    once = named.join(kept, ["doc_id", "node_"], "left_semi").dropDuplicates(["doc_id", "node_"])
+    return once.select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
