@@ -42,14 +42,15 @@ from evotrail.llm.batches import arrow_schema, learns_from, map_batches
 from evotrail.staging import staged_table
 
 SAMPLE_ROWS = 3_000
-MAX_TERMS = 100
+MAX_TERMS = 2_000
 NEAREST = 15
 BLOCK = 128
+#: Blocks scored at once.
+WALK = 8
 #: Letters of a word that stand for its inflected forms.
 STEM = 5
-#: A term must be in so many examples, and in this share of those of label 1, to be kept:
-#: what only a few texts hold says little about others.
-LEAST_EXAMPLES, LEAST_SHARE = 4, 0.005
+#: A term must be in so many examples to be kept, whatever their number.
+LEAST_EXAMPLES = 4
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -103,24 +104,32 @@ class Examples:
         bounds = weights @ self.largest[terms]
         order = np.argsort(-bounds, kind="stable")
         numbers, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for block in order.tolist():
+        firsts = self.firsts[terms]
+        for start in range(0, len(order), WALK):
+            blocks = order[start : start + WALK]
             # Sums in another order may differ in the last digits.
-            if bounds[block] <= 0 or (
-                len(cosines) >= NEAREST and cosines[NEAREST - 1] > bounds[block] + 1e-9
+            if bounds[blocks[0]] <= 0 or (
+                len(cosines) >= NEAREST and cosines[NEAREST - 1] > bounds[blocks[0]] + 1e-9
             ):
                 break
-            # All postings of the document's terms in this block, gathered at once.
-            first = self.firsts[terms, block]
-            sizes = self.firsts[terms, block + 1] - first
-            at = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            # All postings of the document's terms in these blocks, gathered at once.
+            first = firsts[:, blocks]
+            sizes = (firsts[:, blocks + 1] - first).ravel()
+            at = np.repeat(first.ravel() - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            shift = (np.arange(len(blocks)) - blocks) * BLOCK
             found = np.bincount(
-                self.posted[at] - block * BLOCK, np.repeat(weights, sizes) * self.values[at], BLOCK
+                self.posted[at] + np.repeat(np.tile(shift, len(terms)), sizes),
+                np.repeat(np.repeat(weights, len(blocks)), sizes) * self.values[at],
+                len(blocks) * BLOCK,
             )
-            if 0 <= skip - block * BLOCK < BLOCK:
-                found[skip - block * BLOCK] = 0
+            if skip >= 0:
+                found[np.flatnonzero(blocks == skip // BLOCK) * BLOCK + skip % BLOCK] = 0
             hit = np.flatnonzero(found)
-            numbers = np.concatenate((numbers, hit + block * BLOCK))
+            numbers = np.concatenate((numbers, blocks[hit // BLOCK] * BLOCK + hit % BLOCK))
             cosines = np.concatenate((cosines, found[hit]))
+            if len(cosines) > NEAREST:
+                able = cosines >= np.partition(cosines, -NEAREST)[-NEAREST]
+                numbers, cosines = numbers[able], cosines[able]
             best = np.lexsort((numbers, -cosines))[:NEAREST]
             numbers, cosines = numbers[best], cosines[best]
         return numbers, cosines
@@ -266,7 +275,7 @@ def telling_terms(sample: DataFrame, ones: int, zeros: int, most: int) -> list[s
         sample.select("label_", F.explode("terms").alias("term"))
         .groupBy("term")
         .agg(F.sum("label_").alias("a"), F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= max(LEAST_EXAMPLES, LEAST_SHARE * ones))
+        .where(F.col("n") >= LEAST_EXAMPLES)
     )
     total = float(ones + zeros)
     gap = F.col("a") * F.lit(float(zeros)) - (F.col("n") - F.col("a")) * F.lit(float(ones))
@@ -345,7 +354,13 @@ def toxicity_of(examples: Examples, spark, key_kind: str, threshold: float = 0.5
     shared = spark.sparkContext.broadcast(examples)
 
     def scored(texts: pa.Array) -> pa.Array:
-        found = [shared.value.score(text.as_py() or "") for text in texts]
+        known: dict[str, tuple] = {}  # equal texts of a batch are scored once
+        found = []
+        for text in texts:
+            whole = text.as_py() or ""
+            if whole not in known:
+                known[whole] = shared.value.score(whole)
+            found.append(known[whole])
         near = [[{"key": k, "cosine": c, "label": n} for k, c, n in e] for _, e in found]
         return pa.StructArray.from_arrays(
             [

@@ -110,3 +110,10 @@ def test_odd_texts_and_labels(spark, score):
         assert not next(r for r in rows if r.doc_id is None).held_out
     nothing = score(documents.where("false"), frame, "doc_id", "text", "toxic", 0.5)
     assert nothing.collect() == []
+
+
+def test_weak_and_rare_terms_are_kept_at_any_sample_size(spark):
+    rows = [(1, [f"t{i:03}" for i in range(300)])] * 4 + [(0, ["other"])] * 4
+    sample = spark.createDataFrame(rows, "label_ int, terms array<string>")
+    kept = toxicity.telling_terms(sample, 3_000, 3_000, toxicity.MAX_TERMS)
+    assert len(kept) == 301
