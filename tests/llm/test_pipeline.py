@@ -70,3 +70,15 @@ def test_stages_take_odd_and_empty_tables(spark):
             assert docs.columns == [c.split()[0] for c in schema.split(", ")]
         found = stages.encode(spark, docs, "/root/testdata/sf0.001").collect()
         assert sorted(str(r.doc_id) for r in found) == (["1", "4", "None"] if some else [])
+
+
+def test_rows_of_one_id_are_decided_by_their_own_text(spark):
+    benchmark = table(spark, "/root/testdata/sf0.001", "benchmark")
+    passage = max((r.text for r in benchmark.collect()), key=len)
+    texts = ["first text of an id " * 3, "another text, of the same id, not alike", passage]
+    rows = [(1, text) for text in texts] + [(1, texts[0]), (2, texts[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once = stages.drop_near_copies(spark, docs, "")
+    assert sorted(map(tuple, once.collect())) == sorted((1, text) for text in texts)
+    clean = stages.drop_contaminated(spark, docs, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, clean.collect())) == sorted(r for r in rows if r[1] != passage)
