@@ -16,7 +16,8 @@ under its smallest item id; ``item_classes`` gives the members.
 Defined results: words are the runs of letters and digits of the lower-cased text; a
 null or empty text, and an item or document shorter than the window, overlaps nothing;
 whole texts of any length are compared; rows with equal keys are reported together, a
-null key as null; an empty table gives no rows; other columns are not looked at. Words
+null key as null; a class whose items have no id is reported with a null item id, one row
+for each class; an empty table gives no rows; other columns are not looked at. Words
 are equal if their 64-bit hashes are.
 """
 
@@ -80,9 +81,10 @@ def overlaps(
         .where(F.size("h") >= WINDOW)
         .groupBy("h")
         .agg(F.min("item_").alias("item_id"))
+        .withColumn("class_", F.xxhash64("h"))
     )
     sown = staged(
-        seeds(items, ["item_id", "h"]).select("item_id", F.col("at").alias("item_at"), "seed")
+        seeds(items, ["class_", "h"]).select("class_", F.col("at").alias("item_at"), "seed")
     )
     blocks = max(-(-sown.count() // seed_limit), 1)
     hashed = documents.select(F.col(key).alias("key_"), word_hashes(text).alias("h"))
@@ -92,7 +94,8 @@ def overlaps(
     ]
     return (
         verified(reduce(DataFrame.union, found).distinct())
-        .groupBy("key_", "item_id")
+        # Classes without an id are told apart by their words.
+        .groupBy("key_", "item_id", F.when(F.col("item_id").isNull(), F.col("class_")))
         .agg(F.max(F.struct("windows", "covered_words", "equal_words", "item_words")).alias("best"))
         .select(
             F.col("key_").alias(key),
@@ -106,24 +109,25 @@ def overlaps(
 
 
 def hits(hashed: DataFrame, sown: DataFrame, items: DataFrame) -> DataFrame:
-    """The alignments that seeds find: key_, item_id, and the aligned words of both."""
-    lengths = items.select("item_id", F.size("h").alias("length"))
+    """The alignments that seeds find: key_, the item's class, and the aligned words of both."""
+    lengths = items.select("class_", F.size("h").alias("length"))
     shift = F.col("at") - F.col("item_at")
     first = F.greatest(shift, F.lit(0))
     last = F.least(shift + F.col("length"), F.size("h"))
     aligned = (
         seeds(hashed, ["key_", "h"])
-        .join(F.broadcast(sown.join(lengths, "item_id")), "seed")
+        .join(F.broadcast(sown.join(lengths, "class_")), "seed")
         .select(
             "key_",
-            "item_id",
+            "class_",
             (first - shift).alias("item_first"),
             F.slice("h", first + 1, F.greatest(last - first, F.lit(0))).alias("words"),
         )
         .distinct()
     )
-    return aligned.join(items.withColumnRenamed("h", "item_h"), "item_id").select(
+    return aligned.join(items.withColumnRenamed("h", "item_h"), "class_").select(
         "key_",
+        "class_",
         "item_id",
         F.size("item_h").alias("item_words"),
         "words",
@@ -152,6 +156,7 @@ def verified(aligned: DataFrame) -> DataFrame:
         .withColumn("covered", covered)
         .select(
             "key_",
+            "class_",
             "item_id",
             "item_words",
             F.size("good").alias("windows"),

@@ -112,3 +112,19 @@ def test_main_path_is_native(spark):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in text
     assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", text)
+
+
+def test_items_without_an_id_are_found(spark):
+    passages = [" ".join(f"{name}{i}" for i in range(15)) for name in "abc"]
+    benchmark = spark.createDataFrame(
+        [(None, passages[0]), (None, passages[1]), (7, passages[2])], "item_id long, text string"
+    )
+    documents = spark.createDataFrame(
+        [(1, passages[0]), (2, " ".join(passages)), (3, "clean")], "doc_id long, text string"
+    )
+    found = d.overlaps(documents, "doc_id", "text", benchmark, "item_id", "text").collect()
+    assert sorted((r.doc_id, str(r.item_id)) for r in found) == [
+        (1, "None"), (2, "7"), (2, "None"), (2, "None"),
+    ]
+    kept = d.without_overlaps(documents, "doc_id", "text", benchmark, "item_id", "text")
+    assert [r.doc_id for r in kept.collect()] == [3]
