@@ -24,9 +24,9 @@ from evotrail.staging import staged_table
 
 #: Bytes every record costs beside its text.
 RECORD_OVERHEAD = 16
-#: Hex digits of the slot order that name a group of rows numbered by one task.
-GROUP_DIGITS = 3
 DRAW_DIGITS = 13
+#: Bits of a row's number within its partition, as Spark counts.
+PLACE_BITS = 33
 
 
 def key_text(key: str) -> Column:
@@ -68,10 +68,10 @@ def assign_shards(
     last shard's weight) joins. Slots number a shard's rows from 0 in the order of
     the MD5 of the key.
 
-    Texts stay where they are read; only the narrow rows are stored and moved. A
-    shard's rows are numbered in 4096 groups by the first digits of that MD5, and a
-    group's first slot is the number of rows in the groups before it, so no task
-    gets a whole shard.
+    Texts stay where they are read; only the narrow rows are stored and moved. They are
+    dealt by ranges of the whole order, rows that are equal in it by the number they were
+    stored with, so no task gets a whole shard or all rows of a key. A range's first slot
+    is the number of the shard's rows in the ranges before it.
     """
     if not weights or min(weights) < 0 or max(weights) <= 0:
         raise ValueError("shard weights must be 0 or more, and one of them above 0")
@@ -86,24 +86,24 @@ def assign_shards(
             best_shard(name, weights).cast("int").alias("shard"),
             best_shard(name, grown).cast("int").alias("grown_shard"),
             F.md5(name.cast("binary")).alias("slot_order"),
+            F.monotonically_increasing_id().alias("stored"),
         )
     )
-    group = F.substring("slot_order", 1, GROUP_DIGITS)
-    placed = placed.withColumn("slot_group", group)
-    before = Window.partitionBy("shard").orderBy("slot_group").rowsBetween(
+    dealt = in_order(placed)
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    # At most 4096 rows for each shard, whatever the table's size.
+    # At most one row for each range and shard in it, whatever the table's size.
     firsts = (
-        placed.groupBy("shard", "slot_group")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("shard", "slot_group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    )
-    within = Window.partitionBy("shard", "slot_group").orderBy(
-        "slot_order", "text_crc32", "size"
+        dealt.groupBy("shard", "part")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("start"))
+        .select(
+            "shard",
+            "part",
+            (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("start")).alias("first"),
+        )
     )
-    numbered = placed.withColumn("place", F.row_number().over(within) - 1)
-    return numbered.join(firsts, ["shard", "slot_group"]).select(
+    return dealt.join(F.broadcast(firsts), ["shard", "part"]).select(
         key,
         "size",
         "text_crc32",
@@ -112,3 +112,17 @@ def assign_shards(
         (F.col("first") + F.col("place")).cast("long").alias("slot"),
         "grown_shard",
     )
+
+
+def in_order(placed: DataFrame) -> DataFrame:
+    """The stored rows with ``part``, their range of the order, and ``place`` within it."""
+    ranges = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["shard", "slot_order", "text_crc32", "size", "stored"]
+    dealt = placed.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    number = F.monotonically_increasing_id()
+    numbered = staged_table(dealt.drop("slot_order", "stored").withColumn("number", number))
+    return numbered.select(
+        "*",
+        F.shiftright("number", PLACE_BITS).alias("part"),
+        F.col("number").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("place"),
+    ).drop("number")

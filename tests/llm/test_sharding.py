@@ -7,7 +7,7 @@ import zlib
 import pytest
 
 from evotrail.llm.batches import table
-from evotrail.llm.sharding import assign_shards
+from evotrail.llm.sharding import assign_shards, in_order
 
 
 def plain_shard(key, weights):
@@ -70,3 +70,17 @@ def test_bad_weights_are_refused(spark, weights):
     rows = spark.createDataFrame([(1, "")], "doc_id long, text string")
     with pytest.raises(ValueError):
         assign_shards(rows, "doc_id", "text", weights)
+
+
+@pytest.mark.parametrize("text", ["'same'", "cast(id AS string)"])
+def test_rows_of_one_key_are_numbered_in_parts(spark, text):
+    rows = spark.range(20_000).selectExpr("7L AS doc_id", f"{text} AS text")
+    found = assign_shards(rows, "doc_id", "text", [1.0] * 3)
+    slots = found.groupBy("shard").agg({"slot": "max", "*": "count"}).collect()
+    assert len(slots) == 1 and slots[0]["max(slot)"] == 19_999
+    assert found.select("slot").distinct().count() == 20_000
+    keyed = rows.selectExpr(
+        "1 AS shard", "md5('7') AS slot_order", "crc32(text) AS text_crc32", "9L AS size", "text"
+    ).selectExpr("*", "monotonically_increasing_id() AS stored")
+    parts = [r["count"] for r in in_order(keyed).groupBy("part").count().collect()]
+    assert len(parts) > 1 and max(parts) < 10_000
