@@ -1,7 +1,8 @@
 """SQL that gives the expected rows of the operators that SQL can express.
 
 It works on whole tables without seeds, groups, anchors or blocks: every pair of equal
-words for op1, every pair of vectors for op8, every window for op9, every draw for op10.
+words for op1, every pair of vectors for op8, every window for op9, every draw for op10,
+every rule for op13.
 """
 
 from __future__ import annotations
@@ -138,9 +139,43 @@ SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed,
   sha256(coalesce(kept, '')) AS kept_sha256
 FROM split LEFT JOIN left_over USING (doc_id)"""
 
+# Every rule against every url; what stands for a pattern is its regular expression.
+URLS = """
+WITH rules(place, host, path, verdict) AS (VALUES
+    (0, 'org', '/', 'allow'), (1, 'example.org', '/es/', 'block'),
+    (2, 'example.org', '/en/1', 'block'), (3, 'com', '/fr/', 'allow'), (4, 'com', '/de/', 'block')),
+patterns(pattern, form) AS (VALUES
+    ('cheap-pills.*/', '^([^/]*[.])?cheap-pills[.][^/]*/'),
+    ('spam-farm.*/', '^([^/]*[.])?spam-farm[.][^/]*/'),
+    ('casino.*/', '^([^/]*[.])?casino[.][^/]*/'),
+    ('*/wp-login.php', '^[^/]*/wp-login[.]php'), ('*/wp-admin/', '^[^/]*/wp-admin/'),
+    ('*/cgi-bin/', '^[^/]*/cgi-bin/'), ('*/*/calendar/*/day/', '^[^/]*/.*/calendar/.*/day/')),
+parts AS (
+  SELECT page_id, regexp_extract(rest, '^([^/?#]*)([^?#]*)', ['host', 'path']) AS found
+  FROM (SELECT page_id, CASE WHEN strpos(url, '://') > 0
+    THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)),
+addresses AS (
+  SELECT row_number() OVER () AS row, page_id, found.path AS path, translate(found.host,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM parts),
+ruled AS (
+  SELECT row, arg_max({'rule': r.host || r.path, 'verdict': r.verdict},
+    [length(r.host || r.path), length(r.host), -r.place]) AS best
+  FROM addresses a JOIN rules r
+    ON ('.' || a.host) LIKE ('%.' || r.host) AND starts_with(a.path, r.path)
+  GROUP BY row),
+shaped AS (
+  SELECT row, arg_max(pattern, length(pattern)) AS pattern
+  FROM addresses JOIN patterns ON regexp_matches(host || path, form, 's')
+  GROUP BY row)
+SELECT page_id, host, path, best.rule AS rule,
+  CASE WHEN best IS NULL THEN pattern END AS pattern,
+  coalesce(best.verdict, CASE WHEN pattern IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM addresses LEFT JOIN ruled USING (row) LEFT JOIN shaped USING (row)"""
+
 ORACLE = {
     "op1_decontamination": DECONTAMINATION,
     "op8_vector_join": VECTORS,
     "op9_substring_dedup": SUBSTRINGS,
     "op10_sharding": SHARDING,
+    "op13_url_filters": URLS,
 }

@@ -17,6 +17,7 @@ from evotrail.llm.simhash import near_duplicates
 from evotrail.llm.substring_dedup import remove_repeats
 from evotrail.llm.token_counts import count_tokens
 from evotrail.llm.toxicity import score_toxicity
+from evotrail.llm.url_filters import UrlRule, judge_urls
 from evotrail.llm.vector_join import link_vectors
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -30,6 +31,21 @@ TOXIC_FROM, QUALITY_FROM = 0.5, 0.3
 BYTE_BPE = "byte_bpe_50k.json"
 END_OF_TEXT = 50_256
 PIECE_BPE = "piece_bpe_32k.model"
+URL_RULES = [
+    UrlRule("allow", "org/"),
+    UrlRule("block", "example.org/es/"),
+    UrlRule("block", "example.org/en/1"),
+    UrlRule("allow", "com/fr/"),
+    UrlRule("block", "com/de/"),
+]
+#: What is kept out where no rule speaks: shops of spam, log-in forms, scripts, calendars.
+URL_PATTERNS = [
+    UrlRule("block", pattern)
+    for pattern in (
+        "cheap-pills.*/", "spam-farm.*/", "casino.*/", "*/wp-login.php", "*/wp-admin/",
+        "*/cgi-bin/", "*/*/calendar/*/day/",
+    )
+]
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +99,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), "doc_id", "text", [1.0] * SHARDS)
 
 
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), "page_id", "url", URL_RULES, URL_PATTERNS)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
@@ -94,4 +114,5 @@ QUERIES = {
     "op8_vector_join": op8_vector_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_sharding": op10_sharding,
+    "op13_url_filters": op13_url_filters,
 }
