@@ -19,6 +19,7 @@ from evotrail.llm.token_counts import count_tokens
 from evotrail.llm.toxicity import score_toxicity
 from evotrail.llm.url_filters import UrlRule, judge_urls
 from evotrail.llm.vector_join import link_vectors
+from evotrail.llm.whitening import whiten
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -28,6 +29,7 @@ PACK_LENGTH = 2_048
 WINDOW = 35
 COSINE = 0.95
 TOXIC_FROM, QUALITY_FROM = 0.5, 0.3
+COMPONENTS = 16
 BYTE_BPE = "byte_bpe_50k.json"
 END_OF_TEXT = 50_256
 PIECE_BPE = "piece_bpe_32k.model"
@@ -99,6 +101,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), "doc_id", "text", [1.0] * SHARDS)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", COMPONENTS)
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "one")
+    return found.select("vec_id", "n", "deviation", "identity_error", each).select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        "n",
+        "deviation",
+        "one.whitened",
+        "one.explained",
+        "identity_error",
+    )
+
+
 def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), "page_id", "url", URL_RULES, URL_PATTERNS)
 
@@ -114,5 +130,6 @@ QUERIES = {
     "op8_vector_join": op8_vector_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_sharding": op10_sharding,
+    "op12_whitening": op12_whitening,
     "op13_url_filters": op13_url_filters,
 }

@@ -1,0 +1,105 @@
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pytest
+
+from evotrail.llm.batches import table
+from evotrail.llm.feast import count_above, largest_pairs
+from evotrail.llm.queries import op12_whitening
+from evotrail.llm.vector_sums import tree_sum
+from evotrail.llm.whitening import whiten
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+def plain(vectors, components):
+    """(n, values, whitened by row up to signs, deviations, explained), by numpy."""
+    usable = [v for v in vectors if v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    x = [[math.floor(64 * float(c)) + 1_000_000 for c in v] for v in usable]
+    fit = sorted(set(map(tuple, x)))
+    n, sums = len(fit), [sum(column) for column in zip(*fit)]
+    centred = np.array([[(n * e - s) / n for e, s in zip(row, sums)] for row in fit])
+    values, found = np.linalg.eigh(centred.T @ centred / n)
+    values, found = values[::-1][:components], found[:, ::-1][:, :components]
+    rows = np.array([[(n * e - s) / n for e, s in zip(row, sums)] for row in x])
+    deviations = [sum((n * e - s) ** 2 for e, s in zip(row, sums)) for row in x]
+    share = values / np.trace(centred.T @ centred / n)
+    return n, rows @ found / np.sqrt(values), deviations, share
+
+
+def test_query_equals_numpy_on_whole_table(spark):
+    rows = sorted(table(spark, FOLDER, "embeddings").collect(), key=lambda r: r.vec_id)
+    n, whitened, deviations, share = plain([r.embedding for r in rows], 16)
+    found = op12_whitening(spark, FOLDER).toPandas()
+    assert list(found.columns) == [
+        "vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error",
+    ]
+    assert len(found) == 16 * len(rows) and set(found.n) == {n}
+    assert found.identity_error.nunique() == 1 and found.identity_error[0] < 1e-9
+    by_id = found.sort_values(["vec_id", "component"])
+    assert by_id.deviation.to_numpy().reshape(-1, 16)[:, 0].tolist() == deviations
+    assert np.allclose(by_id.explained.to_numpy().reshape(-1, 16), share, rtol=1e-10)
+    own = by_id.whitened.to_numpy().reshape(-1, 16)
+    signs = np.sign((own * whitened).sum(axis=0))
+    assert np.allclose(own, whitened * signs, atol=1e-8)
+
+
+def test_odd_rows_lengths_and_clashing_columns(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [
+        (1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [0.0, 1.0], 1), (3, None, 1), (4, [], 1),
+        (5, [None, 1.0], 1), (6, [inf, 1.0], 1), (7, [nan, 0.0], 1), (8, [0.5, 0.25], 1),
+        (9, [5.0], 1), (10, [3.0, 1.0, 2.0], 1), (11, [4.0, 1.0, 2.0], 1), (12, [1e300, 0.0, -1e300], 1),
+    ]
+    frame = spark.createDataFrame(rows, "vec_id long, v array<double>, n int")
+    found = {(r.vec_id, r.n): r for r in whiten(frame, "vec_id", "v", 16).collect()}
+    assert {k for k, _ in found} == {1, None, 8, 9, 10, 11, 12}
+    assert found[1, 3].n == 3 and len(found[1, 3].whitened) == 2
+    assert found[9, 1].whitened == [] and found[9, 1].deviation == 0
+    pair = [found[k, 3] for k in (10, 11, 12)]
+    assert all(len(r.whitened) == 2 or len(r.whitened) == 1 for r in pair)
+    assert pair[2].deviation is None
+    assert whiten(frame.limit(0), "vec_id", "v", 16).collect() == []
+
+
+def test_copies_weigh_once(spark):
+    rng = np.random.default_rng(1)
+    vectors = rng.standard_normal((40, 6)).tolist()
+    once = spark.createDataFrame(list(enumerate(vectors)), "k long, v array<double>")
+    hot = once.union(spark.range(3000).selectExpr("id + 100", f"array({', '.join(f'{c}D' for c in vectors[0])})"))
+    a, b = ({r.k: r for r in whiten(f, "k", "v", 4).collect()} for f in (once, hot))
+    assert a[0].n == b[0].n == 40 and b[2000].deviation == a[0].deviation
+    assert np.allclose(a[7].whitened, b[7].whitened, atol=1e-9)
+
+
+@pytest.mark.parametrize("spread", ["random", "ties", "rank", "wide", "equal", "one"])
+def test_largest_pairs_equal_a_dense_solver(spread):
+    rng = np.random.default_rng(2)
+    size = 1 if spread == "one" else 48
+    values = {
+        "random": rng.random(size), "ties": np.r_[5, 5, 5, 4, np.full(30, 3), np.linspace(2, 1, 14)],
+        "rank": np.r_[np.linspace(9, 1, 7), np.zeros(41)], "wide": 10.0 ** -np.linspace(0, 12, size),
+        "equal": np.ones(size), "one": np.ones(1),
+    }[spread]
+    turn, _ = np.linalg.qr(rng.standard_normal((size, size)))
+    matrix = (turn * values) @ turn.T
+    matrix = (matrix + matrix.T) / 2
+    dense = np.linalg.eigvalsh(matrix)[::-1]
+    found, vectors = largest_pairs(matrix, 16)
+    assert len(found) == {"rank": 7, "one": 1}.get(spread, 16)
+    assert np.allclose(found, dense[: len(found)], rtol=1e-9)
+    assert np.abs(vectors.T @ vectors - np.eye(len(found))).max() < 1e-12
+    assert np.abs(matrix @ vectors - vectors * found).max() < 1e-11
+    for shift in rng.uniform(0, dense[0], 20):
+        assert count_above(matrix, shift) == (dense > shift).sum()
+    assert count_above(np.array([[0.0, 1.0], [1.0, 0.0]]), 0.0) == 1
+    assert count_above(np.zeros((3, 3)), 0.0) == 0
+
+
+def test_tree_sums_any_number_of_tasks(spark):
+    rows = spark.range(0, 1000, 1, 40).selectExpr("id % 3 AS slot", "array(id, 1L) AS values")
+    found = {r.slot: list(r["values"]) for r in tree_sum(rows, "long", fan_in=4).collect()}
+    assert found == {s: [sum(range(s, 1000, 3)), len(range(s, 1000, 3))] for s in range(3)}
+    assert tree_sum(rows.limit(0), "long").collect() == []
