@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evotrail.llm.alignment import align_texts
 from evotrail.llm.batches import table
 from evotrail.llm.decontamination import overlaps
 from evotrail.llm.oracle import ORACLE
@@ -101,6 +102,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), "doc_id", "text", [1.0] * SHARDS)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE)
+    found = align_texts(table(spark, sf_dir, "documents"), "doc_id", "text", *paths)
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    return found.withColumn("groups_sha256", digest).drop("groups")
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", COMPONENTS)
     each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "one")
@@ -130,6 +138,7 @@ QUERIES = {
     "op8_vector_join": op8_vector_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_sharding": op10_sharding,
+    "op11_alignment": op11_alignment,
     "op12_whitening": op12_whitening,
     "op13_url_filters": op13_url_filters,
 }
