@@ -28,8 +28,9 @@ no rows; columns other than key and text are not looked at.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -60,18 +61,22 @@ def units_of(text: str) -> list[str]:
     return text.split(" ") if cuts_at_spaces(text) else _CUT.split(text)
 
 
-def bytes_of_a(path: str) -> dict[int, bytes]:
+def bytes_of_a(path: str) -> list[bytes]:
+    """The bytes of every id; none for special tokens."""
     ranks, _ = read_ranks(path)
-    return {number: data for data, number in ranks.items()}
+    found = [b""] * (max(ranks.values()) + 1)
+    for data, number in ranks.items():
+        found[number] = data
+    return found
 
 
-def bytes_of_b(path: str) -> dict[int, bytes]:
-    """The bytes of every piece that text can match."""
+def bytes_of_b(path: str) -> list[bytes]:
+    """The bytes of every piece that text can match; none for others."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    found = {}
-    for number in range(model.get_piece_size()):
+    found = [b""] * model.get_piece_size()
+    for number in range(len(found)):
         piece = model.id_to_piece(number)
         if model.is_byte(number):
             found[number] = bytes([int(piece[1:-1], 16)])
@@ -84,7 +89,7 @@ def bytes_of_b(path: str) -> dict[int, bytes]:
 
 def most_pairs(path_a: str, path_b: str) -> int:
     """How many distinct pairs any corpus can link: one token's bytes end the other's."""
-    a, b = bytes_of_a(path_a).values(), bytes_of_b(path_b).values()
+    a, b = (list(filter(None, tokens)) for tokens in (bytes_of_a(path_a), bytes_of_b(path_b)))
 
     def suffixes(tokens, others: list[bytes], shorter: int) -> int:
         counts: dict[bytes, int] = {}
@@ -93,60 +98,116 @@ def most_pairs(path_a: str, path_b: str) -> int:
         ends = (token[at:] for token in tokens for at in range(shorter, len(token)))
         return sum(counts.get(end, 0) for end in ends)
 
-    return suffixes(a, list(b), 0) + suffixes(b, list(a), 1)
+    return suffixes(a, b, 0) + suffixes(b, a, 1)
 
 
 class Units:
-    """Aligned units of two vocabularies; one lives in each worker."""
+    """Aligned units of two vocabularies; one lives in each worker.
+
+    New units are joined by the spaces they were cut at, encoded together and aligned by
+    the running sums of their tokens' bytes, all at once.
+    """
 
-    def __init__(self, path_a: str, path_b: str):
+    def __init__(self, path_a: str, path_b: str, with_groups: bool = True):
         import sentencepiece
 
         self.encode_a, _ = merger(path_a)
         self.encode_b = sentencepiece.SentencePieceProcessor(model_file=path_b).encode
         self.bytes_a, self.bytes_b = bytes_of_a(path_a), bytes_of_b(path_b)
+        self.lengths_a, self.lengths_b = map(byte_lengths, (self.bytes_a, self.bytes_b))
+        self.with_groups = with_groups
+        if with_groups:
+            self.inner_a, self.last_a = (written(self.bytes_a, after) for after in ",|")
+            self.inner_b, self.last_b, self.end_b = (
+                written(self.bytes_b, after) for after in ",;\n"
+            )
         self.clear()
 
     def clear(self) -> None:
         self.places: dict[str, int] = {}
         self.groups: list[str] = []
-        #: Tokens of A and of B, and links; no links if the bytes differ from the unit's.
-        self.sizes: list[tuple[int, int, int]] = []
-        self.keys: list[int] = []  # of all units, one after the other
+        #: Tokens of A and of B, and links, of each unit.
+        self.sizes: list[np.ndarray] = []
+        self.keys: list[np.ndarray] = []  # of all units, one after the other
+        self.broken: set[int] = set()  # units whose tokens have other bytes
 
     def places_of(self, units: list[str]) -> np.ndarray:
-        """The units' places in the table; unknown ones are aligned first."""
-        known = self.places
-        try:
-            return np.fromiter(map(known.__getitem__, units), np.int64, len(units))
-        except KeyError:
-            new = list({unit: None for unit in units if unit not in known})
-            for unit, b in zip(new, self.encode_b(new, num_threads=1)):
-                self.align(unit, b)
-            return np.fromiter(map(known.__getitem__, units), np.int64, len(units))
-
-    def align(self, unit: str, b: list[int]) -> None:
-        a = self.encode_a(" " + unit)
-        parts_a = [self.bytes_a[number] for number in a]
-        parts_b = [self.bytes_b.get(number, b"") for number in b]
-        data = (" " + unit).encode()
-        groups = []
-        if b"".join(parts_a) == data == b"".join(parts_b):
-            i = j = first_i = first_j = end_a = end_b = 0
-            while i < len(a):
-                end_a += len(parts_a[i])
-                i += 1
-                while end_b < end_a:
-                    end_b += len(parts_b[j])
-                    j += 1
-                if end_a == end_b:
-                    group = ",".join(map(str, a[first_i:i]))
-                    groups.append(f"{group}|{','.join(map(str, b[first_j:j]))}")
-                    self.keys.append(a[i - 1] << 32 | b[j - 1])
-                    first_i, first_j = i, j
-        self.places[unit] = len(self.groups)
-        self.groups.append(";".join(groups))
-        self.sizes.append((len(a), len(b), len(groups)))
+        """The places of known units in the table."""
+        return np.fromiter(map(self.places.__getitem__, units), np.int64, len(units))
+
+    def add(self, units: Iterable[str]) -> None:
+        """Align those of the units that are not in the table."""
+        new = list(dict.fromkeys(filterfalse(self.places.__contains__, units)))
+        joined = new
+        if not (all(new) and cuts_at_spaces(" ".join(new))):  # some begin or end with space
+            joined = [unit for unit in new if unit and unit.strip() == unit]
+        if joined and not self.align(joined):
+            joined = []
+        for unit in new if len(joined) < len(new) else ():
+            if unit not in self.places and not self.align([unit]):
+                self.broken.add(len(self.places))
+                self.store([unit], np.zeros((1, 3), np.int64), np.zeros(0, np.uint64), [""])
+
+    def align(self, units: list[str]) -> bool:
+        """Add the units' alignments; False if their tokens' bytes are not theirs."""
+        text = " ".join(units)
+        data = (" " + text).encode()
+        ids_a, ids_b = self.encode_a(" " + text), self.encode_b(text)
+        for ids, known in ((ids_a, self.bytes_a), (ids_b, self.bytes_b)):
+            if b"".join(map(known.__getitem__, ids)) != data:
+                return False
+        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        ends_a, ends_b = self.lengths_a[a].cumsum(), self.lengths_b[b].cumsum()
+        ends = np.cumsum([len(unit.encode()) + 1 for unit in units])
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        # Tokens and groups up to each end of a group, and of a unit.
+        upto_a, upto_b = (np.searchsorted(e, common, "right") for e in (ends_a, ends_b))
+        of_units = np.searchsorted(common, ends)
+        if not np.array_equal(common[of_units], ends):
+            return False
+        counts = np.stack([upto_a[of_units], upto_b[of_units], of_units + 1], axis=1)
+        keys = (a[upto_a - 1] << 32 | b[upto_b - 1]).astype(np.uint64)
+        groups = self.written_groups(a, b, upto_a, upto_b, of_units) if self.with_groups else []
+        self.store(units, np.diff(counts, axis=0, prepend=0), keys, groups)
+        return True
+
+    def written_groups(self, a, b, upto_a, upto_b, of_units) -> list[str]:
+        """The units' groups as text: every token with the sign that comes after it."""
+        text_a, text_b = self.inner_a[a], self.inner_b[b]
+        text_a[upto_a - 1] = self.last_a[a[upto_a - 1]]
+        text_b[upto_b - 1] = self.last_b[b[upto_b - 1]]
+        lasts = upto_b[of_units] - 1
+        text_b[lasts] = self.end_b[b[lasts]]
+        # A group's tokens of A come before its tokens of B.
+        group_a = np.repeat(np.arange(len(upto_a)), np.diff(upto_a, prepend=0))
+        group_b = np.repeat(np.arange(len(upto_b)), np.diff(upto_b, prepend=0))
+        whole_text = np.empty(len(a) + len(b), object)
+        before_b = np.concatenate([[0], upto_b])
+        whole_text[np.arange(len(a)) + before_b[group_a]] = text_a
+        whole_text[np.arange(len(b)) + upto_a[group_b]] = text_b
+        return "".join(whole_text.tolist()).split("\n")[:-1]
+
+    def store(self, units: list[str], sizes: np.ndarray, keys: np.ndarray, groups: list[str]):
+        first = len(self.places)
+        self.places.update(zip(units, range(first, first + len(units))))
+        self.sizes.append(sizes)
+        self.keys.append(keys)
+        self.groups.extend(groups)
+
+    def since(self, units: int, keys: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and keys of the units after so many units with so many keys."""
+        self.sizes = [np.concatenate(self.sizes)] if self.sizes else [np.zeros((0, 3), np.int64)]
+        self.keys = [np.concatenate(self.keys)] if self.keys else [np.zeros(0, np.uint64)]
+        return self.sizes[0][units:], self.keys[0][keys:]
+
+
+def byte_lengths(known: list[bytes]) -> np.ndarray:
+    return np.array(list(map(len, known)), np.int64)
+
+
+def written(known: list[bytes], after: str) -> np.ndarray:
+    """Every id as text with the sign after it."""
+    return np.array([f"{number}{after}" for number in range(len(known))], object)
 
 
 @dataclass(frozen=True)
@@ -164,10 +225,10 @@ class PairCounts:
         np.maximum.at(highest, ids, counts)
         return PairCounts(pairs, counts, (counts == highest[ids]).astype(np.int64))
 
-    def of_units(self, links: np.ndarray, keys: list[int]) -> np.ndarray:
+    def of_units(self, links: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """(best links, sum of counts, pairs without a count) of units with so many links,
         from all their keys. A worker's table may hold units of another table's texts."""
-        slot = self.slots.slots(np.array(keys, np.uint64))
+        slot = self.slots.slots(keys)
         known = slot >= 0
         each = np.zeros((len(slot), 3), np.int64)
         each[known, 0], each[known, 1] = self.best[slot[known]], self.counts[slot[known]]
@@ -195,10 +256,11 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 def aligned(units: Units, texts: list[str]) -> Iterator[np.ndarray | None]:
     """The places of every text's units; None for a text without tokens."""
-    for text in texts:
-        places = units.places_of(units_of(text)) if text and SPACE not in text else None
-        # A unit with other bytes has tokens but no links.
-        if places is not None and not all(units.sizes[p][2] for p in np.unique(places)):
+    cut = [units_of(text) if text and SPACE not in text else None for text in texts]
+    units.add(chain.from_iterable(filter(None, cut)))
+    for found in cut:
+        places = None if found is None else units.places_of(found)
+        if units.broken and places is not None and not units.broken.isdisjoint(places.tolist()):
             places = None
         yield places
 
@@ -209,15 +271,15 @@ def counted_pairs(documents: DataFrame, text: str, path_a: str, path_b: str) ->
     arrow = arrow_schema(documents.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = held(("units", path_a, path_b), lambda: Units(path_a, path_b))
+        units = held(("pairs", path_a, path_b), lambda: Units(path_a, path_b, False))
         totals: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         seen = np.zeros(0, np.int64)  # how often each unit of the table occurred
 
         def fold() -> None:
             nonlocal totals, seen
-            links = np.array([size[2] for size in units.sizes[: len(seen)]], np.int64)
-            keys = np.array(units.keys[: int(links.sum())], np.uint64)
-            times = np.repeat(seen, links)
+            sizes, keys = units.since(0, 0)
+            links = sizes[: len(seen), 2]
+            keys, times = keys[: links.sum()], np.repeat(seen, links)
             keys = np.concatenate([totals[0], keys[times > 0]])
             times = np.concatenate([totals[1], times[times > 0]])
             distinct, place = np.unique(keys, return_inverse=True)
@@ -226,12 +288,12 @@ def counted_pairs(documents: DataFrame, text: str, path_a: str, path_b: str) ->
             totals, seen = (distinct, sums), np.zeros(0, np.int64)
 
         for _, texts in chunks(batches):
-            if len(units.groups) > KNOWN_UNITS:
+            if len(units.places) > KNOWN_UNITS:
                 fold()
                 units.clear()
             found = [places for places in aligned(units, texts) if places is not None]
             if found:
-                more = np.bincount(np.concatenate(found), minlength=len(units.groups))
+                more = np.bincount(np.concatenate(found), minlength=len(units.places))
                 more[: len(seen)] += seen
                 seen = more
         fold()
@@ -290,14 +352,14 @@ def align_texts(
         units = held(("units", path_a, path_b), lambda: Units(path_a, path_b))
         table, used = np.zeros((0, 6), np.int64), 0  # of the units so far, and keys of them
         for batch, texts in chunks(batches):
-            if len(units.groups) > KNOWN_UNITS:
+            if len(units.places) > KNOWN_UNITS:
                 units.clear()
                 table, used = np.zeros((0, 6), np.int64), 0
             found = list(aligned(units, texts))
-            if len(table) < len(units.groups):
-                sizes = np.array(units.sizes[len(table) :], np.int64)
-                more = counts.value.of_units(sizes[:, 2], units.keys[used:])
-                table, used = np.vstack([table, np.hstack([sizes, more])]), len(units.keys)
+            if len(table) < len(units.places):
+                sizes, keys = units.since(len(table), used)
+                more = counts.value.of_units(sizes[:, 2], keys)
+                table, used = np.vstack([table, np.hstack([sizes, more])]), used + len(keys)
             sums = np.zeros((len(texts), 6), np.int64)
             written = []
             for row, places in enumerate(found):

@@ -6,6 +6,7 @@ from collections import Counter
 from itertools import accumulate
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -38,7 +39,7 @@ def plain():
     def found(text):
         a = byte_bpe.encode(" " + (text or ""), add_special_tokens=False).ids
         b = pieces.encode(text or "")
-        parts_a, parts_b = [bytes_a[n] for n in a], [bytes_b.get(n, b"?") for n in b]
+        parts_a, parts_b = [bytes_a[n] for n in a], [bytes_b[n] for n in b]
         if not text or not b"".join(parts_a) == (" " + text).encode() == b"".join(parts_b):
             return 0, 0, "", []
         ends_a = {end: at for at, end in enumerate(accumulate(map(len, parts_a)), 1)}
@@ -85,13 +86,13 @@ def test_units_equal_libraries_on_odd_texts(plain):
         got = (0, 0, "")
         (places,) = aligned(units, [text])
         if places is not None:
-            sizes = [units.sizes[p] for p in places]
+            sizes = units.since(0, 0)[0][places]
             groups = ";".join(units.groups[p] for p in places)
             got = (sum(s[0] for s in sizes), sum(s[1] for s in sizes), groups)
         assert got == plain(text)[:3], repr(text)
 
 
-def test_odd_rows_and_small_tables_of_units(spark, plain, monkeypatch):
+def test_odd_rows(spark, plain):
     long = "word and more, " * 40_000 + "x" * 3_000
     texts = [None, "", "a b", "a b", "a b c", "one ▁ mark", " \n ", long, "say <|endoftext|> now", "the a"]
     rows = [(i if i else None, text, 1, "x") for i, text in enumerate(texts)]
@@ -102,20 +103,24 @@ def test_odd_rows_and_small_tables_of_units(spark, plain, monkeypatch):
     assert align_texts(frame.limit(0), "doc_id", "text", A, B).collect() == []
 
 
-def test_folding_keeps_counts(spark, plain, monkeypatch):
-    monkeypatch.setattr(alignment, "CHARACTERS", 200)
-    monkeypatch.setattr(alignment, "KNOWN_UNITS", 20)
-    texts = [r.text for r in table(spark, FOLDER, "documents").limit(12).collect()]
-    units = Units(A, B)
-    counted = Counter()
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_pydict({"key": list(range(12)), "text": texts})
-    for part, some in alignment.chunks(iter([batch])):
-        assert part.column(1).to_pylist() == some
-        for places in aligned(units, some):
-            counted.update(places.tolist())
-    assert sum(counted.values()) == sum(len(alignment.units_of(t)) for t in texts)
+def test_units_together_equal_units_apart():
+    texts = ["It's a naïve test of words — one by one, again.\nNew line", "x" * 50, "a b"]
+    names = [unit for text in texts for unit in text.split(" ")]
+    together, apart = Units(A, B), Units(A, B)
+    together.add(list(dict.fromkeys(names)))
+    for name in dict.fromkeys(names):
+        apart.add([name])
+    assert together.places == apart.places and together.groups == apart.groups
+    assert all(np.array_equal(a, b) for a, b in zip(together.since(0, 0), apart.since(0, 0)))
+
+
+def test_slices_of_texts_are_whole(monkeypatch):
+    monkeypatch.setattr(alignment, "CHARACTERS", 20)
+    texts = ["a" * 30, None, "", "b" * 15, "c" * 6, "d"]
+    batch = pa.RecordBatch.from_pydict({"key": list(range(6)), "text": texts})
+    found = list(alignment.chunks(iter([batch, batch.slice(0, 0)])))
+    assert [t for _, some in found for t in some] == [t or "" for t in texts]
+    assert [len(part) for part, _ in found] == [len(some) for _, some in found]
 
 
 def test_vocabularies_bound_the_pairs(plain):
