@@ -37,7 +37,7 @@ def staged_table(df: DataFrame) -> DataFrame:
     """The rows of ``df``, written once as Parquet in the shared folder and read again.
 
     For wide rows that later steps read in part: they read only the columns they
-    name, compressed. The table goes when the application ends.
+    name, compressed. The table goes with ``drop_staged``, or when the application ends.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -46,7 +46,22 @@ def staged_table(df: DataFrame) -> DataFrame:
     df.write.parquet(folder)
     path = context._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(folder)
+    stored = spark.read.schema(df.schema).parquet(folder)
+    stored.staged_folder = folder
+    return stored
+
+
+def drop_staged(*frames: DataFrame) -> None:
+    """Delete the folders of staged tables whose rows no later step reads.
+
+    Only what ``staged_table`` returned has a folder; other frames are left alone.
+    """
+    for frame in frames:
+        folder = getattr(frame, "staged_folder", None)
+        if folder is not None:
+            context = frame.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
