@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evotrail.staging import staged
+from evotrail.staging import drop_staged, staged_table
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -19,14 +19,15 @@ def connected_components(links: DataFrame) -> DataFrame:
     one row per task in the minimum, never a list. Null ends and loops link nothing.
     Links and results stay in the cluster; the driver sees one count and one sum.
     """
-    stars = staged(
+    stars = staged_table(
         links.where(F.col("u") != F.col("v"))
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
     seen = fingerprint(stars)
     while True:
-        stars = staged(small_star(large_star(stars)).distinct())
+        last, stars = stars, staged_table(small_star(large_star(stars)).distinct())
+        drop_staged(last)
         now = fingerprint(stars)
         if now == seen:
             break

@@ -178,13 +178,11 @@ def without_overlaps(
     item: str,
     item_text: str,
 ) -> DataFrame:
-    """The documents, all columns, that overlap no item. Rows that share a key but not the
-    text are decided each for itself. Rows whose key is null have no name to be removed
-    by and stay."""
-    named = F.col(key).isNotNull()
-    code = F.when(named, F.xxhash64(F.col(key).cast("string"), F.col(text)))
+    """The documents, all columns, that overlap no item. Rows that share a key, or have
+    none, are decided each by its own text."""
+    code = F.xxhash64(F.col(key).cast("string"), F.col(text))
     rows = documents.select(F.struct("*").alias("doc"), code.alias("row_"))
-    texts = rows.where("row_ is not null").select("row_", F.col("doc")[text].alias("text_"))
+    texts = rows.select("row_", F.col("doc")[text].alias("text_"))
     found = overlaps(texts, "row_", "text_", benchmark, item, item_text)
     leaks = found.select(F.col("row_").alias("leak_")).distinct()
     return rows.join(leaks, F.col("row_") == F.col("leak_"), "left_anti").select("doc.*")

@@ -1,7 +1,7 @@
 """The stages of the corpus pipeline: documents in, documents out.
 
-Every stage keeps the columns of its input, in order; a document here is a row. Rows
-without a doc_id can't be named by the stages that decide by id and stay in them.
+Every stage keeps the columns of its input, in order; a document here is a row. Rows that
+share a doc_id, or have none, are decided each by its own text.
 """
 
 from __future__ import annotations
@@ -31,19 +31,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies, once."""
+    """Keep one document of each group of near copies: that with the smallest id.
+
+    Operator 4 proposes groups by its fingerprints, min-hash bands (``near_copies``) the
+    candidates that fingerprints of two differing bits can't reach; every link is verified
+    by the similarity of the texts. A row without an id is kept only if no row of its
+    group has one, and once.
+    """
     named = docs.withColumn("node_", near_copies.text_code("text"))
-    ids = named.groupBy("node_").agg(F.min("doc_id").alias("least")).alias("t")
+    id_ = F.struct(F.col("doc_id").isNull().alias("lacks"), F.col("doc_id").alias("id"))
+    ids = named.groupBy("node_").agg(F.min(id_).alias("least")).alias("t")
     roots = near_copies.copy_groups(docs, "text", SHINGLE, RADIUS).alias("r")
     kept = (
         ids.join(roots, F.col("t.node_") == F.col("r.node"), "left")
-        .where("least is not null")
         .groupBy(F.coalesce("root", "node_").alias("group"))
         .agg(F.min(F.struct("least", "node_")).alias("kept"))
-        .select(F.col("kept.least").alias("doc_id"), F.col("kept.node_").alias("node_"))
+        .select(F.col("kept.least.id").alias("kept_id"), F.col("kept.node_").alias("kept_node"))
     )
-    once = named.join(kept, ["doc_id", "node_"], "left_semi").dropDuplicates(["doc_id", "node_"])
-    return once.select(*docs.columns).union(docs.where("doc_id is null"))
+    chosen = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("node_") == F.col("kept_node"))
+    once = named.join(kept, chosen, "left_semi").dropDuplicates(["doc_id", "node_"])
+    return once.select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

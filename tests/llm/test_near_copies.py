@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from evotrail.llm import stages
+from evotrail.llm import near_copies, stages
 from evotrail.llm.batches import table
 from evotrail.llm.near_copies import copy_groups
 from tests.llm import brute
@@ -61,3 +61,67 @@ def test_crowded_buckets_lose_no_pair(spark, pair_limit):
     roots = groups.select("root").distinct().count()
     distinct = len({text for _, text in rows})
     assert distinct - nodes + roots == len(expected(list({t: (k, t) for k, t in rows[::-1]}.values())))
+
+
+@pytest.fixture
+def pairs_compared(monkeypatch):
+    """How many pairs each step verifies."""
+    found, verify = [], near_copies.similar_pairs
+
+    def counted(pairs, sets, similar):
+        found.append(pairs.count())
+        return verify(pairs, sets, similar)
+
+    monkeypatch.setattr(near_copies, "similar_pairs", counted)
+    return found
+
+
+def test_texts_around_one_long_passage_are_not_paired(spark, pairs_compared):
+    passage = [f"p{i}" for i in range(104)]
+    totals = []
+    for n in (150, 600):
+        texts = [" ".join(passage + [f"x{k}w{i}" for i in range(24)]) for k in range(n)]
+        frame = spark.createDataFrame([(text,) for text in texts], "text string")
+        assert copy_groups(frame, "text", 5, 2).count() == 0
+        totals.append(sum(pairs_compared))
+        pairs_compared.clear()
+    # All pairs would be 16 times as many; bands and pivots grow with the texts.
+    assert totals[1] < 50 * 600 and totals[1] < 8 * totals[0]
+
+
+def test_a_large_loose_group_is_searched_exactly(spark, pairs_compared):
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for k in range(150):
+        words = list(base)
+        for at in rng.sample(range(100), rng.choice([1, 2, 3, 4, 5])):
+            words[at] = rng.choice(["x", "y", f"z{k}"])
+        rows.append((k, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = copy_groups(frame, "text", 5, 2, pair_limit=4)
+    nodes, roots = groups.count(), groups.select("root").distinct().count()
+    distinct = list({t: (k, t) for k, t in rows[::-1]}.values())
+    assert len(distinct) - nodes + roots == len(expected(sorted(distinct)))
+    assert sum(pairs_compared) < len(distinct) * (len(distinct) - 1) / 2
+
+
+def test_prefixes_and_parities_lose_no_similar_pair(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        a = rng.integers(0, 1 << 40, rng.integers(1, 60)).astype(np.uint64)
+        b = np.unique(np.concatenate([a[: rng.integers(0, len(a) + 1)], a[:3] + np.uint64(1)]))
+        a = np.unique(a)
+        differing = np.setxor1d(a, b).size
+        bits = near_copies.parity_bits(a) ^ near_copies.parity_bits(b)
+        assert np.bitwise_count(bits.view(np.uint64)).sum() <= differing
+
+
+def test_odd_texts_and_columns(spark):
+    rows = [(None, 1), ("", 1), (" ", 1), ("\t", 1), ("one word", 1), ("one word", 1), ("w " * 90_000, 1)]
+    frame = spark.createDataFrame(rows, "text string, node int").selectExpr("*", "1 AS bucket", "2 AS grams")
+    groups = copy_groups(frame, "text", 5, 2).collect()
+    assert len({r.root for r in groups}) == 1 and len(groups) == 3
+    assert copy_groups(frame.limit(0), "text", 5, 2).collect() == []

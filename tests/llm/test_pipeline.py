@@ -8,6 +8,7 @@ from evotrail.llm import stages
 from evotrail.llm.batches import table
 from evotrail.staging import staged_table
 from tests.llm import brute
+from tests.llm.test_near_copies import expected
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -23,15 +24,8 @@ def test_each_stage_does_its_work(spark):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == columns
         if name == "SimHash near-dedup":
-            rows = sorted((r.doc_id, brute.fingerprint(r.text, 5)) for r in before.collect())
-            links = [
-                (i, j)
-                for i in range(len(rows))
-                for j in range(i + 1, len(rows))
-                if (rows[i][1] ^ rows[j][1]).bit_count() <= 2
-            ]
-            roots = brute.components(len(rows), links)
-            assert {r.doc_id for r in docs.collect()} == {rows[r][0] for r in roots}
+            rows = sorted((r.doc_id, r.text) for r in before.collect())
+            assert {r.doc_id for r in docs.collect()} == expected(rows)
         if name == "substring dedup":
             rows = [(r.doc_id, r.text) for r in before.collect()]
             removed = {k: (n, digest) for k, _, n, digest in brute.substring(rows, 35)}
@@ -72,6 +66,19 @@ def test_stages_take_odd_and_empty_tables(spark):
         assert sorted(str(r.doc_id) for r in found) == (["1", "4", "None"] if some else [])
 
 
+def test_rows_without_an_id_are_decided_too(spark):
+    benchmark = table(spark, "/root/testdata/sf0.001", "benchmark")
+    passage = max((r.text for r in benchmark.collect()), key=len)
+    copied, own = "a text that is there with an id and without", "a text that has no id at all"
+    rows = [(None, passage), (None, copied), (3, copied), (None, own), (None, own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once = stages.drop_near_copies(spark, docs, "")
+    assert set(once.collect()) == {(None, passage), (3, copied), (None, own)}
+    assert once.count() == 3
+    clean = stages.drop_contaminated(spark, once, "/root/testdata/sf0.001")
+    assert set(clean.collect()) == {(3, copied), (None, own)}
+
+
 def test_rows_of_one_id_are_decided_by_their_own_text(spark):
     benchmark = table(spark, "/root/testdata/sf0.001", "benchmark")
     passage = max((r.text for r in benchmark.collect()), key=len)
