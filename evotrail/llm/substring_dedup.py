@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evotrail.llm.batches import arrow_schema, held
-from evotrail.staging import release, staged_table
+from evotrail.staging import drop_staged, release, staged_table
 
 #: Distinct words whose hash a worker keeps.
 KNOWN_WORDS = 200_000
@@ -200,25 +200,29 @@ def window_rows(listed: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_runs(texts: DataFrame, window: int, anchor: int) -> DataFrame:
-    """First level: (who, runs_) with the runs of each text whose anchor occurs again."""
-    # Stored, so that both sides of the join are moved and hot anchors can be split.
+    """First level: (who, runs_) with the runs of each text whose anchor occurs again.
+
+    The runs are stored, narrow, so that texts are hashed once and both sides of the join
+    are moved, where hot anchors can be split.
+    """
+    chosen = staged_table(anchor_rows(texts, window, anchor))
     repeated = staged_table(
-        anchor_rows(texts, window, anchor)
-        .groupBy("anchor")
+        chosen.groupBy("anchor")
         .agg(F.count(F.lit(1)).alias("times"))
         .where("times > 1")
         .select("anchor")
     )
-    return (
-        anchor_rows(texts, window, anchor)
-        .join(repeated, "anchor")
+    found = staged_table(
+        chosen.join(repeated, "anchor")
         .groupBy("who")
         .agg(F.collect_set(F.struct("first", "n", "anchor")).alias("runs_"))
     )
+    drop_staged(chosen, repeated)
+    return found
 
 
 def repeated_intervals(found: DataFrame, window: int) -> DataFrame:
-    """Second level: (who, start, stop) of the words that repeated windows cover."""
+    """Second level: (who, cuts_), the words that repeated windows cover, as intervals."""
     # One occurrence stands for each context; both its columns come from one row.
     contexts = staged_table(
         found.groupBy("anchor", "context").agg(
@@ -253,7 +257,14 @@ def repeated_intervals(found: DataFrame, window: int) -> DataFrame:
         .select("who", (F.col("first") + F.col("place")).alias("start"))
         .withColumn("at", F.col("start"))
     )
-    return whole.union(single).select("who", "start", (F.col("at") + window).alias("stop"))
+    cuts = staged_table(
+        whole.union(single)
+        .select("who", F.struct("start", (F.col("at") + window).alias("stop")).alias("cut"))
+        .groupBy("who")
+        .agg(F.collect_set("cut").alias("cuts_"))
+    )
+    drop_staged(contexts, windows, again, repeated)
+    return cuts
 
 
 def without(texts: pa.Array, cuts: pa.Array) -> pa.Array:
@@ -292,16 +303,14 @@ def remove_repeats(documents: DataFrame, key: str, text: str, window: int) -> Da
         F.col(text).cast("binary").alias("text_"),
     )
     texts = rows.select("who_", "text_")
-    first = staged_table(repeated_runs(texts, window, anchor))
+    first = repeated_runs(texts, window, anchor)
     release(documents.sparkSession)
     listed = texts.join(first, F.col("who_") == F.col("who")).select("who_", "text_", "runs_")
     second = staged_table(window_rows(listed, window))
+    drop_staged(first)
     release(documents.sparkSession)
-    cuts = staged_table(
-        repeated_intervals(second, window)
-        .groupBy("who")
-        .agg(F.collect_set(F.struct("start", "stop")).alias("cuts_"))
-    )
+    cuts = repeated_intervals(second, window)
+    drop_staged(second)
     release(documents.sparkSession)
     cut = F.arrow_udf(without, "kept string, n_words long, n_removed long")
     return (
