@@ -8,7 +8,7 @@ there, each reading only its columns.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -70,12 +70,14 @@ def run_batch(
     log: DataFrame,
     snapshot: DataFrame,
     options: FeedOptions,
-    state: DataFrame | Sequence[DataFrame] | None = None,
+    state: DataFrame | Sequence[DataFrame] | Callable[[DataFrame], Sequence[DataFrame]] | None = None,
 ) -> BatchRun:
     """Process a stretch of the log after the runs that ``state`` remembers.
 
-    ``state`` must hold each key once; it may come in several tables. The log is read and parsed once: candidates
-    and unreadable records are stored by one pass, in one table.
+    ``state`` must hold each key once; it may come in several tables, or as a function that
+    gets the run's keys (dedup_key) and gives the tables that may hold them. The log is
+    read and parsed once: candidates and unreadable records are stored by one pass, in one
+    table.
     """
     check_globs(log.sparkSession, options.subject_filters)
     counted = {name: Observation(name) for name in ("records", "events")}
@@ -103,6 +105,8 @@ def run_batch(
     sendable = judged.where("failed_status IS NULL").drop("failed_status")
     failed = judged.where("failed_status IS NOT NULL")
     if options.deduplicate:
+        if callable(state):
+            state = state(candidates.select("dedup_key"))
         tables = [state] if isinstance(state, DataFrame) else list(state or ())
         sent = staged_table(reduce(dedup.drop_known, tables, dedup.first_per_key(sendable)))
         marks = dedup.marks(sent, [dedup.known_keys(candidates, table) for table in tables])

@@ -7,12 +7,18 @@ moving it, and what earlier batches of its era added, which is small. A batch th
 again after a crash sees the same state as the first time. Eras before the current one
 may be deleted.
 
+With each base goes a Bloom filter of every bucket's keys (``operators.key_filters``), a
+byte or two a key. ``load`` tests a batch's keys by it and opens only the buckets that may
+hold one of them, so a batch of new keys reads none. A batch that meets half of the buckets
+or more reads the base bucket by bucket instead, in place.
+
 No key is forgotten unless the options say so; keys that are leave when an era ends.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evotrail import schemas
+from evotrail.operators import key_filters
 from evotrail.operators.state import drop_old, prune_state
 from evotrail.sources.files import exists, read_or_empty
 
@@ -56,7 +63,59 @@ def _base(spark: SparkSession, path: str, era: int, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
+def _filter_path(path: str, era: int, buckets: int) -> str:
+    return f"{path}/filters/buckets={buckets}/era={era}"
+
+
 def _write_base(state: DataFrame, path: str, era: int, buckets: int) -> None:
+    """Write the base, then the filter made from it: a base whose filter is missing, of an
+    earlier version or after a crash, is read whole."""
+    spark = state.sparkSession
+    _write_buckets(state, path, era, buckets)
+    keys = _base(spark, path, era, buckets).select("dedup_key")
+    blocks = key_filters.blocks_for(keys.count(), buckets)
+    made = key_filters.key_filter(keys, "dedup_key", buckets, blocks)
+    made.write.mode("overwrite").parquet(_filter_path(path, era, buckets))
+
+
+def buckets_met(spark: SparkSession, path: str, era: int, buckets: int, keys: DataFrame):
+    """The buckets of a base that may hold one of the keys; None if that can't be told."""
+    folder = _filter_path(path, era, buckets)
+    if not exists(spark, f"{folder}/_SUCCESS"):
+        return None
+    filters = spark.read.parquet(folder)
+    first = filters.select("blocks").first()
+    if first is None:
+        return []
+    found = key_filters.may_hold(keys, "dedup_key", filters, buckets, first["blocks"])
+    return sorted(row["bucket"] for row in found.select("bucket").distinct().collect())
+
+
+def _met_base(spark: SparkSession, path: str, era: int, buckets: int, keys: DataFrame) -> DataFrame:
+    """The base's buckets that may hold one of the keys."""
+    whole = _base(spark, path, era, buckets)
+    met = buckets_met(spark, path, era, buckets, keys) if _has_files(whole) else None
+    if met is None or 2 * len(met) >= buckets:
+        return whole
+    files = [file for file in whole.inputFiles() if _bucket_number(file) in set(met)]
+    if not files:
+        return spark.createDataFrame([], schemas.STATE)
+    return spark.read.schema(schemas.STATE).parquet(*files)
+
+
+def _has_files(base: DataFrame) -> bool:
+    return bool(base.inputFiles())
+
+
+def _bucket_number(file: str) -> int:
+    """Spark writes the bucket behind the last underscore of a file's name."""
+    found = re.search(r"_(\d+)\.[^/_]*$", file)
+    if found is None:
+        raise ValueError(f"{file} is no file of a bucketed table")
+    return int(found.group(1))
+
+
+def _write_buckets(state: DataFrame, path: str, era: int, buckets: int) -> None:
     (
         state.repartition(buckets, "dedup_key")
         .write.mode("overwrite")
@@ -73,14 +132,24 @@ def _added(spark: SparkSession, path: str, era: int, before_batch: int) -> DataF
 
 
 def load(
-    spark: SparkSession, path: str, batch_id: int, era_length: int, buckets: int = BUCKETS
+    spark: SparkSession,
+    path: str,
+    batch_id: int,
+    era_length: int,
+    buckets: int = BUCKETS,
+    keys: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The state as the batches before this one left it: the base, and what was added.
 
-    No key is in both.
+    No key is in both. With ``keys`` (dedup_key), what no key of theirs can be in may be
+    left out of the base.
     """
     era = batch_id // era_length
-    return _base(spark, path, era, buckets), _added(spark, path, era, batch_id)
+    if keys is None:
+        base = _base(spark, path, era, buckets)
+    else:
+        base = _met_base(spark, path, era, buckets, keys)
+    return base, _added(spark, path, era, batch_id)
 
 
 def add(rows: DataFrame, path: str, batch_id: int, era_length: int) -> None:

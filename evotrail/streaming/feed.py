@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,10 @@ class FeedFolders:
     def failed_lookups(self) -> str:
         return f"{self.root}/failed_lookups"
 
+    @property
+    def duplicates(self) -> str:
+        return f"{self.root}/duplicates"
+
     @property
     def rejected(self) -> str:
         return f"{self.root}/rejected"
@@ -75,7 +80,7 @@ def process_batch(
     """Run one batch and write what it yields: output first, then state, then counters.
 
     Side tables keep what the feed leaves out: registrations whose lookup
-    failed, and unreadable records, from the same pass over the batch.
+    failed, duplicates, and unreadable records, from the same pass over the batch.
     Returns the counters.
 
     ``publish`` sends notifications on, e.g. to a topic; it may see a batch
@@ -84,7 +89,9 @@ def process_batch(
     spark = records.sparkSession
     state = None
     if options.deduplicate:
-        state = state_files.load(spark, folders.state, batch_id, era_length, buckets)
+        state = partial(
+            state_files.load, spark, folders.state, batch_id, era_length, buckets
+        )
     run = run_batch(records, snapshot, options, state)
     if not dry_run:
         sinks.write_batch(run.notifications, folders.notifications, batch_id)
@@ -92,6 +99,8 @@ def process_batch(
             publish(sinks.in_key_order(run.notifications))
     failed = f"{folders.failed_lookups}/batch_id={batch_id}"
     run.failed_lookups.write.mode("overwrite").parquet(failed)
+    if options.deduplicate:
+        run.duplicates.write.mode("overwrite").parquet(f"{folders.duplicates}/batch_id={batch_id}")
     if run.records_rejected:
         run.rejected.write.mode("overwrite").parquet(f"{folders.rejected}/batch_id={batch_id}")
     if options.deduplicate:
