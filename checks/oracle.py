@@ -437,6 +437,9 @@ ORACLE: dict[str, str] = {
       SELECT dedup_key, event_id, "partition", "offset" FROM sent""",
     "dedup_with_state": f"""{_SECOND_RUN}
       SELECT dedup_key, event_id, "partition", "offset" FROM later""",
+    "known_keys_by_filter": f"""{_SECOND_RUN}
+      SELECT DISTINCT a.dedup_key FROM audit a {_FROM_SPLIT}
+      WHERE a.dedup_key IN (SELECT dedup_key FROM state)""",
     "state_after_run": f"""{_SECOND_RUN}
       SELECT dedup_key, CAST(ts AS VARCHAR) AS first_seen, "partition", "offset" FROM state
       UNION ALL

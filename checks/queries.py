@@ -16,6 +16,8 @@ from evotrail import fixed_values as fv
 from evotrail.functions import event_fields as ef
 from evotrail.functions.globs import matches_any
 from evotrail.operators import (
+    dedup,
+    key_filters,
     log_ranges,
     notifications as notes,
     parse,
@@ -35,6 +37,7 @@ EXACT = ("users-7-value",)
 RANGE_START, RANGE_END = "2024-01-10T00:00:00Z", "2024-01-20T00:00:00Z"
 SPLIT = "2024-01-15T00:00:00Z"
 PRUNE_LIMIT = 500
+FILTER_BUCKETS = 16
 
 
 def _as_text(column: str) -> Column:
@@ -420,6 +423,18 @@ def dedup_with_state(spark, sf_dir):
     return sent.select("dedup_key", "event_id", "partition", "offset")
 
 
+def known_keys_by_filter(spark, sf_dir):
+    """The keys of a later run that the state holds: a Bloom filter of the state's buckets
+    admits them, and those admitted meet the state itself."""
+    state = _earlier_state(spark, sf_dir)
+    later = log_ranges.from_timestamp(dt.audit_log(spark, sf_dir), SPLIT)
+    events = parse.audit_events(later, ALL_CHANGES)
+    blocks = key_filters.blocks_for(state.count(), FILTER_BUCKETS)
+    filters = key_filters.key_filter(state, "dedup_key", FILTER_BUCKETS, blocks)
+    admitted = key_filters.may_hold(events, "dedup_key", filters, FILTER_BUCKETS, blocks)
+    return dedup.known_keys(admitted, state)
+
+
 def state_after_run(spark, sf_dir):
     state, sent = _second_run(spark, sf_dir)
     return state_ops.add_to_state(state, sent).select(
@@ -527,6 +542,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         notification_json,
         dedup_first_wins,
         dedup_with_state,
+        known_keys_by_filter,
         state_after_run,
         state_pruned,
         state_size,

@@ -22,27 +22,22 @@ _JSON_OPTIONS = {
 }
 
 
-
 def _bad_numbers(event: str) -> str:
     ints = [(f"{event}.{m}", ef.int_of(f"{event}.{m}")) for m in schemas.INT_MEMBERS]
     doubles = [(f"{event}.{m}", ef.double_of(f"{event}.{m}")) for m in schemas.DOUBLE_MEMBERS]
     return " OR ".join(ef.is_bad_number(text, number) for text, number in ints + doubles)
 
 
-def _type_fault() -> str:
+def _type_fault(event: str) -> str:
     """Why the JSON types of a record's members are wrong; null where they are right.
 
     ``from_json`` reads any value as text. Text members must not hold an object or an
     array, and a quoted int must be a whole number. Few records can be wrong, and the
-    raw text tells which: only those are parsed again, with their types.
+    parsed members tell which, by their first character or by a character that is no
+    digit: only those are parsed again, with their types.
     """
-    names = "|".join(sorted({path.rpartition(".")[2] for path in schemas.TEXT_MEMBERS}))
-    ints = "|".join(sorted({path.rpartition(".")[2] for path in schemas.INT_MEMBERS}))
-    suspect = (
-        f"(value RLIKE '\"({names})\"\\\\s*:\\\\s*[\\\\[{{]'"
-        f" OR value RLIKE '\"({ints})\"\\\\s*:\\\\s*\"(?=[^\"]*[.a-zA-Z])[-+ .0-9eE]*[dDfF]? *\"'"
-        " OR contains(value, '\\\\u'))"
-    )
+    nests = [f"left({event}.{path}, 1) IN ('{{', '[')" for path in schemas.TEXT_MEMBERS]
+    odd = [f"{event}.{path} RLIKE '[^0-9]'" for path in schemas.INT_MEMBERS]
 
     def kind(path: str) -> str:
         return f"schema_of_variant(try_variant_get(v, '$.{path}', 'variant'))"
@@ -55,24 +50,23 @@ def _type_fault() -> str:
     )
     found = f"CASE WHEN {nested} THEN 'wrong_type' WHEN {quoted} THEN 'bad_number' END"
     return (
-        f"CASE WHEN {suspect} THEN get(transform(array(try_parse_json(value)), v -> {found}), 0) END"
+        f"CASE WHEN {' OR '.join(nests + odd)}"
+        f" THEN get(transform(array(try_parse_json(value)), v -> {found}), 0) END"
     )
 
 
-_TYPE_FAULT = _type_fault()
-
 # Why a record holds no event; null where it does.
 _REJECT_REASON = f"""CASE
   WHEN value IS NULL OR value = '' THEN 'empty'
   WHEN event IS NULL THEN 'no_content'
   WHEN event.{schemas.CORRUPT} IS NOT NULL THEN 'malformed'
   WHEN {_bad_numbers("event")} THEN 'bad_number'
-  ELSE {_TYPE_FAULT} END"""
+  ELSE {_type_fault("event")} END"""
 
 # The same test for one parsed event.
 _READABLE = (
     f"e IS NOT NULL AND e.{schemas.CORRUPT} IS NULL AND NOT ({_bad_numbers('e')})"
-    f" AND ({_TYPE_FAULT}) IS NULL"
+    f" AND ({_type_fault('e')}) IS NULL"
 )
 
 
@@ -88,16 +82,16 @@ def with_event(log: DataFrame) -> DataFrame:
     The parsed struct goes through a one-element ``explode``. Filters are then
     not pushed below the parse, where each predicate would parse the text anew.
     """
-    parsed = _parsed(schemas.FEED_EVENT)
+    parsed = _parsed(schemas.EVENT)
     return log.selectExpr("*", f"explode(array({parsed})) AS event").selectExpr(
         "*", f"{_REJECT_REASON} AS reject_reason"
     )
 
 
-def parse_events(log: DataFrame, schema: T.StructType = schemas.EVENT) -> DataFrame:
+def parse_events(log: DataFrame) -> DataFrame:
     """The readable records, one ``event`` struct each; the raw text is dropped."""
     return log.selectExpr(
-        "*", f"explode(filter(array({_parsed(schema)}), e -> {_READABLE})) AS event"
+        "*", f"explode(filter(array({_parsed(schemas.EVENT)}), e -> {_READABLE})) AS event"
     ).drop("value")
 
 
@@ -134,7 +128,7 @@ def derive_fields(events: DataFrame, options: FeedOptions) -> DataFrame:
 
 def audit_events(log: DataFrame, options: FeedOptions) -> DataFrame:
     """Readable records of the log as flat event columns."""
-    return derive_fields(parse_events(log, schemas.FEED_EVENT), options)
+    return derive_fields(parse_events(log), options)
 
 
 def change_candidates(log: DataFrame, options: FeedOptions) -> DataFrame:

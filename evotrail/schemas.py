@@ -67,31 +67,6 @@ EVENT = _struct(
     ),
 )
 
-#: The part of an event that the feed uses. The members left out are texts, whose
-#: JSON types ``operators.parse`` checks on the raw record, so exactly the same records
-#: are readable as with ``EVENT``; the parser skips their values, among them whole
-#: schema texts.
-FEED_EVENT = _struct(
-    id=_string,
-    type=_string,
-    subject=_string,
-    time=_string,
-    data=_struct(
-        methodName=_string,
-        resourceName=_string,
-        authenticationInfo=_struct(),
-        request=_struct(
-            data=_struct(subject=_string, schemaType=_string),
-            subject=_string,
-            version=_string,
-            compatibility=_string,
-            mode=_string,
-        ),
-        response=_struct(id=_string, version=_string),
-        result=_struct(status=_string, data=_struct(id=_string, version=_string)),
-    ),
-)
-
 #: Members of ``EVENT`` that must hold an int / a double.
 INT_MEMBERS = (
     "data.request.version",
