@@ -4,9 +4,12 @@ Terms are the words of a text and the word beginnings of five letters (for infle
 forms). From a bounded sample of labelled rows, equal texts once, the terms that best
 tell the classes apart are kept (chi-square over the sample); their document frequencies
 are counted over all documents. Examples and documents are TF-IDF vectors over these terms.
+A document's counts of kept terms are stored when first seen; scoring reads only them.
 
 The examples form a block-max inverted index: postings by term, cut into blocks of
-consecutive examples, with the largest weight of each term in each block. For a
+consecutive examples, with the largest weight of each term in each block. Examples are
+numbered by halving them again and again along the direction in which they differ most,
+so a block holds alike ones and its bounds are sharp. For a
 document the sum of these largest weights bounds the cosine of every example in a
 block; blocks are scored in falling order of the bound until the k-th best cosine
 reaches the next bound, so the k nearest are exact.
@@ -31,6 +34,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,14 +43,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evotrail.llm.batches import arrow_schema, learns_from, map_batches
-from evotrail.staging import staged_table
+from evotrail.staging import drop_staged, staged_table
 
 SAMPLE_ROWS = 3_000
 MAX_TERMS = 2_000
 NEAREST = 15
-BLOCK = 128
-#: Blocks scored at once.
-WALK = 8
+BLOCK = 16
+#: Blocks scored at first; each further look takes twice as many.
+WALK = 32
 #: Letters of a word that stand for its inflected forms.
 STEM = 5
 #: A term must be in so many examples to be kept, whatever their number.
@@ -105,13 +109,16 @@ class Examples:
         order = np.argsort(-bounds, kind="stable")
         numbers, cosines = np.zeros(0, np.int64), np.zeros(0)
         firsts = self.firsts[terms]
-        for start in range(0, len(order), WALK):
-            blocks = order[start : start + WALK]
-            # Sums in another order may differ in the last digits.
-            if bounds[blocks[0]] <= 0 or (
-                len(cosines) >= NEAREST and cosines[NEAREST - 1] > bounds[blocks[0]] + 1e-9
-            ):
+        start, size = 0, WALK
+        while True:
+            blocks = order[start : start + size]
+            blocks = blocks[bounds[blocks] > 0]
+            if len(cosines) >= NEAREST:
+                # Sums in another order may differ in the last digits.
+                blocks = blocks[bounds[blocks] >= cosines[NEAREST - 1] - 1e-9]
+            if not len(blocks):
                 break
+            start, size = start + size, 2 * size
             # All postings of the document's terms in these blocks, gathered at once.
             first = firsts[:, blocks]
             sizes = (firsts[:, blocks + 1] - first).ravel()
@@ -139,9 +146,9 @@ class Examples:
         votes = cosines**2 * self.weights[numbers]
         return float((votes * self.labels[numbers]).sum() / votes.sum())
 
-    def score(self, text: str) -> tuple[float, list[tuple]]:
+    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple]]:
         """The chance of label 1, and (key, cosine, label) of the nearest examples."""
-        numbers, cosines = self.nearest(kept_counts(text, self.terms))
+        numbers, cosines = self.nearest(counts)
         if not len(numbers):
             return self.without, []
         place = np.searchsorted(self.limits, self.vote(numbers, cosines), side="right") - 1
@@ -176,6 +183,37 @@ def rising(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray):
     return table[:, 0], table[:, 1] / table[:, 2]
 
 
+def alike_order(vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> list[int]:
+    """The vectors' numbers, alike ones side by side: halved along the direction of largest
+    spread, found by a few power steps, down to one block.
+
+    Bounded by the sample: 4 bytes a vector and term.
+    """
+    dense = np.zeros((len(vectors), terms), np.float32)
+    for number, (at, weights) in enumerate(vectors):
+        dense[number, at] = weights
+    waiting, order = [np.arange(len(vectors))], []
+    while waiting:
+        part = waiting.pop()
+        if len(part) <= BLOCK:
+            order.extend(part.tolist())
+            continue
+        rows = dense[part]
+        middle = rows.mean(0)
+        way = np.random.default_rng(0).normal(size=terms).astype(np.float32)
+        for _ in range(8):
+            along = rows @ way - middle @ way
+            way = along @ rows - along.sum() * middle
+            length = np.linalg.norm(way)
+            if length < 1e-6:
+                break
+            way /= length
+        sides = part[np.argsort(rows @ way, kind="stable")]
+        half = len(part) // 2 // BLOCK * BLOCK or BLOCK
+        waiting += [sides[half:], sides[:half]]
+    return order
+
+
 def build(
     terms: list[str],
     frequencies: np.ndarray,
@@ -185,8 +223,9 @@ def build(
 ) -> Examples:
     """The index of ``examples``: (key, label, {term number: count}) each."""
     idf = np.log((1 + documents) / (1 + frequencies)) + 1
-    # Alike examples side by side make the blocks' bounds sharp.
-    examples = sorted(examples, key=lambda e: (e[1], min(e[2], default=-1), str(e[0])))
+    examples = sorted(examples, key=lambda e: (e[1], str(e[0])))
+    order = alike_order([vector(e[2], idf) for e in examples], len(terms))
+    examples = [examples[number] for number in order]
     labels = np.array([e[1] for e in examples], np.int64)
     weights = np.array([class_weights[label] for label in labels.tolist()], float)
     blocks = -(-len(examples) // BLOCK)
@@ -287,31 +326,37 @@ def telling_terms(sample: DataFrame, ones: int, zeros: int, most: int) -> list[s
     return [row[0] for row in rows]
 
 
-def document_frequencies(documents: DataFrame, text: str, terms: list[str]):
-    """(documents, documents with each term), over all of them: one row per batch is moved."""
+def stored_counts(documents: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
+    """(key_, at, of): every row's kept terms by number, and their counts, stored."""
     numbers = documents.sparkSession.sparkContext.broadcast(
         {term: number for number, term in enumerate(terms)}
     )
+    kind = documents.schema[key].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> dict[str, list]:
-        seen: Counter = Counter()
-        for found in batch.column(0):
-            seen.update(kept_counts(found.as_py() or "", numbers.value).keys())
-        return {"n": [batch.num_rows], "at": [list(seen)], "of": [list(seen.values())]}
+        found = [kept_counts(text.as_py() or "", numbers.value) for text in batch.column(1)]
+        return {
+            "key_": batch.column(0),
+            "at": [list(f) for f in found],
+            "of": [list(f.values()) for f in found],
+        }
 
-    counted = staged_table(
+    return staged_table(
         map_batches(
-            documents.select(F.col(text).alias("text_")),
+            documents.select(F.col(key).alias("key_"), F.col(text).alias("text_")),
             work,
-            "n long, at array<int>, of array<long>",
+            f"key_ {kind}, at array<int>, of array<int>",
         )
     )
-    rows = counted.agg(F.sum("n")).first()[0] or 0
-    pairs = counted.select(F.explode(F.arrays_zip("at", "of")).alias("p")).select("p.*")
-    frequencies = np.zeros(len(terms))
-    for row in pairs.groupBy("at").agg(F.sum("of")).collect():  # at most one per term
-        frequencies[row[0]] = row[1]
-    return rows, frequencies
+
+
+def document_frequencies(counted: DataFrame, terms: int) -> tuple[int, np.ndarray]:
+    """(rows, rows with each term) of ``stored_counts``, over all of them."""
+    frequencies = np.zeros(terms)
+    pairs = counted.select(F.explode("at").alias("at")).groupBy("at").count()
+    for number, n in pairs.collect():  # at most one per term
+        frequencies[number] = n
+    return counted.count(), frequencies
 
 
 def fit(
@@ -323,6 +368,21 @@ def fit(
     sample_rows: int = SAMPLE_ROWS,
     max_terms: int = MAX_TERMS,
 ) -> Examples:
+    examples, counted = fit_and_count(documents, labels, key, text, label, sample_rows, max_terms)
+    drop_staged(counted)
+    return examples
+
+
+def fit_and_count(
+    documents: DataFrame,
+    labels: DataFrame,
+    key: str,
+    text: str,
+    label: str,
+    sample_rows: int = SAMPLE_ROWS,
+    max_terms: int = MAX_TERMS,
+) -> tuple[Examples, DataFrame]:
+    """The examples, and every document's counts of their terms (``stored_counts``)."""
     sides = dict(
         labels.where(learns_from(key) & F.col(label).isin(0, 1))
         .groupBy(F.col(label).cast("int"))
@@ -332,7 +392,8 @@ def fit(
     sample = labelled_terms(documents, labels, key, text, label, sample_rows)
     drawn = dict(sample.groupBy("label_").count().collect())
     terms = telling_terms(sample, drawn.get(1, 0), drawn.get(0, 0), max_terms)
-    rows, frequencies = document_frequencies(documents, text, terms)
+    counted = stored_counts(documents, key, text, terms)
+    rows, frequencies = document_frequencies(counted, len(terms))
     numbers = {term: number for number, term in enumerate(terms)}
     # Only kept terms travel to the driver.
     slim = sample.select(
@@ -344,36 +405,57 @@ def fit(
         (row["key_"], row["label_"], {numbers[p["terms"]]: p["counts"] for p in row["found"]})
         for row in slim.collect()
     ]
+    drop_staged(sample)
     share = [sides.get(side, 0) / max(drawn.get(side, 0), 1) for side in (0, 1)]
-    return build(terms, frequencies, rows, examples, (share[0], share[1]))
+    return build(terms, frequencies, rows, examples, (share[0], share[1])), counted
 
 
-def toxicity_of(examples: Examples, spark, key_kind: str, threshold: float = 0.5):
-    """A function of a text column: score, predicted (1 from ``threshold`` on) and evidence,
-    the nearest examples' keys, cosines and labels, best first."""
+def verdicts(examples: Examples, spark, key_kind: str, threshold: float):
+    """(function from an iterable of counts to a struct array, its type): score, predicted
+    (1 from ``threshold`` on) and evidence, the nearest examples' keys, cosines and labels,
+    best first."""
     shared = spark.sparkContext.broadcast(examples)
+    near = f"array<struct<key:{key_kind},cosine:double,label:int>>"
+    kind = f"struct<score:double,predicted:int,evidence:{near}>"
+    found_type = arrow_schema(spark, f"found {kind}").field("found").type
 
-    def scored(texts: pa.Array) -> pa.Array:
-        known: dict[str, tuple] = {}  # equal texts of a batch are scored once
+    def judged(texts, counts_of: Callable) -> pa.Array:
+        known: dict = {}  # equal texts of a batch are scored once
         found = []
         for text in texts:
-            whole = text.as_py() or ""
-            if whole not in known:
-                known[whole] = shared.value.score(whole)
-            found.append(known[whole])
-        near = [[{"key": k, "cosine": c, "label": n} for k, c, n in e] for _, e in found]
-        return pa.StructArray.from_arrays(
-            [
-                pa.array([score for score, _ in found], pa.float64()),
-                pa.array([int(score >= threshold) for score, _ in found], pa.int32()),
-                pa.array(near, evidence.type),
-            ],
-            ["score", "predicted", "evidence"],
-        )
+            if text not in known:
+                score, evidence = shared.value.score(counts_of(text, shared.value.terms))
+                known[text] = {
+                    "score": score,
+                    "predicted": int(score >= threshold),
+                    "evidence": [{"key": k, "cosine": c, "label": n} for k, c, n in evidence],
+                }
+            found.append(known[text])
+        return pa.array(found, found_type)
+
+    return judged, kind
+
+
+def toxicity_of(examples: Examples, spark, key_kind: str, threshold: float = 0.5):
+    """A function of a text column: score, predicted and evidence (``verdicts``)."""
+    judged, kind = verdicts(examples, spark, key_kind, threshold)
+
+    def scored(texts: pa.Array) -> pa.Array:
+        return judged((text.as_py() or "" for text in texts), kept_counts)
+
+    return F.arrow_udf(scored, kind)
+
+
+def toxicity_of_counts(examples: Examples, spark, key_kind: str, threshold: float = 0.5):
+    """The same of the columns at and of of ``stored_counts``."""
+    judged, kind = verdicts(examples, spark, key_kind, threshold)
+
+    def scored(at: pa.Array, of: pa.Array) -> pa.Array:
+        pairs = zip(at.to_pylist(), of.to_pylist())
+        rows = (tuple(sorted(zip(terms, counts))) for terms, counts in pairs)
+        return judged(rows, lambda row, _: dict(row))
 
-    kind = f"array<struct<key:{key_kind},cosine:double,label:int>>"
-    evidence = arrow_schema(spark, f"evidence {kind}").field("evidence")
-    return F.arrow_udf(scored, f"score double, predicted int, evidence {kind}")
+    return F.arrow_udf(scored, kind)
 
 
 def score_toxicity(
@@ -387,11 +469,11 @@ def score_toxicity(
     max_terms: int = MAX_TERMS,
 ) -> DataFrame:
     """One row per document: key, held_out, score, predicted, evidence."""
-    examples = fit(documents, labels, key, text, label, sample_rows, max_terms)
+    examples, counted = fit_and_count(documents, labels, key, text, label, sample_rows, max_terms)
     kind = documents.schema[key].dataType.simpleString()
-    scored = toxicity_of(examples, documents.sparkSession, kind, threshold)
-    return documents.select(
-        F.col(key),
-        (F.col(key).isNotNull() & ~learns_from(key)).alias("held_out"),
-        scored(F.col(text)).alias("found"),
+    scored = toxicity_of_counts(examples, documents.sparkSession, kind, threshold)
+    return counted.select(
+        F.col("key_").alias(key),
+        (F.col("key_").isNotNull() & ~learns_from("key_")).alias("held_out"),
+        scored("at", "of").alias("found"),
     ).select(key, "held_out", "found.score", "found.predicted", "found.evidence")

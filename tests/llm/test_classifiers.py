@@ -64,6 +64,22 @@ def test_nearest_is_exact():
         assert (np.diff(found) <= 1e-12).all() and np.allclose(cosines[numbers], found)
 
 
+def test_alike_examples_share_blocks_and_most_blocks_are_skipped():
+    rng = random.Random(4)
+    # 40 topics of 25 terms, 50 examples each, in mixed order.
+    examples = [
+        (k, k % 2, {25 * (k % 40) + t: 1 for t in rng.sample(range(25), 8)}) for k in range(2_000)
+    ]
+    index = toxicity.build(
+        [f"t{i}" for i in range(1_000)], np.full(1_000, 5.0), 9_000, examples, (1.0, 1.0)
+    )
+    assert sorted(index.keys) == list(range(2_000))
+    topics = [{index.keys[n] % 40 for n in range(b, b + 16)} for b in range(0, 2_000, 16)]
+    assert np.mean([len(t) for t in topics]) < 4
+    met = [(index.largest[25 * topic : 25 * topic + 25].max(0) > 0).mean() for topic in range(40)]
+    assert np.mean(met) < 0.2
+
+
 def test_rising_map_is_monotone_and_keeps_the_mean():
     rng = np.random.default_rng(1)
     votes, weights = rng.random(500).round(2), rng.random(500) + 0.1
