@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,6 +51,8 @@ NEAREST = 15
 BLOCK = 16
 #: Blocks scored at first; each further look takes twice as many.
 WALK = 32
+#: Rows scored by one task, more where that would make too many tasks.
+ROWS_A_TASK, MOST_TASKS = 10_000, 20_000
 #: Letters of a word that stand for its inflected forms.
 STEM = 5
 #: A term must be in so many examples to be kept, whatever their number.
@@ -351,10 +353,22 @@ def stored_counts(documents: DataFrame, key: str, text: str, terms: list[str]) -
 
 
 def document_frequencies(counted: DataFrame, terms: int) -> tuple[int, np.ndarray]:
-    """(rows, rows with each term) of ``stored_counts``, over all of them."""
+    """(rows, rows with each term) of ``stored_counts``, over all of them: one row a task
+    and term is moved."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(terms, np.int64)
+        for batch in batches:
+            found = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            seen += np.bincount(found, minlength=terms)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, kinds[0].type), seen[at]], schema=kinds)
+
+    schema = "at int, n long"
+    kinds = arrow_schema(counted.sparkSession, schema)
+    sums = counted.select("at").mapInArrow(work, schema).groupBy("at").agg(F.sum("n"))
     frequencies = np.zeros(terms)
-    pairs = counted.select(F.explode("at").alias("at")).groupBy("at").count()
-    for number, n in pairs.collect():  # at most one per term
+    for number, n in sums.collect():  # at most one per term
         frequencies[number] = n
     return counted.count(), frequencies
 
@@ -472,7 +486,9 @@ def score_toxicity(
     examples, counted = fit_and_count(documents, labels, key, text, label, sample_rows, max_terms)
     kind = documents.schema[key].dataType.simpleString()
     scored = toxicity_of_counts(examples, documents.sparkSession, kind, threshold)
-    return counted.select(
+    # The counts are small and slow to score: tasks of equal numbers of rows.
+    tasks = min(counted.count() // ROWS_A_TASK + 1, MOST_TASKS)
+    return counted.repartition(tasks).select(
         F.col("key_").alias(key),
         (F.col("key_").isNotNull() & ~learns_from("key_")).alias("held_out"),
         scored("at", "of").alias("found"),
