@@ -12,7 +12,8 @@ again at 0 in every segment, so attention can be kept inside documents.
 
 No shuffle: a task packs the documents it reads, in blocks of at most ``BLOCK_TOKENS``
 tokens (or one document), so memory is bounded and only a block's last rows have room
-left. ``unpacked`` gives every document's ids back.
+left. ``unpacked`` gives every document's ids back. Which documents share a row, and
+``pack_id``, depend on how the input is split into tasks; the ids of a document do not.
 
 Defined results: a null or empty text has no tokens and is in no row (unless an end id
 is given, which then is its only token); strings of special tokens in a text are
@@ -23,7 +24,6 @@ null key stays null; an empty table gives no rows; other columns are not looked
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,32 +41,33 @@ KNOWN_WORDS = 250_000
 
 
 class WordIds(dict):
-    """The ids of a word with a space before it, merged when first asked for."""
+    """The ids of a word with a space before it, as the bytes of their numbers, merged when
+    first asked for."""
 
-    def __init__(self, merge):
+    def __init__(self, merge, kind: np.dtype):
         super().__init__()
-        self.merge = merge
+        self.merge, self.kind = merge, kind
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= KNOWN_WORDS:
             self.clear()
-        ids = self[word] = self.merge(" " + word)
+        ids = self[word] = np.array(self.merge(" " + word), self.kind).tobytes()
         return ids
 
 
 class TokenIds:
     """Encodes texts with one vocabulary file; one lives in each worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kind: np.dtype):
         self.merge, _ = merger(path)
-        self.words = WordIds(self.merge)
+        self.kind, self.words = kind, WordIds(self.merge, kind)
 
-    def ids(self, text: str, kind) -> np.ndarray:
+    def ids(self, text: str) -> np.ndarray:
         if not cuts_at_spaces(text):
-            return np.array(self.merge(text), kind)
+            return np.array(self.merge(text), self.kind)
         first, *others = text.split(" ")
-        found = chain(self.merge(first), *map(self.words.__getitem__, others))
-        return np.fromiter(found, kind)
+        start = np.array(self.merge(first), self.kind).tobytes()
+        return np.frombuffer(start + b"".join(map(self.words.__getitem__, others)), self.kind)
 
 
 class RoomTree:
@@ -145,11 +146,11 @@ def pack_documents(
     number = np.dtype("<u2" if most < 1 << 16 else "<u4")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = held(("ids", path), lambda: TokenIds(path))
+        encoder = held(("ids", path, number.str), lambda: TokenIds(path, number))
         pack, waiting, tokens = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for name, data in zip(batch.column(0), batch.column(1)):
-                ids = encoder.ids(data.as_py() or "", number)
+                ids = encoder.ids(data.as_py() or "")
                 if end_id is not None:
                     ids = np.append(ids, number.type(end_id))
                 if waiting and tokens + len(ids) > BLOCK_TOKENS:
@@ -171,13 +172,14 @@ def pack_documents(
         matrix = np.full((len(rows), length), fill_id, number)
         places = np.zeros((len(rows), length), number)
         names, starts, ends = [], [], []
+        steps = np.arange(length, dtype=number)
         for at, row in enumerate(rows):
             edges = [0]
             for item in row:
                 ids = segments[item][2]
                 edge = edges[-1] + len(ids)
                 matrix[at, edges[-1] : edge] = ids
-                places[at, edges[-1] : edge] = np.arange(len(ids))
+                places[at, edges[-1] : edge] = steps[: len(ids)]
                 edges.append(edge)
             names.append([segments[item][0] for item in row])
             starts.append([segments[item][1] for item in row])
