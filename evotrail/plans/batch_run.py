@@ -36,6 +36,7 @@ class BatchRun:
     notifications: DataFrame
     failed_lookups: DataFrame
     rejected: DataFrame
+    waiting: DataFrame
 
     def counters(self) -> DataFrame:
         return metrics.run_counters(F.lit(self.events_consumed), self.sent, self.duplicates)
@@ -71,6 +72,7 @@ def run_batch(
     snapshot: DataFrame,
     options: FeedOptions,
     state: DataFrame | Sequence[DataFrame] | Callable[[DataFrame], Sequence[DataFrame]] | None = None,
+    waiting: DataFrame | None = None,
 ) -> BatchRun:
     """Process a stretch of the log after the runs that ``state`` remembers.
 
@@ -78,6 +80,11 @@ def run_batch(
     gets the run's keys (dedup_key) and gives the tables that may hold them. The log is
     read and parsed once: candidates and unreadable records are stored by one pass, in one
     table.
+
+    ``waiting`` holds registrations whose lookup failed in the run before (its ``waiting``).
+    They are tried again at their old place in the log, before the new events of their
+    keys. One leaves when its lookup is answered, or when its key has been sent by another
+    event; the others wait on. They are not counted as consumed again.
     """
     check_globs(log.sparkSession, options.subject_filters)
     counted = {name: Observation(name) for name in ("records", "events")}
@@ -98,6 +105,8 @@ def run_batch(
     )
     rejects = stored.where(rejected).select(*log.columns, "reject_reason")
     candidates = stored.where(~rejected).select(*_CANDIDATE)
+    if waiting is not None:
+        candidates = candidates.unionByName(waiting)
 
     relevant = relevance.relevant_events(candidates, options)
     known_method = F.col("method_name").isin(*fv.EVENT_TYPE_OF_METHOD)
@@ -115,8 +124,10 @@ def run_batch(
         # A duplicate is skipped before its schema is looked up.
         failed = failed.join(marks, "dedup_key", "left")
         failed = failed.filter(f"_marked IS NULL OR NOT ({dedup.IS_AFTER_MARK})")
+        unanswered = failed.where("_marked IS NULL")
     else:
         sent = staged_table(sendable)
+        unanswered = failed
         repeats = candidates.limit(0)
     return BatchRun(
         events_consumed=counted["events"].get["n"],
@@ -126,4 +137,5 @@ def run_batch(
         notifications=notify(sent, snapshot),
         failed_lookups=registry.failed_lookups(failed),
         rejected=rejects,
+        waiting=unanswered.select(*_CANDIDATE),
     )

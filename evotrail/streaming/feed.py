@@ -25,6 +25,7 @@ from evotrail.operators.metrics import COUNTERS
 from evotrail.options import FeedOptions
 from evotrail.plans.batch_run import run_batch
 from evotrail.sources import sinks, state_files
+from evotrail.sources.files import exists
 
 
 #: Batches between two compactions of the state; must not change for a folder.
@@ -61,6 +62,10 @@ class FeedFolders:
     def duplicates(self) -> str:
         return f"{self.root}/duplicates"
 
+    @property
+    def waiting(self) -> str:
+        return f"{self.root}/waiting"
+
     @property
     def rejected(self) -> str:
         return f"{self.root}/rejected"
@@ -76,6 +81,7 @@ def process_batch(
     dry_run: bool = False,
     era_length: int = ERA_LENGTH,
     buckets: int = state_files.BUCKETS,
+    retry_lookups: bool = False,
 ) -> dict[str, int]:
     """Run one batch and write what it yields: output first, then state, then counters.
 
@@ -83,6 +89,10 @@ def process_batch(
     failed, duplicates, and unreadable records, from the same pass over the batch.
     Returns the counters.
 
+    With ``retry_lookups`` registrations whose lookup failed are tried again in every later
+    batch, with its snapshot, until they are answered or another event of their key is sent.
+    They wait in a table of each batch; those before the last batch's may be deleted.
+
     ``publish`` sends notifications on, e.g. to a topic; it may see a batch
     again after a crash. A dry run writes no output but still marks its keys.
     """
@@ -92,13 +102,18 @@ def process_batch(
         state = partial(
             state_files.load, spark, folders.state, batch_id, era_length, buckets
         )
-    run = run_batch(records, snapshot, options, state)
+    waiting = None
+    if retry_lookups and exists(spark, f"{folders.waiting}/batch_id={batch_id - 1}"):
+        waiting = spark.read.parquet(f"{folders.waiting}/batch_id={batch_id - 1}")
+    run = run_batch(records, snapshot, options, state, waiting)
     if not dry_run:
         sinks.write_batch(run.notifications, folders.notifications, batch_id)
         if publish is not None:
             publish(sinks.in_key_order(run.notifications))
     failed = f"{folders.failed_lookups}/batch_id={batch_id}"
     run.failed_lookups.write.mode("overwrite").parquet(failed)
+    if retry_lookups:
+        run.waiting.write.mode("overwrite").parquet(f"{folders.waiting}/batch_id={batch_id}")
     if options.deduplicate:
         run.duplicates.write.mode("overwrite").parquet(f"{folders.duplicates}/batch_id={batch_id}")
     if run.records_rejected:
@@ -133,6 +148,7 @@ def start_feed(
     era_length: int = ERA_LENGTH,
     batch_done: Callable[[Mapping[str, int]], None] | None = None,
     buckets: int = state_files.BUCKETS,
+    retry_lookups: bool = False,
 ) -> StreamingQuery:
     """Start the feed on a streaming log.
 
@@ -155,6 +171,7 @@ def start_feed(
             dry_run,
             era_length,
             buckets,
+            retry_lookups,
         )
         if batch_done is not None:
             batch_done(counters)

@@ -107,6 +107,48 @@ def test_a_batch_run_again_changes_nothing(spark, place):
     assert before[0] == expected_ids(spark, 50)
 
 
+def registered(i, subject, schema_id, version):
+    """A registration whose request names ``subject``."""
+    changes = {"data__result__data": {"id": float(schema_id)}}
+    made = event(fv.REGISTER_SCHEMA, "SUCCESS", subject, **changes) | {"id": f"e{i}"}
+    return record(made, i)
+
+
+def test_failed_lookups_are_tried_again_until_answered(spark, place):
+    _, folders = place
+    down, up = snapshot_of(spark, schema(1, status=500)), snapshot_of(spark, schema(1))
+    later = [value(i) for i in range(100, 112) if i % 3]
+    batches = [
+        ([registered(0, "late", 1, 1), registered(1, "late", 1, 1)], down),
+        ([record(v, 100 + n) for n, v in enumerate(later)], down),
+        ([registered(200, "late", 1, 1)], up),
+        ([registered(201, "late", 1, 1)], up),
+    ]
+    counts, waiting = [], []
+    for batch_id, (records, answers) in enumerate(batches):
+        # The third batch runs twice, as after a crash.
+        for _ in range(1 + (batch_id == 2)):
+            counters = process_batch(
+                spark.createDataFrame(records, ENVELOPE),
+                batch_id,
+                answers,
+                ALL_CHANGES,
+                folders,
+                buckets=8,
+                era_length=2,
+                retry_lookups=True,
+            )
+        counts.append(counters)
+        stored = spark.read.parquet(f"{folders.waiting}/batch_id={batch_id}")
+        waiting.append(sorted(r.event_id for r in stored.collect()))
+    assert waiting == [["e0", "e1"], ["e0", "e1"], [], []]
+    sent = spark.read.parquet(folders.notifications).where("schema_id = 1")
+    assert [r.audit_log_event_id for r in sent.collect()] == ["e0"]
+    duplicates = spark.read.parquet(f"{folders.duplicates}/batch_id=2").collect()
+    assert sorted(r.event_id for r in duplicates) == ["e1", "e200"]
+    assert counts[2]["events_consumed"] == 1 and counts[2]["notifications_produced"] == 1
+
+
 def test_a_failed_send_fails_the_batch_and_marks_nothing(spark, place):
     _, folders = place
     records = spark.createDataFrame(rows(0, 25), ENVELOPE)
