@@ -417,6 +417,18 @@ ORACLE: dict[str, str] = {
     "failed_lookups": f"""{_feed()}
       SELECT event_id, environment_id, schema_id, 500 AS http_status
       FROM enriched WHERE NOT found""",
+    "late_lookups": f"""{_SECOND_RUN},
+      pool AS (
+        SELECT dedup_key, event_id, ts, "partition", "offset" FROM enriched
+        WHERE ts <= {SPLIT} AND NOT found
+        UNION ALL
+        SELECT a.dedup_key, a.event_id, a.ts, a."partition", a."offset"
+        FROM enriched a {_FROM_SPLIT})
+      SELECT dedup_key, event_id, "partition", "offset" FROM (
+        SELECT *, row_number() OVER (
+          PARTITION BY dedup_key ORDER BY ts, "partition", "offset") AS place
+        FROM pool WHERE dedup_key NOT IN (SELECT dedup_key FROM state)) AS tried
+      WHERE place = 1""",
     "process_events": f"{_feed()} {_FLAT} FROM sendable",
     "register_notifications": _kind_query("signup"),
     "delete_schema_notifications": _kind_query("view"),

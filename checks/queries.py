@@ -499,6 +499,18 @@ def failed_lookups(spark, sf_dir):
     return registry.failed_lookups(registry.with_failed_status(relevant, snapshot))
 
 
+def late_lookups(spark, sf_dir):
+    """What a second run sends when the registry answers all, lookups that failed in the
+    first run included."""
+    log, snapshot = dt.audit_log(spark, sf_dir), dt.registry_snapshot(spark, sf_dir)
+    first = run_batch(log_ranges.until_timestamp(log, SPLIT), snapshot, ALL_CHANGES)
+    status = F.when(F.col("http_status") == registry.NOT_FOUND, registry.NOT_FOUND)
+    answered = snapshot.withColumn("http_status", status.otherwise(registry.FOUND))
+    later = log_ranges.from_timestamp(log, SPLIT)
+    second = run_batch(later, answered, ALL_CHANGES, first.new_state(), first.waiting)
+    return second.sent.select("dedup_key", "event_id", "partition", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -533,6 +545,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         enrich_outcomes,
         schema_type_default,
         failed_lookups,
+        late_lookups,
         process_events,
         notifications,
         notifications_schema_changes,
