@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evotrail.functions.render import message_key
+from evotrail.sources import commits
 
 _IN_LOG_ORDER = ("log_timestamp", "log_partition", "log_offset")
 
@@ -27,10 +30,9 @@ def in_key_order(notifications: DataFrame) -> DataFrame:
     )
 
 
-def write_batch(notifications: DataFrame, path: str, batch_id: int) -> None:
-    """Store one batch under its id; writing the same batch again replaces it."""
-    (
-        notifications.write.mode("overwrite")
-        .partitionBy("event_type")
-        .parquet(f"{path}/batch_id={batch_id}")
-    )
+def write_table(rows: DataFrame, path: str, name: str, partition_by: Sequence[str] = ()) -> dict:
+    """Store rows in a folder of their own below ``path``; readers see them once a commit
+    record holds the entry that is returned."""
+    folder = commits.new_folder(name)
+    rows.write.partitionBy(*partition_by).parquet(f"{path}/{folder}")
+    return commits.entry(folder, rows)

@@ -7,6 +7,9 @@ moving it, and what earlier batches of its era added, which is small. A batch th
 again after a crash sees the same state as the first time. Eras before the current one
 may be deleted.
 
+A base is written to a folder of its own and counts once a record names it
+(``sources.commits``), so no reader meets a half-written one.
+
 With each base goes a Bloom filter of every bucket's keys (``operators.key_filters``), a
 byte or two a key. ``load`` tests a batch's keys by it and opens only the buckets that may
 hold one of them, so a batch of new keys reads none. A batch that meets half of the buckets
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from uuid import uuid4
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +32,7 @@ from pyspark.sql import types as T
 from evotrail import schemas
 from evotrail.operators import key_filters
 from evotrail.operators.state import drop_old, prune_state
+from evotrail.sources import commits
 from evotrail.sources.files import exists, read_or_empty
 
 #: Buckets of a base; at least as many as shuffle partitions, so that Spark moves the
@@ -41,19 +46,39 @@ def _base_path(path: str, era: int, buckets: int) -> str:
     return f"{path}/base/buckets={buckets}/era={era}"
 
 
-def _table_name(path: str, era: int, buckets: int) -> str:
-    code = hashlib.md5(_base_path(path, era, buckets).encode()).hexdigest()
-    return f"evotrail_state_{code}"
+def _table_name(folder: str) -> str:
+    return f"evotrail_state_{hashlib.md5(folder.encode()).hexdigest()}"
+
+
+def _record_name(era: int, buckets: int) -> str:
+    return f"base-{buckets}-{era}"
+
+
+def _current(spark: SparkSession, path: str, era: int, buckets: int) -> tuple[str, str]:
+    """The folders of an era's base and of its filter, as the base's record names them.
+
+    Bases written before there were records lie in folders of the plain names.
+    """
+    name = _record_name(era, buckets)
+    record = commits.read(spark, f"{path}/commits", [name]).get(name)
+    base, made = _base_path(path, era, buckets), _filter_path(path, era, buckets)
+    if record is None:
+        return base, made
+    return f"{base}/{record['attempt']}", f"{made}/{record['attempt']}"
 
 
 def _base(spark: SparkSession, path: str, era: int, buckets: int) -> DataFrame:
     """The base of an era as a bucketed table; the session's catalog only names it."""
-    folder = _base_path(path, era, buckets)
+    folder, _ = _current(spark, path, era, buckets)
     if not exists(spark, folder):
         if era > 0:
             raise ValueError(f"{path} has no base for era {era}; was its era length changed?")
         return spark.createDataFrame([], schemas.STATE)
-    name = _table_name(path, era, buckets)
+    return _bucketed(spark, folder, buckets)
+
+
+def _bucketed(spark: SparkSession, folder: str, buckets: int) -> DataFrame:
+    name = _table_name(folder)
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schemas.STATE)
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet"
@@ -68,19 +93,26 @@ def _filter_path(path: str, era: int, buckets: int) -> str:
 
 
 def _write_base(state: DataFrame, path: str, era: int, buckets: int) -> None:
-    """Write the base, then the filter made from it: a base whose filter is missing, of an
-    earlier version or after a crash, is read whole."""
+    """Write the base and the filter made from it to folders of their own, then the record
+    that names both. Attempts that the record does not name are deleted."""
     spark = state.sparkSession
-    _write_buckets(state, path, era, buckets)
-    keys = _base(spark, path, era, buckets).select("dedup_key")
+    attempt = f"attempt-{uuid4().hex}"
+    base, filters = _base_path(path, era, buckets), _filter_path(path, era, buckets)
+    _write_buckets(state, f"{base}/{attempt}", buckets)
+    keys = _bucketed(spark, f"{base}/{attempt}", buckets).select("dedup_key")
     blocks = key_filters.blocks_for(keys.count(), buckets)
     made = key_filters.key_filter(keys, "dedup_key", buckets, blocks)
-    made.write.mode("overwrite").parquet(_filter_path(path, era, buckets))
+    made.write.parquet(f"{filters}/{attempt}")
+    commits.publish(spark, f"{path}/commits", _record_name(era, buckets), {"attempt": attempt})
+    for folder in (base, filters):
+        for name in commits.names_in(spark, folder):
+            if name.startswith("attempt-") and name != attempt:
+                commits.delete(spark, f"{folder}/{name}")
 
 
 def buckets_met(spark: SparkSession, path: str, era: int, buckets: int, keys: DataFrame):
     """The buckets of a base that may hold one of the keys; None if that can't be told."""
-    folder = _filter_path(path, era, buckets)
+    _, folder = _current(spark, path, era, buckets)
     if not exists(spark, f"{folder}/_SUCCESS"):
         return None
     filters = spark.read.parquet(folder)
@@ -115,14 +147,14 @@ def _bucket_number(file: str) -> int:
     return int(found.group(1))
 
 
-def _write_buckets(state: DataFrame, path: str, era: int, buckets: int) -> None:
+def _write_buckets(state: DataFrame, folder: str, buckets: int) -> None:
     (
         state.repartition(buckets, "dedup_key")
         .write.mode("overwrite")
         .bucketBy(buckets, "dedup_key")
         .sortBy("dedup_key")
-        .option("path", _base_path(path, era, buckets))
-        .saveAsTable(_table_name(path, era, buckets))
+        .option("path", folder)
+        .saveAsTable(_table_name(folder))
     )
 
 

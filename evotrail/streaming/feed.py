@@ -5,9 +5,14 @@ earlier batches left. The first event of a key wins: by arrival between batches,
 log position (time, partition, offset) within one. A source hands out each log
 partition in its order, so cuts cannot change the winner among the events of one
 partition; among partitions an event with an earlier time loses if a later batch
-brings it. Output, state
-and counters are written under the batch id: a batch that runs again after a
-crash replaces what it wrote, and a failed write fails the batch.
+brings it.
+
+A batch writes its tables to folders of their own and ends by publishing one commit
+record that names them (``sources.commits``). ``read_table`` follows the records, so a
+batch is seen whole or not at all; one that runs again after a crash replaces its record,
+and a failed write fails the batch. The last batch of an era also merges the small files
+of the era's batches into few large ones, under a record of the era; the merged folders
+are deleted when the next era ends, which leaves running readers that long.
 """
 
 from __future__ import annotations
@@ -24,13 +29,21 @@ from evotrail.functions.globs import check_globs
 from evotrail.operators.metrics import COUNTERS
 from evotrail.options import FeedOptions
 from evotrail.plans.batch_run import run_batch
-from evotrail.sources import sinks, state_files
-from evotrail.sources.files import exists
-
+from evotrail.sources import commits, sinks, state_files
 
-#: Batches between two compactions of the state; must not change for a folder.
+#: Batches between two compactions of state and output; must not change for a folder.
 ERA_LENGTH = 50
 
+#: Tables that grow with every batch, and the columns their files are split by.
+MERGED = {
+    "notifications": ("event_type",),
+    "failed_lookups": (),
+    "duplicates": (),
+    "rejected": (),
+    "counters": (),
+}
+TABLES = (*MERGED, "waiting")
+
 
 @dataclass(frozen=True)
 class FeedFolders:
@@ -42,33 +55,16 @@ class FeedFolders:
     def checkpoint(self) -> str:
         return f"{self.root}/checkpoint"
 
-    @property
-    def notifications(self) -> str:
-        return f"{self.root}/notifications"
-
     @property
     def state(self) -> str:
         return f"{self.root}/state"
 
     @property
-    def counters(self) -> str:
-        return f"{self.root}/counters"
+    def commits(self) -> str:
+        return f"{self.root}/commits"
 
-    @property
-    def failed_lookups(self) -> str:
-        return f"{self.root}/failed_lookups"
-
-    @property
-    def duplicates(self) -> str:
-        return f"{self.root}/duplicates"
-
-    @property
-    def waiting(self) -> str:
-        return f"{self.root}/waiting"
-
-    @property
-    def rejected(self) -> str:
-        return f"{self.root}/rejected"
+    def table(self, name: str) -> str:
+        return f"{self.root}/{name}"
 
 
 def process_batch(
@@ -83,7 +79,7 @@ def process_batch(
     buckets: int = state_files.BUCKETS,
     retry_lookups: bool = False,
 ) -> dict[str, int]:
-    """Run one batch and write what it yields: output first, then state, then counters.
+    """Run one batch and write what it yields: output, state and counters, then the record.
 
     Side tables keep what the feed leaves out: registrations whose lookup
     failed, duplicates, and unreadable records, from the same pass over the batch.
@@ -91,7 +87,7 @@ def process_batch(
 
     With ``retry_lookups`` registrations whose lookup failed are tried again in every later
     batch, with its snapshot, until they are answered or another event of their key is sent.
-    They wait in a table of each batch; those before the last batch's may be deleted.
+    They wait in a table of each batch.
 
     ``publish`` sends notifications on, e.g. to a topic; it may see a batch
     again after a crash. A dry run writes no output but still marks its keys.
@@ -103,21 +99,31 @@ def process_batch(
             state_files.load, spark, folders.state, batch_id, era_length, buckets
         )
     waiting = None
-    if retry_lookups and exists(spark, f"{folders.waiting}/batch_id={batch_id - 1}"):
-        waiting = spark.read.parquet(f"{folders.waiting}/batch_id={batch_id - 1}")
+    if retry_lookups:
+        before = commits.read(spark, folders.commits, [_batch_name(batch_id - 1)])
+        kept = [record["waiting"] for record in before.values() if "waiting" in record]
+        if kept:
+            stored = commits.read_entries(spark, folders.table("waiting"), kept)
+            waiting = stored.drop("batch_id")
     run = run_batch(records, snapshot, options, state, waiting)
+    entries: dict[str, dict] = {}
+
+    def store(table: str, rows: DataFrame) -> None:
+        numbered = rows.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        name, split = _batch_name(batch_id), MERGED.get(table, ())
+        entries[table] = sinks.write_table(numbered, folders.table(table), name, split)
+
     if not dry_run:
-        sinks.write_batch(run.notifications, folders.notifications, batch_id)
+        store("notifications", run.notifications)
         if publish is not None:
             publish(sinks.in_key_order(run.notifications))
-    failed = f"{folders.failed_lookups}/batch_id={batch_id}"
-    run.failed_lookups.write.mode("overwrite").parquet(failed)
+    store("failed_lookups", run.failed_lookups)
     if retry_lookups:
-        run.waiting.write.mode("overwrite").parquet(f"{folders.waiting}/batch_id={batch_id}")
+        store("waiting", run.waiting)
     if options.deduplicate:
-        run.duplicates.write.mode("overwrite").parquet(f"{folders.duplicates}/batch_id={batch_id}")
+        store("duplicates", run.duplicates)
     if run.records_rejected:
-        run.rejected.write.mode("overwrite").parquet(f"{folders.rejected}/batch_id={batch_id}")
+        store("rejected", run.rejected)
     if options.deduplicate:
         state_files.add(run.new_state(), folders.state, batch_id, era_length)
         state_files.end_era(
@@ -129,12 +135,105 @@ def process_batch(
             options.state_ttl_days,
             buckets,
         )
-    counters = run.counters().withColumn(
-        "records_rejected", F.lit(run.records_rejected).cast("long")
+    rejected = F.lit(run.records_rejected).cast("long")
+    store("counters", run.counters().withColumn("records_rejected", rejected))
+    commits.publish(spark, folders.commits, _batch_name(batch_id), entries)
+    era, place = divmod(batch_id, era_length)
+    if place == era_length - 1:
+        merge_era(spark, folders, era, era_length)
+        drop_merged(spark, folders, era - 1, era_length)
+    counters = commits.read_entries(spark, folders.table("counters"), [entries["counters"]])
+    return counters.drop("batch_id").first().asDict()
+
+
+def _batch_name(batch_id: int) -> str:
+    return f"batch-{batch_id}"
+
+
+def _era_name(era: int, era_length: int) -> str:
+    """An era is named by its first and last batch, so that records tell what they cover."""
+    return f"era-{era * era_length}-{(era + 1) * era_length - 1}"
+
+
+def _batches_of(name: str) -> tuple[int, int]:
+    """The first and the last batch of a record or folder."""
+    kind, *numbers = commits.folder_title(name).split("-")
+    return int(numbers[0]), int(numbers[1] if kind == "era" else numbers[0])
+
+
+def merge_era(spark: SparkSession, folders: FeedFolders, era: int, era_length: int) -> None:
+    """Merge what the batches of an era wrote into few files, under one record.
+
+    Spark's rebalance joins small partitions and splits large ones by their size.
+    """
+    first = era * era_length
+    found = commits.read(
+        spark, folders.commits, [_batch_name(first + i) for i in range(era_length)]
     )
-    path = f"{folders.counters}/batch_id={batch_id}"
-    counters.write.mode("overwrite").parquet(path)
-    return spark.read.schema(counters.schema).parquet(path).first().asDict()
+    records = sorted(found.items(), key=lambda item: _batches_of(item[0]))
+    name, entries = _era_name(era, era_length), {}
+    for table, split in MERGED.items():
+        parts = [record[table] for _, record in records if table in record]
+        if parts:
+            rows = commits.read_entries(spark, folders.table(table), parts)
+            rows = rows.hint("rebalance", *split)
+            entries[table] = sinks.write_table(rows, folders.table(table), name, split)
+    commits.publish(spark, folders.commits, name, entries)
+
+
+def drop_merged(spark: SparkSession, folders: FeedFolders, era: int, era_length: int) -> None:
+    """Delete the batches up to an era's end that are merged, and what crashes left of them."""
+    end = (era + 1) * era_length
+    names = commits.record_names(spark, folders.commits)
+    eras = [name for name in names if name.startswith("era-")]
+    commits.forget(
+        spark,
+        folders.commits,
+        [name for name in names if name not in eras and _is_covered(name, eras, end)],
+    )
+    merged = commits.read(spark, folders.commits, eras).values()
+    kept = {entry["folder"] for record in merged for entry in record.values()}
+    for table in TABLES:
+        for folder in commits.names_in(spark, folders.table(table)):
+            if folder not in kept and _is_covered(folder, eras, end):
+                commits.delete(spark, f"{folders.table(table)}/{folder}")
+
+
+def _is_covered(name: str, eras: list[str], end: int) -> bool:
+    """Whether a record or folder holds only batches before ``end`` that an era record holds."""
+    first, last = _batches_of(name)
+    spans = [_batches_of(era) for era in eras]
+    return last < end and any(low <= first and last <= high for low, high in spans)
+
+
+def read_table(
+    spark: SparkSession, folders: FeedFolders, table: str, batch_id: int | None = None
+) -> DataFrame:
+    """The committed rows of one of ``TABLES``, with their batch_id; of one batch if named.
+
+    Batches that an era's record covers are read from there. ``waiting`` has the rows of
+    the last batches only.
+    """
+    names = commits.record_names(spark, folders.commits)
+    eras = [name for name in names if name.startswith("era-") and table in MERGED]
+    spans = [_batches_of(name) for name in eras]
+    batches = [
+        name
+        for name in names
+        if name.startswith("batch-")
+        and not any(low <= _batches_of(name)[0] <= high for low, high in spans)
+    ]
+    wanted = [*eras, *batches]
+    if batch_id is not None:
+        low_high = [(name, _batches_of(name)) for name in wanted]
+        wanted = [name for name, (low, high) in low_high if low <= batch_id <= high]
+    found = commits.read(spark, folders.commits, wanted)
+    in_order = sorted(found, key=_batches_of)
+    entries = [found[name][table] for name in in_order if table in found[name]]
+    if not entries:
+        raise ValueError(f"{folders.root} has no committed {table}")
+    rows = commits.read_entries(spark, folders.table(table), entries)
+    return rows if batch_id is None else rows.where(F.col("batch_id") == batch_id)
 
 
 def start_feed(
@@ -187,5 +286,5 @@ def start_feed(
 def total_counters(spark: SparkSession, folders: FeedFolders) -> DataFrame:
     """Counters summed over all batches so far."""
     names = (*COUNTERS, "records_rejected")
-    stored = spark.read.parquet(folders.counters)
+    stored = read_table(spark, folders, "counters")
     return stored.agg(*[F.sum(name).alias(name) for name in names])

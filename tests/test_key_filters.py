@@ -55,7 +55,8 @@ def test_a_batch_opens_the_buckets_of_its_keys(spark, tmp_path, opened):
 
 def test_large_batches_and_old_folders_read_the_base_in_place(spark, tmp_path):
     path, known = str(tmp_path), keys(spark, range(400))
-    state_files._write_buckets(spark.createDataFrame([("k", None, 0, 1)], STATE), path, 0, BUCKETS)
+    old = state_files._base_path(path, 0, BUCKETS)
+    state_files._write_buckets(spark.createDataFrame([("k", None, 0, 1)], STATE), old, BUCKETS)
     assert state_files.buckets_met(spark, path, 0, BUCKETS, known) is None
     assert state_files.load(spark, path, 0, 50, BUCKETS, known)[0].count() == 1
     state_files.seed(known, path, BUCKETS)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import shutil
 import time
 
 import pytest
@@ -10,8 +11,14 @@ from evotrail import fixed_values as fv
 from evotrail.operators import dedup
 from evotrail.plans import change_feed as feed
 from evotrail.schemas import ENVELOPE, STATE
-from evotrail.sources import files, sinks, state_files
-from evotrail.streaming.feed import FeedFolders, process_batch, start_feed, total_counters
+from evotrail.sources import commits, files, sinks, state_files
+from evotrail.streaming.feed import (
+    FeedFolders,
+    process_batch,
+    read_table,
+    start_feed,
+    total_counters,
+)
 from evotrail.streaming.stateful import stateful_feed
 from evotrail.streaming.status import StatusLog
 from tests.events import ALL_CHANGES, event, plan_text, record, schema, snapshot_of
@@ -61,7 +68,7 @@ def run_to_end(spark, log_path, folders, options=ALL_CHANGES, **more):
 
 
 def sent_ids(spark, folders):
-    stored = spark.read.parquet(folders.notifications)
+    stored = read_table(spark, folders, "notifications")
     return sorted(r.audit_log_event_id for r in stored.collect())
 
 
@@ -89,10 +96,10 @@ def test_stream_equals_batch_over_restarts(spark, place):
     assert totals.events_consumed == 90 - broken
     assert totals.records_rejected == broken
     assert totals.notifications_produced == len(expected_ids(spark, 90))
-    kinds = spark.read.parquet(folders.notifications).select("event_type").distinct().count()
+    kinds = read_table(spark, folders, "notifications").select("event_type").distinct().count()
     assert kinds == 3
-    assert spark.read.parquet(folders.failed_lookups).count() > 0
-    rejected = spark.read.parquet(folders.rejected)
+    assert read_table(spark, folders, "failed_lookups").count() > 0
+    rejected = read_table(spark, folders, "rejected")
     assert sorted(r.offset for r in rejected.collect()) == list(range(12, 90, 13))
 
 
@@ -139,12 +146,12 @@ def test_failed_lookups_are_tried_again_until_answered(spark, place):
                 retry_lookups=True,
             )
         counts.append(counters)
-        stored = spark.read.parquet(f"{folders.waiting}/batch_id={batch_id}")
+        stored = read_table(spark, folders, "waiting", batch_id)
         waiting.append(sorted(r.event_id for r in stored.collect()))
     assert waiting == [["e0", "e1"], ["e0", "e1"], [], []]
-    sent = spark.read.parquet(folders.notifications).where("schema_id = 1")
+    sent = read_table(spark, folders, "notifications").where("schema_id = 1")
     assert [r.audit_log_event_id for r in sent.collect()] == ["e0"]
-    duplicates = spark.read.parquet(f"{folders.duplicates}/batch_id=2").collect()
+    duplicates = read_table(spark, folders, "duplicates", 2).collect()
     assert sorted(r.event_id for r in duplicates) == ["e1", "e200"]
     assert counts[2]["events_consumed"] == 1 and counts[2]["notifications_produced"] == 1
 
@@ -197,7 +204,7 @@ def test_dry_run_marks_but_does_not_write(spark, place):
     assert total_counters(spark, folders).first().notifications_produced > 0
     append(spark, log_path, 0, 30)
     run_to_end(spark, log_path, folders)
-    assert spark.read.parquet(f"{folders.counters}/batch_id=1").first().notifications_produced == 0
+    assert read_table(spark, folders, "counters", 1).first().notifications_produced == 0
 
 
 def test_state_is_pruned_oldest_first(spark, place):
@@ -208,7 +215,7 @@ def test_state_is_pruned_oldest_first(spark, place):
     records = spark.createDataFrame(rows(0, 50), ENVELOPE)
     process_batch(records, 0, snapshot(spark), options, folders, buckets=8, era_length=1)
     state = loaded(spark, folders.state, 1, 1)
-    sent = spark.read.parquet(folders.notifications).orderBy(F.desc("log_offset"))
+    sent = read_table(spark, folders, "notifications").orderBy(F.desc("log_offset"))
     newest = [r.dedup_key for r in sent.collect()]
     kept = {r.dedup_key for r in state.collect()}
     assert 0 < len(kept) <= 5 and kept == set(newest[: len(kept)])
@@ -439,3 +446,100 @@ def test_status_lines_are_limited_in_time():
         "status: events_consumed 3",
         "status: events_consumed 5",
     ]
+
+
+class Crash(Exception):
+    pass
+
+
+def crash_at(monkeypatch, place, after):
+    """Let the ``place``-th of a batch's writes fail, after it was done or instead of it."""
+    seen = []
+
+    def failing(write):
+        def step(*args, **more):
+            seen.append(write.__name__)
+            if len(seen) == place and not after:
+                raise Crash
+            result = write(*args, **more)
+            if len(seen) == place:
+                raise Crash
+            return result
+
+        return step
+
+    for module, name in (
+        (sinks, "write_table"),
+        (state_files, "add"),
+        (state_files, "_write_buckets"),
+        (state_files, "end_era"),
+        (commits, "publish"),
+        (commits, "forget"),
+        (commits, "delete"),
+    ):
+        monkeypatch.setattr(module, name, failing(getattr(module, name)))
+    return seen
+
+
+def committed(spark, folders):
+    return sent_ids(spark, folders), total_counters(spark, folders).first()
+
+
+def test_a_crash_between_any_two_writes_shows_no_part_of_a_batch(spark, place, tmp_path):
+    """Batch 3 ends an era: it writes output, state, a base and the merged tables."""
+    _, start = place
+    batches = [spark.createDataFrame(rows(10 * i, 10 * i + 10), ENVELOPE) for i in range(5)]
+
+    def run(folders, batch_id):
+        process_batch(
+            batches[batch_id], batch_id, snapshot(spark), ALL_CHANGES, folders, buckets=2, era_length=2
+        )
+
+    for batch_id in range(3):
+        run(start, batch_id)
+    before = committed(spark, start)
+    with pytest.MonkeyPatch.context() as patch:
+        whole = FeedFolders(str(tmp_path / "whole"))
+        shutil.copytree(start.root, whole.root)
+        writes = crash_at(patch, 0, True)
+        run(whole, 3)
+    after = committed(spark, whole)
+    assert before != after
+    record = writes.index("write_table", writes.index("publish")) - 1
+    assert writes[record] == "publish" and len(writes) > record + 6
+    # Around the batch's own record, where its rows appear, and around the merging.
+    places = {record - 3, record, record + 1, writes.index("forget") - 1}
+    for number in sorted(places):
+        folders = FeedFolders(str(tmp_path / f"crash-{number}"))
+        shutil.copytree(start.root, folders.root)
+        with pytest.MonkeyPatch.context() as patch:
+            crash_at(patch, number, number % 2 == 0)
+            with pytest.raises(Crash):
+                run(folders, 3)
+        assert committed(spark, folders) in (before, after)
+        run(folders, 3)
+        assert committed(spark, folders) == after
+    run(whole, 4)
+    assert sent_ids(spark, whole) == expected_ids(spark, 50)
+
+
+def test_files_are_bounded_by_eras(spark, place):
+    _, folders = place
+    counts = []
+    for batch_id in range(6):
+        records = spark.createDataFrame(rows(5 * batch_id, 5 * batch_id + 5), ENVELOPE)
+        process_batch(records, batch_id, snapshot(spark), ALL_CHANGES, folders, buckets=2, era_length=2)
+        counts.append(len(read_table(spark, folders, "counters").inputFiles()))
+    assert counts == [1, 1, 2, 2, 3, 3]
+    kept = commits.names_in(spark, folders.table("notifications"))
+    titles = sorted(commits.folder_title(name).rsplit("-", 1)[0] for name in kept)
+    assert titles == ["batch-4", "batch-5", "era-0-1", "era-2-3", "era-4-5"]
+    assert sent_ids(spark, folders) == expected_ids(spark, 30)
+    totals = read_table(spark, folders, "counters", 4).collect()
+    assert [row.batch_id for row in totals] == [4]
+
+
+def test_a_table_that_no_batch_wrote_is_named(spark, place):
+    _, folders = place
+    with pytest.raises(ValueError, match="no committed rejected"):
+        read_table(spark, folders, "rejected")
