@@ -380,6 +380,14 @@ ORACLE: dict[str, str] = {
         WHERE event_subject LIKE 'orders-%' OR event_subject LIKE 'payments.1%'
           OR regexp_full_match(event_subject, 'users-[0-4].*-value')"""
     ),
+    "filter_subject_table": _audit(
+        """SELECT event_id, event_subject FROM audit WHERE EXISTS (
+          SELECT 1 FROM part WHERE p_size <= 20 AND event_subject LIKE
+            CASE p_partkey % 4 WHEN 0 THEN 'orders-' || p_partkey || '-value'
+              WHEN 1 THEN 'payments.' || p_partkey || '%'
+              WHEN 2 THEN '%-' || p_partkey || '-value'
+              ELSE '%s-' || p_partkey || '-v%' END)"""
+    ),
     "filter_subject_exact": _audit(
         "SELECT event_id, event_subject FROM audit WHERE event_subject = 'users-7-value'"
     ),

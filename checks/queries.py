@@ -17,6 +17,7 @@ from evotrail.functions import event_fields as ef
 from evotrail.functions.globs import matches_any
 from evotrail.operators import (
     dedup,
+    filter_table,
     key_filters,
     log_ranges,
     notifications as notes,
@@ -268,6 +269,21 @@ def filter_subject_exact(spark, sf_dir):
     return _subject_filtered(spark, sf_dir, EXACT)
 
 
+def filter_subject_table(spark, sf_dir):
+    """Filters from a table: a name, or a pattern of one of three kinds, for each small part."""
+    part = F.col("p_partkey").cast("string")
+    kind = F.col("p_partkey") % 4
+    filters = dt.table(spark, sf_dir, "part").where("p_size <= 20").select(
+        F.when(kind == 0, F.concat(F.lit("orders-"), part, F.lit("-value")))
+        .when(kind == 1, F.concat(F.lit("payments."), part, F.lit("*")))
+        .when(kind == 2, F.concat(F.lit("*-"), part, F.lit("-value")))
+        .otherwise(F.concat(F.lit("*s-"), part, F.lit("-v*")))
+        .alias("filter")
+    )
+    events = filter_table.in_filter_table(_events(spark, sf_dir), filters)
+    return events.select("event_id", "event_subject")
+
+
 def relevant_events(spark, sf_dir):
     relevant = relevance.relevant_events(_candidates(spark, sf_dir), ALL_CHANGES)
     return relevant.select("event_id", "method_name", "environment_id", "event_subject")
@@ -538,6 +554,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         filter_subject,
         filter_subject_glob,
         filter_subject_exact,
+        filter_subject_table,
         relevant_events,
         skip_reasons,
         unmonitored_registrations,

@@ -30,6 +30,7 @@ from evotrail.operators.metrics import COUNTERS
 from evotrail.options import FeedOptions
 from evotrail.plans.batch_run import run_batch
 from evotrail.sources import commits, sinks, state_files
+from evotrail.streaming.bounded import EndMarks, positions_of
 
 #: Batches between two compactions of state and output; must not change for a folder.
 ERA_LENGTH = 50
@@ -41,9 +42,16 @@ MERGED = {
     "duplicates": (),
     "rejected": (),
     "counters": (),
+    "positions": (),
 }
 TABLES = (*MERGED, "waiting")
 
+_POSITIONS = "partition int, last_offset long"
+
+
+class NothingCommitted(ValueError):
+    """No batch has written the table asked for."""
+
 
 @dataclass(frozen=True)
 class FeedFolders:
@@ -78,6 +86,7 @@ def process_batch(
     era_length: int = ERA_LENGTH,
     buckets: int = state_files.BUCKETS,
     retry_lookups: bool = False,
+    marks: EndMarks | None = None,
 ) -> dict[str, int]:
     """Run one batch and write what it yields: output, state and counters, then the record.
 
@@ -91,8 +100,13 @@ def process_batch(
 
     ``publish`` sends notifications on, e.g. to a topic; it may see a batch
     again after a crash. A dry run writes no output but still marks its keys.
+
+    With ``marks`` records behind the ends are left out, and the last offsets met are
+    stored with the batch.
     """
     spark = records.sparkSession
+    if marks is not None:
+        records, seen = marks.watch(records)
     state = None
     if options.deduplicate:
         state = partial(
@@ -137,11 +151,16 @@ def process_batch(
         )
     rejected = F.lit(run.records_rejected).cast("long")
     store("counters", run.counters().withColumn("records_rejected", rejected))
+    if marks is not None:
+        positions = positions_of(seen)
+        store("positions", spark.createDataFrame(list(positions.items()), _POSITIONS))
     commits.publish(spark, folders.commits, _batch_name(batch_id), entries)
     era, place = divmod(batch_id, era_length)
     if place == era_length - 1:
         merge_era(spark, folders, era, era_length)
         drop_merged(spark, folders, era - 1, era_length)
+    if marks is not None:
+        marks.advance(positions, batch_id)
     counters = commits.read_entries(spark, folders.table("counters"), [entries["counters"]])
     return counters.drop("batch_id").first().asDict()
 
@@ -231,7 +250,7 @@ def read_table(
     in_order = sorted(found, key=_batches_of)
     entries = [found[name][table] for name in in_order if table in found[name]]
     if not entries:
-        raise ValueError(f"{folders.root} has no committed {table}")
+        raise NothingCommitted(f"{folders.root} has no committed {table}")
     rows = commits.read_entries(spark, folders.table(table), entries)
     return rows if batch_id is None else rows.where(F.col("batch_id") == batch_id)
 
@@ -248,6 +267,7 @@ def start_feed(
     batch_done: Callable[[Mapping[str, int]], None] | None = None,
     buckets: int = state_files.BUCKETS,
     retry_lookups: bool = False,
+    marks: EndMarks | None = None,
 ) -> StreamingQuery:
     """Start the feed on a streaming log.
 
@@ -255,8 +275,12 @@ def start_feed(
     since the start are found. ``trigger`` holds the arguments of Spark's
     trigger: ``{"availableNow": True}`` stops at the current end of the log,
     ``{"processingTime": "1 second"}`` keeps running. ``batch_done`` gets the
-    counters of every finished batch.
+    counters of every finished batch. ``marks`` bounds the feed; ``bounded.stop_at_ends``
+    then waits for its end and stops it.
     """
+    if marks is not None:
+        for row in last_positions(log.sparkSession, folders).collect():
+            marks.passed[row.partition] = row.last_offset
     check_globs(log.sparkSession, options.subject_filters)
 
     def handle(records: DataFrame, batch_id: int) -> None:
@@ -271,6 +295,7 @@ def start_feed(
             era_length,
             buckets,
             retry_lookups,
+            marks,
         )
         if batch_done is not None:
             batch_done(counters)
@@ -283,6 +308,15 @@ def start_feed(
     )
 
 
+def last_positions(spark: SparkSession, folders: FeedFolders) -> DataFrame:
+    """Per log partition, the last offset that a feed with marks has met; none before it ran."""
+    try:
+        stored = read_table(spark, folders, "positions")
+    except NothingCommitted:
+        return spark.createDataFrame([], _POSITIONS)
+    return stored.groupBy("partition").agg(F.max("last_offset").alias("last_offset"))
+
+
 def total_counters(spark: SparkSession, folders: FeedFolders) -> DataFrame:
     """Counters summed over all batches so far."""
     names = (*COUNTERS, "records_rejected")
