@@ -487,8 +487,8 @@ def committed(spark, folders):
     return sent_ids(spark, folders), total_counters(spark, folders).first()
 
 
-def test_a_crash_between_any_two_writes_shows_no_part_of_a_batch(spark, place, tmp_path):
-    """Batch 3 ends an era: it writes output, state, a base and the merged tables."""
+def test_a_crash_around_a_commit_shows_no_part_of_a_batch(spark, place, tmp_path):
+    """Batch 3 ends an era: it crashes before its record, while merging, and while deleting."""
     _, start = place
     batches = [spark.createDataFrame(rows(10 * i, 10 * i + 10), ENVELOPE) for i in range(4)]
 
