@@ -7,7 +7,8 @@ are counted over all documents. Examples and documents are TF-IDF vectors over t
 A document's counts of kept terms are stored when first seen; scoring reads only them.
 
 The examples form a block-max inverted index: postings by term, cut into blocks of
-consecutive examples, with the largest weight of each term in each block. Examples are
+consecutive examples, with the largest weight of each term in each block. The postings of
+a term in a block are a tile, one weight for every example of the block. Examples are
 numbered by halving them again and again along the direction in which they differ most,
 so a block holds alike ones and its bounds are sharp. For a
 document the sum of these largest weights bounds the cosine of every example in a
@@ -49,8 +50,8 @@ SAMPLE_ROWS = 3_000
 MAX_TERMS = 2_000
 NEAREST = 15
 BLOCK = 16
-#: Blocks scored at first; each further look takes twice as many.
-WALK = 32
+#: Blocks scored at first; each further look takes twice as many, up to so many tiles.
+WALK, MOST_TILES = 32, 16_384
 #: Rows scored by one task, more where that would make too many tasks.
 ROWS_A_TASK, MOST_TASKS = 10_000, 20_000
 #: Letters of a word that stand for its inflected forms.
@@ -94,9 +95,8 @@ class Examples:
     keys: list
     labels: np.ndarray
     weights: np.ndarray  # of an example's vote
-    firsts: np.ndarray  # (terms, blocks + 1): where a term's postings of a block begin
-    posted: np.ndarray  # example numbers
-    values: np.ndarray  # their TF-IDF weights
+    tile_of: np.ndarray  # (terms, blocks): the tile of a term's postings; 0 if it has none
+    tiles: np.ndarray  # (tiles, BLOCK): TF-IDF weights of a block's examples; the first is empty
     largest: np.ndarray  # (terms, blocks)
     limits: np.ndarray  # votes where the map steps up
     chances: np.ndarray
@@ -110,9 +110,10 @@ class Examples:
         bounds = weights @ self.largest[terms]
         order = np.argsort(-bounds, kind="stable")
         numbers, cosines = np.zeros(0, np.int64), np.zeros(0)
-        firsts = self.firsts[terms]
+        tile_of = self.tile_of[terms]
         start, size = 0, WALK
         while True:
+            size = max(1, min(size, MOST_TILES // len(terms)))
             blocks = order[start : start + size]
             blocks = blocks[bounds[blocks] > 0]
             if len(cosines) >= NEAREST:
@@ -121,21 +122,15 @@ class Examples:
             if not len(blocks):
                 break
             start, size = start + size, 2 * size
-            # All postings of the document's terms in these blocks, gathered at once.
-            first = firsts[:, blocks]
-            sizes = (firsts[:, blocks + 1] - first).ravel()
-            at = np.repeat(first.ravel() - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            shift = (np.arange(len(blocks)) - blocks) * BLOCK
-            found = np.bincount(
-                self.posted[at] + np.repeat(np.tile(shift, len(terms)), sizes),
-                np.repeat(np.repeat(weights, len(blocks)), sizes) * self.values[at],
-                len(blocks) * BLOCK,
-            )
+            # All tiles of the document's terms in these blocks, summed term by term.
+            found = self.tiles.take(tile_of[:, blocks], 0)
+            found *= weights[:, None, None]
+            found = found.sum(0)
             if skip >= 0:
-                found[np.flatnonzero(blocks == skip // BLOCK) * BLOCK + skip % BLOCK] = 0
-            hit = np.flatnonzero(found)
-            numbers = np.concatenate((numbers, blocks[hit // BLOCK] * BLOCK + hit % BLOCK))
-            cosines = np.concatenate((cosines, found[hit]))
+                found[blocks == skip // BLOCK, skip % BLOCK] = 0
+            block, place = np.nonzero(found)
+            numbers = np.concatenate((numbers, blocks[block] * BLOCK + place))
+            cosines = np.concatenate((cosines, found[block, place]))
             if len(cosines) > NEAREST:
                 able = cosines >= np.partition(cosines, -NEAREST)[-NEAREST]
                 numbers, cosines = numbers[able], cosines[able]
@@ -235,16 +230,12 @@ def build(
     term_of = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
     value_of = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
     owner = np.repeat(np.arange(len(examples)), [len(v[0]) for v in vectors])
-    order = np.lexsort((owner, term_of))
-    term_of, value_of, owner = term_of[order], value_of[order], owner[order]
-    cell = term_of * blocks + owner // BLOCK
-    edges = np.searchsorted(cell, np.arange(len(terms) * blocks + 1))
-    largest = np.zeros(len(terms) * blocks)
-    np.maximum.at(largest, cell, value_of)
-    firsts = np.zeros((len(terms), blocks + 1), np.int64)
-    if blocks:
-        firsts[:, :-1] = edges[:-1].reshape(len(terms), blocks)
-        firsts[:, -1] = edges[blocks::blocks]
+    cells, place = np.unique(term_of * blocks + owner // BLOCK, return_inverse=True)
+    tiles = np.zeros((len(cells) + 1, BLOCK))
+    tiles[place + 1, owner % BLOCK] = value_of
+    tile_of = np.zeros(len(terms) * blocks, np.int32)
+    tile_of[cells] = np.arange(1, len(tiles))
+    largest = tiles.max(1)[tile_of]
     bare = np.array([not e[2] for e in examples], bool)
     index = Examples(
         {term: number for number, term in enumerate(terms)},
@@ -252,9 +243,8 @@ def build(
         [e[0] for e in examples],
         labels,
         weights,
-        firsts,
-        owner,
-        value_of,
+        tile_of.reshape(len(terms), blocks),
+        tiles,
         largest.reshape(len(terms), blocks),
         np.zeros(1),
         np.zeros(1),

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -80,6 +81,35 @@ def test_alike_examples_share_blocks_and_most_blocks_are_skipped():
     assert np.mean(met) < 0.2
 
 
+def test_postings_are_read_as_whole_tiles_in_bounded_looks():
+    rng = random.Random(5)
+    examples = [
+        (k, k % 2, {t: rng.randint(1, 9) for t in rng.sample(range(400), 40)}) for k in range(1_500)
+    ]
+    index = toxicity.build(
+        [f"t{i}" for i in range(400)], np.full(400, 5.0), 9_000, examples, (1.0, 1.0)
+    )
+    assert np.count_nonzero(index.tiles) == 1_500 * 40 and not index.tiles[0].any()
+    looks = []
+
+    class Tiles:
+        def take(self, numbers, axis):
+            looks.append(numbers.size)
+            return index.tiles.take(numbers, axis)
+
+    query = dict.fromkeys(range(400), 1)
+    numbers, cosines = replace(index, tiles=Tiles()).nearest(query)
+    # A query of every term and equal weights: no bound can skip many blocks.
+    assert len(looks) > 2 and max(looks) <= toxicity.MOST_TILES < 400 * 94
+    _, weights = toxicity.vector(query, index.idf)
+    exact = np.array([
+        weights[at] @ of
+        for at, of in (toxicity.vector(examples[key][2], index.idf) for key in index.keys)
+    ])
+    best = np.lexsort((np.arange(1_500), -exact.round(12)))[: toxicity.NEAREST]
+    assert np.allclose(cosines, exact[best]) and np.allclose(exact[numbers], cosines)
+
+
 def test_rising_map_is_monotone_and_keeps_the_mean():
     rng = np.random.default_rng(1)
     votes, weights = rng.random(500).round(2), rng.random(500) + 0.1
