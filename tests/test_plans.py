@@ -7,7 +7,7 @@ import re
 import pytest
 
 from checks import queries as q
-from evotrail.operators import log_ranges, parse
+from evotrail.operators import log_ranges, parse, registry
 from evotrail.plans import change_feed as feed
 from evotrail.schemas import ENVELOPE
 from evotrail.sources import files
@@ -112,3 +112,20 @@ def test_rows_are_stored_in_the_folder_the_session_names(spark):
     named = spark.conf.get("spark.checkpoint.dir")
     assert named in spark.sparkContext.getCheckpointDir()
     assert "Range" not in plan(rows, "simple")
+
+
+def test_distinct_lookups_hold_no_snapshot_whose_files_only_look_small(spark, tmp_path):
+    """Rows of few different texts make tiny files, which Spark took for a small table."""
+    rows = [schema(n, versions=[(f"subject-{n % 7}", n)]) for n in range(1, 2_001)]
+    snapshot_of(spark, *rows).write.parquet(f"{tmp_path}/snapshot")
+    snapshot = spark.read.parquet(f"{tmp_path}/snapshot")
+    asked = spark.createDataFrame(
+        [("env-blue", n, f"subject-{n % 7}", n) for n in (5, 5, 1_999, 9_999)],
+        "environment_id string, schema_id int, subject string, version int",
+    )
+    for lookup in (registry.by_id, registry.by_subject_version):
+        answers = lookup(asked, snapshot)
+        how = ran(answers)
+        assert "LeftSemi, BuildRight" in how and "LeftOuter, Build" not in how
+        found = {r.schema_id or r.version: r.outcome for r in answers.collect()}
+        assert found == {5: registry.HIT, 1_999: registry.HIT, 9_999: registry.MISSING}
