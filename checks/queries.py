@@ -426,9 +426,15 @@ def _earlier_state(spark, sf_dir) -> DataFrame:
     return state_ops.state_rows(feed.sent_events(events, snapshot, ALL_CHANGES))
 
 
+def _later_log(spark, sf_dir) -> DataFrame:
+    """The log from the split time on; no text is rendered to find its start."""
+    positions = dt.audit_log(spark, sf_dir, to_parse=False)
+    return log_ranges.from_timestamp(dt.audit_log(spark, sf_dir), SPLIT, positions)
+
+
 def _second_run(spark, sf_dir):
     state = _earlier_state(spark, sf_dir)
-    log = log_ranges.from_timestamp(dt.audit_log(spark, sf_dir), SPLIT)
+    log = _later_log(spark, sf_dir)
     snapshot = dt.registry_snapshot(spark, sf_dir)
     events = parse.change_candidates(log, ALL_CHANGES)
     return state, feed.sent_events(events, snapshot, ALL_CHANGES, state)
@@ -442,9 +448,8 @@ def dedup_with_state(spark, sf_dir):
 def known_keys_by_filter(spark, sf_dir):
     """The keys of a later run that the state holds: a Bloom filter of the state's buckets
     admits them, and those admitted meet the state itself."""
-    state = _earlier_state(spark, sf_dir)
-    later = log_ranges.from_timestamp(dt.audit_log(spark, sf_dir), SPLIT)
-    events = parse.audit_events(later, ALL_CHANGES)
+    state = staged(_earlier_state(spark, sf_dir))
+    events = parse.audit_events(_later_log(spark, sf_dir), ALL_CHANGES)
     blocks = key_filters.blocks_for(state.count(), FILTER_BUCKETS)
     filters = key_filters.key_filter(state, "dedup_key", FILTER_BUCKETS, blocks)
     admitted = key_filters.may_hold(events, "dedup_key", filters, FILTER_BUCKETS, blocks)
@@ -503,7 +508,7 @@ def _metrics(options: FeedOptions) -> Callable[[SparkSession, str], DataFrame]:
 def run_metrics_with_state(spark, sf_dir):
     """Counters of a second run that starts from the first one's state."""
     state = staged(_earlier_state(spark, sf_dir))
-    log = log_ranges.from_timestamp(dt.audit_log(spark, sf_dir), SPLIT)
+    log = _later_log(spark, sf_dir)
     snapshot = dt.registry_snapshot(spark, sf_dir)
     return run_batch(log, snapshot, ALL_CHANGES, state).counters()
 
@@ -522,8 +527,7 @@ def late_lookups(spark, sf_dir):
     first = run_batch(log_ranges.until_timestamp(log, SPLIT), snapshot, ALL_CHANGES)
     status = F.when(F.col("http_status") == registry.NOT_FOUND, registry.NOT_FOUND)
     answered = snapshot.withColumn("http_status", status.otherwise(registry.FOUND))
-    later = log_ranges.from_timestamp(log, SPLIT)
-    second = run_batch(later, answered, ALL_CHANGES, first.new_state(), first.waiting)
+    second = run_batch(_later_log(spark, sf_dir), answered, ALL_CHANGES, first.new_state(), first.waiting)
     return second.sent.select("dedup_key", "event_id", "partition", "offset")
 
 

@@ -37,13 +37,15 @@ def start_offsets(log: DataFrame, start: str) -> DataFrame:
     )
 
 
-def from_timestamp(log: DataFrame, start: str) -> DataFrame:
+def from_timestamp(log: DataFrame, start: str, positions: DataFrame | None = None) -> DataFrame:
     """Records from the start offset of their partition on.
 
     This positions, it does not filter: an older record at a later offset is
     kept. A partition without any record at or after the time gives nothing.
+    ``positions`` may hold the partition, offset and timestamp of all records, where
+    reading them from the log would also work out its text.
     """
-    starts = F.broadcast(start_offsets(log, start))
+    starts = F.broadcast(start_offsets(log if positions is None else positions, start))
     return (
         log.join(starts, "partition")
         .filter(F.col("offset") >= F.col("start_offset"))

@@ -129,3 +129,10 @@ def test_distinct_lookups_hold_no_snapshot_whose_files_only_look_small(spark, tm
         assert "LeftSemi, BuildRight" in how and "LeftOuter, Build" not in how
         found = {r.schema_id or r.version: r.outcome for r in answers.collect()}
         assert found == {5: registry.HIT, 1_999: registry.HIT, 9_999: registry.MISSING}
+
+
+def test_a_later_run_renders_its_log_once_and_reads_a_stored_state(spark):
+    for name in ("known_keys_by_filter", "_later_log"):
+        df = getattr(q, name)(spark, SF)
+        rendered = df._jdf.queryExecution().optimizedPlan().toString()
+        assert rendered.count("Generate explode(array(CASE") == 1
