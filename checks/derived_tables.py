@@ -91,10 +91,10 @@ UNREADABLE = {
 }
 _UNREADABLE = " ".join(f"WHEN {n} THEN '{text}'" for n, (text, _) in UNREADABLE.items())
 
-# Some records spell a letter of a method name as an escape.
-_ESCAPED = f"""replace({_RECORD}, '"schema-registry.Reg', CASE WHEN n % 53 = 9
-  THEN '"schema-registry.\\\\u0052eg' ELSE '"schema-registry.Reg' END)"""
-_VALUE = f"CASE n % 97 {_UNREADABLE} ELSE {_ESCAPED} END"
+_TEXT = f"CASE n % 97 {_UNREADABLE} ELSE {_RECORD} END"
+# Some records spell a letter of a method name as an escape. Only their text is searched.
+_VALUE = """CASE WHEN n % 53 = 9
+  THEN replace(text, '"schema-registry.Reg', '"schema-registry.\\\\u0052eg') ELSE text END"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,9 +115,9 @@ def audit_log(spark: SparkSession, sf_dir: str, to_parse: bool = True) -> DataFr
         "ts", *[f"{value} AS {name}" for name, value in _FACTS.items()]
     )
     named = facts.selectExpr("*", "concat(prefix, k, '-value') AS named")
-    value = f"explode(array({_VALUE}))" if to_parse else _VALUE
-    return named.selectExpr(
-        "partition", "n AS offset", "ts AS timestamp", f"{value} AS value"
+    text = f"explode(array({_TEXT}))" if to_parse else _TEXT
+    return named.selectExpr("partition", "n", "ts", f"{text} AS text").selectExpr(
+        "partition", "n AS offset", "ts AS timestamp", f"{_VALUE} AS value"
     )
 
 

@@ -34,23 +34,29 @@ def _type_fault(event: str) -> str:
     ``from_json`` reads any value as text. Text members must not hold an object or an
     array, and a quoted int must be a whole number. Few records can be wrong, and the
     parsed members tell which, by their first character or by a character that is no
-    digit: only those are parsed again, with their types.
+    digit: only those are parsed again, and only such members are looked up there, with
+    their types.
     """
-    nests = [f"left({event}.{path}, 1) IN ('{{', '[')" for path in schemas.TEXT_MEMBERS]
-    odd = [f"{event}.{path} RLIKE '[^0-9]'" for path in schemas.INT_MEMBERS]
+    nests = {
+        path: f"(startswith({event}.{path}, '{{') OR startswith({event}.{path}, '['))"
+        for path in schemas.TEXT_MEMBERS
+    }
+    odd = {path: f"{event}.{path} RLIKE '[^0-9]'" for path in schemas.INT_MEMBERS}
 
     def kind(path: str) -> str:
         return f"schema_of_variant(try_variant_get(v, '$.{path}', 'variant'))"
 
-    nested = " OR ".join(f"{kind(p)} RLIKE '^(OBJECT|ARRAY)'" for p in schemas.TEXT_MEMBERS)
+    nested = " OR ".join(
+        f"({suspect} AND {kind(p)} RLIKE '^(OBJECT|ARRAY)')" for p, suspect in nests.items()
+    )
     quoted = " OR ".join(
-        f"({kind(p)} = 'STRING' AND trim(try_variant_get(v, '$.{p}', 'string'))"
-        " NOT RLIKE '^([+-]?[0-9]+|null|)$')"
-        for p in schemas.INT_MEMBERS
+        f"({suspect} AND {kind(p)} = 'STRING'"
+        f" AND trim(try_variant_get(v, '$.{p}', 'string')) NOT RLIKE '^([+-]?[0-9]+|null|)$')"
+        for p, suspect in odd.items()
     )
     found = f"CASE WHEN {nested} THEN 'wrong_type' WHEN {quoted} THEN 'bad_number' END"
     return (
-        f"CASE WHEN {' OR '.join(nests + odd)}"
+        f"CASE WHEN {' OR '.join([*nests.values(), *odd.values()])}"
         f" THEN get(transform(array(try_parse_json(value)), v -> {found}), 0) END"
     )
 

@@ -3,7 +3,8 @@
 The raw log is read and parsed once. The records that can matter, a narrow and
 filtered part of it, are stored as Parquet, and so are the events to be sent and the
 marks of their keys; duplicates, notifications, state and counters are computed from
-there, each reading only its columns.
+there, each reading only its columns. Events that cannot be sent are stored with their
+id, key and position alone.
 """
 
 from __future__ import annotations
@@ -46,10 +47,11 @@ class BatchRun:
         return state_ops.state_rows(self.sent)
 
 
-#: The columns of a candidate that later steps read.
-_CANDIDATE = (
-    *POSITION,
-    "event_id",
+#: The columns of every candidate that later steps read.
+_REPEAT = (*POSITION, "event_id", "dedup_key")
+
+#: The columns that are read of candidates that may be sent; null in the others.
+_RELEVANT = (
     "type",
     "event_time",
     "has_data",
@@ -63,8 +65,8 @@ _CANDIDATE = (
     "compatibility",
     "mode",
     "schema_id",
-    "dedup_key",
 )
+_CANDIDATE = (*_REPEAT, *_RELEVANT)
 
 
 def run_batch(
@@ -87,20 +89,28 @@ def run_batch(
     event; the others wait on. They are not counted as consumed again.
     """
     check_globs(log.sparkSession, options.subject_filters)
-    counted = {name: Observation(name) for name in ("records", "events")}
-    one = F.count(F.lit(1)).alias("n")
-    parsed = parse.with_event(log.observe(counted["records"], one))
-    read = F.count(F.when(F.col("reject_reason").isNull(), 1)).alias("n")
-    fields = parse.derive_fields(parsed.observe(counted["events"], read), options)
     # Only keys of these methods are ever sent, in this run or an earlier one.
     repeatable = dedup.is_repeatable(tuple(fv.EVENT_TYPE_OF_METHOD))
-    envelope = [name for name in log.columns if name not in (*POSITION, "value")]
+    envelope = [name for name in log.columns if name not in POSITION]
     rejected = F.col("reject_reason").isNotNull()
+    # Only unreadable records keep their text.
+    parsed = parse.with_event(log).withColumns(
+        {name: F.when(rejected, F.col(name)) for name in envelope}
+    )
+    counted = Observation("run")
+    counts = parsed.observe(
+        counted,
+        F.count(F.lit(1)).alias("records"),
+        F.count(F.when(~rejected, 1)).alias("events"),
+    )
+    kept = parse.derive_fields(counts, options).where(rejected | repeatable)
+    kept = kept.withColumn("_relevant", relevance.is_relevant(options))
     stored = staged_table(
-        fields.where(rejected | repeatable).select(
-            *_CANDIDATE,
+        kept.select(
+            *_REPEAT,
+            *[F.when(F.col("_relevant"), F.col(name)).alias(name) for name in _RELEVANT],
             "reject_reason",
-            *[F.when(rejected, F.col(name)).alias(name) for name in (*envelope, "value")],
+            *envelope,
         )
     )
     rejects = stored.where(rejected).select(*log.columns, "reject_reason")
@@ -130,8 +140,8 @@ def run_batch(
         unanswered = failed
         repeats = candidates.limit(0)
     return BatchRun(
-        events_consumed=counted["events"].get["n"],
-        records_rejected=counted["records"].get["n"] - counted["events"].get["n"],
+        events_consumed=counted.get["events"],
+        records_rejected=counted.get["records"] - counted.get["events"],
         sent=sent,
         duplicates=repeats.select("event_id", "dedup_key", *POSITION),
         notifications=notify(sent, snapshot),

@@ -7,7 +7,8 @@ import re
 import pytest
 
 from checks import queries as q
-from evotrail.operators import log_ranges, parse, registry
+from evotrail.operators import log_ranges, parse, registry, relevance
+from evotrail.plans import batch_run
 from evotrail.plans import change_feed as feed
 from evotrail.schemas import ENVELOPE
 from evotrail.sources import files
@@ -136,3 +137,28 @@ def test_a_later_run_renders_its_log_once_and_reads_a_stored_state(spark):
         df = getattr(q, name)(spark, SF)
         rendered = df._jdf.queryExecution().optimizedPlan().toString()
         assert rendered.count("Generate explode(array(CASE") == 1
+
+
+def test_a_run_stores_the_fields_of_events_that_may_be_sent_alone(spark, monkeypatch):
+    stored, stage = [], batch_run.staged_table
+
+    def noted(df):
+        stored.append(stage(df))
+        return stored[-1]
+
+    monkeypatch.setattr(batch_run, "staged_table", noted)
+    log, snapshot = audit_log(spark, SF), registry_snapshot(spark, SF)
+    run = batch_run.run_batch(log, snapshot, q.ALL_CHANGES)
+    events = stored[0].where("reject_reason IS NULL")
+    relevant = relevance.relevant_events(parse.audit_events(log, q.ALL_CHANGES), q.ALL_CHANGES)
+    assert 0 < events.where("type IS NOT NULL").count() == relevant.count() < events.count()
+    assert events.where("dedup_key IS NULL").count() == 0
+    assert stored[0].where("(value IS NULL) != (reject_reason IS NULL)").count() == 0
+    assert run.rejected.count() == run.records_rejected > 0
+    assert run.events_consumed == parse.audit_events(log, q.ALL_CHANGES).count()
+
+
+def test_only_texts_with_an_escape_are_searched_for_its_place(spark):
+    text = plan(audit_log(spark, SF))
+    assert "END AS value" in text and text.count("replace(text#") == 1
+    assert "replace(invoke(StructsToJson" not in text
